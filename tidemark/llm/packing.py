@@ -19,6 +19,9 @@ empty table packs into no rows; ties between equal lengths go by doc_id, piece,
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
@@ -34,20 +37,41 @@ CAPACITY, END_ID = 4096, 1
 #: Rows that one (length, salt) group holds at most on average; at least MIN_SALTS groups a length.
 ROWS_A_SALT, MIN_SALTS = 1_000_000, 64
 
+#: How the vocabulary cuts Latin text before its merges; {L} and {N} stand for letters and numbers.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
+
 _encoders: dict[str, ChunkCache] = {}
 
 
-def _encoder(path: str):
-    """(tokenizer, ids of a chunk as little-endian bytes)."""
-    if path not in _encoders:
-        import os
+def _latin() -> tuple[re.Pattern, re.Pattern]:
+    """(chunks of composed Latin letters, numbers and signs; PATTERN over them)."""
+    points = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c < 0xA0 and chr(c) not in "\u0130\u01c4\u01c5\u01c7\u01c8\u01ca\u01cb\u01f1\u01f2"]
+    kinds = {k: "".join(re.escape(c) for c in points if unicodedata.category(c)[0] == k) for k in "LN"}
+    return re.compile("[" + "".join(map(re.escape, points)) + "]+"), re.compile(PATTERN.format(**kinds))
 
+
+def _encoder(path: str) -> ChunkCache:
+    """Ids of a chunk as little-endian bytes: words of Latin chunks go straight to the merges."""
+    if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _encoders[path] = ChunkCache(lambda chunk: np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+        model, (plain, pattern) = tokenizer.model, _latin()
+        signs = {}  # a byte's stand-in in the vocabulary, by code point
+        for c in range(0x21, 0x250):
+            signs[c] = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0]
+
+        words = ChunkCache(lambda word: np.array([t.id for t in model.tokenize(word.translate(signs))], "<u4").tobytes())
+
+        def chunk_ids(chunk: str) -> bytes:
+            if plain.fullmatch(chunk):
+                return b"".join([words[w] for w in pattern.findall(chunk.lower())])
+            return np.asarray(tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+        _encoders[path] = ChunkCache(chunk_ids)
     return _encoders[path]
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +32,22 @@ THRESHOLD = 0.7
 #: Codes below REPEAT are shapes; a chunk equal to the one before gets REPEAT added.
 REPEAT = 1 << 11
 
-_SHAPE = re.compile(r"[A-Z]{2,}|[A-Z]|[a-z]+|[0-9]+|[^A-Za-z0-9]")
+class _Kinds(dict):
+    """A, a or 0 for letters and digits, ASCII signs as they are, ? for the rest; by code point."""
+
+    def __missing__(self, point):
+        c = chr(point)
+        self[point] = k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if point < 127 else "?"
+        return k
+
+
+_kinds, _run, _signs = _Kinds(), re.compile(r"([a0])\1+"), re.compile(r"(.)\1\1+")
 
 
 def shape(chunk: str) -> str:
-    """Case of the letters, digits, signs as they are and runs of a sign as two of it."""
-    out = []
-    for c in chunk[:64]:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c if ord(c) < 127 else "?"
-        if not (len(out) > 1 and out[-1] == out[-2] == k) and not (k in "a0" and out and out[-1] == k):
-            out.append(k)
-    return "".join(out) + (f"~{min(len(chunk) // 12, 5)}" if len(chunk) >= 12 else "")
+    """Case of the letters, digits, signs as they are; runs are cut to one letter or digit, or two capitals or signs."""
+    out = _signs.sub(r"\1\1", _run.sub(r"\1", chunk[:64].translate(_kinds)))
+    return out if len(chunk) < 12 else f"{out}~{min(len(chunk) // 12, 5)}"
 
 
 _codes = ChunkCache(lambda chunk: zlib.crc32(shape(chunk).encode()) & (REPEAT - 1))
@@ -53,22 +59,24 @@ def features(text: str) -> np.ndarray:
     n = len(chunks)
     out = [np.array([BUCKETS - 1 - min(int(np.log2(n + 1)), 16)])]
     if n:
-        codes = np.array([_codes[c] for c in chunks], np.int64)
-        codes[1:] += REPEAT * np.array([a == b for a, b in zip(chunks, chunks[1:])], np.int64)
+        codes = np.fromiter(map(_codes.__getitem__, chunks), np.int64, n)
+        codes[1:] += REPEAT * np.fromiter(map(eq, chunks, chunks[1:]), np.int64, n - 1)
         grams = codes
-        for k in (1, 2, 3):
+        for k in range(1, min(n, 3) + 1):
             if k > 1:
-                if n < k:
-                    break
                 grams = (grams[:-1] * 1_000_003 + codes[k - 1 :]) & 0x7FFFFFFF
             ids, times = np.unique(grams, return_counts=True)
-            share = -np.log2(times / len(grams))
-            for level in range(0, 7):  # level 0: it occurs
-                held = ids if not level else ids[share <= level]
-                out.append(((held * 2_654_435_761 + (k * 7 + level) * 40_503) >> 7) % (BUCKETS - 32))
+            out.append(_bucket(ids, k, 0))
+            often = times * 64 >= len(grams)
+            ids, share = ids[often], len(grams) / times[often]
+            out += [_bucket(ids[share <= 2**level], k, level) for level in range(1, 7)]
     return np.unique(np.concatenate(out))
 
 
+def _bucket(grams: np.ndarray, k: int, level: int) -> np.ndarray:
+    return ((grams * 2_654_435_761 + (k * 7 + level) * 40_503) >> 7) % (BUCKETS - 32)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int) -> DataFrame:
     """At most `max_train` labelled training documents: doc_id, text, y.
 
