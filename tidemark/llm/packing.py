@@ -45,7 +45,7 @@ _encoders: dict[str, ChunkCache] = {}
 
 def _latin() -> tuple[re.Pattern, re.Pattern]:
     """(chunks of composed Latin letters, numbers and signs; PATTERN over them)."""
-    points = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c < 0xA0 and chr(c) not in "\u0130\u01c4\u01c5\u01c7\u01c8\u01ca\u01cb\u01f1\u01f2"]
+    points = [chr(c) for c in range(0x21, 0x250) if not 0x7F <= c < 0xA0 and len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250]
     kinds = {k: "".join(re.escape(c) for c in points if unicodedata.category(c)[0] == k) for k in "LN"}
     return re.compile("[" + "".join(map(re.escape, points)) + "]+"), re.compile(PATTERN.format(**kinds))
 
