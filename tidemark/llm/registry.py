@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets
+from . import chat, embeddings, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,9 @@ def queries() -> dict:
         "op1_best_fit_packing": packing.query,
         "op2_secret_scan": secrets.query,
         "op4_quality_classifier": quality.query,
+        "op5_embedding_near_dedup": embeddings.query,
+        "op6_chat_formatting": chat.query,
+        "op8_toxicity": toxicity.query,
     }
 
 
