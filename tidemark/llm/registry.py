@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, embeddings, packing, quality, secrets, toxicity
+from . import chat, decontaminate, embeddings, neardup, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.query,
         "op2_secret_scan": secrets.query,
+        "op3_benchmark_decontamination": decontaminate.query,
         "op4_quality_classifier": quality.query,
         "op5_embedding_near_dedup": embeddings.query,
         "op6_chat_formatting": chat.query,
         "op8_toxicity": toxicity.query,
+        "op9_minhash_near_dedup": neardup.query,
     }
 
 
