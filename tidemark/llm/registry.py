@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, neardup, packing, quality, secrets, toxicity
+from . import chat, decontaminate, embeddings, licenses, neardup, packing, quality, rollup, secrets, toxicity
 
 
 def queries() -> dict:
@@ -13,8 +13,10 @@ def queries() -> dict:
         "op4_quality_classifier": quality.query,
         "op5_embedding_near_dedup": embeddings.query,
         "op6_chat_formatting": chat.query,
+        "op7_license_scan": licenses.query,
         "op8_toxicity": toxicity.query,
         "op9_minhash_near_dedup": neardup.query,
+        "op10_token_rollup": rollup.query,
     }
 
 
