@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import streams
+
+PARTS = (streams,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: q for part in PARTS for k, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: q for part in PARTS for k, q in part.SQL.items()}
