@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import streams
+from . import drift, streams
 
-PARTS = (streams,)
+PARTS = (streams, drift)
 
 
 def queries() -> dict:
