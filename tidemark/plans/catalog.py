@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drift, streams
+from . import drift, learners, streams
 
-PARTS = (streams, drift)
+PARTS = (streams, drift, learners)
 
 
 def queries() -> dict:
