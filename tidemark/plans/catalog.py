@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import drift, learners, streams
+from . import clusters, drift, learners, streams
 
-PARTS = (streams, drift, learners)
+PARTS = (streams, drift, learners, clusters)
 
 
 def queries() -> dict:
