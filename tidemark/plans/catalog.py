@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clusters, drift, learners, streams
+from . import clusters, drift, learners, streams, trees
 
-PARTS = (streams, drift, learners, clusters)
+PARTS = (streams, drift, learners, clusters, trees)
 
 
 def queries() -> dict:
