@@ -1,0 +1,36 @@
+import public_tokenizers
+
+import corpus_pipeline
+from tidemark.llm import decontaminate, neardup, packing, quality, secrets
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_run_equals_the_stages_by_hand(spark):
+    """Each stage's decision, taken apart: what the last stage packs is what all before it keep."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "benchmark decontamination", "secret scans", "best-fit packing"]
+    good = {r.doc_id for r in quality.query(spark, DATA).collect() if r.predicted}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    kept = docs.where(docs.doc_id.isin(list(good)))
+    classes = {r.doc_id for r in neardup.near_duplicates(kept).collect() if r.kept}
+    kept = kept.where(kept.doc_id.isin(list(classes)))
+    leaks = {r.doc_id for r in decontaminate.contaminated(kept, spark.read.parquet(f"{DATA}/benchmark.parquet")).collect()}
+    want = classes - leaks
+    path, words = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+    lengths = {}
+    for d in want:
+        text = texts[d] or ""
+        lengths[d] = len(packing.token_bytes(secrets.masked(text, secrets.find(text, path)), words)) // 4 + 1
+    got = {}
+    for r in corpus_pipeline.run(spark, DATA).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == lengths and 0 < len(got) < 200
+
+
+def test_stages_keep_the_columns(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, DATA)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 0
