@@ -1,4 +1,4 @@
-"""Queries of the training-data operators."""
+"""Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -20,5 +20,31 @@ def queries() -> dict:
     }
 
 
+#: All pairs of a label, and what is reachable by links.
+EMBEDDINGS = f"""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+ l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= {embeddings.THRESHOLD}),
+ r as (select vec_id as a, vec_id as b from v union select r.a, l.b from r join l on l.a = r.b),
+ c as (select a, min(b) as component_id from r group by 1), n as (select a, count(*) as n from l group by 1)
+ select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v join c on c.a = vec_id left join n on n.a = vec_id"""
+
+#: What escaping adds to a text: the lengths of the stand-ins for the first sign of each control string.
+_ADDED = r"coalesce(list_sum([case when m = '&' then 4 when m = '|>' then 5 when starts_with(m, '[') then 5 else 3 end for m in regexp_extract_all({0}, '&|<\||\|>|</?s>|\[/?INST\]|<</?SYS>>')]), 0)"
+_SAID = "'</s>[INST] ok [/INST]'"
+CHAT = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-1, 0, 'user', {_SAID}), (-1, 1, 'assistant', {_SAID}))
+ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+ coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+ sum(24 + length(role) + 8 * (length(role) - length(replace(role, chr(10), ''))) + length(text) + {_ADDED.format("role")} + {_ADDED.format("text")})::bigint as formatted_chars from t group by conv_id"""
+
+#: Every pair that shares a shingle, and what is reachable by links.
+NEAR = f"""with recursive w as (select doc_id, list_filter([lower(regexp_replace(c, '[^\\p{{L}}\\p{{N}}]', '', 'g')) for c in string_split_regex(coalesce(text, ''), '\\s+')], lambda x: x <> '') as w from documents),
+ s0 as (select doc_id, unnest(case when len(w) < {neardup.WORDS} then [w] else [w[i:i+{neardup.WORDS - 1}] for i in range(1, len(w) - {neardup.WORDS - 2})] end) as s from w where len(w) > 0),
+ s1 as (select doc_id, hash(s) as s, count(*) as tf from s0 group by 1, 2), df as (select s, count(*) as df from s1 group by 1),
+ s as (select doc_id, s, tf * least(1.0::double, ln(1 + (select count(*) from documents) / df::double) / ln({1 + neardup.COMMON}.0::double)) as x from s1 join df using (s)), z as (select doc_id, sum(x) as z from s group by 1),
+ p as (select a.doc_id as a, b.doc_id as b, sum(least(a.x, b.x)) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+ l as (select a, b from p join z za on za.doc_id = a join z zb on zb.doc_id = b where i / (za.z + zb.z - i) >= {neardup.THRESHOLD} - 1e-12),
+ r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on l.a = r.b)
+ select a as doc_id, min(b) as class_id, a = min(b) as kept from r group by a"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR}
