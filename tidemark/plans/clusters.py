@@ -177,6 +177,7 @@ SQL = {
     "cf_relevance_stamp": f"with s as (select label, count(*) as n, avg(vec_id) as m, sqrt(greatest(sum(vec_id::double*vec_id)/count(*)-avg(vec_id)*avg(vec_id),0)) as sd, 10.0/(2*count(*)) as p from embeddings group by 1) select label, round(case when n < 20 then m else m + sd*{ERFINV} end,3) as stamp from s",
     "kmeans_assign": f"with {SEEDED} select id, cluster::int as cluster, round(d2,5) as d2 from a0",
     "kmeans_iterate": f"with {SEEDED}{_pass(1)}{_pass(2)} select cluster::int as cluster, count(*) as n, round(sum(d2),3) as inertia from a2 group by 1",
+    "gaussian_means": f"with {TALL}, m as (select label as id, i, avg(v) as v, count(*) as n from tall group by 1,2), s0 as (select grp as cluster, i, avg(v) as v from tall group by 1,2), d0 as (select m.id, s.cluster, sum((m.v-s.v)*(m.v-s.v)) as d from m join s0 s using (i) group by 1,2), a0 as (select id, arg_min(cluster, (d, cluster)) as cluster from d0 group by 1), s1 as (select a0.cluster, m.i, avg(m.v) as v from m join a0 using (id) group by 1,2), d1 as (select m.id, s.cluster, sum((m.v-s.v)*(m.v-s.v)) as d from m join s1 s using (i) group by 1,2), a1 as (select id, arg_min(cluster, (d, cluster)) as cluster from d1 group by 1) select cluster::int as cluster, sum(n)::double as weight, count(*) as micro from a1 join (select distinct id, n from m) using (id) group by 1",
     "membership_matrix": f"with {CELLS} select * from cells",
     "ssq": f"with {FOUND}, m as (select id, min(d2) as d2 from dist group by 1) select round(sum(d2),3) as ssq from m",
     "rand_van_dongen": f"with {CELLS} select round(((select sum(m) from r)+(select sum(m) from k))/(2*a),6) as van_dongen, round((a*(a-1)/2-(select sum(r*(r-1)/2) from r)-(select sum(k*(k-1)/2) from k)+2*(select sum(n*(n-1)/2) from cells))/(a*(a-1)/2),6) as rand from g",

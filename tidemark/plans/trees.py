@@ -158,6 +158,7 @@ QUERIES = {
 
 _ROOT = f"rowed as (select 1 as r, * from lineitem), tall as ({LONG}), st as (select a, c, count(*)::double as n, avg(x) as m, greatest(coalesce(var_samp(x),0),0) as v, min(x) as lo, max(x) as hi from tall group by 1,2), sp as (select a, min(lo) as f, max(hi) as t from st group by 1), ks as (select a, k, f+(t-f)*k/11.0 as cut from sp, range(1,11) r(k)), b as (select a, k, c, n, case when cut < lo then 0.0 when cut >= hi then n else n*(case when v > 0 then {normal_cdf_sql('((cut-m)/sqrt(v))')} else (cut >= m)::int end) end as below from st join ks using (a)), cells as (select a, k, c, 0 as br, below as w from b union all select a, k, c, 1, n-below from b), good as (select * from cells where w > 0), br as (select a, k, br, sum(w) as w, log2(sum(w)) - sum(w*log2(w))/sum(w) as bits from good group by 1,2,3), post as (select a, k, sum(w) as w, sum(w*bits)/sum(w) as after, min(w) as low, count(*) as nb from br group by 1,2), pre0 as (select a, k, c, sum(w) as w from good group by 1,2,3), pre as (select a, k, log2(sum(w)) - sum(w*log2(w))/sum(w) as bits from pre0 group by 1,2), gain as (select a, k, case when nb = 2 and low > 0.01*w then bits-after end as merit from post join pre using (a, k))"
 _MD5 = lambda *keys: f"(('0x'||substr(md5({'||chr(124)||'.join(keys)}),1,8))::BIGINT/4294967296.0)"
+Q1 = "'1'"
 _W = "w as (select user_id, " + ", ".join(f"count(*) filter (event_type='{c}')::double as w{k}" for k, c in enumerate(CLASSES)) + " from events group by 1), l as (select *, [w0,w1,w2,w3,w4] as w, w0+w1+w2+w3+w4 as t from w)"
 _ATT = ", ".join(_MD5("'1'", "idx::varchar", f"'x{k}'") + f" as a{k}" for k in range(4))
 _HW = [_MD5("'1'", "'w'", f"'{k}'") for k in range(4)]
@@ -178,4 +179,8 @@ SQL = {
     "union_inputs": "select 'error' as input, count(*) as n from events where event_type='error' union all select 'high', count(*) from events where value > 50",
     "sampled_evaluation": f"select {_Y} as y, count(*) as n from events where {_MD5('event_id::varchar', chr(39) + 's' + chr(39))} < 0.5 group by 1",
 }
+_TURN = ", ".join(f"sum(({_MD5(Q1, 'idx::varchar', f'{chr(39)}t{k}{chr(39)}')} < 0.1)::int) over (order by idx) as t{k}" for k in range(2))
+_MOVE = ", ".join(f"coalesce(sum(case when t{k} % 2 = 0 then 0.001::double else -0.001::double end) over (order by idx rows between unbounded preceding and 1 preceding), 0) as m{k}" for k in range(2))
+_DW = [f"({w}+m{k})" if k < 2 else w for k, w in enumerate(_HW)]
+SQL["stream_hyperplane_drift"] = f"with i as (select range as idx from range((select count(*) from events))), a as (select idx, {_ATT}, {_MD5(Q1, 'idx::varchar', chr(39) + 'noise' + chr(39))} as u, {_TURN} from i), b as (select *, {_MOVE} from a), c as (select *, (({'+'.join(f'{w}*a{k}' for k, w in enumerate(_DW))}) >= 0.5*({'+'.join(_DW)})) <> (u < 0.05) as on_ from b) select case when on_ then 'class2' else 'class1' end as class, count(*) as n from c group by 1"
 SQL["prequential_task"] = f"with {MAJORITY}{_metrics_sql(CUMULATIVE)} select n, {R6(*MEASURES)} from metrics where n % 1000 = 0 or n = (select max(n) from metrics)"
