@@ -12,9 +12,11 @@ Texts with equal words are folded into one first.  Each text gets HASHES consist
 (Ioffe's scheme: the sample of a shingle of weight w is the same for every text where its weight stays
 within the same step), which are joined to bands.  Texts that share a band are candidates.  Links are
 verified by weighted Jaccard similarity on the whole texts, in two steps that never make all pairs of a
-bucket: every member against the least member of its bucket; then, in buckets whose members are not
-yet all connected, the members outside the largest part against all members of other parts.  So every
-candidate pair is either verified or already connected.  Classes are connected components.
+bucket: every member against the most central member of its bucket; then, in buckets whose members are
+not yet all connected, the members outside the largest part against those of other parts.  The second
+step compares block against block within a task, and returns only a spanning star of each block's links,
+never its pairs.  So every candidate pair is either verified or already connected.  Classes are connected
+components.
 
 Defined results: null and empty texts, and texts without a letter or digit, are unique each; repeated
 rows belong to one class; the class is the least doc_id in it; ties (equal doc_ids) keep one row; an
@@ -329,6 +331,114 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
+#: Members of a bucket in one block of the second step.
+BLOCK = 256
+
+
+def _tiled(parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect what the pairs of different parts in a bucket connect.
+
+    The members outside a bucket's main part, in `outer` blocks, meet all its members, in `inner` blocks:
+    each pair of blocks is a group of its own.  A pair that shares an earlier band is left to that bucket.
+    """
+    rows = parts.join(texts, "node")
+    key = lambda o, i: F.xxhash64("bucket", o, i).alias("key")
+    own = ["bucket", "node", "part", "size", "bits", "bands", "keys", "w"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("to")
+    at = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int").alias("at")
+    outer = rows.where("part != main").select(*own, at(F.col("outer")), spread(F.col("inner"))).select(key("at", "to"), F.lit(0).alias("side"), *own)
+    inner = rows.select(*own, (F.col("part") != F.col("main")).alias("out"), at(F.col("inner")), spread(F.col("outer"))).select(key("to", "at"), F.when(F.col("out"), 1).otherwise(2).alias("side"), *own)
+    dealt = outer.unionByName(inner).repartition("key").sortWithinPartitions("key", "side")
+
+    def run(batches):
+        last, held = None, []
+        for batch in batches:
+            out = []
+            columns = [batch.column(k) for k in range(len(batch.columns))]
+            for k, key_ in enumerate(columns[0].to_pylist()):
+                if key_ != last:
+                    out += _linked(held, threshold)
+                    last, held = key_, []
+                held.append(tuple(c[k].as_py() for c in columns[1:]))
+            yield _pairs(out)
+        yield _pairs(_linked(held, threshold))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _linked(held: list, threshold: float) -> list[tuple[int, int]]:
+    """Star edges of the components that the links between the two sides of a group make."""
+    outer, inner = [h for h in held if h[0] == 0], [h for h in held if h[0] > 0]
+    if not outer or not inner:
+        return []
+    side = lambda rows, k, kind: np.array([r[k] for r in rows], kind)
+    (on, op, osz, ob, oband), (inn, ip, isz, ib, iband) = ([side(x, k, t) for k, t in ((2, np.int64), (3, np.int64), (4, float), (5, np.int64), (6, np.int64))] for x in (outer, inner))
+    ok = op[:, None] != ip[None, :]
+    ok &= np.minimum(osz[:, None], isz) >= np.maximum(osz[:, None], isz) * (threshold - 1e-6)
+    twice = side(inner, 0, np.int64) == 1  # these are on the outer side as well
+    ok &= ~twice[None, :] | (on[:, None] < inn[None, :])
+    if not ok.any():
+        return []
+    differ = np.zeros(ok.shape, np.int64)
+    for k in range(PACKED):
+        differ += np.bitwise_count(ob[:, None, k] ^ ib[None, :, k])
+    ok &= differ <= MOST_DIFFERENT
+    for k in range(int(np.flatnonzero(oband[0] == outer[0][1])[0])):
+        ok &= oband[:, None, k] != iband[None, :, k]
+    if not ok.any():
+        return []
+    rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+    sets = lambda r: (np.frombuffer(r[7], np.uint64), np.frombuffer(r[8], float) if r[8] else None)
+    a, b = [sets(outer[k]) for k in rows], [sets(inner[k]) for k in cols]
+    found = ok[np.ix_(rows, cols)] & (_overlaps(a, b) >= threshold * (1 - 1e-12))
+    parent: dict[int, int] = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for i, j in zip(*np.nonzero(found)):
+        x, y = root(int(on[rows[i]])), root(int(inn[cols[j]]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    return [(v, root(v)) for v in list(parent) if root(v) != v]
+
+
+def _overlaps(a: list, b: list) -> np.ndarray:
+    """Weighted Jaccard similarities of all of `a` with all of `b`, a slice of the shingles at a time.
+
+    A shingle of weight w counts as its steps: those up to the least weight of two texts are shared.
+    """
+    keys = np.concatenate([k for k, _ in (*a, *b)])
+    w = np.concatenate([np.ones(len(k)) if v is None else v for k, v in (*a, *b)])
+    row = np.repeat(np.arange(len(a) + len(b)), [len(k) for k, _ in (*a, *b)])
+    totals = np.bincount(row, w, len(a) + len(b))
+    _, code, times = np.unique(keys, return_inverse=True, return_counts=True)
+    useful = times[code] > 1  # the others are shared by no two texts
+    code, w, row = code[useful], w[useful], row[useful]
+    both = np.zeros((len(a), len(b)))
+    order = np.argsort(code, kind="stable")
+    code, w, row = code[order], w[order], row[order]
+    if len(code):
+        _, code = np.unique(code, return_inverse=True)
+        for lo in range(0, int(code.max()) + 1, 4096):
+            i, j = np.searchsorted(code, [lo, lo + 4096])
+            x = np.zeros((len(a) + len(b), 4096))
+            x[row[i:j], code[i:j] - lo] = w[i:j]
+            done = 0.0
+            for level in np.unique(w[i:j]):  # min(u, v) is the sum of the steps that both reach
+                reach = (x >= level).astype(np.float32)
+                both += (level - done) * (reach[: len(a)] @ reach[len(a) :].T)
+                done = level
+    return both / (totals[: len(a), None] + totals[None, len(a) :] - both)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, fold node and class_id of every document."""
     spark = docs.sparkSession
@@ -346,29 +456,30 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # a bucket: the texts that share a band hash (the band is part of the hash)
     member = F.struct("node", "size", *(F.col("bits")[k].alias(f"s{k}") for k in range(PACKED))).alias("m")
-    buckets = nodes.select(F.explode("bands").alias("bucket"), member)
-    pivots = buckets.groupBy("bucket").agg(F.min("m").alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = checkpointed(buckets.join(pivots, "bucket"))
+    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = checkpointed(buckets.join(sizes, "bucket"))
+    # the text with the most company over all its buckets is the likeliest origin of a group of copies
+    central = shared.groupBy("node").agg(F.sum("n").alias("company"))
+    shared = checkpointed(shared.join(central.join(nodes, "node").select("node", "company", member), "node").select("bucket", "m", "company"))
+    pivots = shared.groupBy("bucket").agg(F.max_by("m", F.struct("company", "m.node")).alias("p"))
     m, p = F.col("m"), F.col("p")
-    first = checkpointed(shared.where((m["node"] != p["node"]) & _alike(m, p, threshold)).select(p["node"].alias("a"), m["node"].alias("b")).distinct())
+    near = shared.join(pivots, "bucket").where((m["node"] != p["node"]) & _alike(m, p, threshold))
+    first = checkpointed(near.select(p["node"].alias("a"), m["node"].alias("b")).distinct())
     texts = _texts(docs, nodes.select("node", "fold", "doc_id"), first.select(F.col("a").alias("node")).union(first.select("b")), weights)
     links = checkpointed(_verified(first, texts, threshold))
     found = checkpointed(components(links))
 
     # members of a bucket that are not yet connected
-    parts = shared.select("bucket", "m", m["node"].alias("node")).join(found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    parts = shared.select("bucket", m["node"].alias("node")).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     counted = parts.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    parts = checkpointed(parts.join(mixed, "bucket").drop("node"))
-    outside = parts.where("part != main").select("bucket", F.col("m").alias("o"), F.col("part").alias("other"))
-    o = F.col("o")
-    rest = outside.join(parts.select("bucket", "m", "part"), "bucket").where((F.col("part") != F.col("other")) & _alike(o, m, threshold))
-    rest = rest.select(F.least(o["node"], m["node"]).alias("a"), F.greatest(o["node"], m["node"]).alias("b")).distinct()
-    rest = checkpointed(rest.join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        texts = _texts(docs, nodes.select("node", "fold", "doc_id"), rest.select(F.col("a").alias("node")).union(rest.select("b")), weights)
-        more = checkpointed(_verified(rest, texts, threshold))
-        found = checkpointed(components(links.union(more)))
+    mixed = counted.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most")).where("parts > 1")
+    mixed = mixed.select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("n") / BLOCK).cast("int").alias("inner"))
+    parts = checkpointed(parts.join(mixed, "bucket"))
+    if not parts.isEmpty():
+        texts = _texts(docs, nodes.select("node", "fold", "doc_id"), parts.select("node"), weights)
+        rest = checkpointed(_tiled(parts, nodes.join(texts, "node").select("node", "size", "bits", "bands", "keys", "w"), threshold))
+        found = checkpointed(components(links.union(rest)))
 
     named = nodes.select("node", F.col("doc_id").alias("rep")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = checkpointed(named)
