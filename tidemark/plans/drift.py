@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import drift as D
+from tidemark.operators.observers import summarised
 
 from .streams import read, rounded
 
@@ -55,6 +56,7 @@ def _ph(x: str, fade: float) -> str:
 QUERIES = {
     "ddm_by_user": _by_user(D.ddm, True), "eddm_by_user": _by_user(lambda: D.eddm(least=5), True), "ewma_by_user": _by_user(D.ewma, True),
     "page_hinkley_by_user": _by_user(D.page_hinkley, False), "cusum_by_user": _by_user(D.cusum, False), "gma_by_user": _by_user(D.geometric, False),
+    "gk_quantiles_by_user": lambda spark, d: summarised(read(spark, d, "events"), "user_id", "event_id", "value"),
     "ph_test_by_user": _by_user(D.ph_test, False), "ph_fading_by_user": _by_user(lambda: D.ph_test(fade=0.99), False), "adwin_by_user": _by_user(D.adwin, False),
 }
 
