@@ -105,45 +105,57 @@ class Weights:
 
 
 def _tables():
-    """2^16 quantiles of Gamma(2, 1), each from the mean of its cell, and their logarithms."""
+    """2^16 draws of (r, ln c, beta), r and c from Gamma(2, 1), in the order of what weight 1 makes of them."""
     rng = np.random.default_rng(11)
-    gamma = np.sort(rng.gamma(2.0, 1.0, 1 << 21)).reshape(1 << 16, -1).mean(1)
-    return gamma.astype(np.float32), np.log(gamma).astype(np.float32)
+    r, c, beta = rng.gamma(2.0, 1.0, 1 << 16), np.log(rng.gamma(2.0, 1.0, 1 << 16)), rng.random(1 << 16)
+    one = c - r * (1 - beta)
+    order = np.argsort(one)
+    return r[order], c[order], beta[order], one[order]
 
 
-_gamma: list = []
+_draws: list = []
 _seeds = _mix(np.arange(1, HASHES + 1, dtype=np.uint64) * _M)
 
 
+def _hashes(keys: np.ndarray) -> np.ndarray:
+    """A hash of each key for each sample; for one sample it is a permutation of the keys."""
+    h = (keys[:, None] ^ _seeds) * _M
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
 def samples(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """HASHES consistent weighted samples of a weighted set, as 64-bit codes of (key, step)."""
-    if not _gamma:
-        _gamma.extend(_tables())
-    gamma, log_gamma = _gamma
-    best = np.full(HASHES, np.inf, np.float32)
+    """HASHES consistent weighted samples of a weighted set, as 64-bit codes of (key, step).
+
+    The upper bits of a hash choose the draw.  Draws are in the order of weight 1, whose step is 0, so
+    among shingles of weight 1 the least hash wins; only the others need the draws themselves.
+    """
+    if not _draws:
+        _draws.extend(_tables())
+    r, c, beta, one = _draws
+    plain = weights == 1
+    best = np.full(HASHES, np.inf)
     code = np.zeros(HASHES, np.uint64)
+    own = keys[plain]
+    if len(own):
+        for lo in range(0, len(own), 256):
+            least = _hashes(own[lo : lo + 256]).min(0)
+            code = least if not lo else np.minimum(code, least)
+        best = one[(code >> np.uint64(48)).astype(np.int64)]
+    rest, log_w = keys[~plain], np.log(weights[~plain])
     at = np.arange(HASHES)
-    log_w = np.log(weights).astype(np.float32)
-    for lo in range(0, len(keys), 512):
-        part = keys[lo : lo + 512]
-        h = (part[:, None] ^ _seeds) * _M
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        r = gamma[(h >> np.uint64(48)).astype(np.int32)]
-        c = log_gamma[((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int32)]
-        beta = (h & np.uint64(0xFFFFFFFF)).astype(np.float32) * np.float32(2**-32)
-        lw = log_w[lo : lo + 512]
-        if lw.any():
-            t = np.floor(lw[:, None] / r + beta)
-        else:
-            t = np.zeros(1, np.float32)  # a weight of 1 is at step 0: beta < 1
-        a = c - r * (t - beta) - r
-        k = a.argmin(0)
-        v = a[k, at]
-        better = v < best
-        best[better] = v[better]
-        step = t[k, at] if t.ndim == 2 else t
-        code = np.where(better, part[k] ^ (_mix((step.astype(np.int64) + 1_000_003).astype(np.uint64))), code)
+    for lo in range(0, len(rest), 256):
+        h = _hashes(rest[lo : lo + 256])
+        k = (h >> np.uint64(48)).astype(np.int64)
+        t = np.floor(log_w[lo : lo + 256, None] / r[k] + beta[k])
+        value = c[k] - r[k] * (t - beta[k]) - r[k]
+        first = value.argmin(0)
+        v = value[first, at]
+        step = t[first, at].astype(np.int64)
+        made = np.where(step == 0, h[first, at], h[first, at] ^ _mix((step + 1_000_003).astype(np.uint64)))
+        code = np.where(v < best, made, code)
+        best = np.minimum(best, v)
     return code
 
 
