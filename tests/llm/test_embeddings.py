@@ -33,7 +33,7 @@ def brute(rows):
     return sorted(((rows[i][0], links[i], least.get(find(i))) for i in range(n)), key=repr)
 
 
-@pytest.mark.parametrize("block", [1024, 7])
+@pytest.mark.parametrize("block", [512, 7, 2])
 def test_as_by_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(E, "BLOCK", block)
     rng = np.random.default_rng(block)

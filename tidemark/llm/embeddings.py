@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, short_batches, table
 from .graph import components
 
 THRESHOLD = 0.93
 MISS = 1e-4
 #: Vectors in a block of a large bucket; vectors a bucket should hold on average.
-BLOCK, AIM = 1024, 16
+BLOCK, AIM = 512, 16
 #: Rows of the table of large buckets that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -48,9 +48,10 @@ def signatures(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 def _least_reachable(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric 0/1 matrix the least row of its component."""
-    label = np.arange(len(linked))
+    label = np.arange(len(linked), dtype=np.int32)
+    far = np.int32(len(label))
     while True:
-        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+        new = np.minimum(label, np.where(linked, label[None, :], far).min(1))
         new = new[new]
         if (new == label).all():
             return label
@@ -60,23 +61,22 @@ def _least_reachable(linked: np.ndarray) -> np.ndarray:
 def _compare(rep, weight, side, x, sigs, at: int, threshold: float):
     """Links of a group: per linked row (rep, links, least rep of its part).
 
-    `side` parts the rows of two different blocks, which are compared across only.
+    `side` is 1 and 2 for the rows of two different blocks, which are compared across only; 0 within one.
     """
     order = np.argsort(rep, kind="stable")
     rep, weight, side, x, sigs = rep[order], weight[order], side[order], x[order], sigs[order]
     linked = x @ x.T >= threshold
     np.fill_diagonal(linked, False)
-    if side.any():
+    if side[0]:
         linked &= side[:, None] != side[None, :]
-    i, j = np.nonzero(linked)
-    if not len(i):
+    rows = linked.any(1)
+    if not rows.any():
         return None
-    fresh = np.ones(len(i), bool)
+    fresh = linked.copy()
     for k in range(at):
-        fresh &= sigs[i, k] != sigs[j, k]
-    links = np.bincount(i[fresh], weight[j[fresh]], len(rep)).astype(np.int64)
+        fresh &= sigs[:, k, None] != sigs[None, :, k]
+    links = np.where(fresh, weight[None, :], 0).sum(1).astype(np.int64)
     least = _least_reachable(linked)
-    rows = linked.any(1)
     return rep[rows], links[rows], rep[least[rows]]
 
 
@@ -106,7 +106,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = signed.select("*", F.posexplode("sigs").alias("at", "sig")).join(sizes, bucket)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "at"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).withColumn("side", F.col("block") != F.col("lo"))
+    rows = rows.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).withColumn("side", F.when(F.col("lo") == F.col("hi"), 0).when(F.col("block") == F.col("lo"), 1).otherwise(2))
     group = [*bucket, "lo", "hi"]
     dealt = rows.select(F.xxhash64(*group).alias("key"), "rep", "weight", "side", "at", "embedding", "sigs").repartition("key").sortWithinPartitions("key")
 
@@ -130,7 +130,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
         for batch in batches:
             key, rep, weight = (batch.column(k).to_numpy() for k in (0, 1, 2))
-            side, at = np.array(batch.column(3).to_pylist(), bool), batch.column(4).to_numpy()
+            side, at = batch.column(3).to_numpy(), batch.column(4).to_numpy()
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             for lo, hi in zip(starts, np.r_[starts[1:], len(key)]):
                 if key[lo] != last:
@@ -153,6 +153,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
+    short_batches(df.sparkSession)
     df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
