@@ -10,11 +10,16 @@ from tidemark.operators.observers import summarised
 from .streams import read, rounded
 
 
+#: Means of few values with two decimals often lie half way between two rounded numbers, where engines differ.
+NUDGE = 1e-7
+
+
 def _by_user(detector, error: bool):
     def query(spark, d):
         x = (F.col("event_type") == "error").cast("double") if error else F.col("value")
         rows = read(spark, d, "events").select("user_id", "event_id", x.alias("x"))
-        return rounded(D.summary(D.detect(rows, "user_id", "event_id", "x", detector()), "user_id", "event_id"), 4, "estimate")
+        out = D.summary(D.detect(rows, "user_id", "event_id", "x", detector()), "user_id", "event_id")
+        return rounded(out.withColumn("estimate", F.col("estimate") + NUDGE), 4, "estimate")
 
     return query
 
@@ -37,7 +42,7 @@ def _sql(x: str, init: dict[str, str], stages: list[dict[str, str]], change: str
     return f"""with recursive o as (select user_id, {x}::double as x, row_number() over (partition by user_id order by event_id) as rn from events),
  st as (select distinct user_id, 0::bigint as rn, {start}, false as chg, 0::bigint as changes, 0::bigint as warnings, 0.0::double as estimate from o
  union all select user_id, rn, {', '.join(names)}, chg, changes + chg::int, warnings + warn::int, ({estimate})::double from {body})
- select user_id, changes, warnings, round(estimate,4)+0.0 as estimate from st qualify row_number() over (partition by user_id order by rn desc) = 1"""
+ select user_id, changes, warnings, round(estimate+1e-7::double,4) as estimate from st qualify row_number() over (partition by user_id order by rn desc) = 1"""
 
 
 ERROR, VALUE = "(event_type='error')::int", "value"
