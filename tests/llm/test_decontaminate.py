@@ -58,3 +58,11 @@ def test_decontaminated_and_empty_tables(docs_of, benchmark):
     assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["2", "2", "None"]
     assert D.decontaminated(docs, benchmark([])).count() == 4
     assert D.contaminated(docs.where("false"), benchmark([(1, ITEM)])).count() == 0
+
+
+def test_items_of_few_words_are_found(docs_of, benchmark):
+    names = "Seen there with Anna Bob Carl Dora and Emil Fred Gina Hugo then Ivan Jane Karl Lena or Mona Nora Olaf Paul"
+    items = benchmark([(1, "What is 17 times 23"), (2, names), (3, "12 + 5 = ?"), (4, "List 3 8 1 7 9 2 6 4 5 then add 10 km 20 km")])
+    docs = docs_of([(1, "so, what is 17 times 23"), (2, "what is 5 times 9"), (3, names.upper()), (4, "12 + 5 = 17"), (5, "scores 4 8 9 and 31 7 2 66 54 15 91 11 were seen"), (6, "List 4 8 1 7 9 2 6 3 5 then add 11 km 22 km"), (7, "what is 17 plus 23")])
+    # a row of numbers alone is no copy of an item made of numbers, unless they are the same
+    assert found(D.contaminated(docs, items)) == [(1, 1), (2, 1), (3, 2), (4, 3), (6, 4)]

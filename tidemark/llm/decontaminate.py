@@ -2,11 +2,15 @@
 
 Text becomes tokens (letters or digits, lower case); numbers, units after numbers, and names
 (capitalised words inside a sentence) become typed placeholders.  Runs of WINDOW tokens of every
-document are hash-joined to those of the benchmark items; the hits of a document and an item on one
-diagonal (document position less item position) are taken together.  A document is contaminated by an
-item if a diagonal covers at least COVERED of the item's tokens and the slots are consistent: each
-filler of the item stands for one filler in the document throughout.  So a question asked again with
-other numbers, names or units is caught, and a chance likeness of forms with unrelated fillers is not.
+document, both templates and plain tokens, are hash-joined to those of the benchmark items; the hits
+of a document and an item on one diagonal (document position less item position) are taken together.
+A document is contaminated by an item if a diagonal covers at least COVERED of the item's tokens and
+the slots are consistent: each filler of the item stands for one filler in the document throughout.
+So a question asked again with other numbers, names or units is caught, and a chance likeness of forms
+with unrelated fillers is not.  Runs that agree token by token, in any case, need no consistent slots.
+If windows with fewer than LITERALS words are needed to cover enough, at least COVERED of the item's
+words (or as many fillers that agree) must be among what is covered, and one of them at least: a form
+without any word is matched by its plain tokens alone.
 
 Defined results: null and empty texts match nothing; items without tokens are left out, items of fewer
 than WINDOW tokens are one window; repeated rows and rows that share a doc_id are judged as one
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, table
 
 WINDOW, COVERED = 8, 0.5
-#: Tokens of a window that must not be placeholders.
+#: Tokens of a window that are not placeholders, for its form to count without a look at the item's words.
 LITERALS = 4
 #: Windows of the benchmark, or ids of documents, that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -47,9 +51,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, rf"[^\p{{L}}0-9{NAME}-{DECIMAL}]+"), lambda t: t != "")
 
 
-def templated(text: Column) -> Column:
-    """`marked` text with each filler reduced to its sign."""
-    return F.regexp_replace(text, rf"([{NAME}-{UNIT}])[^\s]+", "$1")
+def kind(token: Column) -> Column:
+    """A filler's sign, any other token as it is.  Signs sort before all that other tokens begin with."""
+    return F.when(token < DECIMAL, F.substring(token, 1, 1)).otherwise(token)
+
+
+def plain(token: Column) -> Column:
+    """A token without its sign."""
+    return F.when(token < DECIMAL, F.substring(token, 2, 1 << 30)).otherwise(token)
 
 
 def windows(hashes: Column, size: int) -> Column:
@@ -57,10 +66,21 @@ def windows(hashes: Column, size: int) -> Column:
     return F.when(F.size(hashes) >= size, F.transform(F.sequence(F.lit(1), F.size(hashes) - (size - 1)), lambda i: F.xxhash64(F.slice(hashes, i, size))))
 
 
+def keys(said: DataFrame, size: int) -> DataFrame:
+    """at, key, exact for each window of the column `raw`: its template, and its plain tokens where they differ from that."""
+    rest = [c for c in said.columns if c != "raw"]
+    hashed = said.select(*rest, F.transform("raw", lambda t: F.xxhash64(kind(t))).alias("k"), F.transform("raw", lambda t: F.xxhash64(plain(t))).alias("r"))
+    both = hashed.select(*rest, windows(F.col("k"), size).alias("k"), windows(F.col("r"), size).alias("r"))
+    other = F.zip_with("k", "r", lambda a, b: F.when(a != b, b))
+    places = both.select(*rest, F.size("k").alias("m"), other.alias("other"), "k").select(*rest, "m", "other", F.posexplode(F.concat("k", "other")).alias("pos", "key")).where("key is not null")
+    at = F.pmod("pos", "m")
+    return places.select(*rest, at.alias("at"), "key", ((F.col("pos") >= F.col("m")) | F.get("other", at).isNull()).alias("exact"))
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, raw tokens, template tokens, number of tokens."""
-    rows = benchmark.select("item_id", marked(F.col("text")).alias("text")).where("item_id is not null")
-    rows = rows.select("item_id", tokens(F.col("text")).alias("raw"), tokens(templated(F.col("text"))).alias("kinds"))
+    rows = benchmark.select("item_id", tokens(marked(F.col("text"))).alias("raw")).where("item_id is not null")
+    rows = rows.select("item_id", "raw", F.transform("raw", kind).alias("kinds"))
     return rows.withColumn("n", F.size("kinds")).where("n > 0")
 
 
@@ -70,39 +90,58 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+GROUP = ["doc_id", "item_id", "n", "span"]
+
+
+def grouped(diagonals: DataFrame) -> DataFrame:
+    """The diagonals that may cover enough, each a span of its own."""
+    return diagonals.where(F.size("under") >= COVERED * F.col("n")).withColumn("span", F.col("diagonal"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (token), covered, item_tokens, coverage: one row per leak."""
     items = checkpointed(items_of(benchmark))
     sizes = sorted(r.w for r in items.select(F.least("n", F.lit(WINDOW)).alias("w")).distinct().collect())  # WINDOW at most
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    hashes = source.select("doc_id", F.transform(tokens(templated(marked(F.col("text")))), lambda t: F.xxhash64(t)).alias("h"))
+    said = source.select("doc_id", tokens(marked(F.col("text"))).alias("raw"))
     hits = None
     for size in sizes:
-        kinds = F.slice("kinds", F.col("item_at") + 1, size)
-        own = items.where(F.least("n", F.lit(WINDOW)) == size).select("*", F.posexplode(windows(F.transform("kinds", lambda t: F.xxhash64(t)), size)).alias("item_at", "key"))
-        own = own.where(F.size(F.filter(kinds, lambda k: ~k.isin(NAME, NUMBER, UNIT))) >= min(LITERALS, size)).select("key", "item_id", "item_at", "n")
-        found = hashes.select("doc_id", F.posexplode(windows(F.col("h"), size)).alias("at", "key")).join(_bounded(own), "key")
-        found = found.select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", F.lit(size).alias("size"))
+        own = keys(items.where(F.least("n", F.lit(WINDOW)) == size).select("item_id", "n", "raw"), size)
+        own = own.select("key", "item_id", "n", F.col("at").alias("item_at"), (F.col("at") * 2 + F.col("exact").cast("int")).alias("place"))
+        found = keys(said, size).select("doc_id", "at", "key").join(_bounded(own), "key")
+        found = found.select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("diagonal"), "place", F.lit(size).alias("size"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, covered int, item_tokens int, coverage double")
-    # no more places than the item has tokens in a group
-    diagonals = hits.groupBy("doc_id", "item_id", "n", "size", "diagonal").agg(F.array_sort(F.collect_set("item_at")).alias("places"))
-    steps = F.zip_with("places", F.slice("places", 2, F.greatest(F.size("places") - 1, F.lit(0))), lambda a, b: F.coalesce(F.least(b - a, F.col("size")), F.col("size")))
-    diagonals = diagonals.withColumn("covered", F.aggregate(steps, F.lit(0), lambda s, v: s + v)).where(F.col("covered") >= COVERED * F.col("n"))
+    # no more places than twice the item's tokens in a group; an odd place is one that agrees token by token
+    diagonals = hits.groupBy("doc_id", "item_id", "n", "size", "diagonal").agg(F.collect_set("place").alias("places"))
+    under = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + F.col("size") - 1))))
+    ats = F.array_distinct(F.transform("places", lambda p: F.shiftright(p, 1)))
+    exact = F.transform(F.filter("places", lambda p: p % 2 == 1), lambda p: F.shiftright(p, 1))
+    diagonals = diagonals.select("doc_id", "item_id", "n", "size", "diagonal", ats.alias("ats"), exact.alias("exact"))
+    diagonals = grouped(diagonals.withColumn("under", under(F.col("ats"))))
     # slots: positions of the item under the windows, with their fillers
-    under = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))))
-    diagonals = checkpointed(diagonals.join(_bounded(items.select("item_id", "raw", "kinds")), "item_id").withColumn("slots", F.filter(under, lambda p: F.get("kinds", p).isin(NAME, NUMBER, UNIT))))
-    sure = diagonals.where(F.size("slots") == 0)
-    slotted = diagonals.where(F.size("slots") > 0)
+    filler = lambda p: F.get("kinds", p) < DECIMAL
+    diagonals = checkpointed(diagonals.join(_bounded(items.select("item_id", "raw", "kinds")), "item_id").withColumn("slots", F.filter("under", filler)))
+    alike = F.size(F.array_except("ats", "exact")) == 0
+    slotted = diagonals.where(~alike)
     fills = _bounded(slotted.select("doc_id").distinct())
     texts = source.join(fills, "doc_id").select("doc_id", tokens(marked(F.col("text"))).alias("said")).distinct()
-    pair = lambda p: F.struct(F.get("raw", p).alias("item"), F.get("said", p + F.col("diagonal")).alias("doc"))
+    pair = lambda p: F.struct(F.get("raw", p).alias("item"), plain(F.get("said", p + F.col("diagonal"))).alias("doc"))
     pairs = F.array_distinct(F.transform("slots", pair))
     held = slotted.join(texts, "doc_id").withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda q: q["item"]))))
-    columns = ["doc_id", "item_id", "n", "diagonal", "covered"]
+    held = held.select("doc_id", "item_id", "diagonal", F.lit(True).alias("held")).distinct()
+    # where slots conflict, only what agrees token by token counts
+    judged = diagonals.join(held, ["doc_id", "item_id", "diagonal"], "left").withColumn("ats", F.when(F.col("held") | alike, F.col("ats")).otherwise(F.col("exact")))
+    literals = lambda p: F.size(F.filter(F.slice("kinds", p + 1, F.col("size")), lambda k: k >= DECIMAL))
+    strong = F.filter("ats", lambda p: F.array_contains("exact", p) | (literals(p) >= F.least(F.lit(LITERALS), F.col("size"))))
+    judged = judged.select(*GROUP, "diagonal", "kinds", F.size(F.filter("kinds", lambda k: k >= DECIMAL)).alias("words"), under(F.col("ats")).alias("all"), under(strong).alias("strong"), under(F.col("exact")).alias("exact"))
+    each = judged.select(*GROUP, "words", F.explode(F.transform("all", lambda p: F.struct(p.alias("p"), F.col("diagonal").alias("diagonal"), F.array_contains("strong", p).alias("strong"), (~filler(p) | F.array_contains("exact", p)).alias("agrees")))).alias("at"))
+    count = lambda c: F.countDistinct(F.when(c, F.col("at.p"))).cast("int")
+    out = each.groupBy(*GROUP, "words").agg(count(F.lit(True)).alias("covered"), count(F.col("at.strong")).alias("strong"), count(F.col("at.agrees")).alias("agrees"), F.min(F.struct("at.p", "at.diagonal"))["diagonal"].alias("diagonal"))
+    enough = (F.col("strong") >= COVERED * F.col("n")) | (F.col("covered") >= COVERED * F.col("n")) & (F.col("agrees") > 0) & (F.col("agrees") >= COVERED * F.col("words"))
     best = W.partitionBy("doc_id", "item_id").orderBy(F.col("covered").desc(), "diagonal")
-    out = sure.select(columns).unionByName(held.select(columns)).withColumn("rank", F.row_number().over(best)).where("rank = 1")
+    out = out.where(enough).withColumn("rank", F.row_number().over(best)).where("rank = 1")
     return out.select("doc_id", "item_id", F.greatest("diagonal", F.lit(0)).alias("start"), "covered", F.col("n").alias("item_tokens"), (F.col("covered") / F.col("n")).alias("coverage"))
 
 
