@@ -66,3 +66,15 @@ def test_items_of_few_words_are_found(docs_of, benchmark):
     docs = docs_of([(1, "so, what is 17 times 23"), (2, "what is 5 times 9"), (3, names.upper()), (4, "12 + 5 = 17"), (5, "scores 4 8 9 and 31 7 2 66 54 15 91 11 were seen"), (6, "List 4 8 1 7 9 2 6 3 5 then add 11 km 22 km"), (7, "what is 17 plus 23")])
     # a row of numbers alone is no copy of an item made of numbers, unless they are the same
     assert found(D.contaminated(docs, items)) == [(1, 1), (2, 1), (3, 2), (4, 3), (6, 4)]
+
+
+def test_neighbouring_diagonals_count_together(docs_of, benchmark, sentences):
+    longer = ITEM.replace("Paris", "New York").replace("John", "Mary Ann").replace("Mary counts", "Sue Ellen counts")
+    words = sentences(40, 77).split()
+    put_in = " ".join([*words[:12], "one", *words[12:24], "and", "two", *words[24:34], "three", *words[34:]])
+    repeated = " x ".join([" ".join(words[:9])] * 5)
+    far = " ".join([*words[:12], *sentences(60, 78).split(), *words[24:36]])
+    docs = docs_of([(1, "Well. " + longer), (2, "pre " + put_in), (3, repeated), (4, far), (5, longer.replace("120", "60").replace("3.5", "9"))])
+    out = D.contaminated(docs, benchmark([(1, ITEM), (2, " ".join(words))]))
+    assert found(out) == [(1, 1), (2, 2), (5, 1)]
+    assert {r.doc_id: (r.start, r.covered) for r in out.collect()}[2] == (1, 34)

@@ -14,7 +14,7 @@ without any word is matched by its plain tokens alone.
 
 Defined results: null and empty texts match nothing; items without tokens are left out, items of fewer
 than WINDOW tokens are one window; repeated rows and rows that share a doc_id are judged as one
-document; rows with a null doc_id cannot be named and are kept; ties between diagonals go to the one
+document; rows with a null doc_id cannot be named and are kept; ties between spans go to the one
 that covers more, then to the earlier; empty tables give no rows; other columns pass through.
 """
 
@@ -94,8 +94,13 @@ GROUP = ["doc_id", "item_id", "n", "span"]
 
 
 def grouped(diagonals: DataFrame) -> DataFrame:
-    """The diagonals that may cover enough, each a span of its own."""
-    return diagonals.where(F.size("under") >= COVERED * F.col("n")).withColumn("span", F.col("diagonal"))
+    """The diagonals of spans that may cover enough; a span is a run of neighbouring diagonals of a document and an item."""
+    by = W.partitionBy("doc_id", "item_id", "n").orderBy("diagonal")
+    apart = F.greatest(F.lit(WINDOW), F.col("n") * (1 - COVERED))
+    new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > apart).cast("int"), F.lit(1))
+    diagonals = checkpointed(diagonals.withColumn("new", new).withColumn("span", F.sum("new").over(by)).drop("new"))
+    enough = diagonals.select(*GROUP, F.explode("under").alias("p")).groupBy(*GROUP).agg(F.countDistinct("p").alias("covered")).where(F.col("covered") >= COVERED * F.col("n"))
+    return diagonals.join(enough.select(GROUP), GROUP, "left_semi")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -122,18 +127,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     diagonals = grouped(diagonals.withColumn("under", under(F.col("ats"))))
     # slots: positions of the item under the windows, with their fillers
     filler = lambda p: F.get("kinds", p) < DECIMAL
-    diagonals = checkpointed(diagonals.join(_bounded(items.select("item_id", "raw", "kinds")), "item_id").withColumn("slots", F.filter("under", filler)))
+    literals = lambda p: F.size(F.filter(F.slice("kinds", p + 1, F.col("size")), lambda k: k >= DECIMAL))
+    wordy = F.filter("ats", lambda p: literals(p) >= F.least(F.lit(LITERALS), F.col("size")))
+    diagonals = diagonals.join(_bounded(items.select("item_id", "raw", "kinds")), "item_id").withColumn("wordy", wordy)
+    diagonals = checkpointed(diagonals.withColumn("slots", F.filter("under", filler)).withColumn("firm", F.filter(under(F.col("wordy")), filler)))
     alike = F.size(F.array_except("ats", "exact")) == 0
     slotted = diagonals.where(~alike)
     fills = _bounded(slotted.select("doc_id").distinct())
     texts = source.join(fills, "doc_id").select("doc_id", tokens(marked(F.col("text"))).alias("said")).distinct()
     pair = lambda p: F.struct(F.get("raw", p).alias("item"), plain(F.get("said", p + F.col("diagonal"))).alias("doc"))
     pairs = F.array_distinct(F.transform("slots", pair))
-    held = slotted.join(texts, "doc_id").withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda q: q["item"]))))
-    held = held.select("doc_id", "item_id", "diagonal", F.lit(True).alias("held")).distinct()
-    # where slots conflict, only what agrees token by token counts
-    judged = diagonals.join(held, ["doc_id", "item_id", "diagonal"], "left").withColumn("ats", F.when(F.col("held") | alike, F.col("ats")).otherwise(F.col("exact")))
-    literals = lambda p: F.size(F.filter(F.slice("kinds", p + 1, F.col("size")), lambda k: k >= DECIMAL))
+    agree = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda q: q["item"])))
+    held = slotted.join(texts, "doc_id").select("doc_id", "item_id", "diagonal", pairs.alias("pairs"), F.array_distinct(F.transform("firm", pair)).alias("firm"))
+    held = held.groupBy("doc_id", "item_id", "diagonal").agg(F.max(agree(F.col("pairs"))).alias("held"), F.max(agree(F.col("firm"))).alias("some"))
+    # where slots conflict, the windows of enough words count if theirs do not, and else only what agrees token by token
+    judged = diagonals.join(held, ["doc_id", "item_id", "diagonal"], "left").withColumn("ats", F.when(F.col("held") | alike, F.col("ats")).when(F.col("some"), F.array_union("wordy", "exact")).otherwise(F.col("exact")))
     strong = F.filter("ats", lambda p: F.array_contains("exact", p) | (literals(p) >= F.least(F.lit(LITERALS), F.col("size"))))
     judged = judged.select(*GROUP, "diagonal", "kinds", F.size(F.filter("kinds", lambda k: k >= DECIMAL)).alias("words"), under(F.col("ats")).alias("all"), under(strong).alias("strong"), under(F.col("exact")).alias("exact"))
     each = judged.select(*GROUP, "words", F.explode(F.transform("all", lambda p: F.struct(p.alias("p"), F.col("diagonal").alias("diagonal"), F.array_contains("strong", p).alias("strong"), (~filler(p) | F.array_contains("exact", p)).alias("agrees")))).alias("at"))
