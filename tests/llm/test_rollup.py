@@ -52,3 +52,10 @@ def test_history_as_by_brute_force(spark, docs_of, tmp_path):
 
 def test_empty_table(spark, docs_of, tmp_path):
     assert totals(R.history(spark, docs_of(["a"]).where("false"), str(tmp_path / "r"), PATH, "v")) == {}
+
+
+def test_the_query_counts_all_rows_and_whole_texts(spark, docs_of, tmp_path):
+    rows = [(0, "a b"), (1, "a  b"), (2, "a b"), (3, None), (4, " x\n y "), (4, " x\n y "), (4, "a b"), (None, "a b"), (None, " z  z")]
+    got = totals(R.whole(spark, docs_of(rows), str(tmp_path / "r"), PATH, "v"))
+    encode = _vocabulary(PATH).encode_ordinary
+    assert got == {("s", "en", "v"): (len(rows), sum(len(encode(t or "")) for _, t in rows))}

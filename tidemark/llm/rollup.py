@@ -111,6 +111,12 @@ class Rollup:
         new = counted.join(now.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "version"]).withColumn("documents", F.lit(1).cast("long"))
         return self.commit(batch, old.select("doc_id", *GROUP, "documents", "tokens").unionByName(new.select("doc_id", *GROUP, "documents", "tokens")))
 
+    def replace(self, batch: str, counted: DataFrame) -> bool:
+        """All that is counted goes, and the rows come instead."""
+        gone = self.ledger().withColumns({"documents": -F.col("documents"), "tokens": -F.col("tokens")})
+        new = counted.withColumn("documents", F.lit(1).cast("long"))
+        return self.commit(batch, gone.select("doc_id", *GROUP, "documents", "tokens").unionByName(new.select("doc_id", *GROUP, "documents", "tokens")))
+
 
 def counted(docs: DataFrame, path: str, version: str) -> DataFrame:
     """doc_id, source, lang, version, tokens of each text; `tidy`, its tokens once runs of white space
@@ -138,14 +144,27 @@ def history(spark: SparkSession, docs: DataFrame, folder: str, path: str, versio
     """The life of a corpus: all documents come in; texts are tidied, so their counts are revised; of
     equal texts all but the least doc_id go.  The revision is sent twice, as after a lost reply."""
     rollup = Rollup(spark, folder)
+    _lived(rollup, checkpointed(counted(docs, path, version)))
+    return rollup
+
+
+def whole(spark: SparkSession, docs: DataFrame, folder: str, path: str, version: str) -> Rollup:
+    """The same life, after which all documents come back as they are: the batches net out to the counts
+    of all rows and whole texts."""
+    rollup = Rollup(spark, folder)
     rows = checkpointed(counted(docs, path, version))
+    _lived(rollup, rows)
+    rollup.replace("originals", rows)
+    return rollup
+
+
+def _lived(rollup: Rollup, rows: DataFrame) -> None:
     rollup.insert("load", rows)
     revised = rows.where("tidy is not null").select("doc_id", "source", "lang", "version", F.col("tidy").alias("tokens"))
     rollup.revise("tidy", revised)
     rollup.revise("tidy", revised)
     kept = rows.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
     rollup.delete("copies", rows.join(kept, "digest").where("doc_id != kept").select("doc_id"))
-    return rollup
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +172,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rollup-")
     name = "byte_bpe_50k.tiktoken"
-    return history(spark, table(spark, sf_dir, "documents"), f"{shared.rstrip('/')}/rollup-{uuid.uuid4().hex}", public_tokenizers.path(name), name).totals()
+    return whole(spark, table(spark, sf_dir, "documents"), f"{shared.rstrip('/')}/rollup-{uuid.uuid4().hex}", public_tokenizers.path(name), name).totals()
