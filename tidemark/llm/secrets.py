@@ -3,8 +3,8 @@
 Text that people write compresses well under a byte-pair vocabulary; a random string does not.  A
 candidate is a run of 20 or more key characters that mixes at least two of lower case, upper case
 and digits.  Digests of known lengths, UUIDs and plain identifiers (words joined by separators or
-by camel case) are left out, and so is what a base pattern covers already; the rest is reported
-where it has fewer than `max_ratio` characters per token.
+by camel case) are left out, and so is what a base pattern covers already; each part of a run beside
+that, of 20 or more characters, is a candidate of its own.  The rest is reported where it has fewer than `max_ratio` characters per token.
 
 Defined results: a null text is the empty text and has no spans (the digest of the empty string);
 other columns of the input, nulls and repeated rows included, pass through untouched.
@@ -31,7 +31,8 @@ KINDS = ("assign", "access", "hex", "random")
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 MAX_RATIO = 1.9
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 HEX_ONLY = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
@@ -59,6 +60,19 @@ def looks_random(run: str, path: str, max_ratio: float = MAX_RATIO) -> bool:
     return len(run) < max_ratio * len(_vocabulary(path).encode_ordinary(run))
 
 
+def uncovered(start: int, end: int, spans: list[tuple[int, int]]):
+    """The parts of [start, end) outside the sorted spans."""
+    for a, b in spans:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
 def find(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed."""
     spans = []
@@ -70,7 +84,8 @@ def find(text: str, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[str,
     if max(map(len, text.split()), default=0) >= 20:  # no run is longer than a chunk between white space
         spans += [("hex", *m.span()) for m in HEX.finditer(text)]
         base = sorted((a, b) for _, a, b in spans)
-        spans += [("random", *m.span()) for m in CANDIDATE.finditer(text) if not any(a < m.end() and m.start() < b for a, b in base) and looks_random(m[0], path, max_ratio)]
+        parts = (p for m in CANDIDATE.finditer(text) for p in uncovered(*m.span(), base) if p[1] - p[0] >= LEAST)
+        spans += [("random", a, b) for a, b in parts if looks_random(text[a:b], path, max_ratio)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
