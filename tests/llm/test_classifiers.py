@@ -87,3 +87,9 @@ def test_hinge_separates():
     rows = [np.array([0, 2]), np.array([1, 2]), np.array([0]), np.array([1])]
     w, b = Q.fit_hinge(rows, np.array([1, -1, 1, -1]), 3)
     assert w[0] + b > 0 > w[1] + b
+
+
+def test_long_chunks_are_read_to_their_end():
+    head = "word" * 16
+    assert set(Q.features(head + "x1!Y" * 30)) != set(Q.features(head + "word" * 30))
+    assert set(Q.features("ab c")) != set(Q.features(head)) and Q.shape("Ab12" * 16) == "Aa0" * 16 + "~5"

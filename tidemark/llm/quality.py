@@ -29,6 +29,8 @@ from .common import ChunkCache, short_batches, table
 BUCKETS = 1 << 15
 MAX_TRAIN = 8000
 THRESHOLD = 0.7
+#: Longer chunks are cut into tokens of that many characters, each with its shape.
+PIECE = 64
 #: Codes below REPEAT are shapes; a chunk equal to the one before gets REPEAT added.
 REPEAT = 1 << 11
 
@@ -46,7 +48,7 @@ _kinds, _run, _signs = _Kinds(), re.compile(r"([a0])\1+"), re.compile(r"(.)\1\1+
 
 def shape(chunk: str) -> str:
     """Case of the letters, digits, signs as they are; runs are cut to one letter or digit, or two capitals or signs."""
-    out = _signs.sub(r"\1\1", _run.sub(r"\1", chunk[:64].translate(_kinds)))
+    out = _signs.sub(r"\1\1", _run.sub(r"\1", chunk.translate(_kinds)))
     return out if len(chunk) < 12 else f"{out}~{min(len(chunk) // 12, 5)}"
 
 
@@ -56,6 +58,8 @@ _codes = ChunkCache(lambda chunk: zlib.crc32(shape(chunk).encode()) & (REPEAT -
 def features(text: str) -> np.ndarray:
     """Sorted ids of the indicators that hold for a text."""
     chunks = text.split()
+    if max(map(len, chunks), default=0) > PIECE:
+        chunks = [c[i : i + PIECE] for c in chunks for i in range(0, len(c), PIECE)]
     n = len(chunks)
     out = [np.array([BUCKETS - 1 - min(int(np.log2(n + 1)), 16)])]
     if n:
