@@ -123,3 +123,13 @@ def test_frequent_misses_no_common_shingle():
         counts.update(keys)
         f.add(np.array(sorted(keys), np.uint64))
     assert {k for k, v in counts.items() if v * N.COMMON > n} <= set(f.result())
+
+
+def test_deduplicated_keeps_one_row_and_loses_no_text(docs_of, sentences):
+    a, b, c = (sentences(80, 900 + k) for k in range(3))
+    docs = docs_of([(1, a), (1, a), (1, a.upper()), (2, a), (2, b), (2, b), (3, b), (4, c), (4, "?!"), (4, "?!"), (5, None), (5, None), (6, ""), (None, a), (None, a)])
+    out = N.deduplicated(docs)
+    assert out.columns == docs.columns
+    key = lambda t: {a: "a", a.upper(): "a", b: "b", c: "c"}.get(t, t)
+    got = sorted(((r.doc_id, key(r.text)) for r in out.collect()), key=repr)
+    assert got == sorted([(1, "a"), (2, "b"), (4, "c"), (4, "?!"), (5, None), (6, ""), (None, "a"), (None, "a")], key=repr)

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ChunkCache, checkpointed, short_batches, table
 from .graph import components
@@ -452,7 +453,7 @@ def _overlaps(a: list, b: list) -> np.ndarray:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, fold node and class_id of every document."""
+    """doc_id, fold node, class_id and component (null without words) of every document."""
     spark = docs.sparkSession
     short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -496,8 +497,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = nodes.select("node", F.col("doc_id").alias("rep")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = checkpointed(named)
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "component").select("node", "class_id")
-    return rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = named.join(least, "component").select("node", "class_id", "component")
+    return rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), "component")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -506,9 +507,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents without those whose class has a smaller doc_id."""
-    gone = near_duplicates(docs, threshold).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each class, of the least doc_id in it; rows with a null doc_id are classes of their own."""
+    found = checkpointed(classes(docs, threshold))
+    # a doc_id of several rows is judged text by text, any other by its one class
+    odd = checkpointed(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = found.where("doc_id != class_id").select("doc_id").union(odd).distinct()
+    single = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    if odd.isEmpty():
+        return single
+    least = found.join(odd, "doc_id", "left_semi").where("doc_id = class_id and node is not null").groupBy("component").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"))
+    schema, at = docs.schema, docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            nodes = []
+            for text in batch.column(at).to_pylist():
+                ids = word_ids(text or "")
+                nodes.append(int.from_bytes(digest(ids)[:8], "little", signed=True) if len(ids) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "_node"])
+
+    several = docs.join(odd, "doc_id", "left_semi").select(docs.columns).mapInArrow(run, T.StructType([*schema.fields, T.StructField("_node", T.LongType())]))
+    # one row of each (doc_id, words); texts without words are the same only if equal
+    worded = several.where("_node is not null").join(least, (F.col("_node") == F.col("node")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "_node"])
+    wordless = several.where("_node is null").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(worded.select(docs.columns)).unionByName(wordless.select(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
