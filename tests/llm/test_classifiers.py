@@ -93,3 +93,12 @@ def test_long_chunks_are_read_to_their_end():
     head = "word" * 16
     assert set(Q.features(head + "x1!Y" * 30)) != set(Q.features(head + "word" * 30))
     assert set(Q.features("ab c")) != set(Q.features(head)) and Q.shape("Ab12" * 16) == "Aa0" * 16 + "~5"
+
+
+def test_all_words_of_a_chunk_are_read():
+    assert X.words_of("you/idiot")[0] == ["you", "idiot", "youidiot"] and X.words_of("a...b")[0] == ["a", "b", "ab"]
+    assert "idiot" in X.words_of("you/1d1ot")[0] and X.words_of("i.d.i.o.t") == (["i", "d", "i", "o", "t", "idiot"], True)
+    assert "idiot" in X.words_of("x/" * 5000 + "idiot")[0] and X.words_of("idiot,idiot")[0][:2] == ["idiot", "idiot"]
+    assert X.words_of("(Word),") == (["word"], False) and X.words_of("1234") == ([], False) and X.words_of("--") == ([], False)
+    lexicon = X.Lexicon({"idiot": 5.0}, {})
+    assert lexicon.features("word," * 100 + "idiot")[4] == 1 and lexicon.features("scum/you!idiot")[4] == 1

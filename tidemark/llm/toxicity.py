@@ -16,6 +16,7 @@ there are no labels); repeated rows are scored each.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,13 @@ SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre
 STANDS_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 
 _inner = re.compile(r"[^\W_].*[^\W_]|[^\W_]", re.DOTALL)
+_part, _letters = re.compile(r"[^\W_@$!|]+(?:[@$!|]+[^\W_@$!|]+)*"), re.compile(r"[^\W\d_]+")
 _sign = re.compile(r"[\W\d_]")
 
 
 def word_of(chunk: str) -> tuple[str, bool]:
     """(the chunk's letters in lower case, whether they were obfuscated)."""
-    found = _inner.search(chunk[:200])
+    found = _inner.search(chunk)
     if not found:
         return "", False
     word = found[0]
@@ -51,6 +53,20 @@ def word_of(chunk: str) -> tuple[str, bool]:
     return _sign.sub("", word.translate(STANDS_FOR)).lower(), not word.replace("-", "").replace("'", "").isalpha()
 
 
+def words_of(chunk: str) -> tuple[list[str], bool]:
+    """(all words of a chunk, whether its letters were obfuscated): the reading of the whole chunk and,
+    where signs stand among the letters, the readings of its parts and its runs of letters."""
+    word, hidden = word_of(chunk)
+    if not word or chunk.isalpha() or (inner := _inner.search(chunk)) and inner[0].isalpha():
+        return [word] if word else [], hidden
+    out = []
+    for part in _part.findall(chunk):
+        read = word_of(part)[0]
+        runs = _letters.findall(part.lower())
+        out += [read] * (read != "") + [r for r in runs if r != read]
+    return out if word in out else [*out, word], hidden
+
+
 class Lexicon:
     """Strengths of words and of word beginnings; texts become rows of dense features."""
 
@@ -70,25 +86,25 @@ class Lexicon:
         names = {w: k + 1 for k, w in enumerate(self.words)}
         starts = {w: k + 1 for k, w in enumerate(self.beginnings)}
 
-        def code(chunk: str) -> int:
-            word, hidden = word_of(chunk)
+        def codes(chunk: str) -> tuple[int, ...]:
+            words, hidden = words_of(chunk)
             letters = [c for c in chunk if c.isalpha()]
-            flags = self.SECOND * (word in SECOND) | self.CAPITALS * (len(letters) > 1 and chunk.isupper()) | self.OBFUSCATED * hidden
-            return names.get(word, 0) << 24 | starts.get(word[:BEGINNING], 0) << 8 | flags
+            flags = self.CAPITALS * (len(letters) > 1 and chunk.isupper()) | self.OBFUSCATED * hidden
+            return tuple(names.get(w, 0) << 24 | starts.get(w[:BEGINNING], 0) << 8 | self.SECOND * (w in SECOND) | flags for w in words) or (flags,)
 
         strength = np.array([0.0, *self.words.values()])
         start_strength = np.array([0.0, *self.beginnings.values()])
-        return ChunkCache(code), strength, start_strength
+        return ChunkCache(codes), strength, start_strength
 
     def features(self, text: str) -> list[float]:
         if self._ready is None:
             self._ready = self._prepare()
         cache, strength, start_strength = self._ready
         chunks = text.split()
-        n = len(chunks)
-        if not n:
+        if not chunks:
             return [0.0] * 18
-        codes = np.fromiter(map(cache.__getitem__, chunks), np.int64, n)
+        codes = np.fromiter(chain.from_iterable(map(cache.__getitem__, chunks)), np.int64)
+        n = len(codes)
         flags = codes & 255
         seconds = np.flatnonzero(flags & self.SECOND)
         any_hit = np.flatnonzero(codes >> 8)
@@ -210,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
         for batch in batches:
             out = ([], [], [], [])
             for text, y, fold in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
-                words = {word_of(c)[0] for c in set((text or "").split())} - {""}
+                words = {w for c in set((text or "").split()) for w in words_of(c)[0]}
                 for kind, found in enumerate((words, {w[:BEGINNING] for w in words if len(w) >= BEGINNING})):
                     for column, v in zip(out, (list(found), [kind] * len(found), [y] * len(found), [fold] * len(found))):
                         column.extend(v)
