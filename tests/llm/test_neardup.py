@@ -133,3 +133,8 @@ def test_deduplicated_keeps_one_row_and_loses_no_text(docs_of, sentences):
     key = lambda t: {a: "a", a.upper(): "a", b: "b", c: "c"}.get(t, t)
     got = sorted(((r.doc_id, key(r.text)) for r in out.collect()), key=repr)
     assert got == sorted([(1, "a"), (2, "b"), (4, "c"), (4, "?!"), (5, None), (6, ""), (None, "a"), (None, "a")], key=repr)
+
+
+def test_thresholds_that_the_bands_do_not_serve_are_refused(docs_of, rows):
+    with pytest.raises(ValueError):
+        N.near_duplicates(docs_of(rows), 0.5)

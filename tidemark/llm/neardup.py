@@ -456,6 +456,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, fold node, class_id and component (null without words) of every document."""
     spark = docs.sparkSession
     short_batches(spark)
+    if threshold < THRESHOLD:
+        raise ValueError(f"bands and sample bits are set for similarities of {THRESHOLD} or more, not {threshold}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights = Weights({})
     rows = checkpointed(sketched(docs, weights))
