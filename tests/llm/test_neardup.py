@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -19,7 +20,9 @@ def brute(rows):
     df, n = Counter(), len(rows)
     for s in sets:
         df.update((s or {}).keys())
-    weight = [None if s is None else {k: v * float(N.idf(df[k], n)) for k, v in s.items()} for s in sets]
+    rarest = min(1000, n, 2 * 2**21 / max(1, sum(len(t or "") for _, t in rows) / n))
+    factor = lambda k: 1 + min(math.log(n / df[k]) / math.log(rarest**3), 1 / 3) if rarest > 1 else 1
+    weight = [None if s is None else {k: v * factor(k) for k, v in s.items()} for s in sets]
     comp = list(range(n))
 
     def find(a):
@@ -71,7 +74,7 @@ def test_as_by_all_pairs(docs_of, rows, monkeypatch, block):
 
 
 def test_a_common_text_has_exact_weights(docs_of, sentences):
-    """Shingles in more than a third of the texts get less weight; one group's edits still do not part it."""
+    """Frequent shingles get less weight, by exact counts; one group's edits still do not part it."""
     line = sentences(8, 7)
     base = sentences(60, 8)
     rows = [(i, f"{sentences(40, 400 + i)} {line}") for i in range(60)] + [(100 + i, f"{edited(base, i, i % 2)} {line}") for i in range(30)]
@@ -115,14 +118,47 @@ def test_overlaps_equal_similarity():
     assert got == pytest.approx(np.array([[N.similarity(x, y) for y in full[5:]] for x in full[:5]]))
 
 
-def test_frequent_misses_no_common_shingle():
+def test_segments_report_what_may_be_frequent(monkeypatch):
+    monkeypatch.setattr(N, "SEGMENT", 500)
     rng = np.random.default_rng(5)
-    f, counts, n = N.Frequent(), Counter(), 1000
-    for i in range(n):
-        keys = {int(k) for k in rng.integers(100, 2000, 20)} | ({1} if i % 5 < 2 else set()) | ({2} if i >= 600 else set())
-        counts.update(keys)
-        f.add(np.array(sorted(keys), np.uint64))
-    assert {k for k, v in counts.items() if v * N.COMMON > n} <= set(f.result())
+    counts, told, n, share = Counter(), Counter(), 1000, 0.05
+    segments = N.Segments(share / 4)
+    for i in range(n + 1):
+        keys = {int(k) for k in rng.integers(100, 2000, 20)} | ({1} if i % 5 < 2 else set()) | ({2} if i >= 930 else set())
+        found = (segments.add(np.array(sorted(keys), np.uint64)) if i < n else segments.close()) or ([], [])
+        counts.update(keys if i < n else [])
+        told.update(dict(zip(map(int, found[0]), map(int, found[1]))))
+    assert all(told[k] <= v <= told[k] + n * share / 4 for k, v in counts.items())
+    assert {k for k, v in counts.items() if v > n * share} <= {k for k, v in told.items() if v > 0.75 * n * share} and told[1] == counts[1]
+
+
+def test_frequencies_are_exact_over_all_partitions(docs_of, sentences, monkeypatch):
+    monkeypatch.setattr(N, "SEGMENT", 300)
+    texts = [f"{sentences(30, i)} {' '.join(['common'] * (5 + i % 3)) if i % 2 else ''}" for i in range(60)] + ["two words"] * 3 + [""]
+    weights = N.common_shingles(docs_of(texts).repartition(7))
+    df = Counter()
+    for t in texts:
+        df.update((shingled(t) or {}).keys())
+    rarest = min(1000, len(texts))
+    want = sorted((1 + math.log(len(texts) / v) / math.log(rarest**3)) / (4 / 3) for v in df.values() if v > 1)
+    assert sorted(weights.values) == pytest.approx(want)
+    assert N.rarest(10**9, 10**6) == 2 * 2**21 / 10**6 and N.rarest(10**9, 100) == 1000 and N.idf(np.array([1, 5]), 1, 1.0).tolist() == [1, 1]
+
+
+def test_word_ids_tell_words_apart():
+    equal = lambda a, b: np.array_equal(N.word_ids(a), N.word_ids(b))
+    assert equal("Don't  stop_it\tNOW", "dont stopit now!") and len(N.word_ids(" -- ?! ")) == 0 == len(N.word_ids(""))
+    assert not equal("ab c", "a bc") and not equal("abc", "acb") and not equal("\U0001d4d0", "a") and equal("É", "é")
+    long = "x" * 200_000
+    assert len(set(np.concatenate([N.word_ids(t) for t in (long, long[:-1], "y" + long, long + "y")]).tolist())) == 4
+
+
+def test_equal_rows_in_number_make_no_hot_task(spark):
+    from tidemark.llm.common import salted_join
+
+    rows = spark.range(5000).selectExpr("id", "if(id < 4000, 7, id) as key")
+    out = salted_join(rows, spark.createDataFrame([(7, "a"), (4500, "b"), (9, "c")], "key long, v string"), "key", "id")
+    assert {(r.id, r.v) for r in out.collect()} == {(i, "a") for i in range(4000)} | {(4500, "b")}
 
 
 def test_deduplicated_keeps_one_row_and_loses_no_text(docs_of, sentences):

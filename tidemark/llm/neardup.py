@@ -1,12 +1,16 @@
 """MinHash near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-A text is the multiset of its runs of five words (letters and digits of a white-space delimited
-chunk, lower case; a shorter text is one run).  A shingle weighs its count times its inverse document
-frequency.  The frequency factor is 1 up to a third of the distinct texts and falls only beyond: one
-group of near copies may hold a third of all rows, and its shared text must not weigh less than the
-edits that tell its members apart.  So only shingles in more than a third of the texts need counts,
-and such a shingle is also in more than a third of the texts of some partition: partitions name the
-candidates, a second pass counts those alone, exactly.
+A text is the multiset of its runs of five words (the letters and digits between white space, lower
+case; a shorter text is one run).  A shingle weighs its count times its inverse document frequency,
+idf = 1 + log(N / df) to the base S^3, where N counts all rows and what is in fewer than one text in S
+counts as in one in S.  S is 1000, or what keeps the table of more frequent shingles below LIMIT
+entries whatever the corpus: a text of c characters has c / 2 shingles at most, so at most S * c / 2 can be
+that frequent.  The base damps the factor (from 1 to 4/3): one group of near copies may hold a third of
+all rows, and its shared text must not weigh so much less than its members' edits that the group falls apart.
+
+Frequencies are exact, over all rows.  Each task sorts the shingles of a few thousand texts at a time and
+reports those that are not rare there; Spark adds the reports up, and what may be frequent (a bounded
+table) is counted in a second pass.
 
 Texts with equal words are folded into one first.  Each text gets HASHES consistent weighted samples
 (Ioffe's scheme: the sample of a shingle of weight w is the same for every text where its weight stays
@@ -19,14 +23,14 @@ never its pairs.  So every candidate pair is either verified or already connecte
 components.
 
 Defined results: null and empty texts, and texts without a letter or digit, are unique each; repeated
-rows belong to one class; the class is the least doc_id in it; ties (equal doc_ids) keep one row; an
-empty table gives no rows; rows with a null doc_id are classes of their own and are kept.
+rows belong to one class; the class is the least doc_id in it; ties (equal doc_ids with equal words) are
+one text; an empty table gives no rows; rows with a null doc_id are classes of their own and are kept.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ChunkCache, checkpointed, short_batches, table
+from .common import checkpointed, salted_join, short_batches, table
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -43,10 +47,12 @@ BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 #: Longs that hold four bits of each sample.
 PACKED = HASHES // 16
-#: The share of texts beyond which a shingle is common.
-COMMON = 3
+#: The rarest share of texts (one in so many) that the frequency factor tells apart; entries of its table;
+#: the power of that share which is the base of its logarithm.
+RAREST, LIMIT, DAMPING = 1000, 1 << 21, 3
+#: Shingles that a task sorts at a time when it looks for frequent ones.
+SEGMENT = 1 << 22
 
-_strip = re.compile(r"[\W_]+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,20 +63,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word(chunk: str) -> int:
-    import xxhash
-
-    word = _strip.sub("", chunk).lower()
-    return xxhash.xxh64_intdigest(word) | 1 if word else 0
+@functools.cache
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 1 for white space, 2 for letters and digits, 0 for the rest; and a random word."""
+    kinds = np.fromiter((1 if c.isspace() else 2 * c.isalnum() for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+    return kinds, _mix(np.arange(0x110000, dtype=np.uint64) + _M)
 
 
-_words = ChunkCache(_word)
+@functools.cache
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, _M)])
 
 
 def word_ids(text: str) -> np.ndarray:
-    chunks = text.split()
-    ids = np.fromiter(map(_words.__getitem__, chunks), np.uint64, len(chunks))
-    return ids[ids > 0]
+    """A hash of each word: the letters and digits of a white-space delimited chunk, in lower case."""
+    kinds, values = _alphabet()
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[points]
+    used = np.flatnonzero(kind)
+    letters = np.flatnonzero(kind[used] == 2)
+    if not len(letters):
+        return np.zeros(0, np.uint64)
+    # a word begins where white space stands before a letter
+    starts = np.flatnonzero(np.r_[True, np.diff(letters) != 1])
+    lengths = np.diff(np.r_[starts, len(letters)])
+    at = np.arange(len(letters)) - np.repeat(starts, lengths)
+    power = _powers(1 << max(10, int(lengths.max() - 1).bit_length()))
+    return _mix(np.add.reduceat(values[points[used[letters]]] * power[at], starts)) | np.uint64(1)
 
 
 def shingles(ids: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +104,23 @@ def shingles(ids: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mix(h), return_counts=True)
 
 
-def idf(df, n: int):
-    """1 up to n / COMMON texts, ln(1 + n / df) / ln(1 + COMMON) beyond."""
-    return np.minimum(1.0, np.log1p(n / np.maximum(df, 1)) / math.log1p(COMMON))
+def rarest(rows: int, mean_length: float) -> float:
+    """S for a corpus of so many rows with so many characters on average."""
+    return float(min(RAREST, rows, 2 * LIMIT / max(mean_length, 1.0)))
+
+
+def idf(df, n: int, s: float):
+    """1 + log(n / df) to the base s^DAMPING, as a share of its value where one text in s has the shingle."""
+    if s <= 1:
+        return np.ones(np.shape(df))
+    return (1 + np.clip(np.log(n / np.maximum(df, 1)) / math.log(s), 0, 1) / DAMPING) / (1 + 1 / DAMPING)
 
 
 class Weights:
-    """Inverse document frequencies; those that are not 1 are listed."""
+    """Inverse document frequencies; those that are not 1 are listed, by sorted key."""
 
-    def __init__(self, common: dict[int, float]):
-        self.keys = np.array(sorted(common), np.uint64)
-        self.values = np.array([common[int(k)] for k in self.keys])
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
 
     def of(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = counts.astype(float)
@@ -184,100 +209,94 @@ def digest(ids: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(ids.tobytes())
 
 
-class Frequent:
-    """Shingles that may be in more than a COMMON-th of a stream of texts: none of those is missing.
+class Segments:
+    """Exact counts of texts by shingle, over segments of a stream of texts of bounded size.
 
-    A block's frequent shingles enter with as many earlier texts as one not yet seen can have had; a
-    shingle whose bound falls to the mark is dropped, and can enter again later.
+    What is in no more than a `share` of a segment's texts is left out: over all segments that is no
+    more than this share of all texts.
     """
 
-    BLOCK = 64
-
-    def __init__(self):
-        self.seen, self.block, self.bound = 0, [], {}
-
-    def add(self, keys: np.ndarray) -> None:
-        self.block.append(keys)
-        if len(self.block) == self.BLOCK:
-            self._close()
-
-    def _close(self) -> None:
-        n = len(self.block)
-        keys, counts = np.unique(np.concatenate(self.block), return_counts=True)
-        if self.bound and len(keys):
-            own = np.fromiter(self.bound, np.uint64, len(self.bound))
-            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            for k, c in zip(own.tolist(), np.where(keys[at] == own, counts[at], 0).tolist()):
-                self.bound[k] += c
-        often = counts * COMMON > n
-        for k, c in zip(keys[often].tolist(), counts[often].tolist()):
-            self.bound.setdefault(k, self.seen // COMMON + c)
-        self.seen += n
-        self.bound = {k: v for k, v in self.bound.items() if v * COMMON > self.seen}
-        self.block = []
-
-    def result(self) -> list[int]:
-        if self.block:
-            self._close()
-        return list(self.bound)
-
-
-def sketched(docs: DataFrame, weights: Weights) -> DataFrame:
-    """Per document doc_id, node (null without words), fold, size, bands, bits; and, with a null doc_id
-    and node, one row for each shingle that may be common in the partition (key)."""
+    def __init__(self, share: float):
+        self.share, self.texts, self.held, self.keys = share, 0, 0, []
 
-    def run(batches):
-        names = ["doc_id", "node", "fold", "size", "bands", "bits", "key"]
-        frequent = Frequent()
-        for batch in batches:
-            out: list[list] = [[] for _ in names[1:]]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = word_ids(text or "")
-                if not len(ids):
-                    row = (None, None, None, None, None, None)
-                    frequent.add(ids)
-                else:
-                    keys, counts = shingles(ids)
-                    frequent.add(keys)
-                    w = weights.of(keys, counts)
-                    fold = digest(ids)
-                    node = None if doc is None else int.from_bytes(fold[:8], "little", signed=True)
-                    row = (node, fold, float(w.sum()), *sketch(keys, w), None)
-                for column, v in zip(out, row):
-                    column.append(v)
-            kinds = (pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, kinds))], names)
-        found = np.array(frequent.result(), np.uint64).view(np.int64)
-        if len(found):
-            empty = [pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(found)], names)
+    def add(self, keys: np.ndarray):
+        """(keys, counts) of the segment that this text fills, if it does."""
+        self.texts += 1
+        self.held += len(keys)
+        self.keys.append(keys)
+        return self.close() if self.held >= SEGMENT else None
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, fold binary, size double, bands array<long>, bits array<long>, key long")
+    def close(self):
+        keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
+        least, self.texts, self.held, self.keys = self.share * self.texts, 0, 0, []
+        keys.sort()
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[starts, len(keys)])
+        often = counts > least
+        return keys[starts[often]], counts[often]
 
 
-def common_shingles(docs: DataFrame, rows: DataFrame) -> dict[int, float]:
-    """Exact frequencies, as weights, of the shingles in more than a COMMON-th of the texts.
+def common_shingles(docs: DataFrame) -> Weights:
+    """Exact weights of the shingles in more than one text in S, of which there are fewer than LIMIT."""
+    spark = docs.sparkSession
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.length(F.coalesce("text", F.lit("")))).alias("c")).first()
+    n, s = size.n, rarest(size.n, size.c or 0.0)
+    none = Weights(np.zeros(0, np.uint64), np.zeros(0))
+    if s <= 1:
+        return none
+
+    def reported(batches):
+        told = lambda found: pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1], pa.int64())], ["key", "n"])
+        segments = Segments(0.25 / s)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = segments.add(shingles(word_ids(text or ""))[0])
+                if found:
+                    yield told(found)
+        yield told(segments.close())
+
+    sums = docs.select("text").mapInArrow(reported, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # segments leave out a quarter of n / s at most, so no more than 4 / 3 * LIMIT shingles are left
+    named = sums.where(F.col("n") > 0.75 * n / s).select("key").toArrow()["key"].to_numpy()
+    if not len(named):
+        return none
+    wanted = spark.sparkContext.broadcast(np.sort(named.view(np.uint64)))
+
+    def counted(batches):
+        total = np.zeros(len(wanted.value), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                keys = shingles(word_ids(text or ""))[0]
+                at = np.minimum(np.searchsorted(wanted.value, keys), len(total) - 1)
+                total[at[wanted.value[at] == keys]] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
 
-    No more than COMMON times the shingles of an average text can be that frequent anywhere, and
-    partitions rarely name others, so the names are few.
-    """
-    named = [r.key for r in rows.where("key is not null").select("key").distinct().collect()]
-    if not named:
-        return {}
-    wanted = np.sort(np.array(named, np.int64).view(np.uint64))
+    got = docs.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > n / s).orderBy("at").toArrow()
+    at = got["at"].to_numpy()
+    return Weights(wanted.value[at], idf(got["n"].to_numpy(), n, s))
+
+
+def sketched(docs: DataFrame, weights) -> DataFrame:
+    """Per document doc_id, fold (null without words or doc_id), size, bands, bits; `weights` is broadcast."""
 
     def run(batches):
-        total = np.zeros(len(wanted), np.int64)
-        n = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.isin(wanted, shingles(word_ids(text or ""))[0], assume_unique=True)
-                n += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[0, np.arange(1, len(wanted) + 1)], pa.int64()), pa.array(np.r_[n, total], pa.int64())], ["at", "n"])
+            out: list[list] = [[], [], [], []]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = word_ids(text or "") if doc is not None else ()
+                if len(ids):
+                    keys, counts = shingles(ids)
+                    w = weights.value.of(keys, counts)
+                    row = (digest(ids), float(w.sum()), *sketch(keys, w))
+                else:
+                    row = (None, None, None, None)
+                for column, v in zip(out, row):
+                    column.append(v)
+            kinds = (pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(out, kinds))], ["doc_id", "fold", "size", "bands", "bits"])
 
-    got = {r["at"]: r["n"] for r in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
-    n = got.get(0, 0)
-    return {int(k): float(idf(got[i + 1], n)) for i, k in enumerate(wanted) if got[i + 1] * COMMON > n}
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fold binary, size double, bands array<long>, bits array<long>")
 
 
 def _alike(x: Column, y: Column, threshold: float) -> Column:
@@ -295,7 +314,7 @@ MEMBERS, BROADCAST_ROWS = 256, 1_000_000
 MOST_DIFFERENT = 62  # of 256 bits
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weights: Weights) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weights) -> DataFrame:
     """(node, keys, weights) of the wanted nodes, read from the text of the document that stands for each."""
     ids = nodes.join(wanted.distinct(), "node").select("node", "fold", F.col("doc_id").alias("rep"))
     ids = checkpointed(ids)
@@ -309,7 +328,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weights: Weight
                 ids = word_ids(text or "")
                 if digest(ids) == fold:  # else another text under the same doc_id
                     keys, counts = shingles(ids)
-                    w = weights.of(keys, counts)
+                    w = weights.value.of(keys, counts)
                     for column, v in zip(out, (node, keys.tobytes(), b"" if (w == 1).all() else w.tobytes())):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["node", "keys", "w"])
@@ -355,26 +374,26 @@ def _tiled(parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     each pair of blocks is a group of its own.  A pair that shares an earlier band is left to that bucket.
     """
     rows = parts.join(texts, "node")
-    key = lambda o, i: F.xxhash64("bucket", o, i).alias("key")
-    own = ["bucket", "node", "part", "size", "bits", "bands", "keys", "w"]
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1)).alias("to")
-    at = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int").alias("at")
-    outer = rows.where("part != main").select(*own, at(F.col("outer")), spread(F.col("inner"))).select(key("at", "to"), F.lit(0).alias("side"), *own)
-    inner = rows.select(*own, (F.col("part") != F.col("main")).alias("out"), at(F.col("inner")), spread(F.col("outer"))).select(key("to", "at"), F.when(F.col("out"), 1).otherwise(2).alias("side"), *own)
-    dealt = outer.unionByName(inner).repartition("key").sortWithinPartitions("key", "side")
+    own = ["node", "part", "size", "bits", "bands", "keys", "w"]
+    group = ["bucket", "o", "i"]
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    at = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
+    outer = rows.where("part != main").select("bucket", at(F.col("outer")).alias("o"), spread(F.col("inner")).alias("i"), F.lit(0).alias("side"), *own)
+    inner = rows.select("bucket", spread(F.col("outer")).alias("o"), at(F.col("inner")).alias("i"), F.when(F.col("part") != F.col("main"), 1).otherwise(2).alias("side"), *own)
+    dealt = outer.unionByName(inner).repartition(*group).sortWithinPartitions(*group, "side")
 
     def run(batches):
         last, held = None, []
         for batch in batches:
             out = []
             columns = [batch.column(k) for k in range(len(batch.columns))]
-            for k, key_ in enumerate(columns[0].to_pylist()):
-                if key_ != last:
-                    out += _linked(held, threshold)
-                    last, held = key_, []
-                held.append(tuple(c[k].as_py() for c in columns[1:]))
+            for k, key in enumerate(zip(*(c.to_pylist() for c in columns[:3]))):
+                if key != last:
+                    out += _linked(last and last[0], held, threshold)
+                    last, held = key, []
+                held.append(tuple(c[k].as_py() for c in columns[3:]))
             yield _pairs(out)
-        yield _pairs(_linked(held, threshold))
+        yield _pairs(_linked(last and last[0], held, threshold))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -383,13 +402,13 @@ def _pairs(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _linked(held: list, threshold: float) -> list[tuple[int, int]]:
+def _linked(bucket, held: list, threshold: float) -> list[tuple[int, int]]:
     """Star edges of the components that the links between the two sides of a group make."""
     outer, inner = [h for h in held if h[0] == 0], [h for h in held if h[0] > 0]
     if not outer or not inner:
         return []
     side = lambda rows, k, kind: np.array([r[k] for r in rows], kind)
-    (on, op, osz, ob, oband), (inn, ip, isz, ib, iband) = ([side(x, k, t) for k, t in ((2, np.int64), (3, np.int64), (4, float), (5, np.int64), (6, np.int64))] for x in (outer, inner))
+    (on, op, osz, ob, oband), (inn, ip, isz, ib, iband) = ([side(x, k, t) for k, t in ((1, np.int64), (2, np.int64), (3, float), (4, np.int64), (5, np.int64))] for x in (outer, inner))
     ok = op[:, None] != ip[None, :]
     ok &= np.minimum(osz[:, None], isz) >= np.maximum(osz[:, None], isz) * (threshold - 1e-6)
     twice = side(inner, 0, np.int64) == 1  # these are on the outer side as well
@@ -400,12 +419,12 @@ def _linked(held: list, threshold: float) -> list[tuple[int, int]]:
     for k in range(PACKED):
         differ += np.bitwise_count(ob[:, None, k] ^ ib[None, :, k])
     ok &= differ <= MOST_DIFFERENT
-    for k in range(int(np.flatnonzero(oband[0] == outer[0][1])[0])):
+    for k in range(int(np.flatnonzero(oband[0] == bucket)[0])):
         ok &= oband[:, None, k] != iband[None, :, k]
     if not ok.any():
         return []
     rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-    sets = lambda r: (np.frombuffer(r[7], np.uint64), np.frombuffer(r[8], float) if r[8] else None)
+    sets = lambda r: (np.frombuffer(r[6], np.uint64), np.frombuffer(r[7], float) if r[7] else None)
     a, b = [sets(outer[k]) for k in rows], [sets(inner[k]) for k in cols]
     found = ok[np.ix_(rows, cols)] & (_overlaps(a, b) >= threshold * (1 - 1e-12))
     parent: dict[int, int] = {}
@@ -453,54 +472,52 @@ def _overlaps(a: list, b: list) -> np.ndarray:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, fold node, class_id and component (null without words) of every document."""
+    """doc_id, fold, class_id and component (fold and component null without words) of every document."""
     spark = docs.sparkSession
     short_batches(spark)
     if threshold < THRESHOLD:
         raise ValueError(f"bands and sample bits are set for similarities of {THRESHOLD} or more, not {threshold}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    weights = Weights({})
+    weights = spark.sparkContext.broadcast(common_shingles(docs))
     rows = checkpointed(sketched(docs, weights))
-    common = common_shingles(docs, rows)
-    if common:
-        weights = Weights(common)
-        rows = checkpointed(sketched(docs, weights))
-    rows = rows.where("key is null")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fold").alias("fold"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    nodes = checkpointed(nodes)
+    one = lambda c: F.first(c).alias(c)
+    nodes = rows.where("fold is not null").groupBy("fold").agg(F.min("doc_id").alias("doc_id"), one("size"), one("bands"), one("bits"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))  # a name without collisions, fixed by the checkpoint
 
     # a bucket: the texts that share a band hash (the band is part of the hash)
     member = F.struct("node", "size", *(F.col("bits")[k].alias(f"s{k}") for k in range(PACKED))).alias("m")
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(buckets.join(sizes, "bucket"))
+    shared = checkpointed(salted_join(buckets, sizes, "bucket", "node"))
     # the text with the most company over all its buckets is the likeliest origin of a group of copies
     central = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    shared = checkpointed(shared.join(central.join(nodes, "node").select("node", "company", member), "node").select("bucket", "m", "company"))
-    pivots = shared.groupBy("bucket").agg(F.max_by("m", F.struct("company", "m.node")).alias("p"))
+    shared = checkpointed(shared.join(central.join(nodes, "node").select("node", "company", member), "node").select("bucket", "node", "m", "company"))
+    pivots = shared.groupBy("bucket").agg(F.max_by("m", F.struct("company", "node")).alias("p"))
     m, p = F.col("m"), F.col("p")
-    near = shared.join(pivots, "bucket").where((m["node"] != p["node"]) & _alike(m, p, threshold))
+    near = salted_join(shared, pivots, "bucket", "node").where((m["node"] != p["node"]) & _alike(m, p, threshold))
     first = checkpointed(near.select(p["node"].alias("a"), m["node"].alias("b")).distinct())
     texts = _texts(docs, nodes.select("node", "fold", "doc_id"), first.select(F.col("a").alias("node")).union(first.select("b")), weights)
     links = checkpointed(_verified(first, texts, threshold))
     found = checkpointed(components(links))
 
     # members of a bucket that are not yet connected
-    parts = shared.select("bucket", m["node"].alias("node")).join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
+    parts = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
     counted = parts.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     mixed = counted.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most")).where("parts > 1")
     mixed = mixed.select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("n") / BLOCK).cast("int").alias("inner"))
-    parts = checkpointed(parts.join(mixed, "bucket"))
+    parts = checkpointed(salted_join(parts, mixed, "bucket", "node"))
     if not parts.isEmpty():
         texts = _texts(docs, nodes.select("node", "fold", "doc_id"), parts.select("node"), weights)
         rest = checkpointed(_tiled(parts, nodes.join(texts, "node").select("node", "size", "bits", "bands", "keys", "w"), threshold))
         found = checkpointed(components(links.union(rest)))
 
-    named = nodes.select("node", F.col("doc_id").alias("rep")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "fold", F.col("doc_id").alias("rep")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = checkpointed(named)
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "component").select("node", "class_id", "component")
-    return rows.select("doc_id", "node").join(named, "node", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"), "component")
+    named = salted_join(named, least, "component", "node").select("fold", "class_id", "component")
+    worded = salted_join(rows.where("fold is not null").select("doc_id", "fold"), named, "fold", "doc_id")
+    wordless = rows.where("fold is null").select("doc_id", "fold", F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("component"))
+    return worded.select("doc_id", "fold", "class_id", "component").unionByName(wordless)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -517,21 +534,18 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     single = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if odd.isEmpty():
         return single
-    least = found.join(odd, "doc_id", "left_semi").where("doc_id = class_id and node is not null").groupBy("component").agg(F.min("node").alias("node"), F.min("doc_id").alias("rep"))
+    least = found.join(odd, "doc_id", "left_semi").where("doc_id = class_id and fold is not null").groupBy("component").agg(F.min("fold").alias("fold"), F.min("doc_id").alias("rep"))
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            nodes = []
-            for text in batch.column(at).to_pylist():
-                ids = word_ids(text or "")
-                nodes.append(int.from_bytes(digest(ids)[:8], "little", signed=True) if len(ids) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], [*batch.schema.names, "_node"])
+            ids = [word_ids(text or "") for text in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(i) if len(i) else None for i in ids], pa.binary())], [*batch.schema.names, "_fold"])
 
-    several = docs.join(odd, "doc_id", "left_semi").select(docs.columns).mapInArrow(run, T.StructType([*schema.fields, T.StructField("_node", T.LongType())]))
+    several = docs.join(odd, "doc_id", "left_semi").select(docs.columns).mapInArrow(run, T.StructType([*schema.fields, T.StructField("_fold", T.BinaryType())]))
     # one row of each (doc_id, words); texts without words are the same only if equal
-    worded = several.where("_node is not null").join(least, (F.col("_node") == F.col("node")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "_node"])
-    wordless = several.where("_node is null").dropDuplicates(["doc_id", "text"])
+    worded = several.where("_fold is not null").join(least, (F.col("_fold") == F.col("fold")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "_fold"])
+    wordless = several.where("_fold is null").dropDuplicates(["doc_id", "text"])
     return single.unionByName(worded.select(docs.columns)).unionByName(wordless.select(docs.columns))
 
 

@@ -35,11 +35,13 @@ CHAT = f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce
  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
  sum(24 + length(role) + 8 * (length(role) - length(replace(role, chr(10), ''))) + length(text) + {_ADDED.format("role")} + {_ADDED.format("text")})::bigint as formatted_chars from t group by conv_id"""
 
-#: Every pair that shares a shingle, and what is reachable by links.
+#: Every pair that shares a shingle, and what is reachable by links.  A shingle weighs tf * (1 + log(N / df) to the base s^3),
+#: where s is 1000 or less and a text in s is the rarest that counts.
 NEAR = f"""with recursive w as (select doc_id, list_filter([lower(regexp_replace(c, '[^\\p{{L}}\\p{{N}}]', '', 'g')) for c in string_split_regex(coalesce(text, ''), '\\s+')], lambda x: x <> '') as w from documents),
  s0 as (select doc_id, unnest(case when len(w) < {neardup.WORDS} then [w] else [w[i:i+{neardup.WORDS - 1}] for i in range(1, len(w) - {neardup.WORDS - 2})] end) as s from w where len(w) > 0),
  s1 as (select doc_id, hash(s) as s, count(*) as tf from s0 group by 1, 2), df as (select s, count(*) as df from s1 group by 1),
- s as (select doc_id, s, tf * least(1.0::double, ln(1 + (select count(*) from documents) / df::double) / ln({1 + neardup.COMMON}.0::double)) as x from s1 join df using (s)), z as (select doc_id, sum(x) as z from s group by 1),
+ q as (select count(*)::double as n, least({neardup.RAREST}, count(*), {2 * neardup.LIMIT} / avg(length(coalesce(text, '')))::double) as s0 from documents),
+ s as (select doc_id, s, tf * case when s0 > 1 then 1 + least(ln(n / df) / ln(s0 ** {neardup.DAMPING}), 1.0 / {neardup.DAMPING}) else 1 end as x from s1 join df using (s), q), z as (select doc_id, sum(x) as z from s group by 1),
  p as (select a.doc_id as a, b.doc_id as b, sum(least(a.x, b.x)) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
  l as (select a, b from p join z za on za.doc_id = a join z zb on zb.doc_id = b where i / (za.z + zb.z - i) >= {neardup.THRESHOLD} - 1e-12),
  r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on l.a = r.b)
