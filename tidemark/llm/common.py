@@ -32,8 +32,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
-    """Inner join of `rows` with a table of unique keys, without a task for all rows of one key.
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 64, how: str = "inner") -> DataFrame:
+    """Join of `rows` with a table of unique keys, without a task for all rows of one key.
 
     Rows of a key are dealt to `salts` places by the column `spread`; the table's row is copied to
     those places only that the key has, so it never grows beyond the number of rows.
@@ -41,7 +41,7 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts:
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     places = rows.groupBy(key).agg(F.collect_set("_salt").alias("_salt"))
     copies = table.join(places, key).withColumn("_salt", F.explode("_salt"))
-    return rows.join(copies, [key, "_salt"]).drop("_salt")
+    return rows.join(copies, [key, "_salt"], how).drop("_salt")
 
 
 def shuffle_width(spark: SparkSession) -> int:
