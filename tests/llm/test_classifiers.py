@@ -102,3 +102,110 @@ def test_all_words_of_a_chunk_are_read():
     assert X.words_of("(Word),") == (["word"], False) and X.words_of("1234") == ([], False) and X.words_of("--") == ([], False)
     lexicon = X.Lexicon({"idiot": 5.0}, {})
     assert lexicon.features("word," * 100 + "idiot")[4] == 1 and lexicon.features("scum/you!idiot")[4] == 1
+
+
+def test_isotonic_as_by_brute_force():
+    """The least squares fit is max over a start of min over an end of the means between; order of ties is nothing."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        m, y = rng.integers(0, 8, 40) / 4.0, rng.integers(0, 2, 40).astype(float)
+        levels = np.unique(m)
+        mean = lambda i, j: y[(m >= levels[i]) & (m <= levels[j])].mean()
+        want = [max(min(mean(i, j) for j in range(k, len(levels))) for i in range(k + 1)) for k in range(len(levels))]
+        order = rng.permutation(40)
+        knots = X.isotonic(m[order], y[order])
+        # a pooled block stands at the mean of its margins: its value holds for every level in it
+        blocks = sorted(set(np.round(want, 12)))
+        assert np.round(knots[1], 12).tolist() == blocks
+        centres = [m[np.isin(m, levels[np.isclose(want, b)])].mean() for b in blocks]
+        assert knots[0] == pytest.approx(centres)
+
+
+def test_trees_as_by_brute_force():
+    """Every cut of every feature, tried row by row, level by level."""
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 6, (60, 3)).astype(float), rng.integers(0, 2, 60).astype(float)
+    y[x[:, 1] > 3] = 1
+    got = X.Trees(rounds=4, depth=2).fit(x, y).margin(x)
+    margin = np.full(60, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, p * (1 - p)
+        gain = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1)
+        groups = [np.ones(60, bool)]
+        for _ in range(2):
+            split = []
+            for own in groups:
+                best, chosen = 1e-9, None
+                for f in range(3):
+                    for cut in sorted(set(x[:, f])):
+                        left, right = own & (x[:, f] <= cut), own & (x[:, f] > cut)
+                        if min(h[left].sum(), h[right].sum()) >= 0.5:
+                            value = gain(left) + gain(right) - gain(own)
+                            if value > best + 1e-12:
+                                best, chosen = value, (left, right)
+                split += chosen or (own, np.zeros(60, bool))
+            groups = split
+        for own in groups:
+            margin[own] += 0.1 * g[own].sum() / (h[own].sum() + 1)
+    assert got == pytest.approx(margin)
+
+
+def test_features_as_by_reading_word_by_word():
+    words, starts = {"idiot": 5.0, "scum": 3.0}, {"trash": 2.5}
+    lexicon = X.Lexicon(words, starts)
+    text = "You are an IDIOT and scum, truly! 1d1ot trashy things; a fine-day you said"
+    said = [w for c in text.split() for w in X.words_of(c)[0]]
+    hits = [i for i, w in enumerate(said) if w in words]
+    second = [i for i, w in enumerate(said) if w in X.SECOND]
+    own = sorted((words[said[i]] for i in hits), reverse=True)
+    got = lexicon.features(text)
+    assert got[0] == pytest.approx(np.log1p(len(said))) and got[1] == 5.0 and got[2] == sum(own) and got[3] == sum(own[:3])
+    assert got[4] == len(hits) and got[5] == pytest.approx(len(hits) / len(said)) and got[6] == sum(v >= 4 for v in own)
+    assert got[8] == 2.5 and got[9] == sum(w[:5] in starts for w in said) and got[11] == len({said[i] for i in hits})
+    assert got[13] == min(abs(i - j) for i in hits for j in second) and got[17] == pytest.approx(sum(len(w) for w, hidden in map(X.words_of, text.split()) if hidden) / len(said))
+    assert lexicon.features("good day")[13] == X.FAR == lexicon.features("you there")[13] == lexicon.features("idiot there")[13]
+
+
+def test_ratios_and_the_dual_optimum_as_by_brute_force():
+    """Log-count ratios counted by hand; no step along any dual coordinate lowers the objective any more."""
+    rng = np.random.default_rng(8)
+    size, y = 12, np.where(np.arange(50) % 3 == 0, 1, -1)
+    rows = [np.unique(np.r_[rng.integers(0, size, 4), rng.integers(0, 3) if v > 0 else rng.integers(3, 6)]) for v in y]
+    weights, bias = Q.fit_hinge(rows, y, size, epochs=2000)
+    p = np.array([1.0 + sum(k in r for r, v in zip(rows, y) if v > 0) for k in range(size)])
+    q = np.array([1.0 + sum(k in r for r, v in zip(rows, y) if v < 0) for k in range(size)])
+    ratio = np.log((p / p.sum()) / (q / q.sum()))
+    x = np.zeros((50, size + 1))
+    x[:, size] = 1
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r]
+    caps = np.where(y > 0, 25 / (y > 0).sum(), 25 / (y < 0).sum())
+    dual = np.zeros(50)
+    gram = (x @ x.T) * np.outer(y, y)
+    for _ in range(20_000):  # projected gradient, another way to the same optimum
+        dual = np.clip(dual - (gram @ dual - 1) / np.linalg.norm(gram, 2), 0, caps)
+    want = x.T @ (dual * y)
+    assert bias == pytest.approx(want[-1], abs=2e-2)
+    assert np.array([weights[r].sum() + bias for r in rows]) == pytest.approx(x @ want, abs=2e-2)
+
+
+def test_shapes_and_shares_as_by_counting():
+    """The indicators of a text, from its shapes' n-grams and their shares of the text, by plain dictionaries."""
+    from collections import Counter
+
+    text = "The CAT sat 12 times, the the cat!! " * 3
+    chunks = text.split()
+    named = [(Q.shape(c), c == b) for b, c in zip([None, *chunks], chunks)]
+    code = [Q._codes[c] + Q.REPEAT * again for c, (_, again) in zip(chunks, named)]
+    want = {Q.BUCKETS - 1 - int(np.log2(len(chunks) + 1))}
+    for k in (1, 2, 3):
+        grams = []
+        for i in range(len(chunks) - k + 1):
+            g = code[i]
+            for j in range(1, k):
+                g = (g * 1_000_003 + code[i + j]) & 0x7FFFFFFF
+            grams.append(g)
+        for g, times in Counter(grams).items():
+            want |= {int(Q._bucket(np.array([g]), k, level)[0]) for level in range(7) if not level or times * 2**level >= len(grams)}
+    assert set(Q.features(text).tolist()) == want

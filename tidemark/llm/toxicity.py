@@ -10,7 +10,7 @@ not seen the row, so neither is misled by its own labels.
 Training takes at most `max_train` labelled rows, chosen by a hash of doc_id; every text is scored
 whole.  Defined results: a null text is the empty text; rows without a doc_id and labels other than
 0 and 1 are not trained on; without rows of both classes every score is the share of label 1 (0.0 if
-there are no labels); repeated rows are scored each.
+there are no labels); repeated rows are scored each; training rows with equal margins share one knot of the curve.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from .quality import MAX_TRAIN, sample
 
 THRESHOLD = 0.3
 FOLDS = 4
-#: Entries a lexicon can have, the least log odds of an entry, and the letters of a beginning.
-LEXICON, LEAST_ODDS, BEGINNING = 4000, 2.0, 5
+#: The least log odds of a lexicon's entry, the letters of a beginning, and the distance at which (or without
+#: which) a hit counts as far from a second-person word.
+LEAST_ODDS, BEGINNING, FAR = 2.0, 5, 50
 
 #: Second-person words of the languages covered, and letters that signs stand for.
 SECOND = frozenset("you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie ti tus usted ustedes vosotros".split())
@@ -90,7 +91,7 @@ class Lexicon:
             words, hidden = words_of(chunk)
             letters = [c for c in chunk if c.isalpha()]
             flags = self.CAPITALS * (len(letters) > 1 and chunk.isupper()) | self.OBFUSCATED * hidden
-            return tuple(names.get(w, 0) << 24 | starts.get(w[:BEGINNING], 0) << 8 | self.SECOND * (w in SECOND) | flags for w in words) or (flags,)
+            return tuple(names.get(w, 0) << 32 | starts.get(w[:BEGINNING], 0) << 8 | self.SECOND * (w in SECOND) | flags for w in words) or (flags,)
 
         strength = np.array([0.0, *self.words.values()])
         start_strength = np.array([0.0, *self.beginnings.values()])
@@ -108,20 +109,20 @@ class Lexicon:
         flags = codes & 255
         seconds = np.flatnonzero(flags & self.SECOND)
         any_hit = np.flatnonzero(codes >> 8)
-        word = strength[codes[any_hit] >> 24]
-        start = start_strength[codes[any_hit] >> 8 & 0xFFFF]
+        word = strength[codes[any_hit] >> 32]
+        start = start_strength[codes[any_hit] >> 8 & 0xFFFFFF]
         own = word[word > 0]
         strong, starts = int((own >= 4).sum()), int((start > 0).sum())
         hits = any_hit[word > 0]
-        near = n
+        near = FAR
         if len(hits) and len(seconds):
             k = np.clip(np.searchsorted(seconds, hits), 1, max(1, len(seconds) - 1))
             near = int(min(np.abs(seconds[np.minimum(k, len(seconds) - 1)] - hits).min(), np.abs(seconds[k - 1] - hits).min()))
         signs = text.count("!")
         return [
             np.log1p(n), float(own.max()) if len(own) else 0.0, float(own.sum()), float(np.sort(own)[-3:].sum()), len(own), len(own) / n, strong, strong / n,
-            float(start.max()) if len(start) else 0.0, starts, starts / n, len(np.unique(codes[hits] >> 24)),
-            len(seconds) / n, min(near, 50), float((flags & self.CAPITALS > 0).mean()), signs / n, (text.count(",") + text.count(".") + text.count("?") + text.count("*")) / n, float((flags & self.OBFUSCATED > 0).mean()),
+            float(start.max()) if len(start) else 0.0, starts, starts / n, len(np.unique(codes[hits] >> 32)),
+            len(seconds) / n, min(near, FAR), float((flags & self.CAPITALS > 0).mean()), signs / n, (text.count(",") + text.count(".") + text.count("?") + text.count("*")) / n, float((flags & self.OBFUSCATED > 0).mean()),
         ]
 
 
@@ -177,11 +178,11 @@ class Trees:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing curve through the pooled adjacent violators."""
-    order = np.argsort(margin, kind="stable")
+    """Knots of the non-decreasing curve through the pooled adjacent violators; equal margins are one knot."""
+    levels, at = np.unique(margin, return_inverse=True)
     blocks: list[list[float]] = []  # [sum of y, rows, sum of margins]
-    for m, v in zip(margin[order], y[order]):
-        blocks.append([float(v), 1.0, float(m)])
+    for m, v, n in zip(levels, np.bincount(at, y), np.bincount(at)):
+        blocks.append([float(v), float(n), float(m * n)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
@@ -236,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: i
     total = lambda c: sum((F.col(f"{c}{k}") for k in range(1, FOLDS)), F.col(f"{c}0"))
     counted = rows.mapInArrow(words_in, "word string, kind int, y int, fold int").groupBy("kind", "word").agg(*sums).where(total("p") >= 2)
     strength = F.log((total("p") + 0.5) / float(positive.sum())) - F.log((total("n") + 0.5) / float(negative.sum()))
-    pick = lambda kind: counted.where((F.col("kind") == kind) & (strength >= 1)).orderBy((total("p") * strength).desc(), "word").limit(LEXICON).toArrow()
+    pick = lambda kind: counted.where((F.col("kind") == kind) & (strength >= 1)).orderBy("word").toArrow()
     made = [Lexicon(w, b) for w, b in zip(*(_lexicons(pick(kind), positive, negative) for kind in (0, 1)))]
     held = spark.sparkContext.broadcast(made)
 
