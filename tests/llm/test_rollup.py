@@ -59,3 +59,45 @@ def test_the_query_counts_all_rows_and_whole_texts(spark, docs_of, tmp_path):
     got = totals(R.whole(spark, docs_of(rows), str(tmp_path / "r"), PATH, "v"))
     encode = _vocabulary(PATH).encode_ordinary
     assert got == {("s", "en", "v"): (len(rows), sum(len(encode(t or "")) for _, t in rows))}
+
+
+def test_two_committers(spark, rollup):
+    """A delete derived from an older ledger is derived again; none is subtracted twice, and each batch counts once."""
+    rows = lambda *x: spark.createDataFrame(x, COUNTED)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    other = R.Rollup(spark, rollup.folder)
+    rollup.insert("load", rows((1, "s", "en", "v", 10), (2, "s", "en", "v", 5), (3, "s", "en", "v", 1)))
+    raced = []
+
+    def late(state):  # the other committer gets in between reading and the entry
+        if not raced:
+            raced.append(other.delete("b", ids(1, 2)))
+        return R._negated(rollup.ledger(state).join(ids(2, 3), "doc_id"))
+
+    assert rollup.commit("a", late, True) and raced == [True]
+    assert totals(rollup) == {} and [e["batch"] for e in rollup.state().entries] == ["load", "b", "a"]
+    raced.clear()
+
+    def same(state):
+        if not raced:
+            raced.append(other.insert("twice", rows((4, "s", "en", "v", 7))))
+        return R._once(rows((4, "s", "en", "v", 7)))
+
+    assert not rollup.commit("twice", same, False)
+    assert not rollup._create(rollup._entry(0), "x")
+    assert totals(rollup) == {("s", "en", "v"): (1, 7)}
+    assert rollup.revise("late", rows((1, "s", "en", "v", 3)))  # deleted before: nothing
+    assert totals(rollup) == {("s", "en", "v"): (1, 7)}
+
+
+def test_snapshots_bound_what_is_read(spark, rollup, monkeypatch):
+    monkeypatch.setattr(R, "SNAPSHOT", 3)
+    rows = lambda *x: spark.createDataFrame(x, COUNTED)
+    for k in range(7):
+        assert rollup.insert(f"b{k}", rows((k, "s", "en", "v", k + 1)))
+        assert len(rollup.state().entries) < 3
+    rollup.vacuum()
+    assert not rollup.insert("b1", rows((1, "s", "en", "v", 100)))  # older than the snapshot, still known
+    assert rollup.delete("d", spark.createDataFrame([(0,), (6,)], "doc_id long"))
+    assert totals(rollup) == {("s", "en", "v"): (5, 2 + 3 + 4 + 5 + 6)} and rollup.state().snapshot == 5
+    assert {r.doc_id for r in rollup.ledger().collect()} == {1, 2, 3, 4, 5}

@@ -20,15 +20,34 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` in the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as spark.checkpoint.dir (or the context) names it.
 
-    Where that setting is missing (tests on one machine) a temporary folder is used.
+    Only where all runs on one machine (tests) may it be unset: a temporary folder is used then.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="shared-")
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` in the shared folder."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
