@@ -2,16 +2,21 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet
 to the shared folder and reads it again, so a lost executor costs one stage's tasks at most.
+
+Defined results: a null text is the empty text, kept or dropped as its score says, one piece if it is packed;
+rows with a null doc_id are never near-duplicates or contaminated; of repeated rows one stays; rows that share
+a doc_id are judged text by text; an empty table gives no rows; extra columns pass through all stages but the last.
+
+Without the operators' subpackage this module cannot be imported; the entry point leaves it out then.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, neardup, packing, quality, secrets
+from tidemark.llm import common, decontaminate, neardup, packing, quality, secrets
 
 
 def _path(name: str) -> str:
@@ -59,11 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over `documents`; the result is read back from Parquet."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The stages in order over `documents`; the result is read back from Parquet, what lies between is deleted."""
+    folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        common.removed(spark, f"{folder}/{k - 1}")
     return docs
