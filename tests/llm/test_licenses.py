@@ -37,3 +37,41 @@ def test_repeated_rows_and_empty_table(docs_of):
     docs = docs_of([(1, TEXTS[2]), (1, TEXTS[2]), (None, TEXTS[2])])
     assert [(r.doc_id, r.n_base) for r in L.scan(docs).orderBy("doc_id").collect()] == [(None, 1), (1, 1), (1, 1)]
     assert L.scan(docs.where("false")).count() == 0
+
+
+def test_templates_as_by_brute_force(docs_of):
+    """Every run of K words against every place of every template, diagonal by diagonal; several templates may share a text."""
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        words = rng.choice(L.TEMPLATES)[1].split()
+        lo = rng.randint(0, len(words) // 2)
+        kept = [w for w in words[lo : lo + rng.randint(3, 80)] if rng.random() > 0.08]
+        for _ in range(rng.randint(0, 3)):
+            kept.insert(rng.randint(0, len(kept)), "odd")
+        texts.append(" ".join(["said", *kept, *(rng.choice(L.TEMPLATES)[1].split()[:30] if rng.random() < 0.3 else []), "end"]))
+
+    def marks(text):
+        w = WORD.findall(text.translate(str.maketrans(L.CAPITALS, L.SMALL)))
+        labels, best = {v for p, v in L.BASE.items() if f" {p} " in f" {' '.join(w)} "}, 0.0
+        score = 1.0 if labels else 0.0
+        for label, template in L.TEMPLATES:
+            t = WORD.findall(template.translate(str.maketrans(L.CAPITALS, L.SMALL)))
+            votes = sorted({(i - j, j) for i in range(len(w) - L.K + 1) for j in range(len(t) - L.K + 1) if w[i : i + L.K] == t[j : j + L.K]})
+            last, held = None, set()
+            for d, j in votes:
+                if last is not None and d - last > L.APART:
+                    held = set()
+                held.add(j)
+                last = d
+                share = len(held) / (len(t) - L.K + 1)
+                if share >= L.COVERED:
+                    labels.add(label)
+                    best = max(best, share)
+        return ",".join(sorted(labels)), max(score, best)
+
+    for r in L.scan(docs_of(texts)).collect():
+        labels, score = marks(texts[r.doc_id])
+        assert r.labels == labels and abs(r.score - score) < 1e-12, texts[r.doc_id]

@@ -13,8 +13,8 @@ words (or as many fillers that agree) must be among what is covered, and one of
 without any word is matched by its plain tokens alone.
 
 Defined results: null and empty texts match nothing; items without tokens are left out, items of fewer
-than WINDOW tokens are one window; repeated rows and rows that share a doc_id are judged as one
-document; rows with a null doc_id cannot be named and are kept; ties between spans go to the one
+than WINDOW tokens are one window; rows that share a doc_id are judged text by text, and reported by the
+text that covers most; rows with a null doc_id cannot be named and are kept; ties between spans go to the one
 that covers more, then to the earlier; empty tables give no rows; other columns pass through.
 """
 
@@ -29,7 +29,7 @@ from .common import checkpointed, table
 WINDOW, COVERED = 8, 0.5
 #: Tokens of a window that are not placeholders, for its form to count without a look at the item's words.
 LITERALS = 4
-#: Windows of the benchmark, or ids of documents, that may be broadcast; more are joined by shuffle.
+#: Windows of the benchmark, tokens of its items, or ids of documents, that may be broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 #: Units that can follow a number, and the signs that mark a name, a number, a unit and a decimal sign.
@@ -84,18 +84,25 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.size("kinds")).where("n > 0")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if it is small enough for that."""
+def _bounded(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """`df`, to be broadcast if its rows, or what they hold by `size`, are few enough for that."""
     df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    held = df.agg(F.sum(F.lit(1) if size is None else size)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_ROWS else df
 
 
-GROUP = ["doc_id", "item_id", "n", "span"]
+#: A text of a document; its digest tells only the texts of one doc_id apart.
+TEXT = ["doc_id", "digest"]
+GROUP = [*TEXT, "item_id", "n", "span"]
+
+
+def _digest() -> Column:
+    return F.xxhash64("text").alias("digest")
 
 
 def grouped(diagonals: DataFrame) -> DataFrame:
     """The diagonals of spans that may cover enough; a span is a run of neighbouring diagonals of a document and an item."""
-    by = W.partitionBy("doc_id", "item_id", "n").orderBy("diagonal")
+    by = W.partitionBy(*TEXT, "item_id", "n").orderBy("diagonal")
     apart = F.greatest(F.lit(WINDOW), F.col("n") * (1 - COVERED))
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by) > apart).cast("int"), F.lit(1))
     diagonals = checkpointed(diagonals.withColumn("new", new).withColumn("span", F.sum("new").over(by)).drop("new"))
@@ -103,60 +110,66 @@ def grouped(diagonals: DataFrame) -> DataFrame:
     return diagonals.join(enough.select(GROUP), GROUP, "left_semi")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start (token), covered, item_tokens, coverage: one row per leak."""
+def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, digest, item_id, start (token), covered, item_tokens, coverage: one row per text and item."""
     items = checkpointed(items_of(benchmark))
     sizes = sorted(r.w for r in items.select(F.least("n", F.lit(WINDOW)).alias("w")).distinct().collect())  # WINDOW at most
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    said = source.select("doc_id", tokens(marked(F.col("text"))).alias("raw"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(), "text").where("doc_id is not null")
+    said = source.select(*TEXT, tokens(marked(F.col("text"))).alias("raw"))
     hits = None
     for size in sizes:
         own = keys(items.where(F.least("n", F.lit(WINDOW)) == size).select("item_id", "n", "raw"), size)
         own = own.select("key", "item_id", "n", F.col("at").alias("item_at"), (F.col("at") * 2 + F.col("exact").cast("int")).alias("place"))
-        found = keys(said, size).select("doc_id", "at", "key").join(_bounded(own), "key")
-        found = found.select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("diagonal"), "place", F.lit(size).alias("size"))
+        found = keys(said, size).select(*TEXT, "at", "key").join(_bounded(own), "key")
+        found = found.select(*TEXT, "item_id", "n", (F.col("at") - F.col("item_at")).alias("diagonal"), "place", F.lit(size).alias("size"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start int, covered int, item_tokens int, coverage double")
+        return docs.sparkSession.createDataFrame([], "doc_id long, digest long, item_id long, start int, covered int, item_tokens int, coverage double")
     # no more places than twice the item's tokens in a group; an odd place is one that agrees token by token
-    diagonals = hits.groupBy("doc_id", "item_id", "n", "size", "diagonal").agg(F.collect_set("place").alias("places"))
+    diagonals = hits.groupBy(*TEXT, "item_id", "n", "size", "diagonal").agg(F.collect_set("place").alias("places"))
     under = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, p + F.col("size") - 1))))
     ats = F.array_distinct(F.transform("places", lambda p: F.shiftright(p, 1)))
     exact = F.transform(F.filter("places", lambda p: p % 2 == 1), lambda p: F.shiftright(p, 1))
-    diagonals = diagonals.select("doc_id", "item_id", "n", "size", "diagonal", ats.alias("ats"), exact.alias("exact"))
+    diagonals = diagonals.select(*TEXT, "item_id", "n", "size", "diagonal", ats.alias("ats"), exact.alias("exact"))
     diagonals = grouped(diagonals.withColumn("under", under(F.col("ats"))))
     # slots: positions of the item under the windows, with their fillers
     filler = lambda p: F.get("kinds", p) < DECIMAL
     literals = lambda p: F.size(F.filter(F.slice("kinds", p + 1, F.col("size")), lambda k: k >= DECIMAL))
     wordy = F.filter("ats", lambda p: literals(p) >= F.least(F.lit(LITERALS), F.col("size")))
-    diagonals = diagonals.join(_bounded(items.select("item_id", "raw", "kinds")), "item_id").withColumn("wordy", wordy)
+    diagonals = diagonals.join(_bounded(items.select("item_id", "raw", "kinds"), F.size("raw")), "item_id").withColumn("wordy", wordy)
     diagonals = checkpointed(diagonals.withColumn("slots", F.filter("under", filler)).withColumn("firm", F.filter(under(F.col("wordy")), filler)))
     alike = F.size(F.array_except("ats", "exact")) == 0
     slotted = diagonals.where(~alike)
     fills = _bounded(slotted.select("doc_id").distinct())
-    texts = source.join(fills, "doc_id").select("doc_id", tokens(marked(F.col("text"))).alias("said")).distinct()
+    texts = source.join(fills, "doc_id").dropDuplicates(TEXT).select(*TEXT, tokens(marked(F.col("text"))).alias("said"))
     pair = lambda p: F.struct(F.get("raw", p).alias("item"), plain(F.get("said", p + F.col("diagonal"))).alias("doc"))
     pairs = F.array_distinct(F.transform("slots", pair))
     agree = lambda c: F.size(c) == F.size(F.array_distinct(F.transform(c, lambda q: q["item"])))
-    held = slotted.join(texts, "doc_id").select("doc_id", "item_id", "diagonal", pairs.alias("pairs"), F.array_distinct(F.transform("firm", pair)).alias("firm"))
-    held = held.groupBy("doc_id", "item_id", "diagonal").agg(F.max(agree(F.col("pairs"))).alias("held"), F.max(agree(F.col("firm"))).alias("some"))
+    held = slotted.join(texts, TEXT).select(*TEXT, "item_id", "diagonal", pairs.alias("pairs"), F.array_distinct(F.transform("firm", pair)).alias("firm"))
+    held = held.groupBy(*TEXT, "item_id", "diagonal").agg(F.max(agree(F.col("pairs"))).alias("held"), F.max(agree(F.col("firm"))).alias("some"))
     # where slots conflict, the windows of enough words count if theirs do not, and else only what agrees token by token
-    judged = diagonals.join(held, ["doc_id", "item_id", "diagonal"], "left").withColumn("ats", F.when(F.col("held") | alike, F.col("ats")).when(F.col("some"), F.array_union("wordy", "exact")).otherwise(F.col("exact")))
+    judged = diagonals.join(held, [*TEXT, "item_id", "diagonal"], "left").withColumn("ats", F.when(F.col("held") | alike, F.col("ats")).when(F.col("some"), F.array_union("wordy", "exact")).otherwise(F.col("exact")))
     strong = F.filter("ats", lambda p: F.array_contains("exact", p) | (literals(p) >= F.least(F.lit(LITERALS), F.col("size"))))
     judged = judged.select(*GROUP, "diagonal", "kinds", F.size(F.filter("kinds", lambda k: k >= DECIMAL)).alias("words"), under(F.col("ats")).alias("all"), under(strong).alias("strong"), under(F.col("exact")).alias("exact"))
     each = judged.select(*GROUP, "words", F.explode(F.transform("all", lambda p: F.struct(p.alias("p"), F.col("diagonal").alias("diagonal"), F.array_contains("strong", p).alias("strong"), (~filler(p) | F.array_contains("exact", p)).alias("agrees")))).alias("at"))
     count = lambda c: F.countDistinct(F.when(c, F.col("at.p"))).cast("int")
     out = each.groupBy(*GROUP, "words").agg(count(F.lit(True)).alias("covered"), count(F.col("at.strong")).alias("strong"), count(F.col("at.agrees")).alias("agrees"), F.min(F.struct("at.p", "at.diagonal"))["diagonal"].alias("diagonal"))
     enough = (F.col("strong") >= COVERED * F.col("n")) | (F.col("covered") >= COVERED * F.col("n")) & (F.col("agrees") > 0) & (F.col("agrees") >= COVERED * F.col("words"))
-    best = W.partitionBy("doc_id", "item_id").orderBy(F.col("covered").desc(), "diagonal")
+    best = W.partitionBy(*TEXT, "item_id").orderBy(F.col("covered").desc(), "diagonal")
     out = out.where(enough).withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    return out.select("doc_id", "item_id", F.greatest("diagonal", F.lit(0)).alias("start"), "covered", F.col("n").alias("item_tokens"), (F.col("covered") / F.col("n")).alias("coverage"))
+    return out.select(*TEXT, "item_id", F.greatest("diagonal", F.lit(0)).alias("start"), "covered", F.col("n").alias("item_tokens"), (F.col("covered") / F.col("n")).alias("coverage"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start (token), covered, item_tokens, coverage: one row per leak."""
+    best = W.partitionBy("doc_id", "item_id").orderBy(F.col("covered").desc(), "start", "digest")
+    return _leaks(docs, benchmark).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "digest")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that no item contaminates, columns as they are."""
-    gone = _bounded(contaminated(docs, benchmark).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows whose text no item contaminates, columns as they are."""
+    gone = _bounded(_leaks(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct())
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
