@@ -118,22 +118,22 @@ def test_overlaps_equal_similarity():
     assert got == pytest.approx(np.array([[N.similarity(x, y) for y in full[5:]] for x in full[:5]]))
 
 
-def test_segments_report_what_may_be_frequent(monkeypatch):
-    monkeypatch.setattr(N, "SEGMENT", 500)
-    rng = np.random.default_rng(5)
-    counts, told, n, share = Counter(), Counter(), 1000, 0.05
-    segments = N.Segments(share / 4)
-    for i in range(n + 1):
-        keys = {int(k) for k in rng.integers(100, 2000, 20)} | ({1} if i % 5 < 2 else set()) | ({2} if i >= 930 else set())
-        found = (segments.add(np.array(sorted(keys), np.uint64)) if i < n else segments.close()) or ([], [])
-        counts.update(keys if i < n else [])
-        told.update(dict(zip(map(int, found[0]), map(int, found[1]))))
-    assert all(told[k] <= v <= told[k] + n * share / 4 for k, v in counts.items())
-    assert {k for k, v in counts.items() if v > n * share} <= {k for k, v in told.items() if v > 0.75 * n * share} and told[1] == counts[1]
+def test_heavy_slots_hold_all_frequent_shingles(docs_of, sentences):
+    texts = [f"{sentences(40, i % 20)} {sentences(8, 500 + i)}" for i in range(90)]
+    counts = Counter()
+    for t in texts:
+        counts.update(N.shingles(N.word_ids(t))[0].tolist())
+    heavy = N.heavy_slots(docs_of(texts).repartition(5), 4, 1 << 12)
+    sums = Counter()
+    for k, v in counts.items():
+        sums[k >> 52] += v
+    assert set(np.flatnonzero(heavy).tolist()) == {k for k, v in sums.items() if v > 4}
+    assert {k >> 52 for k, v in counts.items() if v > 4} <= set(np.flatnonzero(heavy).tolist())
 
 
 def test_frequencies_are_exact_over_all_partitions(docs_of, sentences, monkeypatch):
-    monkeypatch.setattr(N, "SEGMENT", 300)
+    monkeypatch.setattr(N, "SLOTS", 1 << 10)  # collisions make more to count, and no other counts
+    monkeypatch.setattr(N, "COUNTED", 100)
     texts = [f"{sentences(30, i)} {' '.join(['common'] * (5 + i % 3)) if i % 2 else ''}" for i in range(60)] + ["two words"] * 3 + [""]
     weights = N.common_shingles(docs_of(texts).repartition(7))
     df = Counter()

@@ -8,9 +8,9 @@ entries whatever the corpus: a text of c characters has c / 2 shingles at most,
 that frequent.  The base damps the factor (from 1 to 4/3): one group of near copies may hold a third of
 all rows, and its shared text must not weigh so much less than its members' edits that the group falls apart.
 
-Frequencies are exact, over all rows.  Each task sorts the shingles of a few thousand texts at a time and
-reports those that are not rare there; Spark adds the reports up, and what may be frequent (a bounded
-table) is counted in a second pass.
+Frequencies are exact, over all rows.  A first pass counts shingles by slot, in a table of fixed size that
+tasks add up chunk by chunk: a frequent shingle makes its slot heavy.  A second pass counts the shingles
+of heavy slots by themselves.
 
 Texts with equal words are folded into one first.  Each text gets HASHES consistent weighted samples
 (Ioffe's scheme: the sample of a shingle of weight w is the same for every text where its weight stays
@@ -50,8 +50,8 @@ PACKED = HASHES // 16
 #: The rarest share of texts (one in so many) that the frequency factor tells apart; entries of its table;
 #: the power of that share which is the base of its logarithm.
 RAREST, LIMIT, DAMPING = 1000, 1 << 21, 3
-#: Shingles that a task sorts at a time when it looks for frequent ones.
-SEGMENT = 1 << 22
+#: Slots by which shingles are counted first, the chunks that they are added up in, and shingles counted at a time.
+SLOTS, CHUNKS, COUNTED = 2 * LIMIT, 64, 1 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -209,31 +209,36 @@ def digest(ids: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(ids.tobytes())
 
 
-class Segments:
-    """Exact counts of texts by shingle, over segments of a stream of texts of bounded size.
+def _slots(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (keys >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
-    What is in no more than a `share` of a segment's texts is left out: over all segments that is no
-    more than this share of all texts.
-    """
 
-    def __init__(self, share: float):
-        self.share, self.texts, self.held, self.keys = share, 0, 0, []
+def heavy_slots(docs: DataFrame, least: float, slots: int = SLOTS) -> np.ndarray:
+    """Whether the shingles of a slot are in more than `least` texts together: a superset of the frequent ones' slots."""
+    wide = slots // CHUNKS
+
+    def counted(batches):
+        total = np.zeros(slots, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, _slots(shingles(word_ids(text or ""))[0], slots), np.uint32(1))
+        parts = [pa.compress(p.tobytes(), "zstd", asbytes=True) for p in total.reshape(CHUNKS, wide)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
-    def add(self, keys: np.ndarray):
-        """(keys, counts) of the segment that this text fills, if it does."""
-        self.texts += 1
-        self.held += len(keys)
-        self.keys.append(keys)
-        return self.close() if self.held >= SEGMENT else None
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, part in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                total.setdefault(chunk, np.zeros(wide, np.int64))
+                total[chunk] += np.frombuffer(pa.decompress(part, 4 * wide, "zstd"), np.uint32)
+        found = [chunk * wide + np.flatnonzero(sums > least) for chunk, sums in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]), pa.int64())], ["slot"])
 
-    def close(self):
-        keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
-        least, self.texts, self.held, self.keys = self.share * self.texts, 0, 0, []
-        keys.sort()
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        counts = np.diff(np.r_[starts, len(keys)])
-        often = counts > least
-        return keys[starts[often]], counts[often]
+    chunks = docs.select("text").mapInArrow(counted, "chunk int, counts binary")
+    out = np.zeros(slots, bool)
+    # all slots hold so many shingles together that no more than LIMIT can be heavy
+    out[chunks.repartition(CHUNKS, "chunk").mapInArrow(summed, "slot long").toArrow()["slot"].to_numpy()] = True
+    return out
 
 
 def common_shingles(docs: DataFrame) -> Weights:
@@ -241,40 +246,33 @@ def common_shingles(docs: DataFrame) -> Weights:
     spark = docs.sparkSession
     size = docs.agg(F.count("*").alias("n"), F.avg(F.length(F.coalesce("text", F.lit("")))).alias("c")).first()
     n, s = size.n, rarest(size.n, size.c or 0.0)
-    none = Weights(np.zeros(0, np.uint64), np.zeros(0))
     if s <= 1:
-        return none
-
-    def reported(batches):
-        told = lambda found: pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1], pa.int64())], ["key", "n"])
-        segments = Segments(0.25 / s)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = segments.add(shingles(word_ids(text or ""))[0])
-                if found:
-                    yield told(found)
-        yield told(segments.close())
-
-    sums = docs.select("text").mapInArrow(reported, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    # segments leave out a quarter of n / s at most, so no more than 4 / 3 * LIMIT shingles are left
-    named = sums.where(F.col("n") > 0.75 * n / s).select("key").toArrow()["key"].to_numpy()
-    if not len(named):
-        return none
-    wanted = spark.sparkContext.broadcast(np.sort(named.view(np.uint64)))
+        return Weights(np.zeros(0, np.uint64), np.zeros(0))
+    slots = SLOTS
+    heavy = spark.sparkContext.broadcast(np.packbits(heavy_slots(docs, n / s, slots)))
 
     def counted(batches):
-        total = np.zeros(len(wanted.value), np.int64)
+        wanted = np.unpackbits(heavy.value).view(bool)
+        held, size = [], 0
+
+        def told():
+            keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["key", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 keys = shingles(word_ids(text or ""))[0]
-                at = np.minimum(np.searchsorted(wanted.value, keys), len(total) - 1)
-                total[at[wanted.value[at] == keys]] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["at", "n"])
-
-    got = docs.select("text").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > n / s).orderBy("at").toArrow()
-    at = got["at"].to_numpy()
-    return Weights(wanted.value[at], idf(got["n"].to_numpy(), n, s))
+                held.append(keys[wanted[_slots(keys, slots)]])
+                size += len(held[-1])
+            if size >= COUNTED:
+                yield told()
+                held, size = [], 0
+        yield told()
+
+    got = docs.select("text").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > n / s).toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return Weights(keys[order], idf(got["n"].to_numpy()[order], n, s))
 
 
 def sketched(docs: DataFrame, weights) -> DataFrame:
