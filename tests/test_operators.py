@@ -41,6 +41,58 @@ def test_blocks_do_not_matter(spark, block):
     assert before == {i: v[i - 1] if i else -1 for i in range(20)}
 
 
+def test_blocks_follow_quantiles_and_keep_null_orders(spark):
+    """Clustered and sparse order values give blocks of about as many rows; a null order stands first and is not dropped."""
+    rows = [(i if i < 900 else i * 10**9, 1) for i in range(1000)]
+    df = spark.createDataFrame([*rows, (None, 5)], "idx long, v long")
+    cut = O.blocked(df, "idx", 100)
+    sizes = {r._block: r["count"] for r in cut.groupBy("_block").count().collect()}
+    assert sizes.pop(-1) == 1 and len(sizes) == 10 and max(sizes.values()) < 130
+    out = {r.idx: (r.s, r.rn) for r in O.numbered(O.running(df, "idx", {"s": F.col("v")}, block=100), "idx", 100).collect()}
+    assert out[None] == (5, 0) and out[0] == (6, 1) and out[999 * 10**9] == (1005, 1000) and len(out) == 1001
+    assert O.previous(df, "idx", "v", -1, 100).where("idx = 0").first().previous == 5
+    assert O.running(df.where("false"), "idx", {"s": F.col("v")}).count() == 0
+
+
+@pytest.mark.parametrize("width", [5, 80])
+def test_sliding_sums_of_any_width(spark, width):
+    v = [(i * 7919) % 13 for i in range(500)]
+    out = O.sliding(spark.createDataFrame(list(enumerate(v)), "idx long, v long"), "idx", width, {"s": F.col("v")}, block=90)
+    assert {r.idx: r.s for r in out.collect()} == {i: sum(v[max(0, i - width + 1) : i + 1]) for i in range(500)}
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_latest_truth_at_or_before(spark, block):
+    results = [(t, f"r{t}") for t in (5, 100, 130, 150, 151, 350, 351)] + [(None, "none"), (350, "again")]
+    truth = [(100, "a"), (150, "b"), (210, "c"), (210, "d"), (None, "never"), (900, "late")]
+    out = O.latest(spark.createDataFrame(results, "ts long, name string"), spark.createDataFrame(truth, "ts long, truth string"), "ts", ["truth"], block)
+    want = {"r5": None, "r100": "a", "r130": "a", "r150": "b", "r151": "b", "r350": "d", "r351": "d", "none": None, "again": "d"}
+    assert {r.name: r.truth for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("block", [1024, 9])
+def test_pairwise_measures_by_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((40, 3)) + np.repeat([[0, 0, 0], [3, 3, 3]], 20, 0)
+    label = [-1 if i % 9 == 0 else i % 2 for i in range(40)]
+    points = spark.createDataFrame([(i, v.tolist(), y) for i, (v, y) in enumerate(zip(x, label))], "id long, x array<double>, label int")
+    clusters = [{"cluster": k, "centre": c, "radius": r, "weight": 20.0} for k, c, r in ((4, [0.0] * 3, 2.0), (7, [3.0] * 3, 2.2), (9, [2.0] * 3, 1.5))]
+    member = [[c["cluster"] for c in clusters if np.linalg.norm(v - c["centre"]) <= c["radius"]] for v in x]
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    scores, pairs = [], []
+    for i in range(40):
+        pairs += [d[i, j] for j in range(i + 1, 40) for k in member[i] if k in member[j]]
+        if member[i]:
+            mean = {k: np.mean(near) for k in (4, 7, 9) if (near := [d[i, j] for j in range(40) if j != i and label[j] != -1 and k in member[j]])}
+            own = [(v, k) for k, v in mean.items() if k in member[i]]
+            rest = [v for k, v in mean.items() if own and k != min(own)[1]]
+            if own and rest:
+                scores.append((min(rest) - min(own)[0]) / max(min(rest), min(own)[0]))
+    assert C.silhouette(points, clusters).first()[0] == pytest.approx((np.mean(scores) + 1) / 2)
+    assert C.c_index(points, clusters).first()[0] == pytest.approx((np.mean(pairs) - min(pairs)) / (max(pairs) - min(pairs)))
+
+
 def test_scalars(spark):
     a = F.array(F.lit(2.0), F.lit(5.0), F.lit(5.0))
     r = one(spark, X.max_index(a), X.min_index(a), X.normalize(a)[0], X.kth_smallest(a, 2), X.entropy(F.array(F.lit(4.0), F.lit(4.0))), X.normal_cdf(F.lit(1.96)), X.normalize(F.array(F.lit(0.0))))

@@ -2,16 +2,21 @@
 
 Points are rows (id, x: array<double>, label), clusters rows (cluster, centre, radius, weight).  A
 clustering is a small table; it is compiled into array literals, so points never shuffle to meet it.
-Pairwise measures (silhouette, C index) are for windows of bounded size, as evaluation horizons are.
+Pairwise measures (silhouette, C index) compare blocks of points as matrix products, one pair of blocks at a
+time, and only sums per point or cluster leave a task; they are quadratic by nature, and meant for horizons.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import latest
+
 RADIUS_FACTOR, TINY = 1.8, 1e-50
 #: From this inclusion on a point counts as inside.
 INSIDE = 0.8
@@ -198,14 +203,65 @@ def general(points: DataFrame, clusters: list) -> DataFrame:
     return one.select(F.when(F.col("covered") > 0, F.col("true") / F.col("covered")).otherwise(0.0).alias("precision"), (F.col("true") / F.col("reals")).alias("recall"), (F.col("twice") / F.col("n")).alias("redundancy"), F.lit(len(clusters)).alias("clusters"), F.col("classes").cast("int").alias("classes"))
 
 
+#: Points in a block of the pairwise measures.
+BLOCK = 1024
+
+
+def _block_pairs(held: DataFrame, once: bool) -> DataFrame:
+    """Every pair of blocks as a group: side, point and its columns.  `once` leaves the mirrored pairs out.
+
+    A point goes to each pair of its block, so points are copied as often as there are blocks.
+    """
+    blocks = max(1, math.ceil(held.count() / BLOCK))
+    own = held.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left = spread.select(F.col("_own").alias("a"), F.col("_other").alias("b"), F.lit(0).alias("side"), *held.columns)
+    right = spread.select(F.col("_other").alias("a"), F.col("_own").alias("b"), F.lit(1).alias("side"), *held.columns)
+    both = left.unionByName(right)
+    return (both.where("a <= b") if once else both).repartition("a", "b").sortWithinPartitions("a", "b", "side")
+
+
+def _by_group(batches):
+    """The rows of each pair of blocks, as lists of columns, for the left and the right side."""
+    last, held = None, []
+
+    def told():
+        return [[[r[k] for r in held if r[2] == side] for k in range(3, len(held[0]))] for side in (0, 1)]
+
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+            if row[:2] != last and held:
+                yield last, told()
+                held = []
+            last = row[:2]
+            held.append(row)
+    if held:
+        yield last, told()
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    middle = y.mean(0)  # about the middle, so that little is lost in the differences
+    x, y = x - middle, y - middle
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0.0))
+
+
 def silhouette(points: DataFrame, clusters: list) -> DataFrame:
-    """Mean over covered points of (other - own) / max, moved to [0, 1]; for bounded windows."""
-    held = inside(points, clusters).where("cluster is not null").select("id", "x", "label", "cluster")
-    covered = held.select("id", "x").distinct()
-    own = held.groupBy("id").agg(F.collect_set("cluster").alias("own"))
-    other = held.where("label != -1").select(F.col("id").alias("id2"), F.col("x").alias("x2"), "cluster")
-    mean = covered.join(other, F.col("id") != F.col("id2")).groupBy("id", "cluster").agg(F.avg(F.sqrt(squared(F.col("x"), F.col("x2")))).alias("d"))
-    mean = mean.join(own, "id").withColumn("mine", F.array_contains("own", F.col("cluster")))
+    """Mean over covered points of (other - own) / max, moved to [0, 1]; noise (label -1) is nobody's neighbour."""
+    held = inside(points, clusters).where("cluster is not null").groupBy("id").agg(F.first("x").alias("x"), F.first("label").alias("label"), F.collect_set("cluster").alias("own"))
+    names = [r["cluster"] for r in clusters]
+
+    def sums(batches):
+        for _, ((ids, x, _, _), (ids2, y, labels, members)) in _by_group(batches):
+            if ids and ids2:
+                d = _distances(np.array(x), np.array(y))
+                other = np.array(ids)[:, None] != np.array(ids2)[None, :]
+                member = np.array([[c in m for c in names] for m in members], float) * (np.array(labels) != -1)[:, None]
+                total, n = (d * other) @ member, other @ member
+                i, k = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i], pa.int64()), pa.array(np.array(names)[k], pa.int32()), pa.array(total[i, k]), pa.array(n[i, k])], ["id", "cluster", "total", "n"])
+
+    mean = _block_pairs(held.select("id", "x", "label", "own"), False).mapInArrow(sums, "id long, cluster int, total double, n double")
+    mean = mean.groupBy("id", "cluster").agg((F.sum("total") / F.sum("n")).alias("d")).join(held.select("id", "own"), "id").withColumn("mine", F.array_contains("own", F.col("cluster")))
     best = mean.groupBy("id").agg(F.min(F.when(F.col("mine"), F.struct("d", "cluster"))).alias("a"), F.sort_array(F.collect_list(F.struct("d", "cluster"))).alias("all"))
     rest = F.get(F.filter("all", lambda s: s["cluster"] != F.col("a.cluster")), 0)["d"]
     s = best.where("a is not null").withColumn("b", rest).where("b is not null").select(((F.col("b") - F.col("a.d")) / F.greatest("b", F.col("a.d"))).alias("s"))
@@ -219,12 +275,24 @@ def separation(clusters: DataFrame, truth: DataFrame, middle: list[float], middl
 
 
 def c_index(points: DataFrame, clusters: list) -> DataFrame:
-    """Where the mean distance within clusters lies between the least and the largest; for bounded windows."""
-    held = inside(points, clusters).where("cluster is not null").select("id", "x", "cluster")
-    other = held.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("cluster").alias("cluster2"))
-    d = held.join(other, (F.col("cluster") == F.col("cluster2")) & (F.col("id") < F.col("id2"))).select(F.sqrt(squared(F.col("x"), F.col("x2"))).alias("d"))
-    low, high = F.min("d"), F.max("d")
-    return d.agg(F.when(high > low, (F.avg("d") - low) / (high - low)).otherwise(0.0).alias("c_index"))
+    """Where the mean distance within clusters lies between the least and the largest; a pair in two clusters counts twice."""
+    held = inside(points, clusters).where("cluster is not null").groupBy("id").agg(F.first("x").alias("x"), F.collect_set("cluster").alias("own"))
+    names = [r["cluster"] for r in clusters]
+
+    def sums(batches):
+        for (a, b), ((ids, x, left), (ids2, y, right)) in _by_group(batches):
+            if ids and ids2:
+                d = _distances(np.array(x), np.array(y))
+                together = sum(np.outer([c in m for m in left], [c in m for m in right]).astype(float) for c in names)
+                if a == b:
+                    together *= np.array(ids)[:, None] < np.array(ids2)[None, :]
+                at = together > 0
+                if at.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in (together.sum(), (d * together).sum(), d[at].min(), d[at].max())], ["n", "total", "low", "high"])
+
+    d = _block_pairs(held, True).mapInArrow(sums, "n double, total double, low double, high double")
+    low, high = F.min("low"), F.max("high")
+    return d.agg(F.when(high > low, (F.sum("total") / F.sum("n") - low) / (high - low)).otherwise(0.0).alias("c_index"))
 
 
 def overlap(distance: Column, r1: Column, r2: Column) -> Column:
@@ -236,8 +304,6 @@ def hull_distance(distance: Column, r1: Column, r2: Column) -> Column:
     return F.greatest(distance - r1 - r2, F.lit(0.0))
 
 
-def latest_before(results: DataFrame, truth: DataFrame, ts: str, every: int) -> DataFrame:
-    """Joins each result to the newest ground truth at or before it, by the evaluation period both share."""
-    period = F.floor(F.col(ts) / every)
-    newest = truth.groupBy(period.alias("_p")).agg(F.max_by("truth", ts).alias("truth"), F.max(ts).alias("truth_ts"))
-    return results.withColumn("_p", period).join(newest, "_p", "left").drop("_p")
+def latest_before(results: DataFrame, truth: DataFrame, ts: str) -> DataFrame:
+    """Joins each result to the newest ground truth at or before it (null where there is none)."""
+    return latest(results, truth.withColumn("truth_ts", F.col(ts)), ts, ["truth", "truth_ts"])

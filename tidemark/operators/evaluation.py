@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import previous, running, sliding
+from .ordered import in_blocks, previous, running, sliding
+
+
+MEASURES = ["accuracy", "kappa", "kappa_temporal"]
 
 
 def first_max(values: list[Column]) -> Column:
@@ -42,10 +45,10 @@ def classification(df: DataFrame, order: str, y: str, pred: str, classes: int, w
     """Accuracy, kappa and kappa against the no-change classifier (percent) after each row, over all rows
     so far or the last `width`; rows of weight 0 or less do not count; the class before the first is 0."""
     weight = F.lit(1.0) if weight is None else weight
-    rows = previous(df.where(weight > 0), order, y, 0)
+    rows = previous(in_blocks(df.where(weight > 0), order), order, y, 0)
     sums = _sums(y, pred, classes, weight)
     rows = running(rows, order, sums) if width is None else sliding(rows, order, width, sums)
-    return _metrics(rows, classes).drop(*sums, "previous")
+    return _metrics(rows, classes).select(*df.columns, *(["rn"] if width else []), *MEASURES)
 
 
 def classification_total(df: DataFrame, order: str, y: str, pred: str, classes: int) -> DataFrame:
@@ -57,13 +60,13 @@ def classification_total(df: DataFrame, order: str, y: str, pred: str, classes:
 
 def regression(df: DataFrame, order: str, y: str, pred: str) -> DataFrame:
     """MAE, RMSE and both relative to the running mean of the target before each row (0 at first)."""
-    rows = running(df, order, {"seen": F.lit(1).cast("long"), "total": F.col(y)}, before=True)
+    rows = running(in_blocks(df, order), order, {"seen": F.lit(1).cast("long"), "total": F.col(y)}, before=True)
     base = F.when(F.col("seen") > 0, F.col("total") / F.col("seen")).otherwise(0.0)
     error, usual = F.col(pred) - F.col(y), base - F.col(y)
     rows = rows.withColumns({"e1": F.abs(error), "e2": error * error, "b1": F.abs(usual), "b2": usual * usual}).drop("seen", "total")
     rows = running(rows, order, {"n": F.lit(1).cast("long"), **{f"s_{k}": F.col(k) for k in ("e1", "e2", "b1", "b2")}})
     out = {"mae": F.col("s_e1") / F.col("n"), "rmse": F.sqrt(F.col("s_e2") / F.col("n")), "relative_mae": F.col("s_e1") / F.nullif(F.col("s_b1"), F.lit(0.0)), "relative_rmse": F.sqrt(F.col("s_e2") / F.nullif(F.col("s_b2"), F.lit(0.0)))}
-    return rows.withColumns(out).drop("e1", "e2", "b1", "b2", *(f"s_{k}" for k in ("e1", "e2", "b1", "b2")))
+    return rows.withColumns(out).select(*df.columns, "n", *out)
 
 
 def sampled(curve: DataFrame, n: Column, every: int) -> DataFrame:

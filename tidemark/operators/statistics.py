@@ -80,13 +80,14 @@ def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
 
 
 def kappa(cells: DataFrame) -> DataFrame:
-    """Rows, accuracy and kappa from a confusion table."""
-    rows = cells.groupBy("actual").agg(F.sum("n").alias("r")).withColumnRenamed("actual", "c")
-    columns = cells.groupBy("predicted").agg(F.sum("n").alias("p")).withColumnRenamed("predicted", "c")
-    chance = rows.join(columns, "c").agg(F.sum(F.col("r") * F.col("p")).alias("chance"))
-    sums = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hits"))
-    p0, pc = F.col("hits") / F.col("n"), F.coalesce("chance", F.lit(0)) / (F.col("n") * F.col("n"))
-    return sums.crossJoin(F.broadcast(chance)).select("n", p0.alias("accuracy"), F.when(pc < 1, (p0 - pc) / (1 - pc)).alias("kappa"))
+    """Rows, accuracy and kappa from a confusion table, which is read once."""
+    n, none = F.col("n"), F.lit(0).cast("long")
+    row = F.struct(F.col("actual").alias("c"), n.alias("r"), none.alias("p"), F.when(F.col("actual") == F.col("predicted"), n).otherwise(none).alias("hit"))
+    column = F.struct(F.col("predicted").alias("c"), none.alias("r"), n.alias("p"), none.alias("hit"))
+    sides = cells.select(F.explode(F.array(row, column)).alias("s")).groupBy("s.c").agg(F.sum("s.r").alias("r"), F.sum("s.p").alias("p"), F.sum("s.hit").alias("hit"))
+    sums = sides.agg(F.sum("r").alias("n"), F.sum("hit").alias("hits"), F.sum(F.when(F.col("c").isNotNull(), F.col("r") * F.col("p")).otherwise(0)).alias("chance"))
+    p0, pc = F.col("hits") / n, F.col("chance") / (n * n)
+    return sums.select("n", p0.alias("accuracy"), F.when(pc < 1, (p0 - pc) / (1 - pc)).alias("kappa"))
 
 
 # --- splits.  A table of (keys..., branch, class, weight) describes candidate splits. ---
@@ -130,14 +131,29 @@ def hoeffding_decision(merits: DataFrame, n: Column, value_range: Column, delta:
     return top.select(best.alias("best"), second.alias("second"), eps.alias("epsilon"), ((best > 0) & ((best - second > eps) | (eps < tie))).alias("split"))
 
 
+#: Ranges that the values of an attribute are cut into, so that no task holds all of them.
+RANGES = 64
+
+
+def _below(at: DataFrame, sums: list[str]) -> DataFrame:
+    """Per attribute and value: l_<sum> over the values up to it, and a_<sum> over all; `at` has a row per attribute and value."""
+    whole = at.groupBy("attribute").agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)]).alias("cuts"), *(F.sum(c).alias(f"a_{c}") for c in sums))
+    rows = at.join(F.broadcast(whole), "attribute")  # a row per attribute, of fixed size
+    rows = rows.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    before = W.partitionBy("attribute").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    base = rows.groupBy("attribute", "range").agg(*(F.sum(c).alias(c) for c in sums))
+    base = base.select("attribute", "range", *(F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"b_{c}") for c in sums))
+    up = W.partitionBy("attribute", "range").orderBy("value")
+    rows = rows.withColumns({f"l_{c}": F.sum(c).over(up) for c in sums}).join(base, ["attribute", "range"])
+    return rows.select("attribute", "value", *((F.col(f"l_{c}") + F.col(f"b_{c}")).alias(f"l_{c}") for c in sums), *(f"a_{c}" for c in sums))
+
+
 def numeric_cuts(df: DataFrame, attributes: list[str], y: str, classes: list) -> DataFrame:
     """Exact class weights at or below (l_<k>) and above (r_<k>) every value of each attribute."""
     rows = long_form(df, attributes, [y])
-    at = rows.groupBy("attribute", "value").agg(*(F.sum((F.col(y) == c).cast("double")).alias(f"n_{k}") for k, c in enumerate(classes)))
-    up = W.partitionBy("attribute").orderBy("value")
-    whole = W.partitionBy("attribute")
-    out = at.withColumns({f"l_{k}": F.sum(f"n_{k}").over(up) for k in range(len(classes))})
-    return out.withColumns({f"r_{k}": F.sum(f"n_{k}").over(whole) - F.col(f"l_{k}") for k in range(len(classes))}).drop(*(f"n_{k}" for k in range(len(classes))))
+    names = [str(k) for k in range(len(classes))]
+    at = rows.groupBy("attribute", "value").agg(*(F.sum((F.col(y) == c).cast("double")).alias(k) for k, c in zip(names, classes)))
+    return _below(at, names).select("attribute", "value", *(f"l_{k}" for k in names), *((F.col(f"a_{k}") - F.col(f"l_{k}")).alias(f"r_{k}") for k in names))
 
 
 def cut_info_gain(cuts: DataFrame, classes: int) -> DataFrame:
@@ -163,8 +179,7 @@ def regression_cuts(df: DataFrame, attributes: list[str], y: str) -> DataFrame:
     """Per value of each attribute: n, sum and sum of squares of the target at or below, and of all."""
     rows = long_form(df.withColumn("_y", F.col(y).cast("double")), attributes, ["_y"])
     at = rows.groupBy("attribute", "value").agg(F.count("*").cast("double").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q"))
-    up, whole = W.partitionBy("attribute").orderBy("value"), W.partitionBy("attribute")
-    return at.select("attribute", "value", *(F.sum(c).over(up).alias(f"l{c}") for c in "nsq"), *(F.sum(c).over(whole).alias(f"a{c}") for c in "nsq"))
+    return _below(at, list("nsq")).select("attribute", "value", *(F.col(f"{side}_{c}").alias(f"{side}{c}") for side in "la" for c in "nsq"))
 
 
 def _spread(n: Column, s: Column, q: Column) -> Column:

@@ -122,7 +122,14 @@ def sphere_overlap(spark, d):
 def asof_ground_truth(spark, d):
     rows = read(spark, d, "events").select(F.col("event_id").alias("ts"), "event_type", "user_id")
     truth = rows.where("ts % 100 = 0").select("ts", F.col("event_type").alias("truth"))
-    return C.latest_before(rows.select("ts", "user_id"), truth, "ts", 100)
+    return C.latest_before(rows.select("ts", "user_id"), truth, "ts")
+
+
+def asof_irregular_truth(spark, d):
+    """Truth at uneven times, off any period; the first results have none."""
+    rows = read(spark, d, "events").select(F.col("event_id").alias("ts"), "event_type", "user_id")
+    truth = rows.where("ts % 7919 % 61 = 17 and ts > 40").select("ts", F.col("event_type").alias("truth"))
+    return C.latest_before(rows.where("ts % 3 = 1").select("ts", "user_id"), truth, "ts")
 
 
 def clustream(spark, d):
@@ -148,7 +155,7 @@ def enclosing_ball(spark, d):
 QUERIES = {
     "cf_by_label": cf_by_label, "cf_merge": cf_merge, "cf_radius": cf_radius, "cf_relevance_stamp": relevance, "kmeans_assign": kmeans_assign, "kmeans_iterate": kmeans_iterate, "gaussian_means": gaussian_means,
     "membership_matrix": membership_matrix, "ssq": ssq, "rand_van_dongen": pair_measures, "entropy_measures": entropy_measures, "f1_purity": f1_purity, "cluster_general": general, "silhouette": silhouette,
-    "cindex": c_index, "bss": separation, "sphere_overlap": sphere_overlap, "asof_ground_truth": asof_ground_truth, "clustream_kernels": clustream, "clustream_macro": clustream_macro,
+    "cindex": c_index, "bss": separation, "sphere_overlap": sphere_overlap, "asof_ground_truth": asof_ground_truth, "asof_irregular_truth": asof_irregular_truth, "clustream_kernels": clustream, "clustream_macro": clustream_macro,
     "distributed_clustream": distributed_clustream, "cmm": cmm, "enclosing_ball": enclosing_ball,
 }
 
@@ -189,4 +196,5 @@ SQL = {
     "bss": f"with {TALL}, m as (select i, avg(v) as m from tall group by 1), a as (select grp, i, count(*) as n, avg(v) as c from tall group by 1,2), b as (select label, i, count(*) as n, avg(v) as c from tall group by 1,2), s as (select (select sum(n*(c-m)*(c-m)) from a join m using (i)) as bss, (select sum(n*(c-m)*(c-m)) from b join m using (i)) as gt) select round(bss,4) as bss, round(gt,4) as bss_gt, round(bss/gt,4) as bss_ratio from s",
     "sphere_overlap": f"with {TALL}, {_clusters('label', 'c')}, d as (select a.cluster, b.cluster as other, sqrt(sum((a.ls/a.n-b.ls/b.n)*(a.ls/a.n-b.ls/b.n))) as d from c_cf a join c_cf b on a.i=b.i and a.cluster < b.cluster group by 1,2), x as (select d.*, c1.radius as r1, c2.radius as r2 from d join c c1 using (cluster) join c c2 on c2.cluster=d.other) select cluster, other, round(case when d >= r1+r2 then 0 when d+least(r1,r2) <= greatest(r1,r2) then 1 else (r1+r2-d)/(2*least(r1,r2)) end,5)+0.0 as overlap, round(greatest(d-r1-r2,0),5)+0.0 as hull from x",
     "asof_ground_truth": "with t as (select event_id as ts, event_type as truth from events where event_id % 100 = 0), r as (select event_id as ts, user_id from events) select r.ts, r.user_id, t.truth, t.ts as truth_ts from r asof left join t on r.ts >= t.ts",
+    "asof_irregular_truth": "with t as (select event_id as ts, event_type as truth from events where event_id % 7919 % 61 = 17 and event_id > 40), r as (select event_id as ts, user_id from events where event_id % 3 = 1) select r.ts, r.user_id, t.truth, t.ts as truth_ts from r asof left join t on r.ts >= t.ts",
 }

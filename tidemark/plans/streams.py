@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import normal_cdf_sql
 from tidemark.operators import evaluation as E
 from tidemark.operators import statistics as S
+from tidemark.operators.ordered import in_blocks, numbered
 
 CLASSES = ["click", "error", "purchase", "signup", "view"]
 ATTRIBUTES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -50,7 +51,7 @@ R6 = lambda *names: ", ".join(f"round({n},6)+0.0 as {n}" for n in names)  # noqa
 
 
 def predicted(spark, d):
-    return E.majority(events(spark, d), "idx", "y", 5)
+    return E.majority(in_blocks(events(spark, d), "idx"), "idx", "y", 5)
 
 
 def prequential_majority(spark, d):
@@ -68,8 +69,6 @@ def classification_window(spark, d):
 
 
 def learning_curve(spark, d):
-    from tidemark.operators.ordered import numbered
-
     curve = numbered(E.classification(predicted(spark, d), "idx", "y", "pred", 5), "idx").withColumn("n", F.col("rn") + 1)
     return rounded(E.sampled(curve.select("n", *MEASURES), F.col("n"), 1000), 6, *MEASURES)
 
