@@ -96,6 +96,11 @@ def hash_uniform(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *keys)), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def prob_round(v: Column, u: Column) -> Column:
+    """A whole number next to v: the upper one with the probability of v's fraction, for a uniform number u."""
+    return (F.floor(v) + (v - F.floor(v) > u).cast("int")).cast("long")
+
+
 def poisson1(u: Column) -> Column:
     """Poisson(1) by inversion: the smallest k whose cumulated weight exceeds u * e; a tie advances."""
     steps, sums = [], 0.0

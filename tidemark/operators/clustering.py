@@ -8,6 +8,7 @@ time, and only sums per point or cluster leave a task; they are quadratic by nat
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -93,8 +94,9 @@ def squared(x: Column, c: Column) -> Column:
 
 
 def literal(rows: list) -> Column:
-    """Clusters as an array of structs in the plan: cluster, centre, radius, weight."""
-    return F.array(*(F.struct(F.lit(r["cluster"]).alias("cluster"), F.array(*(F.lit(float(v)) for v in r["centre"])).alias("centre"), F.lit(float(r["radius"])).alias("radius"), F.lit(float(r["weight"])).alias("weight")) for r in rows))
+    """Clusters as one constant, an array of structs: cluster, centre, radius, weight."""
+    told = [{"cluster": int(r["cluster"]), "centre": [float(v) for v in r["centre"]], "radius": float(r["radius"]), "weight": float(r["weight"])} for r in rows]
+    return F.from_json(F.lit(json.dumps(told)), "array<struct<cluster: int, centre: array<double>, radius: double, weight: double>>")
 
 
 def clusters_of(points: DataFrame, key: str) -> DataFrame:
@@ -113,7 +115,7 @@ def spheres_of(points: DataFrame, key: str) -> DataFrame:
 
 def nearest(points: DataFrame, centres: list[list[float]]) -> DataFrame:
     """Adds `cluster`, the first of the nearest centres, and `d2`, the squared distance."""
-    made = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in centres))
+    made = F.from_json(F.lit(json.dumps([[float(v) for v in c] for c in centres])), "array<array<double>>")
     out = points.withColumn("_d", F.transform(made, lambda c: squared(F.col("x"), c)))
     return out.withColumn("d2", F.array_min("_d")).withColumn("cluster", (F.array_position("_d", F.col("d2")) - 1).cast("int")).drop("_d")
 
@@ -135,6 +137,12 @@ def inside(points: DataFrame, clusters: list) -> DataFrame:
     return points.withColumn("c", F.explode_outer(hit)).withColumns({"cluster": F.col("c.cluster"), "d2": F.col("c.d2")}).drop("c")
 
 
+def max_inclusion(points: DataFrame, clusters: list) -> DataFrame:
+    """Adds `inclusion`: the largest that any cluster gives a point (0 without clusters)."""
+    each = F.transform(literal(clusters), lambda c: inclusion(F.sqrt(squared(F.col("x"), c["centre"])), c["radius"], c["weight"]))
+    return points.withColumn("inclusion", F.coalesce(F.array_max(each), F.lit(0.0)))
+
+
 def membership(points: DataFrame, clusters: list) -> DataFrame:
     """(cluster, label, n); the uncovered points are cluster -1, a point may be in several."""
     return inside(points, clusters).groupBy(F.coalesce("cluster", F.lit(-1)).alias("cluster"), "label").agg(F.count("*").alias("n"))
@@ -160,7 +168,7 @@ def pair_measures(cells: DataFrame) -> DataFrame:
 def _cells(cells: DataFrame) -> DataFrame:
     rows = cells.groupBy("cluster").agg(F.sum("n").alias("r"))
     columns = cells.groupBy("label").agg(F.sum("n").alias("k"))
-    return cells.join(F.broadcast(rows), "cluster").join(F.broadcast(columns), "label")
+    return cells.join(rows, "cluster").join(columns, "label")
 
 
 def entropies(cells: DataFrame, clusters: int) -> DataFrame:
@@ -304,6 +312,14 @@ def hull_distance(distance: Column, r1: Column, r2: Column) -> Column:
     return F.greatest(distance - r1 - r2, F.lit(0.0))
 
 
+def combined(c1: Column, r1: Column, w1: Column, c2: Column, r2: Column, w2: Column) -> tuple[Column, Column, Column]:
+    """(centre, radius, weight) of the sphere that takes the place of two: the weighted centre, and a radius that reaches
+    as far as the larger of both, or half way around them if that is more."""
+    w = w1 + w2
+    centre = F.zip_with(c1, c2, lambda a, b: (a * w1 + b * w2) / w)
+    return centre, F.greatest(r1, r2, (r1 + r2 + F.sqrt(squared(c1, c2))) / 2), w
+
+
 def latest_before(results: DataFrame, truth: DataFrame, ts: str) -> DataFrame:
     """Joins each result to the newest ground truth at or before it (null where there is none)."""
     return latest(results, truth.withColumn("truth_ts", F.col(ts)), ts, ["truth", "truth_ts"])

@@ -7,6 +7,7 @@ alternative is `statistics.numeric_cuts`.
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -67,14 +68,17 @@ class Quantiles:
             return
         self.n += 1
         k = bisect.bisect_right([t[0] for t in self.tuples], x)
-        slack = 0 if k in (0, len(self.tuples)) else self.tuples[k][1] + self.tuples[k][2] - 1
-        self.tuples.insert(k, [x, 1, max(slack, 0)])
-        while len(self.tuples) > self.limit:
-            # join the neighbours that together are least full; the first and the last value stay
+        slack = 0 if k == len(self.tuples) else self.tuples[k][1] + self.tuples[k][2] - 1
+        self.tuples.insert(k, [x, 1, slack])
+        if len(self.tuples) >= self.limit:
+            # a tuple may go into the next one only if it is no surer than that, on which the error bound rests;
+            # of those the pair that is least full is joined, and the first and the last value stay
             inner = range(1, len(self.tuples) - 1)
-            k = min(inner, key=lambda i: self.tuples[i][1] + self.tuples[i + 1][1] + self.tuples[i + 1][2])
-            self.tuples[k + 1][1] += self.tuples[k][1]
-            del self.tuples[k]
+            sure = [i for i in inner if self.tuples[i][2] >= self.tuples[i + 1][2]]
+            if sure or len(self.tuples) > self.limit:
+                k = min(sure or inner, key=lambda i: self.tuples[i][1] + self.tuples[i + 1][1] + self.tuples[i + 1][2])
+                self.tuples[k + 1][1] += self.tuples[k][1]
+                del self.tuples[k]
 
     def below(self, x: float) -> float:
         """About how many rows are below x."""
@@ -86,13 +90,27 @@ class Quantiles:
         return float(self.n)
 
     def quantile(self, q: float) -> float | None:
-        target, rank = q * max(self.n - 1, 0) + 1, 0.0
-        for v, g, d in self.tuples:
+        target, rank = math.ceil(q * self.n), 0
+        for (v, g, _), (_, after, _) in zip(self.tuples, self.tuples[1:]):
             rank += g
-            if rank + d / 2 >= target:
+            if rank + after > target:
                 return v
         return self.tuples[-1][0] if self.tuples else None
 
+    def error(self) -> int:
+        """The most rows by which a rank can be wrong."""
+        return max((int(g + d) for _, g, d in self.tuples[1:-1]), default=0)
+
+
+class Nothing:
+    """Observes nothing and suggests no cut: for attributes that a learner is to leave alone."""
+
+    def add(self, x: float, y=None, w: float = 1.0) -> None:
+        pass
+
+    def cuts(self) -> list:
+        return []
+
 
 class LimitedMoments:
     """Target moments at or below at most `limit` values: the first distinct ones are the cut points."""

@@ -196,6 +196,8 @@ class AMRules:
     sums over the bins are the candidate literals.  A rule that meets the Hoeffding bound on the ratio
     of the two best reductions of the standard deviation takes the literal of the better branch; the
     default rule becomes a new rule and starts anew.  A rule whose error passes the Page-Hinkley bar goes.
+    Rows without a target are not learned; a missing attribute counts in no bin, as no literal covers it.
+    `online.Rules` is the row-by-row form, with perceptrons, anomaly test and a change test on every row.
     """
 
     def __init__(self, attributes: list[str], ranges: dict[str, tuple[float, float]], delta: float = 1e-7, tie: float = 0.05, grace: int = 200, bins: int = 32, ordered: bool = True, bar: float = 35.0, ph_delta: float = 0.005):
@@ -219,25 +221,26 @@ class AMRules:
 
     def learn(self, df: DataFrame, y: str) -> AMRules:
         """One micro-batch."""
-        n = len(self.rules)
-        rows = self.predict(df)
-        pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("a"), self._bin(a).alias("bin")) for k, a in enumerate(self.attributes))))
-        tall = rows.select("rule", F.col(y).cast("double").alias("y"), F.abs(F.col(y) - F.col("pred")).alias("e"), pairs.alias("p")).select("rule", "y", "e", "p.a", "p.bin")
+        n, own = len(self.rules), len(self.attributes)
+        rows = self.predict(df.where(F.col(y).isNotNull()))
+        # a row stands for itself once, as one more attribute, and in the bin of each attribute that it has
+        bins = [*((k, self._bin(a)) for k, a in enumerate(self.attributes)), (own, F.lit(0))]
+        pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("a"), b.alias("bin")) for k, b in bins)))
+        tall = rows.select("rule", F.col(y).cast("double").alias("y"), F.abs(F.col(y) - F.col("pred")).alias("e"), pairs.alias("p")).select("rule", "y", "e", "p.a", "p.bin").where("bin is not null")
         # at most rules x attributes x bins rows
         cells = tall.groupBy("rule", "a", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"), F.sum("e").alias("e")).collect()
         fresh: dict[int, np.ndarray] = {}
         errors: dict[int, list[float]] = {}
         for r in cells:
-            fresh.setdefault(r.rule, np.zeros((len(self.attributes), self.bins, 3)))[r.a, r.bin] += (r.n, r.s, r.q)
-            if r.a == 0:
-                e = errors.setdefault(r.rule, [0.0, 0.0])
-                e[0], e[1] = e[0] + r.n, e[1] + r.e
+            fresh.setdefault(r.rule, np.zeros((own + 1, self.bins, 3)))[r.a, r.bin] += (r.n, r.s, r.q)
+            if r.a == own:
+                errors[r.rule] = [r.n, r.e]
         gone = []
         for k in [*range(n), -1]:
             rule = self.rules[k] if k >= 0 else self.default
             if k in fresh:
                 rule.stats = fresh[k] if rule.stats is None else rule.stats + fresh[k]
-                total = rule.stats[0].sum(0)
+                total = rule.stats[own, 0]
                 error = errors[k][1] / errors[k][0]
                 rule.seen += errors[k][0]
                 if not math.isinf(rule.error) and rule.error > 0:
@@ -255,7 +258,8 @@ class AMRules:
 
     def _bin(self, a: str) -> Column:
         low, high = self.ranges[a]
-        return F.least(F.greatest(F.floor((F.col(a) - low) / ((high - low) or 1.0) * self.bins), F.lit(0)), F.lit(self.bins - 1)).cast("int")
+        at = F.floor((F.col(a) - low) / ((high - low) or 1.0) * self.bins)
+        return F.when(F.col(a).isNotNull(), F.least(F.greatest(at, F.lit(0)), F.lit(self.bins - 1))).cast("int")
 
     def _expand(self, k: int) -> None:
         rule = self.rules[k] if k >= 0 else self.default
@@ -263,6 +267,8 @@ class AMRules:
         for i, a in enumerate(self.attributes):
             left = rule.stats[i].cumsum(0)
             total, left = left[-1], left[:-1]
+            if total[0] <= 0:
+                continue
             right = total - left
             ok = np.minimum(left[:, 0], right[:, 0]) >= max(0.05 * total[0], 1)
             if not ok.any():

@@ -21,6 +21,26 @@ def gaussian_observers(df: DataFrame, attributes: list[str], y: str) -> DataFram
     return rows.groupBy("attribute", y).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.greatest(F.coalesce(F.var_samp("value"), F.lit(0.0)), F.lit(0.0)).alias("variance"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
+def weighted_gaussian(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Per group: weight, mean and variance (by weight less one; 0 up to a weight of one); rows without value or positive weight do not count."""
+    v, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v) & (w > 0)).select(*keys, v.alias("_v"), w.alias("_w"))
+    sums = rows.groupBy(*keys).agg(F.sum("_w").alias("weight"), F.sum(F.col("_w") * F.col("_v")).alias("s"), F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("q"))
+    return sums.select(*keys, "weight", (F.col("s") / F.col("weight")).alias("mean"), _weighted_variance(F.col("q") - F.col("s") * F.col("s") / F.col("weight")))
+
+
+def _weighted_variance(squares: Column) -> Column:
+    return F.when(F.col("weight") > 1, F.greatest(squares, F.lit(0.0)) / (F.col("weight") - 1)).otherwise(0.0).alias("variance")
+
+
+def merged_gaussian(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Weight, mean and variance of the unions of groups that share the keys."""
+    w, m = F.col("weight"), F.col("mean")
+    within = F.when(w > 1, F.col("variance") * (w - 1)).otherwise(0.0)
+    sums = parts.groupBy(*keys).agg(F.sum(w).alias("weight"), F.sum(w * m).alias("s"), F.sum(within + w * m * m).alias("q"))
+    return sums.select(*keys, "weight", (F.col("s") / F.col("weight")).alias("mean"), _weighted_variance(F.col("q") - F.col("s") * F.col("s") / F.col("weight")))
+
+
 def nominal_counts(df: DataFrame, attributes: list[str], y: str) -> DataFrame:
     """Contingency of each attribute's values with the class; missing values are a row of their own."""
     pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes)))

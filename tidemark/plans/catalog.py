@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clusters, drift, learners, streams, trees
+from . import clusters, drift, flows, learners, streams, trees
 
-PARTS = (streams, drift, learners, clusters, trees)
+PARTS = (streams, drift, learners, clusters, trees, flows)
 
 
 def queries() -> dict:

@@ -3,28 +3,72 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 from typing import Any
 
-from tidemark.operators import drift, hoeffding, micro
-from tidemark.sources import generators
+from tidemark import flows, protocols, tasks
+from tidemark.operators import drift, evaluation, hoeffding, micro, observers, online, rules
+from tidemark.sources import arff, generators
 
+
+class Measured:
+    """An evaluator made of a function and its options."""
+
+    def __init__(self, of: Callable, **options):
+        self.of, self.options = of, options
+
+    def measure(self, df, order, y, pred):
+        return self.of(df, order, y, pred, **self.options)
+
+
+def _over(make: Callable) -> Callable:
+    """Ensembles and adaptive learners over a learner that is named in their options: -l (tree -grace 50)."""
+
+    def made(classes: int = 2, models: int = 10, l: tuple = ("tree", {}), d: tuple = ("adwin", {})):  # noqa: E741
+        base = lambda: _made("learner", *l, {"classes": classes})
+        return make(base, classes, models, lambda: _made("detector", *d, {}))
+
+    return made
+
+
+#: What can be named, by kind; `register` adds to it.
 KINDS: dict[str, dict[str, Callable]] = {
     "detector": {"ddm": drift.ddm, "eddm": drift.eddm, "page_hinkley": drift.page_hinkley, "cusum": drift.cusum, "geometric": drift.geometric, "ewma": drift.ewma, "ph_test": drift.ph_test, "adwin": drift.adwin},
     "criterion": {"info_gain": lambda: hoeffding.info_gain, "gini": lambda: hoeffding.gini_gain},
     "stream": {"random_tree": generators.random_tree, "hyperplane": generators.hyperplane},
+    "source": {"greetings": flows.Greetings, "table": flows.Table},
+    "reader": {"arff": arff.read},
     "clusterer": {"clustream": micro.clustream, "distributed": micro.distributed},
+    "learner": {
+        "majority": online.Majority, "bayes": online.NaiveBayes, "tree": online.Tree, "bagging": _over(lambda base, classes, models, detector: online.Bagging(base, models, classes)),
+        "boosting": _over(lambda base, classes, models, detector: online.Boosting(base, models, classes)), "adaptive": _over(lambda base, classes, models, detector: online.Adaptive(base, detector())),
+        "adaptive_bagging": _over(lambda base, classes, models, detector: online.Bagging(lambda: online.Adaptive(base, detector()), models, classes)),
+    },
+    "regressor": {"rules": online.Rules},
+    "evaluator": {"classification": lambda **o: Measured(evaluation.classification, **o), "window": lambda **o: Measured(evaluation.classification, **({"width": 1000} | o)), "regression": lambda **o: Measured(evaluation.regression, **o)},
+    "observer": {"bins": observers.Bins, "quantiles": observers.Quantiles, "moments": observers.LimitedMoments, "nothing": observers.Nothing},
+    "vote": {"inverse_error": lambda: rules.inverse_error_vote, "uniform": lambda: rules.uniform_vote},
+    "task": {"prequential": lambda **o: partial(tasks.prequential, **o), "clustering": lambda **o: partial(tasks.clustering_evaluation, **o), "hello_world": flows.hello_world},
 }
 
+#: What a part of a kind must offer, where that is more than being made.
+SHAPES = {"learner": protocols.Learner, "regressor": protocols.Learner, "source": protocols.Source, "evaluator": protocols.Evaluator}
+
 
 def register(kind: str, name: str, make: Callable) -> None:
     KINDS.setdefault(kind, {})[name] = make
 
 
 def create(kind: str, text: str, **defaults) -> Any:
-    name, options = parse(text)
+    """The part that a command line names: `bagging -models 5 -l (tree -grace 50)`."""
+    return _made(kind, *parse(text), defaults)
+
+
+def _made(kind: str, name: str, options: dict, defaults: dict) -> Any:
     if name not in KINDS.get(kind, {}):
         raise KeyError(f"no {kind} is called {name!r}; there are {sorted(KINDS.get(kind, {}))}")
-    return KINDS[kind][name](**(defaults | options))
+    part = KINDS[kind][name](**(defaults | options))
+    return protocols.check(part, SHAPES[kind]) if kind in SHAPES else part
 
 
 def parse(text: str) -> tuple[str, dict[str, Any]]:

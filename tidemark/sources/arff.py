@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +35,13 @@ def unquoted(s: str) -> str:
 
 def header(spark: SparkSession, path: str, glob: str = "*.arff") -> tuple[str, list[Attribute]]:
     """(relation, attributes) of the first file by path."""
-    lines = _lines(spark, path, glob).where(F.lower(F.trim("value")).startswith("@")).select("file", "value", F.monotonically_increasing_id().alias("n"))
-    rows = lines.orderBy("file", "n").collect()  # a line per attribute and file
-    if not rows:
+    lines = _lines(spark, path, glob).where(F.lower(F.trim("value")).startswith("@"))
+    least = lines.agg(F.min("file")).first()[0]
+    if least is None:
         raise ValueError(f"no ARFF header in {path}")
     relation, found = "", []
-    for r in rows:
-        if r.file != rows[0].file:
-            break
+    # a line per attribute, in the order of the file
+    for r in lines.where(F.col("file") == least).select("value", F.monotonically_increasing_id().alias("n")).orderBy("n").collect():
         text = r.value.strip()
         m = _ATTRIBUTE.match(text)
         if m:
@@ -97,8 +97,13 @@ def to_arff(df: DataFrame, relation: str = "data") -> str:
 
 
 def write(df: DataFrame, path: str, relation: str = "data") -> None:
-    """Text files whose header is a file of its own before the rows' files."""
+    """Text files, each of which begins with the header, so that each is an ARFF file by itself."""
     row = F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("?")) for c in df.columns))
-    df.select(row.alias("value")).write.mode("overwrite").text(path)
-    head = df.sparkSession.createDataFrame([(line,) for line in to_arff(df, relation).split("\n")], "value string").coalesce(1)
-    head.write.mode("append").text(path)
+    head = to_arff(df, relation).split("\n")
+
+    def headed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, ["value"])
+
+    df.select(row.alias("value")).mapInArrow(headed, "value string").write.mode("overwrite").text(path)

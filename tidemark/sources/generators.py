@@ -18,31 +18,45 @@ def uniform(name: str, seed: int, idx: str = "idx") -> Column:
     return hash_uniform(F.lit(str(seed)), F.col(idx).cast("string"), F.lit(name))
 
 
-def random_tree(spark: SparkSession, n: int, tree_seed: int = 1, seed: int = 1, classes: int = 2, nominals: int = 5, numerics: int = 5, values: int = 5, max_depth: int = 5, first_leaf: int = 3, leaf_share: float = 0.15) -> DataFrame:
-    """Rows labelled by a random decision tree: idx, nominal1.., numeric1.., class (1-based names)."""
+def tree_of(tree_seed: int = 1, classes: int = 2, nominals: int = 5, numerics: int = 5, values: int = 5, max_depth: int = 5, first_leaf: int = 3, leaf_share: float = 0.15):
+    """A random decision tree: ("class", name), ("nominal", column, {value: child}) or ("numeric", column, cut, below, rest).
+
+    A nominal attribute is asked for once on a path; a numeric one is cut within what is left of its range.
+    """
     rng = random.Random(tree_seed)
 
-    def grow(depth: int, free: list[int], low: dict[int, float], high: dict[int, float]) -> Column:
+    def grow(depth: int, free: list[int], low: dict[int, float], high: dict[int, float]):
         if depth >= max_depth or not free and not numerics or depth >= first_leaf and rng.random() < leaf_share:
-            return F.lit(f"class{rng.randrange(classes) + 1}")
+            return "class", f"class{rng.randrange(classes) + 1}"
         pick = rng.randrange(len(free) + numerics)
         if pick < len(free):
-            a = free[pick]
-            rest = [x for x in free if x != a]
-            out = None
-            for v in range(values):
-                child = grow(depth + 1, rest, low, high)
-                out = F.when(F.col(f"nominal{a + 1}") == f"value{v + 1}", child) if out is None else out.when(F.col(f"nominal{a + 1}") == f"value{v + 1}", child)
-            return out
+            rest = [x for x in free if x != free[pick]]
+            return "nominal", f"nominal{free[pick] + 1}", {f"value{v + 1}": grow(depth + 1, rest, low, high) for v in range(values)}
         a = pick - len(free)
         cut = low.get(a, 0.0) + rng.random() * (high.get(a, 1.0) - low.get(a, 0.0))
-        left = grow(depth + 1, free, low, high | {a: cut})
-        return F.when(F.col(f"numeric{a + 1}") < cut, left).otherwise(grow(depth + 1, free, low | {a: cut}, high))
+        below = grow(depth + 1, free, low, high | {a: cut})
+        return "numeric", f"numeric{a + 1}", cut, below, grow(depth + 1, free, low | {a: cut}, high)
+
+    return grow(0, list(range(nominals)), {}, {})
 
+
+def _label(tree) -> Column:
+    if tree[0] == "class":
+        return F.lit(tree[1])
+    if tree[0] == "numeric":
+        return F.when(F.col(tree[1]) < tree[2], _label(tree[3])).otherwise(_label(tree[4]))
+    out = F
+    for value, child in tree[2].items():
+        out = out.when(F.col(tree[1]) == value, _label(child))
+    return out
+
+
+def random_tree(spark: SparkSession, n: int, tree_seed: int = 1, seed: int = 1, classes: int = 2, nominals: int = 5, numerics: int = 5, values: int = 5, max_depth: int = 5, first_leaf: int = 3, leaf_share: float = 0.15) -> DataFrame:
+    """Rows labelled by a random decision tree: idx, nominal1.., numeric1.., class (1-based names)."""
     rows = spark.range(n).withColumnRenamed("id", "idx")
     cols = {f"nominal{k + 1}": F.concat(F.lit("value"), (F.floor(uniform(f"n{k}", seed) * values) + 1).cast("string")) for k in range(nominals)}
     cols |= {f"numeric{k + 1}": uniform(f"x{k}", seed) for k in range(numerics)}
-    return rows.withColumns(cols).withColumn("class", grow(0, list(range(nominals)), {}, {}))
+    return rows.withColumns(cols).withColumn("class", _label(tree_of(tree_seed, classes, nominals, numerics, values, max_depth, first_leaf, leaf_share)))
 
 
 def hyperplane(spark: SparkSession, n: int, seed: int = 1, attributes: int = 10, drifting: int = 2, change: float = 0.0, noise: float = 0.05, turn: float = 0.1) -> DataFrame:

@@ -43,33 +43,37 @@ def detect(stream: DataFrame, key: str, order: str, x: str, detector: Detector)
 
 
 def windowed_accuracy(stream: DataFrame, key: str, order: str, y: str, pred: str, width: int = 1000) -> DataFrame:
-    """Accuracy over the last `width` rows of each key, from a ring buffer in the key's state."""
+    """Accuracy over the last `width` rows of each key, from a ring buffer in the key's state.
+
+    As in `detect`, a row that comes after a later one is returned with `late` set and a null result.
+    """
     kind = stream.schema[key].dataType.simpleString()
 
     def fold(group, frames, state):
         rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        ring = json.loads(state.get[0]) if state.exists else []
+        ring, last = json.loads(state.get[0]) if state.exists else ([], None)
         out = []
         for at, hit in zip(rows[order].tolist(), (rows[y] == rows[pred]).tolist()):
+            if last is not None and at <= last:
+                out.append((group[0], at, None, True))
+                continue
             ring = [*ring[-(width - 1) :], int(hit)] if width > 1 else [int(hit)]
-            out.append((group[0], at, sum(ring) / len(ring)))
-        state.update((json.dumps(ring),))
-        yield pd.DataFrame(out, columns=[key, order, "accuracy"])
+            last = at
+            out.append((group[0], at, sum(ring) / len(ring), False))
+        state.update((json.dumps([ring, last]),))
+        yield pd.DataFrame(out, columns=[key, order, "accuracy", "late"])
 
     rows = stream.select(key, F.col(order).cast("long").alias(order), y, pred)
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {order} long, accuracy double", "ring string", "append", GroupStateTimeout.NoTimeout)
-
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {order} long, accuracy double, late boolean", "ring string", "append", GroupStateTimeout.NoTimeout)
 
-def micro_batches(stream: DataFrame, learn: Callable[[DataFrame], None], checkpoint: str):
-    """Run a model's `learn` once per micro-batch; a batch that is sent again after a restart is skipped."""
-    done: set[int] = set()
 
-    def once(batch: DataFrame, number: int) -> None:
-        if number not in done:
-            learn(batch)
-            done.add(number)
+def micro_batches(stream: DataFrame, learn: Callable[[DataFrame, int], None], checkpoint: str):
+    """Run a model's `learn(batch, number)` for every micro-batch, at least once.
 
-    return stream.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    After a restart the last batch may come again under its number.  A model that must learn it once only has to
+    be stored together with that number, and to leave out numbers it has.
+    """
+    return stream.writeStream.foreachBatch(learn).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dump_curve(curve: DataFrame, path: str, names: dict[str, str] | None = None) -> None:

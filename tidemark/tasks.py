@@ -9,10 +9,11 @@ from tidemark.operators import clustering, evaluation, hoeffding, micro
 from tidemark.operators.ordered import numbered
 
 
-def prequential(df: DataFrame, order: str, y: str, classes: list[str], learner="majority", numeric: list[str] = (), nominal: list[str] = (), limit: int | None = None, every: int = 100_000, width: int | None = None, batches: int = 10) -> DataFrame:
-    """A learning curve: n, accuracy, kappa, kappa_temporal after each `every` rows and at the end.
+def prequential(df: DataFrame, order: str, y: str, classes: list[str], learner="majority", numeric: list[str] = (), nominal: list[str] = (), limit: int | None = None, every: int = 100_000, width: int | None = None, batches: int = 10, test_every: int = 1, warm_up: int = 0) -> DataFrame:
+    """A learning curve: n, accuracy, kappa, kappa_temporal after each `every` tested rows and at the end.
 
     `learner` is "majority", "hoeffding" or a `HoeffdingTree`; `limit` bounds the rows, as an option of the task.
+    The first `warm_up` rows only train; of the rest every `test_every`-th is tested as well.
     """
     if learner not in ("majority", "hoeffding") and not isinstance(learner, hoeffding.HoeffdingTree):
         raise ValueError(f"no learner {learner!r}")
@@ -27,6 +28,8 @@ def prequential(df: DataFrame, order: str, y: str, classes: list[str], learner="
         out = hoeffding.prequential(rows, tree, "rn", y, batches)
         named = lambda c: (F.array_position(F.array(*map(F.lit, classes)), F.col(c)) - 1).cast("int")
         predicted = out.select("rn", named(y).alias("_y"), named("pred").alias("pred"))
+    if test_every != 1 or warm_up:
+        predicted = predicted.where((F.col("rn") >= warm_up) & ((F.col("rn") - warm_up) % test_every == 0)).withColumn("rn", F.floor((F.col("rn") - warm_up) / test_every))
     curve = evaluation.classification(predicted, "rn", "_y", "pred", len(classes), width=width).select((F.col("rn") + 1).alias("n"), "accuracy", "kappa", "kappa_temporal")
     last = curve.agg(F.max("n").alias("n")).withColumnRenamed("n", "last")
     return curve.crossJoin(F.broadcast(last)).where((F.col("n") % every == 0) | (F.col("n") == F.col("last"))).drop("last")  # one row on the right
