@@ -48,5 +48,28 @@ NEAR = f"""with recursive w as (select doc_id, list_filter([lower(regexp_replace
  select a as doc_id, min(b) as class_id, a = min(b) as kept from r group by a"""
 
 
+def _license_sql() -> str:
+    """Words by pattern, every run of words against every run of the templates, votes by diagonal, neighbours merged, shares held."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    rows = [(label, phrase, True, len(phrase.split())) for phrase, label in licenses.BASE.items()] + [(label, text, False, licenses.K) for label, text in licenses.TEMPLATES]
+    told = ", ".join(f"({i}, {quoted(label)}, {quoted(text)}, {base}, {k})" for i, (label, text, base, k) in enumerate(rows))
+    words = lambda t: f"regexp_extract_all(translate({t}, '{licenses.CAPITALS}', '{licenses.SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = lambda k: f"[array_to_string(w[i:i+{k}-1], ' ') for i in range(1, len(w)-{k}+2)]"
+    sizes = sorted({r[3] for r in rows})
+    return f"""with d as (select row_number() over () as row, doc_id, {words("coalesce(text, '')")} as w from documents),
+ t as (select id, label, {words("text")} as w, base, k from (values {told}) v(id, label, text, base, k)),
+ tg as (select id, label, base, k, len(w)-k+1 as runs, unnest({runs("k")}) as g, unnest(range(0, len(w)-k+1)) as pos from t),
+ dg as ({" union all ".join(f"select row, {k} as k, unnest({runs(k)}) as g, unnest(range(0, len(w)-{k}+1)) as place from d" for k in sizes)}),
+ hit as (select row, id, label, base, runs, place, pos from dg join tg using (k, g)),
+ b as (select row, count(*) as n, min(place) as f, max(place) as l, list_sort(list(distinct label)) as labels from hit where base group by 1),
+ v as (select row, id, label, runs, place - pos as diagonal, list(distinct pos) as ats from hit where not base group by all),
+ s as (select *, sum(new) over (partition by row, id order by diagonal) as span from (select *, case when diagonal - lag(diagonal) over (partition by row, id order by diagonal) <= {licenses.APART} then 0 else 1 end as new from v)),
+ m as (select row, label, count(distinct pos)/runs as share from (select row, id, label, runs, span, unnest(ats) as pos from s) group by row, id, label, runs, span),
+ o as (select row, list(distinct label) as labels, max(share) as share from m where share >= {licenses.COVERED} group by 1)
+ select doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.f::bigint as first_word, b.l::bigint as last_word, coalesce(array_to_string(b.labels, ','), '') as base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(coalesce(b.labels, []) || coalesce(o.labels, []))), ','), '') as labels, greatest(coalesce(o.share, 0.0), case when b.n > 0 then 1.0 else 0.0 end)::double as score
+ from d left join b using (row) left join o using (row)"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR}
+    return {"op7_license_scan": _license_sql(), "op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR}
