@@ -65,7 +65,7 @@ def rows(sentences):
     return [*out, out[3], (None, base), (None, "x y z")]
 
 
-@pytest.mark.parametrize("block", [256, 8])
+@pytest.mark.parametrize("block", [1024, 8])
 def test_as_by_all_pairs(docs_of, rows, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
     out = N.near_duplicates(docs_of(rows)).collect()
@@ -112,10 +112,9 @@ def test_overlaps_equal_similarity():
     sets = []
     for _ in range(12):
         k = np.unique(rng.integers(1, 300, 120).astype(np.uint64))
-        sets.append((k, None if rng.random() < 0.3 else rng.choice([0.5, 1.0, 2.0], len(k))))
-    full = [(k, np.ones(len(k)) if w is None else w) for k, w in sets]
+        sets.append((k, np.ones(len(k)) if rng.random() < 0.3 else rng.choice([0.5, 1.0, 2.0], len(k))))
     got = N._overlaps(sets[:5], sets[5:])
-    assert got == pytest.approx(np.array([[N.similarity(x, y) for y in full[5:]] for x in full[:5]]))
+    assert got == pytest.approx(np.array([[N.similarity(x, y) for y in sets[5:]] for x in sets[:5]]))
 
 
 def test_heavy_slots_hold_all_frequent_shingles(docs_of, sentences):

@@ -312,8 +312,8 @@ MEMBERS, BROADCAST_ROWS = 256, 1_000_000
 MOST_DIFFERENT = 62  # of 256 bits
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weights) -> DataFrame:
-    """(node, keys, weights) of the wanted nodes, read from the text of the document that stands for each."""
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, keys, counts) of the wanted nodes, read from the text of the document that stands for each; counts are empty if all are 1."""
     ids = nodes.join(wanted.distinct(), "node").select("node", "fold", F.col("doc_id").alias("rep"))
     ids = checkpointed(ids)
     if ids.count() <= BROADCAST_ROWS:
@@ -326,31 +326,35 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, weights) -> Dat
                 ids = word_ids(text or "")
                 if digest(ids) == fold:  # else another text under the same doc_id
                     keys, counts = shingles(ids)
-                    w = weights.value.of(keys, counts)
-                    for column, v in zip(out, (node, keys.tobytes(), b"" if (w == 1).all() else w.tobytes())):
+                    for column, v in zip(out, (node, keys.tobytes(), b"" if (counts == 1).all() else counts.astype(np.uint32).tobytes())):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["node", "keys", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.binary(), pa.binary()))], ["node", "keys", "counts"])
 
-    read = docs.join(ids, docs["doc_id"] == F.col("rep")).select("node", "fold", "text").mapInArrow(run, "node long, keys binary, w binary")
+    read = docs.join(ids, docs["doc_id"] == F.col("rep")).select("node", "fold", "text").mapInArrow(run, "node long, keys binary, counts binary")
     return checkpointed(read.dropDuplicates(["node"]))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _weighted(keys: bytes, counts: bytes, weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """The (keys, weights) that `_texts` made."""
+    keys = np.frombuffer(keys, np.uint64)
+    return keys, weights.of(keys, np.frombuffer(counts, np.uint32) if counts else np.ones(len(keys)))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """The pairs (a, b) of at least that similarity.  A pivot a goes once to each MEMBERS of its b."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "salt", "b")
-    member_rows = members.join(texts, F.col("b") == F.col("node")).select("a", "salt", F.lit(1).alias("part"), "b", "keys", "w")
+    member_rows = members.join(texts, F.col("b") == F.col("node")).select("a", "salt", F.lit(1).alias("part"), "b", "keys", "counts")
     pivots = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    pivot_rows = pivots.join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(0).alias("part"), F.col("a").alias("b"), "keys", "w")
+    pivot_rows = pivots.join(texts, F.col("a") == F.col("node")).select("a", "salt", F.lit(0).alias("part"), F.col("a").alias("b"), "keys", "counts")
     dealt = member_rows.unionByName(pivot_rows).repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
 
     def run(batches):
         pivot, held = None, None
         for batch in batches:
             out: list[list] = [[], []]
-            for a, part, b, keys, w in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
-                keys = np.frombuffer(keys, np.uint64)
-                own = keys, np.frombuffer(w, float) if w else np.ones(len(keys))
+            for a, part, b, keys, counts in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5))):
+                own = _weighted(keys, counts, weights.value)
                 if part == 0:
                     pivot, held = a, own
                 elif a == pivot and similarity(held, own) >= threshold:
@@ -361,18 +365,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
-#: Members of a bucket in one block of the second step.
-BLOCK = 256
+#: Members of a bucket in one block of the second step, and shingles that they may hold together.
+BLOCK, HELD = 1024, 1 << 20
 
 
-def _tiled(parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _tiled(parts: DataFrame, texts: DataFrame, weights, threshold: float) -> DataFrame:
     """Links (a, b) that connect what the pairs of different parts in a bucket connect.
 
     The members outside a bucket's main part, in `outer` blocks, meet all its members, in `inner` blocks:
     each pair of blocks is a group of its own.  A pair that shares an earlier band is left to that bucket.
     """
     rows = parts.join(texts, "node")
-    own = ["node", "part", "size", "bits", "bands", "keys", "w"]
+    own = ["node", "part", "size", "bits", "bands", "keys", "counts"]
     group = ["bucket", "o", "i"]
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     at = lambda n: F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
@@ -387,11 +391,11 @@ def _tiled(parts: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             columns = [batch.column(k) for k in range(len(batch.columns))]
             for k, key in enumerate(zip(*(c.to_pylist() for c in columns[:3]))):
                 if key != last:
-                    out += _linked(last and last[0], held, threshold)
+                    out += _linked(last and last[0], held, weights.value, threshold)
                     last, held = key, []
                 held.append(tuple(c[k].as_py() for c in columns[3:]))
             yield _pairs(out)
-        yield _pairs(_linked(last and last[0], held, threshold))
+        yield _pairs(_linked(last and last[0], held, weights.value, threshold))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -400,7 +404,7 @@ def _pairs(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _linked(bucket, held: list, threshold: float) -> list[tuple[int, int]]:
+def _linked(bucket, held: list, weights: Weights, threshold: float) -> list[tuple[int, int]]:
     """Star edges of the components that the links between the two sides of a group make."""
     outer, inner = [h for h in held if h[0] == 0], [h for h in held if h[0] > 0]
     if not outer or not inner:
@@ -422,7 +426,7 @@ def _linked(bucket, held: list, threshold: float) -> list[tuple[int, int]]:
     if not ok.any():
         return []
     rows, cols = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-    sets = lambda r: (np.frombuffer(r[6], np.uint64), np.frombuffer(r[7], float) if r[7] else None)
+    sets = lambda r: _weighted(r[6], r[7], weights)
     a, b = [sets(outer[k]) for k in rows], [sets(inner[k]) for k in cols]
     found = ok[np.ix_(rows, cols)] & (_overlaps(a, b) >= threshold * (1 - 1e-12))
     parent: dict[int, int] = {}
@@ -440,13 +444,17 @@ def _linked(bucket, held: list, threshold: float) -> list[tuple[int, int]]:
     return [(v, root(v)) for v in list(parent) if root(v) != v]
 
 
+#: Shingles at a time in the comparison of two blocks.
+SLICE = 1024
+
+
 def _overlaps(a: list, b: list) -> np.ndarray:
     """Weighted Jaccard similarities of all of `a` with all of `b`, a slice of the shingles at a time.
 
     A shingle of weight w counts as its steps: those up to the least weight of two texts are shared.
     """
     keys = np.concatenate([k for k, _ in (*a, *b)])
-    w = np.concatenate([np.ones(len(k)) if v is None else v for k, v in (*a, *b)])
+    w = np.concatenate([v for _, v in (*a, *b)])
     row = np.repeat(np.arange(len(a) + len(b)), [len(k) for k, _ in (*a, *b)])
     totals = np.bincount(row, w, len(a) + len(b))
     _, code, times = np.unique(keys, return_inverse=True, return_counts=True)
@@ -457,9 +465,9 @@ def _overlaps(a: list, b: list) -> np.ndarray:
     code, w, row = code[order], w[order], row[order]
     if len(code):
         _, code = np.unique(code, return_inverse=True)
-        for lo in range(0, int(code.max()) + 1, 4096):
-            i, j = np.searchsorted(code, [lo, lo + 4096])
-            x = np.zeros((len(a) + len(b), 4096))
+        for lo in range(0, int(code.max()) + 1, SLICE):
+            i, j = np.searchsorted(code, [lo, lo + SLICE])
+            x = np.zeros((len(a) + len(b), SLICE))
             x[row[i:j], code[i:j] - lo] = w[i:j]
             done = 0.0
             for level in np.unique(w[i:j]):  # min(u, v) is the sum of the steps that both reach
@@ -494,19 +502,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     m, p = F.col("m"), F.col("p")
     near = salted_join(shared, pivots, "bucket", "node").where((m["node"] != p["node"]) & _alike(m, p, threshold))
     first = checkpointed(near.select(p["node"].alias("a"), m["node"].alias("b")).distinct())
-    texts = _texts(docs, nodes.select("node", "fold", "doc_id"), first.select(F.col("a").alias("node")).union(first.select("b")), weights)
-    links = checkpointed(_verified(first, texts, threshold))
+    texts = _texts(docs, nodes.select("node", "fold", "doc_id"), first.select(F.col("a").alias("node")).union(first.select("b")))
+    links = checkpointed(_verified(first, texts, weights, threshold))
     found = checkpointed(components(links))
 
     # members of a bucket that are not yet connected
-    parts = shared.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("part"))
-    counted = parts.groupBy("bucket", "part").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("bucket").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most")).where("parts > 1")
-    mixed = mixed.select("bucket", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("n") / BLOCK).cast("int").alias("inner"))
-    parts = checkpointed(salted_join(parts, mixed, "bucket", "node"))
+    parts = shared.select("bucket", "node", m["size"].alias("held")).join(found, "node", "left").select("bucket", "node", "held", F.coalesce("component", "node").alias("part"))
+    counted = parts.groupBy("bucket", "part").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
+    mixed = counted.groupBy("bucket").agg(F.max_by(F.struct("part", "n", "held"), F.struct("n", "part")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("held").alias("held")).where("parts > 1")
+    blocks = lambda n, held: F.ceil(F.greatest(n / BLOCK, held / HELD)).cast("int")
+    mixed = mixed.select("bucket", "main.part", blocks(F.col("n") - F.col("main.n"), F.col("held") - F.col("main.held")).alias("outer"), blocks(F.col("n"), F.col("held")).alias("inner")).withColumnRenamed("part", "main")
+    parts = checkpointed(salted_join(parts.drop("held"), mixed, "bucket", "node"))
     if not parts.isEmpty():
-        texts = _texts(docs, nodes.select("node", "fold", "doc_id"), parts.select("node"), weights)
-        rest = checkpointed(_tiled(parts, nodes.join(texts, "node").select("node", "size", "bits", "bands", "keys", "w"), threshold))
+        texts = _texts(docs, nodes.select("node", "fold", "doc_id"), parts.select("node"))
+        rest = checkpointed(_tiled(parts, nodes.join(texts, "node").select("node", "size", "bits", "bands", "keys", "counts"), weights, threshold))
         found = checkpointed(components(links.union(rest)))
 
     named = nodes.select("node", "fold", F.col("doc_id").alias("rep")).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
