@@ -193,3 +193,46 @@ def test_quantile_summary_merges_only_what_is_no_surer():
     for (v, _, d), rank in zip(q.tuples, ranks):
         assert rank - 1 <= v <= rank + d  # the true rank lies between the bounds
     assert H.info_gain(np.array([1.0, 1.0]), [np.array([1.0, 0]), np.array([0, 1.0])]) == 1
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_cmm_as_point_by_point(spark, monkeypatch, block):
+    from tidemark.operators import clustering as C
+    from tidemark.operators import micro as M
+
+    monkeypatch.setattr(C, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.standard_normal((12, 2)), rng.standard_normal((12, 2)) + 2.5, rng.standard_normal((4, 2)) * 3, [[50.0, 50.0]]]
+    label = [0] * 12 + [1] * 12 + [-1] * 4 + [2]
+    clusters = [{"cluster": j, "centre": c, "radius": r, "weight": 9.0} for j, c, r in ((0, [0.0, 0.0], 1.2), (1, [2.5, 2.5], 1.5), (2, [1.0, 1.0], 1.4))]
+    points = spark.createDataFrame([(i, v.tolist(), y) for i, (v, y) in enumerate(zip(x, label))], "id long, x array<double>, label int")
+    near = lambda i, c: sorted(np.linalg.norm(x[i] - x[j]) for j in range(29) if j != i and label[j] == c)[:2]
+    knn = {(i, c): np.mean(near(i, c)) if near(i, c) else None for i in range(29) for c in (0, 1, 2)}
+    usual = {c: np.mean(v) if (v := [knn[i, c] for i in range(29) if label[i] == c and knn[i, c] is not None]) else None for c in (0, 1, 2)}
+    con = {(i, c): float(label[i] == c) if usual[c] is None else 1.0 if v <= usual[c] else usual[c] / v for (i, c), v in knn.items()}
+    held = [[j for j, c in enumerate(clusters) if np.linalg.norm(v - c["centre"]) <= c["radius"]] for v in x]
+    stands = {j: max((0, 1, 2), key=lambda c: (sum(j in held[i] for i in range(29) if label[i] == c), -c)) for j in range(3)}
+    top = missed = misplaced = noise = 0.0
+    for i, y in enumerate(label):
+        best = max((con[i, stands[j]] for j in held[i]), default=0.0)
+        top += 1.0 if y == -1 else con[i, y]
+        if y == -1:
+            noise += best
+        elif not held[i]:
+            missed += con[i, y]
+        elif y not in [stands[j] for j in held[i]]:
+            misplaced += con[i, y] * (1 - best)
+    out = M.cmm(points, clusters).first()
+    assert (out.missed, out.misplaced, out.noise) == pytest.approx((missed / top, misplaced / top, noise / top)) and out.cmm == pytest.approx(1 - (missed + misplaced + noise) / top)
+    tied = M.joined_classes(M.connectivity(points), 0.01)
+    assert tied[0] == tied[1] == 0 and tied[2] == 2
+    assert M.cmm(points.where("false"), clusters).first().cmm == 1
+
+
+def test_horizons_are_windows_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.standard_normal(2) * 0.1 + (5 if i % 2 else 0)).tolist(), i % 2) for i in range(250)]
+    out = tasks.clustering_evaluation(spark.createDataFrame(rows, "id long, x array<double>, label int"), "id", kernels=10, horizon=100, k=2).orderBy("horizon").collect()
+    assert [r.horizon for r in out] == [0, 1, 2] and all(r.ssq < 0.1 * 100 and 0.5 < r.rand <= 1 and 0 < r.van_dongen <= 1 for r in out)
+    alone = tasks.clustering_evaluation(spark.createDataFrame(rows[:100], "id long, x array<double>, label int"), "id", kernels=10, horizon=100, k=2).first()
+    assert alone.ssq == pytest.approx(out[0].ssq)

@@ -7,11 +7,12 @@ order.  Distributed runs fold each part on its own and merge the kernels, keepin
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clustering import RADIUS_FACTOR, TINY, lloyd, nearest
+from .clustering import RADIUS_FACTOR, TINY, _block_pairs, _by_group, _distances, inside, lloyd, nearest
 
 KERNEL = "part int, kernel int, n double, ls array<double>, ss array<double>, lst double, sst double"
 
@@ -178,38 +179,117 @@ def balls(points: DataFrame, label: str) -> DataFrame:
     return points.select(label, "x").groupBy(label).applyInPandas(run, schema)
 
 
+def connectivity(points: DataFrame, k: int = 2) -> DataFrame:
+    """id, label, class, con: how well a point is tied to each class.
+
+    Its mean distance to its `k` nearest others in the class, against the mean of that over the class's own points:
+    1 up to there, and the ratio beyond.  The only point of a class is tied to it fully, and no other point is.
+    """
+    held = points.select("id", "x", "label")
+    classes = sorted(r.label for r in held.where("label != -1").select("label").distinct().collect())  # a row a class
+
+    def nearest_of(batches):
+        for _, ((ids, x, _), (ids2, y, labels)) in _by_group(batches):
+            if not ids or not ids2:
+                continue
+            d = _distances(np.array(x), np.array(y))
+            d[np.array(ids)[:, None] == np.array(ids2)[None, :]] = np.inf
+            out: list[list] = [[], [], []]
+            for c in classes:
+                own = np.sort(d[:, np.array(labels) == c], axis=1)[:, :k]
+                for i, row in zip(ids, own):
+                    for column, v in zip(out, (i, c, row[np.isfinite(row)].tolist())):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.float64())))], ["id", "class", "ds"])
+
+    found = _block_pairs(held, False).mapInArrow(nearest_of, "id long, class int, ds array<double>")
+    least = F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, k)
+    mean = F.aggregate("ds", F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("ds"), F.lit(0))
+    near = found.groupBy("id", "class").agg(least.alias("ds")).select("id", "class", mean.alias("d")).join(held.select("id", "label"), "id")
+    usual = near.where(F.col("label") == F.col("class")).groupBy("class").agg(F.avg("d").alias("usual"))
+    con = F.when(F.col("usual").isNull(), (F.col("label") == F.col("class")).cast("double")).when(F.col("d") > F.col("usual"), F.col("usual") / F.col("d")).otherwise(1.0)
+    return near.join(usual, "class").select("id", "label", "class", con.alias("con"))
+
+
+def connections(con: DataFrame) -> DataFrame:
+    """label, class, con: the mean connectivity of a class's points to each other class."""
+    return con.where((F.col("label") != -1) & (F.col("label") != F.col("class"))).groupBy("label", "class").agg(F.avg("con").alias("con"))
+
+
+def joined_classes(con: DataFrame, tau: float = 0.5) -> dict[int, int]:
+    """Classes that are tied to each other beyond `tau` both ways count as one, named by the least: class -> name."""
+    tied = {(r["label"], r["class"]): r["con"] for r in connections(con).collect()}  # classes squared
+    names = {c: c for pair in tied for c in pair}
+
+    def root(c):
+        while names[c] != c:
+            c = names[c]
+        return c
+
+    for (a, b), v in sorted(tied.items()):
+        if a < b and min(v, tied.get((b, a), 0.0)) > tau:
+            x, y = root(a), root(b)
+            names[max(x, y)] = min(x, y)
+    return {c: root(c) for c in names}
+
+
 def cmm(points: DataFrame, clusters: list, k: int = 2) -> DataFrame:
-    """Cluster mapping measure of one window of bounded size.
+    """Cluster mapping measure: cmm and its three costs, as shares of all connectivity.
 
-    Connectivity of a point to a class is its k-nearest distance within the class against the class's
-    mean; a found cluster stands for the class with the most similar frequencies; missed points, points
-    in a cluster of another class and noise within clusters cost by their connectivity.
+    A found cluster stands for the class it holds most points of (the least of equals).  Points that no cluster holds,
+    points whose clusters all stand for other classes, and noise within clusters cost by their connectivity.
+    """
+    con = connectivity(points, k)
+    held = inside(points, clusters).where("cluster is not null").select("id", "label", "cluster")
+    counts = held.where("label != -1").groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    stands = counts.groupBy("cluster").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("class"))
+    hits = held.join(stands, "cluster", "left").join(con.select("id", "class", "con"), ["id", "class"], "left")
+    hits = hits.groupBy("id").agg(F.max("con").alias("best"), F.max(F.coalesce(F.col("label") == F.col("class"), F.lit(False))).alias("right"))
+    own = con.where(F.col("label") == F.col("class")).select("id", F.col("con").alias("own"))
+    rows = points.select("id", "label").join(own, "id", "left").join(hits, "id", "left")
+    noise, best, tied = F.col("label") == -1, F.coalesce("best", F.lit(0.0)), F.coalesce("own", F.lit(1.0))
+    cost = lambda when, v: F.sum(F.when(when, v).otherwise(0.0))
+    sums = rows.agg(
+        F.sum(F.when(noise, 1.0).otherwise(tied)).alias("top"), cost(~noise & F.col("right").isNull(), tied).alias("missed"),
+        cost(~noise & (F.col("right") == F.lit(False)), tied * (1 - best)).alias("misplaced"), cost(noise, best).alias("noise"),
+    )
+    share = lambda v: F.coalesce(F.when(F.col("top") > 0, v / F.col("top")), F.lit(0.0))
+    parts = [share(F.col(c)).alias(c) for c in ("missed", "misplaced", "noise")]
+    return sums.select((1 - share(F.col("missed") + F.col("misplaced") + F.col("noise"))).alias("cmm"), *parts)
+
+
+def horizons(points: DataFrame, horizon: int, kernels: int = 100, k: int = 5, parts: int = 2) -> DataFrame:
+    """horizon, ssq, van_dongen, rand: macro clusters of each horizon's kernels against its points' labels.
+
+    `points` has rn (the rank in the order), x and label.  A horizon is a bounded window, and one task's work; its
+    rows are dealt in turn to `parts` local clusterers, whose kernels are clustered by k-means from the heaviest.
     """
-    made = [(int(c["cluster"]), np.array(c["centre"], float), float(c["radius"])) for c in clusters]
 
     def run(pdf):
-        pdf = pdf.sort_values("id")
-        x, y = np.array(pdf["x"].tolist(), float), pdf["label"].to_numpy()
-        d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-        np.fill_diagonal(d, np.inf)
-        labels = [v for v in np.unique(y) if v != -1]
-        knn = {v: np.sort(d[:, y == v], 1)[:, :k].mean(1) for v in labels}
-        usual = {v: knn[v][y == v][np.isfinite(knn[v][y == v])].mean() for v in labels}
-        con = {v: np.where(knn[v] <= usual[v], 1.0, usual[v] / knn[v]) for v in labels}
-        held = np.stack([np.sqrt(((x - c) ** 2).sum(1)) <= r for _, c, r in made], 1)
-        counts = np.stack([held[y == v].sum(0) for v in labels], 0)
-        stands = [labels[int(counts[:, j].argmax())] if counts[:, j].sum() else None for j in range(len(made))]
-        missed = misplaced = noise = 0.0
-        top = sum(con[v][i] for i, v in enumerate(y) if v != -1) + float((y == -1).sum())
-        for i, v in enumerate(y):
-            own = np.flatnonzero(held[i])
-            if v == -1:
-                noise += max((con[stands[j]][i] for j in own if stands[j] is not None), default=0.0)
-            elif not len(own):
-                missed += con[v][i]
-            elif v not in [stands[j] for j in own]:
-                misplaced += con[v][i] * (1 - max((con[stands[j]][i] for j in own if stands[j] is not None), default=0.0))
-        out = {"cmm": 1 - (missed + misplaced + noise) / top if top else 1.0, "missed": missed / top if top else 0.0, "misplaced": misplaced / top if top else 0.0, "noise": noise / top if top else 0.0}
-        return pdf.iloc[:1].assign(**{k: round(float(v), 6) for k, v in out.items()})[list(out)]
-
-    return points.select("id", "x", "label", F.lit(0).alias("window")).groupBy("window").applyInPandas(run, "cmm double, missed double, misplaced double, noise double")
+        pdf = pdf.sort_values("rn")
+        x, labels = np.array(pdf["x"].tolist(), float), pdf["label"].to_numpy()
+        local = [CluStream(kernels, horizon) for _ in range(parts)]
+        for t, row in zip(pdf["rn"].tolist(), x):
+            local[t % parts].add(t, row)
+        made = sorted(((n, ls / n) for m in local for n, ls, *_ in m.result()), key=lambda r: (-r[0], r[1][0]))
+        rows = np.array([c for _, c in made])
+        centres = rows[:k]
+        for _ in range(5):
+            at = ((rows[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+            centres = np.array([rows[at == j].mean(0) if (at == j).any() else np.zeros(x.shape[1]) for j in range(len(centres))])
+        at = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        used = [j for j in range(len(centres)) if (at == j).any()]
+        centre = np.array([x[at == j].mean(0) for j in used])
+        radius = np.array([np.sqrt(x[at == j].var(0).sum()) if (at == j).sum() > 1 else 5e-5 for j in used])
+        d2 = ((x[:, None] - centre[None]) ** 2).sum(2)
+        within = np.sqrt(d2) <= radius
+        within = np.c_[within, ~within.any(1)]
+        cells = np.array([within[labels == v].sum(0) for v in np.unique(labels)], float)
+        pairs = lambda c: (c * (c - 1) / 2).sum()
+        n = cells.sum()
+        van_dongen = (cells.max(0).sum() + cells.max(1).sum()) / (2 * n)
+        rand = (pairs(n) - pairs(cells.sum(0)) - pairs(cells.sum(1)) + 2 * pairs(cells)) / pairs(n) if n > 1 else None
+        return pd.DataFrame([(int(pdf["horizon"].iloc[0]), d2[labels != -1].min(1).sum(), van_dongen, rand)], columns=["horizon", "ssq", "van_dongen", "rand"])
+
+    rows = points.withColumn("horizon", F.floor(F.col("rn") / horizon).cast("int"))
+    return rows.select("horizon", "rn", "x", "label").groupBy("horizon").applyInPandas(run, "horizon int, ssq double, van_dongen double, rand double")

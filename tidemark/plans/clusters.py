@@ -145,7 +145,12 @@ def distributed_clustream(spark, d):
 
 
 def cmm(spark, d):
-    return M.cmm(points(spark, d), found(spark, d))
+    out = M.cmm(points(spark, d), found(spark, d))
+    return rounded(out, 6, *out.columns)
+
+
+def class_connections(spark, d):
+    return rounded(M.connections(M.connectivity(points(spark, d))), 6, "con")
 
 
 def enclosing_ball(spark, d):
@@ -156,7 +161,7 @@ QUERIES = {
     "cf_by_label": cf_by_label, "cf_merge": cf_merge, "cf_radius": cf_radius, "cf_relevance_stamp": relevance, "kmeans_assign": kmeans_assign, "kmeans_iterate": kmeans_iterate, "gaussian_means": gaussian_means,
     "membership_matrix": membership_matrix, "ssq": ssq, "rand_van_dongen": pair_measures, "entropy_measures": entropy_measures, "f1_purity": f1_purity, "cluster_general": general, "silhouette": silhouette,
     "cindex": c_index, "bss": separation, "sphere_overlap": sphere_overlap, "asof_ground_truth": asof_ground_truth, "asof_irregular_truth": asof_irregular_truth, "clustream_kernels": clustream, "clustream_macro": clustream_macro,
-    "distributed_clustream": distributed_clustream, "cmm": cmm, "enclosing_ball": enclosing_ball,
+    "distributed_clustream": distributed_clustream, "cmm": cmm, "class_connections": class_connections, "enclosing_ball": enclosing_ball,
 }
 
 TALL = f"tall as (select vec_id as id, label, label%5 as grp, unnest(range({DIMS})) as i, unnest(embedding)::double as v from embeddings)"
@@ -171,6 +176,11 @@ CELLS = FOUND + ", cells as (select coalesce(h.cluster,-1) as cluster, p.label,
 SEEDED = TALL + ", seeds as (select id, i, v, dense_rank() over (order by id)-1 as cluster from tall qualify dense_rank() over (order by id) <= 5), d0 as (select t.id, s.cluster, sum((t.v-s.v)*(t.v-s.v)) as d2 from tall t join seeds s on s.i=t.i group by 1,2), a0 as (select id, arg_min(cluster, (d2, cluster)) as cluster, min(d2) as d2 from d0 group by 1)"
 
 
+_TIED = """pairs as (select a.id, a.label, b.id as id2, b.label as class, sqrt(sum((a.v-b.v)*(a.v-b.v))) as d from tall a join tall b on a.i=b.i and a.id <> b.id group by 1,2,3,4),
+ near as (select id, label, class, avg(d) as d from (select *, row_number() over (partition by id, class order by d) as r from pairs) where r <= 2 group by 1,2,3),
+ usual as (select class, avg(d) as u from near where label=class group by 1), con as (select id, label, class, case when d > u then u/d else 1 end as con from near join usual using (class))"""
+
+
 def _pass(k: int) -> str:
     return f", c{k} as (select a.cluster, t.i, avg(t.v) as v from tall t join a{k - 1} a using (id) group by 1,2), d{k} as (select t.id, s.cluster, sum((t.v-s.v)*(t.v-s.v)) as d2 from tall t join c{k} s on s.i=t.i group by 1,2), a{k} as (select id, arg_min(cluster, (d2, cluster)) as cluster, min(d2) as d2 from d{k} group by 1)"
 
@@ -196,5 +206,7 @@ SQL = {
     "bss": f"with {TALL}, m as (select i, avg(v) as m from tall group by 1), a as (select grp, i, count(*) as n, avg(v) as c from tall group by 1,2), b as (select label, i, count(*) as n, avg(v) as c from tall group by 1,2), s as (select (select sum(n*(c-m)*(c-m)) from a join m using (i)) as bss, (select sum(n*(c-m)*(c-m)) from b join m using (i)) as gt) select round(bss,4) as bss, round(gt,4) as bss_gt, round(bss/gt,4) as bss_ratio from s",
     "sphere_overlap": f"with {TALL}, {_clusters('label', 'c')}, d as (select a.cluster, b.cluster as other, sqrt(sum((a.ls/a.n-b.ls/b.n)*(a.ls/a.n-b.ls/b.n))) as d from c_cf a join c_cf b on a.i=b.i and a.cluster < b.cluster group by 1,2), x as (select d.*, c1.radius as r1, c2.radius as r2 from d join c c1 using (cluster) join c c2 on c2.cluster=d.other) select cluster, other, round(case when d >= r1+r2 then 0 when d+least(r1,r2) <= greatest(r1,r2) then 1 else (r1+r2-d)/(2*least(r1,r2)) end,5)+0.0 as overlap, round(greatest(d-r1-r2,0),5)+0.0 as hull from x",
     "asof_ground_truth": "with t as (select event_id as ts, event_type as truth from events where event_id % 100 = 0), r as (select event_id as ts, user_id from events) select r.ts, r.user_id, t.truth, t.ts as truth_ts from r asof left join t on r.ts >= t.ts",
+    "class_connections": f"with {TALL}, {_TIED} select label, class, round(avg(con),6) as con from con where label <> class group by 1,2",
+    "cmm": f"with {FOUND}, {_TIED}, n as (select h.cluster, p.label, count(*) as n from held h join (select distinct id, label from tall) p using (id) group by 1,2), st as (select cluster, arg_max(label, (n, -label)) as class from n group by 1), hits as (select h.id, max(con.con) as best, bool_or(con.label = st.class) as right_ from held h join st using (cluster) join con on con.id = h.id and con.class = st.class group by 1), r as (select con.id, con.con as own, best, right_ from con left join hits using (id) where con.label = con.class), s as (select sum(own) as top, coalesce(sum(own) filter (right_ is null),0) as missed, coalesce(sum(own*(1-best)) filter (not right_),0) as misplaced from r) select round(1-(missed+misplaced)/top,6) as cmm, round(missed/top,6) as missed, round(misplaced/top,6) as misplaced, 0.0::double as noise from s",
     "asof_irregular_truth": "with t as (select event_id as ts, event_type as truth from events where event_id % 7919 % 61 = 17 and event_id > 40), r as (select event_id as ts, user_id from events where event_id % 3 = 1) select r.ts, r.user_id, t.truth, t.ts as truth_ts from r asof left join t on r.ts >= t.ts",
 }

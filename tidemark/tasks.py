@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import clustering, evaluation, hoeffding, micro
+from tidemark.operators import evaluation, hoeffding, micro
 from tidemark.operators.ordered import numbered
 
 
@@ -38,17 +38,6 @@ def prequential(df: DataFrame, order: str, y: str, classes: list[str], learner="
 def clustering_evaluation(points: DataFrame, order: str, kernels: int = 100, horizon: int = 1000, k: int = 5, parts: int = 2) -> DataFrame:
     """Per horizon of the order: macro clusters of the horizon's kernels against its points' labels.
 
-    Rows: horizon, ssq, van_dongen, rand.  Horizons are bounded windows and are taken one after the other.
+    Rows: horizon, ssq, van_dongen, rand.  Horizons are bounded windows, evaluated side by side.
     """
-    spark = points.sparkSession
-    rows = numbered(points, order).withColumn("horizon", F.floor(F.col("rn") / horizon).cast("int"))
-    out = []
-    for h in sorted(r.horizon for r in rows.select("horizon").distinct().collect()):
-        window = rows.where(F.col("horizon") == h).select(F.col("rn").alias("id"), "x", "label")
-        made = micro._folded(window, "id", parts, kernels, horizon).select(F.monotonically_increasing_id().alias("id"), F.transform("ls", lambda v: v / F.col("n")).alias("x"), F.col("n").alias("weight"))
-        seeds = [r.x for r in made.orderBy(F.col("weight").desc(), F.col("x")[0]).limit(k).collect()]
-        centres = clustering.lloyd(made, seeds, 5)
-        found = clustering.spheres_of(clustering.nearest(window, centres).drop("d2"), "cluster").collect()
-        one = clustering.ssq(window, found).crossJoin(clustering.pair_measures(clustering.membership(window, found))).first()
-        out.append((h, one.ssq, one.van_dongen, one.rand))
-    return spark.createDataFrame(out, "horizon int, ssq double, van_dongen double, rand double")
+    return micro.horizons(numbered(points, order), horizon, kernels, k, parts)
