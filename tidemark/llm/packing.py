@@ -113,10 +113,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
 
 
-def reduce_by_dominance(counts: np.ndarray, capacity: int, passes: int = 8) -> list[tuple[int, tuple[int, ...]]]:
-    """Fix dominating sets; takes their pieces out of `counts` (by length) and returns (times, lengths)."""
-    fixed = []
-    for _ in range(passes):
+def reduce_by_dominance(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Fix dominating sets until there is none; takes their pieces out of `counts` (by length) and returns (times, lengths)."""
+    fixed: list[tuple[int, tuple[int, ...]]] = []
+    before = -1
+    while len(fixed) > before:
         before = len(fixed)
         for j in range(capacity, 0, -1):
             while counts[j]:
@@ -130,8 +131,6 @@ def reduce_by_dominance(counts: np.ndarray, capacity: int, passes: int = 8) -> l
                 for s, n in need.items():
                     counts[s] -= n * times
                 fixed.append((times, found))
-        if len(fixed) == before:
-            break
     return fixed
 
 
