@@ -168,6 +168,36 @@ def summarised(df: DataFrame, key: str, order: str, x: str, limit: int = 10) ->
     return dealt.mapInArrow(run, f"{key} {kind}, n long, lower double, median double, upper double")
 
 
+def observed_cuts(df: DataFrame, key: str, order: str, x: str, y: str, make) -> DataFrame:
+    """The cuts of one observer per key: key, cut, below, above (weights or sums of the rows on either side).
+
+    Rows are folded in order; rows without a value or target are left out.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    dealt = df.select(key, order, F.col(x).cast("double").alias("x"), F.col(y).alias("y")).where("x is not null and y is not null").repartition(key).sortWithinPartitions(key, order)
+
+    def run(batches):
+        last, held, schema_key = None, None, None
+
+        def told():
+            rows = [(last, float(cut), below.tolist(), above.tolist()) for cut, below, above in held.cuts()]
+            kinds = (schema_key, pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [key, "cut", "below", "above"])
+
+        for batch in batches:
+            schema_key = batch.schema.field(0).type
+            for k, v, target in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
+                if held is None or k != last:
+                    if held is not None:
+                        yield told()
+                    last, held = k, make()
+                held.add(v, target)
+        if held is not None:
+            yield told()
+
+    return dealt.mapInArrow(run, f"{key} {kind}, cut double, below array<double>, above array<double>")
+
+
 def perturbed(clusters: list[dict], seed: int = 227, remove: float = 0.0, shift: float = 0.0, shrink: float = 0.0, join: float = 0.0, extra: int = 0) -> list[dict]:
     """A clustering (dicts of centre, radius, weight) with errors put in; the input stays as it is.
 

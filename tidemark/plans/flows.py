@@ -11,6 +11,7 @@ from tidemark.functions import scalars as X
 from tidemark.operators import clustering as C
 from tidemark.operators import drift as D
 from tidemark.operators import evaluation as E
+from tidemark.operators import observers as O
 from tidemark.operators import online as L
 from tidemark.operators import statistics as S
 from tidemark.operators.rules import Perceptron
@@ -150,6 +151,20 @@ def online_bagging(spark, d):
     return L.hits(L.prequential_by(events(spark, d), "user_id", "idx", ["value"], "y", lambda: L.Bagging(lambda: L.Majority(5), 3, 5), 5), "user_id", "y")
 
 
+def vfml_bins_by_user(spark, d):
+    """Ten bins a user, opened by the first distinct values: rows, and rows of class 1, on either side of each cut."""
+    out = O.observed_cuts(events(spark, d), "user_id", "idx", "value", "y", lambda: O.Bins(5))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return out.select("user_id", "cut", total("below").alias("below"), total("above").alias("above"), F.get("below", 1).alias("errors"))
+
+
+def limited_moments_by_user(spark, d):
+    """Moments of a target at or below each of a user's first ten distinct values, and beyond."""
+    rows = events(spark, d).withColumn("target", (F.col("idx") % 24).cast("double"))
+    out = O.observed_cuts(rows, "user_id", "idx", "value", "target", lambda: O.LimitedMoments(10))
+    return out.select("user_id", "cut", F.get("below", 0).alias("n"), F.get("below", 1).alias("s"), F.get("below", 2).alias("q"), F.get("above", 1).alias("rest"))
+
+
 def online_rules(spark, d):
     rows = _keyed(spark, d).withColumn("target", 10 * F.col("att1") + F.when(F.col("att2") > 0.5, 5.0).otherwise(0.0))
     out = L.prequential_by(rows, "key", "idx", X4, "target", lambda: L.Rules(X4))
@@ -159,7 +174,7 @@ def online_rules(spark, d):
 QUERIES = {
     "round_robin_places": round_robin_places, "paced_batches": paced_batches, "flagged_prequential": flagged_prequential, "hello_world": hello_world, "prob_round": prob_round,
     "max_inclusion": max_inclusion, "weighted_gaussian": weighted_gaussian, "spheres_joined": spheres_joined, "arff_dense": arff_dense, "arff_sparse": arff_sparse, "curve_dump": curve_dump,
-    "stream_ddm_by_user": stream_ddm_by_user, "stream_accuracy_by_user": stream_accuracy, "online_majority_by_user": online_majority, "online_bagging_by_user": online_bagging,
+    "stream_ddm_by_user": stream_ddm_by_user, "stream_accuracy_by_user": stream_accuracy, "vfml_bins_by_user": vfml_bins_by_user, "limited_moments_by_user": limited_moments_by_user, "online_majority_by_user": online_majority, "online_bagging_by_user": online_bagging,
     "online_tree": _online(lambda: L.Tree(2, grace=50, tie=0.2)), "online_bayes": _online(lambda: L.NaiveBayes(2)), "online_adaptive_tree": _online(lambda: L.Adaptive(lambda: L.Tree(2, grace=50, tie=0.2), D.ddm())),
     "online_bagged_trees": _online(lambda: L.Bagging(lambda: L.Tree(2, grace=50, tie=0.2), 3, 2)), "online_boosted_bayes": _online(lambda: L.Boosting(lambda: L.NaiveBayes(2), 3, 2)), "online_rules": online_rules,
 }
@@ -218,6 +233,8 @@ _GK = """with recursive o as (select user_id, row_number() over (partition by us
  last as (select user_id, max(rn) as n, arg_max(t, rn) as t from st group by 1),
  ranks as (select user_id, n, t, [list_sum([e.g for e in t[:i]])::bigint for i in range(1, len(t)+1)] as r from last)
  select user_id, n, """ + ", ".join(f"coalesce(t[list_min([case when r[i] + t[i+1].g > ceil({q}*n) then i end for i in range(1, len(t))])].v, t[-1].v) as {name}" for q, name in ((0.25, "lower"), (0.5, "median"), (0.75, "upper"))) + " from ranks"
+#: The first ten distinct values of each user, which are the cut points of both limited observers.
+_POINTS = "e as (select user_id, event_id as idx, value as x, list_position(['click','error','purchase','signup','view'], event_type)-1 as y, (event_id % 24)::double as t from events), f as (select user_id, x as p, row_number() over (partition by user_id order by min(idx)) as k from e group by 1,2), pts as (select user_id, p, min(p) over (partition by user_id) as p0 from f where k <= 10)"
 _BEFORE = "rows between unbounded preceding and 1 preceding"
 _DRAWN = ", ".join(f"{X.poisson1_sql(_MD5('(rn-1)::varchar', f'{chr(39)}{m}{chr(39)}'))} as k{m}" for m in range(3))
 _KEPT = ", ".join(f"coalesce(sum(k{m}*(y={c})::int) over w, 0)::double as c{m}{c}" for m in range(3) for c in range(5))
@@ -242,6 +259,8 @@ SQL = {
     "stream_ddm_by_user": drift_plans.SQL["ddm_by_user"],
     "stream_accuracy_by_user": "with h as (select user_id, event_id, avg((event_type='view')::int) over (partition by user_id order by event_id rows between 19 preceding and current row) as a from events) select user_id, count(*) as n, round(arg_max(a, event_id),6)+0.0 as accuracy, 0::bigint as late from h group by 1",
     "online_majority_by_user": "with e as (select user_id, event_id, list_position(['click','error','purchase','signup','view'], event_type)-1 as y from events), s as (select *, " + ", ".join(f"coalesce(sum((y={c})::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding),0) as s{c}" for c in range(5)) + " from e), p as (select *, case " + " ".join(f"when s{c}=greatest(s0,s1,s2,s3,s4) then {c}" for c in range(5)) + " end as pred from s) select user_id, count(*) as n, count(*) filter (pred=y) as hits from p group by 1",
+    "vfml_bins_by_user": f"with {_POINTS}, m as (select user_id, max(x) as most from e group by 1) select pts.user_id, p as cut, count(*) filter (x = p or x < p and p > p0)::double as below, count(*) filter (not (x = p or x < p and p > p0))::double as above, count(*) filter ((x = p or x < p and p > p0) and y = 1)::double as errors from pts join e using (user_id) join m using (user_id) where p < most group by 1, 2",
+    "limited_moments_by_user": f"with {_POINTS} select pts.user_id, p as cut, count(*) filter (x <= p)::double as n, coalesce(sum(t) filter (x <= p),0) as s, coalesce(sum(t*t) filter (x <= p),0) as q, coalesce(sum(t) filter (x > p),0) as rest from pts join e using (user_id) group by 1, 2",
     "online_bagging_by_user": _BAGGED,
     "online_bayes": _BAYES,
     "stream_random_tree": f"with {_IDX}, r as (select idx, {_NOMINAL}, {_NUMERIC} from i), c as (select nominal1, {_tree_sql(G.tree_of())} as class from r) select nominal1, class, count(*) as n from c group by 1,2",
