@@ -244,6 +244,51 @@ _SUMS = ", ".join(f"coalesce(sum(case when y={c} then {v} else 0 end) over w, 0)
 _DENSITY = lambda c, j: f"case when n{c} > 1 and q{c}{j}-s{c}{j}*s{c}{j}/n{c} > 0 then exp(-power(a{j}-s{c}{j}/n{c},2)/(2*(q{c}{j}-s{c}{j}*s{c}{j}/n{c})/(n{c}-1)))/sqrt(2*pi()*(q{c}{j}-s{c}{j}*s{c}{j}/n{c})/(n{c}-1)) else (a{j}=s{c}{j}/n{c})::int end"
 _VOTE = lambda c: f"case when n{c} > 0 then n{c}/(n0+n1)*" + "*".join(f"({_DENSITY(c, j)})" for j in range(4)) + " else 0 end"
 _BAYES = f"with {_IDX}, a as (select idx, {_ATT}, {_MD5(chr(39) + '1' + chr(39), 'idx::varchar', chr(39) + 'noise' + chr(39))} as u from i), b as (select *, ((({'+'.join(f'{w}*a{k}' for k, w in enumerate(_HW))}) >= 0.5*({'+'.join(_HW)})) <> (u < 0.05))::int as y, idx % 16 as key from a), s as (select *, {_SUMS} from b window w as (partition by key order by idx {_BEFORE})), v as (select key, y, {_VOTE(0)} as v0, {_VOTE(1)} as v1 from s) select key, count(*) as n, count(*) filter (y = (v1 > v0)::int) as hits from v group by 1"
+_M, _K = range(5), range(5)
+
+
+def _boosting_sql() -> str:
+    """One row a step: the votes, then each model's rate from the one before, then the counts by Poisson draws."""
+    count = lambda m: [f"c{m}{c}" for c in _K]
+    total = lambda m: "(" + "+".join(count(m)) + ")"
+    state = [*(x for m in _M for x in count(m)), *(f"{x}{m}" for m in _M for x in ("r", "w", "s"))]
+    weight = lambda m: f"case when r{m}+w{m} > 0 and w{m} > 0 and w{m}/(r{m}+w{m}) <= 0.5 then ln((1-w{m}/(r{m}+w{m}))/(w{m}/(r{m}+w{m}))) else 0 end"
+    first = lambda names: "case " + " ".join(f"when {n}=greatest({','.join(names)}) then {k}" for k, n in enumerate(names)) + " end"
+    votes = ", ".join("0.0::double + " + " + ".join(f"case when {total(m)} > 0 then g{m}*c{m}{c}/{total(m)} else 0 end" for m in _M) + f" as v{c}" for c in _K)
+    body = f"select st.*, o.y, {', '.join(f'o.u{m}' for m in _M)}, {', '.join(f'{weight(m)} as g{m}' for m in _M)}, {', '.join(f'({first(count(m))}) = o.y as h{m}' for m in _M)}, 1.0::double as rate0 from st join o on o.user_id = st.user_id and o.rn = st.rn + 1"
+    body = f"select *, {votes} from ({body})"
+    for m in _M:
+        body = f"select *, rate{m}*(s{m}+rate{m})/(2*case when h{m} then r{m}+rate{m} else w{m}+rate{m} end) as rate{m + 1} from ({body})"
+    drawn = lambda m: f"len(list_filter(range(0, 46), lambda j: list_sum([exp(-rate{m} + i*ln(rate{m}) - lgamma(i+1)) for i in range(0, j+1)]) <= u{m}))"
+    body = f"select *, {', '.join(f'{drawn(m)} as t{m}' for m in _M)} from ({body})"
+    new = [*(f"c{m}{c} + (y={c})::int*t{m}" for m in _M for c in _K), *(x for m in _M for x in (f"r{m} + h{m}::int*rate{m}", f"w{m} + (not h{m})::int*rate{m}", f"s{m} + rate{m}"))]
+    start = ", ".join(f"0::double as {x}" for x in state)
+    uniform = ", ".join(f"{_MD5('event_id::varchar', f'{chr(39)}{m}{chr(39)}')} as u{m}" for m in _M)
+    return f"""with recursive o as (select user_id, row_number() over (partition by user_id order by event_id) as rn, list_position(['click','error','purchase','signup','view'], event_type)-1 as y, {uniform} from events),
+ st as (select user_id, 0::bigint as rn, 0::bigint as hits, {start} from (select distinct user_id from o) union all
+ select user_id, rn + 1, hits + ({first([f"v{c}" for c in _K])} = y)::int, {', '.join(new)} from ({body}))
+ select user_id, max(rn) as n, max(hits) as hits from st group by 1"""
+
+
+_C = ",".join(f"c{c}" for c in _K)
+_T = _C.replace(",", "+")
+_TOP = "case " + " ".join(f"when c{c}=greatest({_C}) then {c}" for c in _K) + " end"
+_SHARED = ", ".join("0.0::double + " + " + ".join(f"coalesce(max(case when st.m={m} and t > 0 then c{c}/t end),0)" for m in _M) + f" as v{c}" for c in _K)
+#: One row a step for each user and model: the detector moves on the model's misses, and a rise of its estimate starts the model anew.
+_ADAPTIVE = f"""with recursive e as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as rn, list_position(['click','error','purchase','signup','view'], event_type)-1 as y from events),
+ o as (select user_id, rn, y, m, {X.poisson1_sql(_MD5('event_id::varchar', 'm::varchar'))} as k from e, range(5) r(m)),
+ st as (select user_id, m, 0::bigint as rn, {", ".join(f"0::double as c{c}" for c in _K)}, 1::double as n, 1::double as p, 1e300::double as pm, 1e300::double as sm, 1e300::double as best, 0::double as est, 0::bigint as resets from (select distinct user_id, m from o) union all
+ select user_id, m, rn+1, {", ".join(f"case when anew then 0 else c{c} + (y={c})::int*k end" for c in _K)}, case when anew then 1 else n+1 end, case when anew then 1 else p2 end, case when anew then 1e300 else pm2 end, case when anew then 1e300 else sm2 end, case when anew then 1e300 else best2 end, case when anew then 0 else p2 end, resets + anew::int from (
+  select *, n+1 > 30 and p2+s2 > pm2+3*sm2 and p2 > est as anew from (
+   select *, case when low then p2 else pm end as pm2, case when low then s2 else sm end as sm2, case when low then p2+s2 else best end as best2 from (
+    select *, n+1 >= 30 and p2+s2 <= best as low from (select *, sqrt(greatest(p2*(1-p2),0)/n) as s2 from (
+     select st.*, o.y, o.k, p + ((({_TOP}) <> o.y)::int - p)/n as p2 from st join o on o.user_id = st.user_id and o.m = st.m and o.rn = st.rn + 1)))))),
+ v as (select st.user_id, o.rn, o.y, {_SHARED} from (select *, {_T} as t from st) st join o on o.user_id = st.user_id and o.m = st.m and o.rn = st.rn + 1 group by 1,2,3),
+ h as (select user_id, count(*) as n, count(*) filter (y = case {" ".join(f"when v{c}=greatest(v0,v1,v2,v3,v4) then {c}" for c in _K)} end) as hits from v group by 1),
+ z as (select user_id, sum(resets)::int as resets from (select user_id, m, max(resets) as resets from st group by 1,2) group by 1)
+ select user_id, n, hits, resets from h join z using (user_id)"""
+
+
 SQL = {
     "round_robin_places": "select place, count(*) as n, sum(event_id)::bigint as ids from (select event_id, ((row_number() over (order by event_id)-1) % 4)::int as place from events) group by 1",
     "paced_batches": "select batch, count(*) as n, batch*0.5::double as sent from (select ((row_number() over (order by event_id)-1)//200)::bigint as batch from events) group by 1",
@@ -266,6 +311,9 @@ SQL = {
     "stream_random_tree": f"with {_IDX}, r as (select idx, {_NOMINAL}, {_NUMERIC} from i), c as (select nominal1, {_tree_sql(G.tree_of())} as class from r) select nominal1, class, count(*) as n from c group by 1,2",
     "stream_rbf": f"with {_IDX}, r as (select idx, {_U('noise')} < {_RBF.noise!r} as noise, floor({_U('which')}*{_ACTIVE})::int as k, power({_U('r')}, 0.5)*{_RBF.radius!r} as r, {_GAUSS}, {_U('u0')} as u0 from i) select case when noise then {_RBF.most} else k end as class, count(*) as n, round(avg(case when noise then u0 else {_place_sql(0, 'k')} + r*g0/sqrt(g0*g0+g1*g1) end),6) as mean from r group by 1",
     "stream_rbf_truth": f"with t as (select range as idx from range(0, (select count(*) from events), 1000)), c as (select idx, unnest(range({_ACTIVE})) as cluster from t) select idx, cluster::int as cluster, round({_place_sql(0, 'cluster')},6) as x, {_RBF.radius!r}::double as radius from c",
+    "stream_rbf_changes": f"with i as (select range as idx from range({_RBF.every}, greatest((select count(*) from events), {_RBF.every}), {_RBF.every})), a as (select idx, {_ACTIVE} as now, {_ACTIVE.replace('idx', '(idx-1)')} as was from i) select idx, case when now > was then 'create' else 'delete' end as type, now || ' clusters' as message from a where now <> was",
     "perceptron_by_user": _PERCEPTRON + ") select user_id, max(rn) as n, round(arg_max(e/seen, rn),4) as error from st where rn > 0 group by 1",
+    "boosting_by_user": _boosting_sql(),
+    "adaptive_bagging_by_user": _ADAPTIVE,
     "gk_quantiles_by_user": _GK,
 }
