@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordered import in_blocks
 from .statistics import long_form
 
 
@@ -108,14 +109,20 @@ class HoeffdingTree:
 
     def predict_then_learn(self, df: DataFrame, order: str, y: str) -> DataFrame:
         """Adds `leaf` and `pred` as seen before each row of one batch: counts of the leaf so far."""
-        rows = df.withColumn("leaf", self.leaf())
-        before = W.partitionBy("leaf").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        rows = in_blocks(df, order).withColumn("leaf", self.leaf())
+        names = [f"_seen{k}" for k in range(len(self.classes))]
+        own = W.partitionBy("leaf", "_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        earlier = W.partitionBy("leaf").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # a row a block
+        each = [F.sum((F.col(y) == c).cast("double")) for c in self.classes]
+        told = rows.groupBy("leaf", "_block").agg(*(e.alias(n) for e, n in zip(each, names)))
+        told = told.select("leaf", "_block", *(F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(n) for n in names))
+        rows = rows.withColumns({f"_own{n}": F.coalesce(e.over(own), F.lit(0.0)) for e, n in zip(each, names)}).join(told, ["leaf", "_block"])
         base = {n.id: n.counts for n in self.leaves()}
         counts = []
-        for k, c in enumerate(self.classes):
+        for k, n in enumerate(names):
             start = F.create_map(*(F.lit(v) for i, w in base.items() for v in (i, float(w[k]))))
-            counts.append(start[F.col("leaf")] + F.coalesce(F.sum((F.col(y) == c).cast("double")).over(before), F.lit(0.0)))
-        return rows.withColumn("pred", self._argmax(counts))
+            counts.append(start[F.col("leaf")] + F.col(n) + F.col(f"_own{n}"))
+        return rows.withColumn("pred", self._argmax(counts)).select(*df.columns, "leaf", "pred")
 
     def learn(self, df: DataFrame, y: str) -> HoeffdingTree:
         """Update the statistics with one batch, then try to split."""
@@ -189,7 +196,11 @@ class HoeffdingTree:
 
 
 def prequential(df: DataFrame, tree: HoeffdingTree, order: str, y: str, batches: int) -> DataFrame:
-    """Test-then-train over `batches` runs of the order: order, y, pred for every row."""
+    """Test-then-train over `batches` runs of the order: order, y, pred for every row.
+
+    Every batch reads the rows again, so a table that is costly to make should be written first (see `tasks`).
+    """
+    df = in_blocks(df, order)
     low, high = df.agg(F.min(order), F.max(order)).first()
     parts = []
     if low is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, hoeffding, micro
 from tidemark.operators.ordered import numbered
+from tidemark.storage import checkpointed
 
 
 def prequential(df: DataFrame, order: str, y: str, classes: list[str], learner="majority", numeric: list[str] = (), nominal: list[str] = (), limit: int | None = None, every: int = 100_000, width: int | None = None, batches: int = 10, test_every: int = 1, warm_up: int = 0) -> DataFrame:
@@ -25,7 +26,7 @@ def prequential(df: DataFrame, order: str, y: str, classes: list[str], learner="
         predicted = evaluation.majority(rows.withColumn("_y", index.cast("int")), "rn", "_y", len(classes)).select("rn", "_y", "pred")
     else:
         tree = learner if isinstance(learner, hoeffding.HoeffdingTree) else hoeffding.HoeffdingTree(classes, list(numeric), list(nominal))
-        out = hoeffding.prequential(rows, tree, "rn", y, batches)
+        out = hoeffding.prequential(checkpointed(rows), tree, "rn", y, batches)
         named = lambda c: (F.array_position(F.array(*map(F.lit, classes)), F.col(c)) - 1).cast("int")
         predicted = out.select("rn", named(y).alias("_y"), named("pred").alias("pred"))
     if test_every != 1 or warm_up:
