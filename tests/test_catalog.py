@@ -5,6 +5,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark.plans import catalog
@@ -22,7 +23,7 @@ def con():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else v if isinstance(v, (str, bool)) else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v) else v if isinstance(v, (str, bool)) else float(v) if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v)
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 

@@ -129,7 +129,8 @@ def asof_irregular_truth(spark, d):
     """Truth at uneven times, off any period; the first results have none."""
     rows = read(spark, d, "events").select(F.col("event_id").alias("ts"), "event_type", "user_id")
     truth = rows.where("ts % 7919 % 61 = 17 and ts > 40").select("ts", F.col("event_type").alias("truth"))
-    return C.latest_before(rows.where("ts % 3 = 1").select("ts", "user_id"), truth, "ts")
+    out = C.latest_before(rows.where("ts % 3 = 1").select("ts", "user_id"), truth, "ts")
+    return out.na.fill("none", ["truth"]).na.fill(-1, ["truth_ts"])
 
 
 def clustream(spark, d):
@@ -208,5 +209,5 @@ SQL = {
     "asof_ground_truth": "with t as (select event_id as ts, event_type as truth from events where event_id % 100 = 0), r as (select event_id as ts, user_id from events) select r.ts, r.user_id, t.truth, t.ts as truth_ts from r asof left join t on r.ts >= t.ts",
     "class_connections": f"with {TALL}, {_TIED} select label, class, round(avg(con),6) as con from con where label <> class group by 1,2",
     "cmm": f"with {FOUND}, {_TIED}, n as (select h.cluster, p.label, count(*) as n from held h join (select distinct id, label from tall) p using (id) group by 1,2), st as (select cluster, arg_max(label, (n, -label)) as class from n group by 1), hits as (select h.id, max(con.con) as best, bool_or(con.label = st.class) as right_ from held h join st using (cluster) join con on con.id = h.id and con.class = st.class group by 1), r as (select con.id, con.con as own, best, right_ from con left join hits using (id) where con.label = con.class), s as (select sum(own) as top, coalesce(sum(own) filter (right_ is null),0) as missed, coalesce(sum(own*(1-best)) filter (not right_),0) as misplaced from r) select round(1-(missed+misplaced)/top,6) as cmm, round(missed/top,6) as missed, round(misplaced/top,6) as misplaced, 0.0::double as noise from s",
-    "asof_irregular_truth": "with t as (select event_id as ts, event_type as truth from events where event_id % 7919 % 61 = 17 and event_id > 40), r as (select event_id as ts, user_id from events where event_id % 3 = 1) select r.ts, r.user_id, t.truth, t.ts as truth_ts from r asof left join t on r.ts >= t.ts",
+    "asof_irregular_truth": "with t as (select event_id as ts, event_type as truth from events where event_id % 7919 % 61 = 17 and event_id > 40), r as (select event_id as ts, user_id from events where event_id % 3 = 1) select r.ts, r.user_id, coalesce(t.truth, 'none') as truth, coalesce(t.ts, -1) as truth_ts from r asof left join t on r.ts >= t.ts",
 }

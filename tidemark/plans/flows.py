@@ -78,7 +78,7 @@ def _items(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_discount", F.col("l_returnflag").alias("l_returnflag", metadata={"labels": ["A", "N", "R"]}), F.col("l_linestatus").alias("l_linestatus", metadata={"labels": ["F", "O"]}))
 
 
-_TOTALS = lambda df: df.groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_discount"), 4).alias("discount"), F.max("l_quantity").alias("most"), F.count("l_orderkey").alias("keys"), F.sum("bad_labels").cast("long").alias("bad"))
+_TOTALS = lambda df: df.na.fill("?", ["l_returnflag"]).groupBy("l_linestatus", "l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_discount"), 4).alias("discount"), F.max("l_quantity").alias("most"), F.count("l_orderkey").alias("keys"), F.sum("bad_labels").cast("long").alias("bad"))
 
 
 def arff_dense(spark, d):
@@ -194,7 +194,7 @@ def _tree_sql(tree) -> str:
 
 _NOMINAL = ", ".join(f"'value' || (floor({_U(f'n{k}')}*5)::int + 1) as nominal{k + 1}" for k in range(5))
 _NUMERIC = ", ".join(f"{_U(f'x{k}')} as numeric{k + 1}" for k in range(5))
-_RBF = G.RandomRBF(events=True, every=1000)
+_RBF = G.RandomRBF(events=True, every=300)
 _PHASE = f"(floor(idx/{float(_RBF.every)!r})::bigint % {4 * _RBF.span})"
 _ACTIVE = f"({_RBF.k} + case when {_PHASE} <= {_RBF.span} then {_PHASE} when {_PHASE} <= {3 * _RBF.span} then {2 * _RBF.span} - {_PHASE} else {_PHASE} - {4 * _RBF.span} end)::int"
 
@@ -299,7 +299,7 @@ SQL = {
     "weighted_gaussian": "select l_returnflag, round(sum(l_quantity),8) as weight, round(sum(l_quantity*l_tax)/sum(l_quantity),8) as mean, round((sum(l_quantity*l_tax*l_tax)-sum(l_quantity*l_tax)*sum(l_quantity*l_tax)/sum(l_quantity))/(sum(l_quantity)-1),8) as variance from lineitem group by 1",
     "spheres_joined": f"with {TALL}, {_clusters('label', 'c')}, d as (select a.cluster, a.n as n1, b.n as n2, sqrt(sum((a.ls/a.n-b.ls/b.n)*(a.ls/a.n-b.ls/b.n))) as d, max((a.ls+b.ls)/(a.n+b.n)) filter (a.i = 0) as x from c_cf a join c_cf b on a.i=b.i and a.cluster+1 = b.cluster group by 1,2,3) select d.cluster::int as cluster, round(x,5) as x, round(greatest(c1.radius, c2.radius, (c1.radius+c2.radius+d)/2),5) as radius, n1+n2 as weight from d join c c1 using (cluster) join c c2 on c2.cluster=d.cluster+1",
     "arff_dense": _ITEMS.format(flag="l_returnflag", key="case when l_orderkey % 100 <> 0 then 1 end", bad="0"),
-    "arff_sparse": _ITEMS.format(flag="case when l_orderkey % 500 <> 0 then l_returnflag end", key="*", bad="(l_orderkey % 500 = 0)::int"),
+    "arff_sparse": _ITEMS.format(flag="case when l_orderkey % 500 <> 0 then l_returnflag else '?' end", key="*", bad="(l_orderkey % 500 = 0)::int"),
     "curve_dump": _CURVE + " select * from curve",
     "stream_ddm_by_user": drift_plans.SQL["ddm_by_user"],
     "stream_accuracy_by_user": "with h as (select user_id, event_id, avg((event_type='view')::int) over (partition by user_id order by event_id rows between 19 preceding and current row) as a from events) select user_id, count(*) as n, round(arg_max(a, event_id),6)+0.0 as accuracy, 0::bigint as late from h group by 1",

@@ -81,17 +81,17 @@ def stream_random_tree(spark, d):
 
 
 def stream_rbf(spark, d):
-    rows = G.RandomRBF(events=True, every=1000).rows(spark, _size(spark, d))
+    rows = G.RandomRBF(events=True, every=300).rows(spark, _size(spark, d))
     return rounded(rows.groupBy("class").agg(F.count("*").alias("n"), F.avg("att1").alias("mean")), 6, "mean")
 
 
 def stream_rbf_truth(spark, d):
-    out = G.RandomRBF(events=True, every=1000).truth(spark, _size(spark, d))
+    out = G.RandomRBF(events=True, every=300).truth(spark, _size(spark, d))
     return out.select("idx", "cluster", F.round(F.col("centre")[0], 6).alias("x"), "radius")
 
 
 def stream_rbf_changes(spark, d):
-    return G.RandomRBF(events=True, every=1000).changes(spark, _size(spark, d))
+    return G.RandomRBF(events=True, every=300).changes(spark, _size(spark, d))
 
 
 def corr_helper(spark, d):
