@@ -537,7 +537,9 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = checkpointed(classes(docs, threshold))
     # a doc_id of several rows is judged text by text, any other by its one class
     odd = checkpointed(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    gone = found.where("doc_id != class_id").select("doc_id").union(odd).distinct()
+    gone = checkpointed(found.where("doc_id != class_id").select("doc_id").union(odd).distinct())
+    if gone.count() <= BROADCAST_ROWS:  # then the texts need not be shuffled
+        gone = F.broadcast(gone)
     single = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if odd.isEmpty():
         return single
