@@ -173,3 +173,21 @@ def test_deduplicated_keeps_one_row_and_loses_no_text(docs_of, sentences):
 def test_thresholds_that_the_bands_do_not_serve_are_refused(docs_of, rows):
     with pytest.raises(ValueError):
         N.near_duplicates(docs_of(rows), 0.5)
+
+
+@pytest.mark.parametrize("operator", [N.classes, N.deduplicated])
+def test_shuffle_files_of_finished_steps_do_not_stay(spark, docs_of, rows, operator):
+    import time
+
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    docs, before = docs_of(rows), files()
+    operator(docs)  # its steps run here; the frame that is returned has not run
+    left = files() - before
+    for _ in range(50):  # files go a little after the action that made them
+        if not left:
+            break
+        time.sleep(0.2)
+        left = files() - before
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Shuffle files of DataFrames that are made in here go as soon as an action on them ends.
+
+    Otherwise they stay until the driver happens to collect its garbage, and the disk must hold those of all
+    steps together.  For frames that are used once, as by `checkpointed`; a second action on one makes them anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 64, how: str = "inner") -> DataFrame:
     """Join of `rows` with a table of unique keys, without a task for all rows of one key.
 
