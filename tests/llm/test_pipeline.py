@@ -52,3 +52,27 @@ def test_odd_rows_pass_all_stages(spark, docs_of, sentences):
     assert masked.columns == docs.columns and "AKIA" not in masked.where("doc_id = 8").first().text and masked.count() == 8
     pieces = stages["best-fit packing"](spark, masked, DATA).collect()
     assert {r.doc_id for r in pieces} == {1, 3, 4, 5, 6, 8, None} and sum(r.length == 1 for r in pieces) == 3  # empty texts hold the end id alone
+
+
+def test_a_worker_keeps_the_caches_of_one_stage_only(spark, monkeypatch, docs_of, sentences):
+    """Spark lends a Python worker to all stages in turn; the functions that run in it are called here, in one process."""
+    import numpy as np
+
+    docs = docs_of([sentences(50, k) for k in range(4)], extra=False)
+    got, kind = [], type(docs)
+    make = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, **b: got.append(f) or make(self, f, *a, **b))
+    quality.accepted(docs, quality.Model(np.zeros(quality.BUCKETS)))
+    neardup.sketched(docs, spark.sparkContext.broadcast(neardup.Weights(np.zeros(0, np.uint64), np.zeros(0))))
+    secrets.mask(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    good, sketched, mask, cut = got
+    rows, short = docs.toArrow().to_batches(), docs.select("doc_id", "text").toArrow().to_batches()
+    wanted = list(cut(iter(short)))
+    assert packing._encoders
+    list(good(iter(rows)))
+    assert quality._codes and not packing._encoders
+    list(sketched(iter(short)))
+    assert not quality._codes
+    list(mask(iter(rows)))
+    assert list(cut(iter(short))) == wanted and packing._encoders and not secrets._vocabularies

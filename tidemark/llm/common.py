@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +95,33 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+#: What empties the caches of an operator in this process, by operator; the operator that ran last.
+_empties: dict[str, Callable[[], None]] = {}
+_turn = [""]
+
+
+def keeps_caches(operator: str, empty: Callable[[], None]) -> None:
+    """Tell how the caches that an operator fills in a Python worker are emptied."""
+    _empties[operator] = empty
+
+
+def turn_of(operator: str) -> None:
+    """Called first in what runs in a Python worker: empties the caches of the operators before, and gives their memory back.
+
+    Spark lends a worker to one stage after the other, so caches of all operators would add up in it.
+    """
+    if _turn[0] == operator:
+        return
+    for name, empty in _empties.items():
+        if name != operator:
+            empty()
+    _turn[0] = operator
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
 class ChunkCache(dict):
     """Values by white-space delimited chunk, made on first use; emptied when it grows too large."""
 

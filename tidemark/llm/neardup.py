@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import brief_shuffles, checkpointed, salted_join, short_batches, table
+from .common import brief_shuffles, checkpointed, salted_join, short_batches, table, turn_of
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -218,6 +218,7 @@ def heavy_slots(docs: DataFrame, least: float, slots: int = SLOTS) -> np.ndarray
     wide = slots // CHUNKS
 
     def counted(batches):
+        turn_of("near-dedup")
         total = np.zeros(slots, np.uint32)
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -226,6 +227,7 @@ def heavy_slots(docs: DataFrame, least: float, slots: int = SLOTS) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
     def summed(batches):
+        turn_of("near-dedup")
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, part in zip(*(batch.column(k).to_pylist() for k in range(2))):
@@ -252,6 +254,7 @@ def common_shingles(docs: DataFrame) -> Weights:
     heavy = spark.sparkContext.broadcast(np.packbits(heavy_slots(docs, n / s, slots)))
 
     def counted(batches):
+        turn_of("near-dedup")
         wanted = np.unpackbits(heavy.value).view(bool)
         held, size = [], 0
 
@@ -279,6 +282,7 @@ def sketched(docs: DataFrame, weights) -> DataFrame:
     """Per document doc_id, fold (null without words or doc_id), size, bands, bits; `weights` is broadcast."""
 
     def run(batches):
+        turn_of("near-dedup")
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -320,6 +324,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
         ids = F.broadcast(ids)
 
     def run(batches):
+        turn_of("near-dedup")
         for batch in batches:
             out: list[list] = [[], [], []]
             for node, fold, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -350,6 +355,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, threshold: float) ->
     dealt = member_rows.unionByName(pivot_rows).repartition("a", "salt").sortWithinPartitions("a", "salt", "part")
 
     def run(batches):
+        turn_of("near-dedup")
         pivot, held = None, None
         for batch in batches:
             out: list[list] = [[], []]
@@ -385,6 +391,7 @@ def _tiled(parts: DataFrame, texts: DataFrame, weights, threshold: float) -> Dat
     dealt = outer.unionByName(inner).repartition(*group).sortWithinPartitions(*group, "side")
 
     def run(batches):
+        turn_of("near-dedup")
         last, held = None, []
         for batch in batches:
             out = []
@@ -554,6 +561,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches):
+        turn_of("near-dedup")
         for batch in batches:
             ids = [word_ids(text or "") for text in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(i) if len(i) else None for i in ids], pa.binary())], [*batch.schema.names, "_fold"])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, checkpointed, short_batches, table
+from .common import ChunkCache, checkpointed, keeps_caches, short_batches, table, turn_of
 
 CAPACITY, END_ID = 4096, 1
 #: Rows that one (length, salt) group holds at most on average; at least MIN_SALTS groups a length.
@@ -41,6 +41,7 @@ ROWS_A_SALT, MIN_SALTS = 1_000_000, 64
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 
 _encoders: dict[str, ChunkCache] = {}
+keeps_caches("packing", _encoders.clear)
 
 
 def _latin() -> tuple[re.Pattern, re.Pattern]:
@@ -93,6 +94,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches):
+        turn_of("packing")
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
             ids = []
@@ -256,6 +258,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
 
     def put(batches):
+        turn_of("packing")
         by_length = slots.value
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))

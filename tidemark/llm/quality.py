@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkCache, short_batches, table
+from .common import ChunkCache, keeps_caches, short_batches, table, turn_of
 
 BUCKETS = 1 << 15
 MAX_TRAIN = 8000
@@ -53,6 +53,7 @@ def shape(chunk: str) -> str:
 
 
 _codes = ChunkCache(lambda chunk: zlib.crc32(shape(chunk).encode()) & (REPEAT - 1))
+keeps_caches("quality", _codes.clear)
 
 
 def features(text: str) -> np.ndarray:
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
     short_batches(docs.sparkSession)
 
     def run(batches):
+        turn_of("quality")
         for batch in batches:
             ids, y = ([features(x or "").astype(np.int32) for x in batch.column(1).to_pylist()], batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), y], ["doc_id", "ids", "y"])
@@ -175,6 +177,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        turn_of("quality")
         model = held.value
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(x or "") for x in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
@@ -189,6 +192,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
+        turn_of("quality")
         model = held.value
         for batch in batches:
             yield batch.filter(pa.array([model.score(x or "") >= THRESHOLD for x in batch.column(at).to_pylist()], pa.bool_()))

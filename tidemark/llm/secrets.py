@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, table
+from .common import keeps_caches, short_batches, table, turn_of
 
 #: The base patterns and the least lengths of what they take.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -40,6 +40,7 @@ IDENTIFIER = re.compile(r"([A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|[_/=+-])+")
 MASK = "<secret>"
 
 _vocabularies: dict = {}
+keeps_caches("secrets", _vocabularies.clear)
 
 
 def _vocabulary(path: str):
@@ -108,6 +109,7 @@ def scan(docs: DataFrame, path: str, max_ratio: float = MAX_RATIO) -> DataFrame:
     short_batches(docs.sparkSession)
 
     def run(batches):
+        turn_of("secrets")
         for batch in batches:
             found = [find(x or "", path, max_ratio) for x in batch.column(1).to_pylist()]
             base = [said([s for s in x if s[0] != "random"]) for x in found]
@@ -126,6 +128,7 @@ def mask(docs: DataFrame, path: str, max_ratio: float = MAX_RATIO) -> DataFrame:
     counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
+        turn_of("secrets")
         for batch in batches:
             columns = list(batch.columns)
             texts = columns[at].to_pylist()
