@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -75,6 +76,45 @@ def brief_shuffles(spark: SparkSession):
             spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **options: str):
+    """Session options (dots written as __) that hold in here and are as before afterwards."""
+    named = {k.replace("__", "."): v for k, v in options.items()}
+    before = {k: spark.conf.get(k, None) for k in named}
+    try:
+        for k, v in named.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def brief_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = 8 << 20):
+    """Arrow batches of at most so many rows and about so many bytes, for jobs that run in here."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows), spark__sql__execution__arrow__maxBytesPerBatch=str(size))
+
+
+class Scratch:
+    """Folders of one run in the shared folder: tables between its steps, removed once its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def kept(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """`df` written as Parquet and read again, so that a lost executor costs the writing tasks at most."""
+        df.write.partitionBy(*by).parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def result(self, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.folder}-result")
+        self.close()
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}-result")
+
+    def close(self) -> None:
+        removed(self.spark, self.folder)
+
+
 def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, salts: int = 64, how: str = "inner") -> DataFrame:
     """Join of `rows` with a table of unique keys, without a task for all rows of one key.
 

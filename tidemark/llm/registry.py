@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, licenses, neardup, packing, quality, rollup, secrets, toxicity
+from . import chat, decontaminate, embeddings, licenses, neardup, packing, quality, resample, rollup, secrets, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.query,
         "op9_minhash_near_dedup": neardup.query,
         "op10_token_rollup": rollup.query,
+        "op11_importance_resampling": resample.query,
     }
 
 
@@ -71,5 +72,19 @@ def _license_sql() -> str:
  from d left join b using (row) left join o using (row)"""
 
 
+#: CRC-32 by its table of 256 entries, made by eight steps of the reversed polynomial each; bytes are read off the hexadecimal text.
+_CRC = """crc_table as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, i)) as t),
+ crc as (select word, xor(4294967295, list_reduce(list_transform(range(1, strlen(word) * 2, 2), lambda i: ('0x' || substr(hex(encode(word)), i, 2))::bigint), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295)) as crc from (select distinct word from (select word from said union all select word from wanted)), crc_table)"""
+RESAMPLE = f"""with docs as (select row_number() over () as line, doc_id, text from documents),
+ said as (select line, unnest(regexp_extract_all(translate(coalesce(text, ''), '{resample.CAPITALS}', '{resample.SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from docs),
+ wanted as (select unnest(regexp_extract_all(translate(coalesce(text, ''), '{resample.CAPITALS}', '{resample.SMALL}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from benchmark), {_CRC},
+ b as (select word, crc % {resample.BUCKETS} as bucket from crc), s as (select bucket, count(*) as s from said join b using (word) group by 1), t as (select bucket, count(*) as t from wanted join b using (word) group by 1),
+ g as (select range as bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from said) + {resample.BUCKETS})::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from wanted) + {resample.BUCKETS})::double)))::bigint as gain from range({resample.BUCKETS}) left join s on s.bucket = range left join t on t.bucket = range),
+ w as (select line, count(*) as n, floor(sum(gain) / count(*))::bigint as weight from said join b using (word) join g using (bucket) group by line),
+ d as (select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('{resample.SEED}:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5) / 4294967296.0::double)))::bigint as score from docs left join w using (line)),
+ r as (select *, row_number() over (partition by n_features >= {resample.LEAST_WORDS} order by score desc, doc_id nulls last) as place from d)
+ select doc_id, n_features, weight, score, case when n_features >= {resample.LEAST_WORDS} and place <= (select count(*) from d where n_features >= {resample.LEAST_WORDS}) * {resample.PERCENT} // 100 then place end as rank from r"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_license_scan": _license_sql(), "op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR}
+    return {"op7_license_scan": _license_sql(), "op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR, "op11_importance_resampling": RESAMPLE}
