@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, licenses, neardup, packing, quality, resample, rollup, secrets, toxicity
+from . import chat, decontaminate, divergence, embeddings, licenses, neardup, packing, quality, resample, rollup, secrets, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_minhash_near_dedup": neardup.query,
         "op10_token_rollup": rollup.query,
         "op11_importance_resampling": resample.query,
+        "op12_source_divergence": divergence.query,
     }
 
 
@@ -86,5 +87,18 @@ RESAMPLE = f"""with docs as (select row_number() over () as line, doc_id, text f
  select doc_id, n_features, weight, score, case when n_features >= {resample.LEAST_WORDS} and place <= (select count(*) from d where n_features >= {resample.LEAST_WORDS}) * {resample.PERCENT} // 100 then place end as rank from r"""
 
 
+_SHARE = "(1 + (1000000000::hugeint * ({0} + 2)) // ({1} + 2 * v))::hugeint"
+DIVERGENCE = f"""with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all(translate(coalesce(text, ''), '{resample.CAPITALS}', '{resample.SMALL}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+ t as (select row, lang, source, unnest(w) as term from d), kept as (select lang, term, count(*) as of_lang from t group by 1, 2 having count(distinct row) >= {divergence.LEAST_DOCS}),
+ g as (select distinct lang, source from d), c as (select lang, source, term, count(*) as c from t join kept using (lang, term) group by 1, 2, 3),
+ v as (select lang, count(*) as v, sum(of_lang) as n_lang from kept group by 1), n as (select lang, source, coalesce(sum(c), 0) as n from g left join c using (lang, source) group by 1, 2),
+ s as (select lang, source, term, coalesce(c, 0) as c, {_SHARE.format("coalesce(c, 0)", "n")} as p, {_SHARE.format("of_lang", "n_lang")} as q from n join v using (lang) join kept using (lang) left join c using (lang, source, term)),
+ pair as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from s a join s b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+ f as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pair p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from s where c > 0 and p > q),
+ r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from f)
+ select lang, source, part, item, value, rank::integer as rank from r where part = 'pair' or rank <= {divergence.TOP}"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_license_scan": _license_sql(), "op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR, "op11_importance_resampling": RESAMPLE}
+    return {"op7_license_scan": _license_sql(), "op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR, "op11_importance_resampling": RESAMPLE, "op12_source_divergence": DIVERGENCE}
