@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, embeddings, licenses, neardup, packing, quality, resample, rollup, secrets, toxicity
+from . import chat, decontaminate, divergence, embeddings, licenses, neardup, packing, quality, resample, rollup, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_token_rollup": rollup.query,
         "op11_importance_resampling": resample.query,
         "op12_source_divergence": divergence.query,
+        "op13_warc": warc.query,
     }
 
 
@@ -100,5 +101,11 @@ DIVERGENCE = f"""with d as (select row_number() over () as row, coalesce(lang, '
  select lang, source, part, item, value, rank::integer as rank from r where part = 'pair' or rank <= {divergence.TOP}"""
 
 
+#: Five hexadecimal signs are four of base 32.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(sha1(payload), (i // 4 * 5 + 1)::int, 5))::bigint >> (15 - i % 4 * 5)::int) & 31))::int, 1)), '')"
+WARC = f"""with p as (select page_id, coalesce(html, '') as payload from pages), f as (select payload, min(page_id) as first from p where strlen(payload) >= {warc.LEAST_BYTES} group by 1)
+ select page_id, strlen(payload)::bigint as payload_bytes, {_BASE32} as payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type, case when page_id <> first then first end as refers_to from p left join f using (payload)"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_license_scan": _license_sql(), "op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR, "op11_importance_resampling": RESAMPLE, "op12_source_divergence": DIVERGENCE}
+    return {"op7_license_scan": _license_sql(), "op5_embedding_near_dedup": EMBEDDINGS, "op6_chat_formatting": CHAT, "op9_minhash_near_dedup": NEAR, "op11_importance_resampling": RESAMPLE, "op12_source_divergence": DIVERGENCE, "op13_warc": WARC}
