@@ -209,3 +209,15 @@ def test_shapes_and_shares_as_by_counting():
         for g, times in Counter(grams).items():
             want |= {int(Q._bucket(np.array([g]), k, level)[0]) for level in range(7) if not level or times * 2**level >= len(grams)}
     assert set(Q.features(text).tolist()) == want
+
+
+def test_the_sample_is_bounded_by_rows_whatever_repeats(spark, docs_of):
+    """One doc_id in thousands of rows, some of them with texts of their own, is one row of the sample."""
+    docs = docs_of([(1, "hot text")] * 3000 + [(1, f"hot text {i}") for i in range(200)] + [(i, f"text {i}") for i in range(2, 40)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 40)] + [(1, 1, 1)] * 50, "doc_id long, quality int, toxic int")
+    rows = Q.sample(docs, labels, "quality", 8000).collect()
+    ids = [r.doc_id for r in rows]
+    assert len(ids) == len(set(ids)) <= 39 and 1 in ids
+    assert len(Q.sample(docs, labels, "quality", 7).collect()) == 7
+    again = Q.sample(docs.repartition(7), labels, "quality", 8000).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))

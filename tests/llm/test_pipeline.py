@@ -76,3 +76,19 @@ def test_a_worker_keeps_the_caches_of_one_stage_only(spark, monkeypatch, docs_of
     assert not quality._codes
     list(mask(iter(rows)))
     assert list(cut(iter(short))) == wanted and packing._encoders and not secrets._vocabularies
+
+
+def test_columns_of_any_name_pass(spark, docs_of, sentences):
+    """Names that the operators use for themselves may be taken, in any case."""
+    a = sentences(120, 41)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    docs = docs_of([(1, a), (2, a + " more"), (2, sentences(120, 42)), (3, None), (3, None), (4, f"{sentences(60, 43)} {item}")])
+    names = ["_doc", "_digest", "_fold", "_Least", "_rep", "fold", "REP", "digest", "class_id", "component", "item_id", "span", "at", "key_", "node"]
+    odd = docs.selectExpr("*", *(f"'v' as {n}" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd_out, out = stage(spark, odd, DATA), stage(spark, docs, DATA)
+        assert odd_out.columns == odd.columns
+        assert sorted(map(str, odd_out.select(docs.columns).collect())) == sorted(map(str, out.collect())), name
+    assert sorted(r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, odd, DATA).collect()) == [1, 2, 3, 4]
+    assert sorted(r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, odd, DATA).collect()) == [1, 2, 2, 3, 3]
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, DATA).count() == 6

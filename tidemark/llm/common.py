@@ -76,6 +76,14 @@ def brief_shuffles(spark: SparkSession):
             spark.conf.set(key, before)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **options: str):
     """Session options (dots written as __) that hold in here and are as before afterwards."""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, table, unused
 
 WINDOW, COVERED = 8, 0.5
 #: Tokens of a window that are not placeholders, for its form to count without a look at the item's words.
@@ -168,8 +168,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose text no item contaminates, columns as they are."""
-    gone = _bounded(_leaks(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")).distinct())
-    return docs.join(gone, (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_anti").select(docs.columns)
+    doc, own = unused(docs, "_doc"), unused(docs, "_digest")
+    gone = _bounded(_leaks(docs, benchmark).select(F.col("doc_id").alias(doc), F.col("digest").alias(own)).distinct())
+    return docs.join(gone, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(own)), "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import brief_shuffles, checkpointed, salted_join, short_batches, table, turn_of
+from .common import brief_shuffles, checkpointed, salted_join, short_batches, table, turn_of, unused
 from .graph import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -557,19 +557,20 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     single = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if odd.isEmpty():
         return single
-    least = found.join(odd, "doc_id", "left_semi").where("doc_id = class_id and fold is not null").groupBy("component").agg(F.min("fold").alias("fold"), F.min("doc_id").alias("rep"))
+    own, fold, rep = (unused(docs, n) for n in ("_fold", "_least", "_rep"))
+    least = found.join(odd, "doc_id", "left_semi").where("doc_id = class_id and fold is not null").groupBy("component").agg(F.min("fold").alias(fold), F.min("doc_id").alias(rep)).select(fold, rep)
     schema, at = docs.schema, docs.columns.index("text")
 
     def run(batches):
         turn_of("near-dedup")
         for batch in batches:
             ids = [word_ids(text or "") for text in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(i) if len(i) else None for i in ids], pa.binary())], [*batch.schema.names, "_fold"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(i) if len(i) else None for i in ids], pa.binary())], [*batch.schema.names, own])
 
-    several = docs.join(odd, "doc_id", "left_semi").select(docs.columns).mapInArrow(run, T.StructType([*schema.fields, T.StructField("_fold", T.BinaryType())]))
+    several = docs.join(odd, "doc_id", "left_semi").select(docs.columns).mapInArrow(run, T.StructType([*schema.fields, T.StructField(own, T.BinaryType())]))
     # one row of each (doc_id, words); texts without words are the same only if equal
-    worded = several.where("_fold is not null").join(least, (F.col("_fold") == F.col("fold")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id", "_fold"])
-    wordless = several.where("_fold is null").dropDuplicates(["doc_id", "text"])
+    worded = several.where(F.col(own).isNotNull()).join(least, (F.col(own) == F.col(fold)) & (F.col("doc_id") == F.col(rep)), "left_semi").dropDuplicates(["doc_id", own])
+    wordless = several.where(F.col(own).isNull()).dropDuplicates(["doc_id", "text"])
     return single.unionByName(worded.select(docs.columns)).unionByName(wordless.select(docs.columns))
 
 

@@ -8,7 +8,7 @@ hinge-loss model is fitted to the scaled indicators by dual coordinate descent.
 margin through a logistic curve fitted on the same labelled rows.
 
 The model is fitted on at most `max_train` labelled rows, chosen by a hash of doc_id; every text is
-scored whole.  Defined results: a null text is the empty text, which has a score of its own; rows
+scored whole.  Of several texts of a doc_id one is trained on.  Defined results: a null text is the empty text, which has a score of its own; rows
 without a doc_id, labels other than 0 and 1 and null labels are not trained on; repeated rows are
 scored each; without rows of both classes every score is the share of label 1 (1.0 if no labels).
 """
@@ -83,15 +83,17 @@ def _bucket(grams: np.ndarray, k: int, level: int) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, max_train: int) -> DataFrame:
-    """At most `max_train` labelled training documents: doc_id, text, y.
+    """At most `max_train` labelled training documents, one row a doc_id: doc_id, text, y.
 
-    The sample is bounded, so its ids are small enough to be sent to every task.
+    Of several texts of a doc_id the one of the least hash counts, and repeated rows count once, so that the rows are
+    bounded as the ids are; these are few enough to be sent to every task.
     """
     y = F.col(label).cast("int")
     key = F.col("doc_id").cast("string")
     rows = labels.where(y.isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(key) % 4 != 2)).select("doc_id", y.alias("y"))
     rows = rows.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(max_train)
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    return found.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("y").alias("y"))
 
 
 def fit_hinge(rows: list[np.ndarray], y: np.ndarray, size: int, cost: float = 1.0, epochs: int = 30, alpha: float = 1.0) -> tuple[np.ndarray, float]:
