@@ -92,7 +92,7 @@ def csr(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int) -> t
     return np.searchsorted(at, np.arange(n_rows + 1)), cells % max(n_columns, 1), counts
 
 
-def cells_of(texts: pa.Array, groups: np.ndarray, digest: Digest = xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+def cells_of(texts: pa.Array, groups: np.ndarray, digest: Digest = xxhash.xxh3_64_intdigest) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """Group, term, occurrences and documents for each group (a number for each text) and term that occurs in it."""
     texts = texts.cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -100,15 +100,16 @@ def cells_of(texts: pa.Array, groups: np.ndarray, digest: Digest = xxhash.xxh3_6
     offsets = offsets - offsets[0]
     folded, starts, ends = slices(data, offsets)
     term, first = grouped(folded, starts, ends, digest)
-    spelt = [folded[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    spelt = pa.array([folded[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], pa.binary()).cast(pa.string())
     pointers, columns, counts = csr(np.searchsorted(offsets, starts, "right") - 1, term, len(texts), len(spelt))
     if not len(columns):
-        return np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rows = np.repeat(groups, np.diff(pointers))
-    order = np.lexsort([columns, rows])
-    rows, columns, counts = rows[order], columns[order], counts[order]
-    begins = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (columns[1:] != columns[:-1])]))
-    return rows[begins], [spelt[i] for i in columns[begins].tolist()], np.add.reduceat(counts, begins), np.diff(np.append(begins, len(rows)))
+        return columns, spelt, counts, counts
+    cells = np.repeat(groups, np.diff(pointers)) * len(spelt) + columns
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    begins = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    rows, columns = np.divmod(cells[begins], len(spelt))
+    return rows, spelt.take(pa.array(columns)), np.add.reduceat(counts, begins), np.diff(np.append(begins, len(cells)))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -141,7 +142,7 @@ def counted(docs: DataFrame) -> DataFrame:
             group, terms, counts, held = cells_of(_whole(chunk["text"]), each)
             langs, sources = (pa.array([k[i] for k in number]) for i in (0, 1))
             at = np.concatenate([np.arange(len(number)), group])
-            spelt = pa.array([b""] * len(number) + terms, pa.binary()).cast(pa.string())
+            spelt = pa.concat_arrays([pa.array([""] * len(number), pa.string()), terms])
             zeros = np.zeros(len(number), np.int64)
             yield pa.RecordBatch.from_arrays([langs.take(pa.array(at)), sources.take(pa.array(at)), spelt, pa.array(np.concatenate([zeros, counts])), pa.array(np.concatenate([zeros, held]))], ["lang", "source", "term", "count", "docs"])
 
