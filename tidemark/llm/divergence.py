@@ -37,7 +37,8 @@ from .common import Scratch, brief_batches, salted_join, table, turn_of
 
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
 #: Bytes of text taken together by one pass of the tokenizer; cells and sources of a block; elements of a dense slice.
-CHUNK, CELLS, TILE, DENSE = 8 << 20, 500_000, 256, 1 << 21
+#: A block has at least four cells for each pair of sources that it gives a sum for.
+CHUNK, CELLS, TILE, DENSE = 8 << 20, 32_768, 256, 1 << 21
 #: Languages whose sums may be broadcast; more are joined by a salted shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -265,7 +266,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     totals = cells.groupBy("lang", "source").agg(F.sum("count").alias("total"), F.sum("first").alias("terms"), F.count("*").alias("cells"))
     groups = every.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").fillna(0)
     groups = run.kept(groups, "groups")
-    langs = groups.groupBy("lang").agg(F.sum("terms").alias("terms"), F.sum("total").alias("lang_total"), F.greatest(F.lit(1), F.ceil(F.sum("cells") / CELLS)).alias("blocks"), F.ceil(F.count("*") / TILE).alias("tiles"))
+    langs = groups.groupBy("lang").agg(F.sum("terms").alias("terms"), F.sum("total").alias("lang_total"), F.greatest(F.lit(1), F.ceil(F.sum("cells") / F.greatest(F.lit(CELLS), 4 * F.pow(F.least(F.count("*"), F.lit(TILE)), 2)))).alias("blocks"), F.ceil(F.count("*") / TILE).alias("tiles"))
     langs = run.kept(langs, "langs")
     few = langs.count() <= BROADCAST_ROWS
     tile = F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int").alias("tile")
