@@ -145,11 +145,15 @@ class HoeffdingTree:
                 if r[y] in index:
                     at[r.leaf].nominal.setdefault(a, {}).setdefault(r.value, np.zeros(len(self.classes)))[index[r[y]]] += r.n
         for n in at.values():
-            if n.seen - n.checked >= self.grace and (n.counts > 0).sum() > 1 and len(self.leaves()) < self.max_leaves:
-                n.checked = n.seen
-                self._split(n)
+            self.check(n)
         return self
 
+    def check(self, n: Node) -> None:
+        """Try to split a leaf whose grace period is over."""
+        if n.seen - n.checked >= self.grace and (n.counts > 0).sum() > 1 and len(self.leaves()) < self.max_leaves:
+            n.checked = n.seen
+            self._split(n)
+
     def _suggestions(self, n: Node) -> list[tuple[float, str, float | None, list[str], list[np.ndarray]]]:
         out = []
         for a, s in n.numeric.items():

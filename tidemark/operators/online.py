@@ -122,9 +122,7 @@ class Tree:
                 s = n.numeric.setdefault(a, np.tile([0.0, 0.0, 0.0, np.inf, -np.inf], (classes, 1)))[y]
                 s[:3] += (weight, weight * v, weight * v * v)
                 s[3], s[4] = min(s[3], v), max(s[4], v)
-        if n.seen - n.checked >= self.tree.grace and (n.counts > 0).sum() > 1 and len(self.tree.leaves()) < self.tree.max_leaves:
-            n.checked = n.seen
-            self.tree._split(n)
+        self.tree.check(n)
 
 
 class Adaptive:

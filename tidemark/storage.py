@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,56 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """The name of a folder in the shared folder that no other run uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there."""
+    fs, p = _at(spark, folder)
+    fs.delete(p, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to a folder of its own, and read from there."""
+    folder = fresh_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    fs, p = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all; an error if there is one of that name."""
+    fs, p = _at(spark, path)
+    folder, name = path.rsplit("/", 1)
+    _, between = _at(spark, f"{folder}/_{name}-{uuid.uuid4().hex}")
+    stream = fs.create(between, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(p) or not fs.rename(between, p):
+        fs.delete(between, False)
+        raise FileExistsError(path)
