@@ -121,6 +121,21 @@ def ewma(rate: float = 0.2) -> Detector:
     return Detector([1.0, 0.0, 0.0, 1.0], step)
 
 
+#: How far a share of errors must lie above the faded mean of those before it, and how that mean fades.
+RISE, FADE = 0.1, 0.8
+
+
+def rising(rise: float = RISE, fade: float = FADE) -> Detector:
+    """For shares of errors by batch, of which there are few: one that lies far above the faded mean of the others.  State n, mean."""
+
+    def step(state, x):
+        n, mean = state
+        change = n > 0 and x > mean + rise
+        return [fade * n + 1, (fade * n * mean + x) / (fade * n + 1)], change, False, x
+
+    return Detector([0.0, 0.0], step)
+
+
 def ph_test(delta: float = 0.005, bar: float = 35.0, fade: float = 1.0) -> Detector:
     """Cumulated deviation above its minimum; `fade` below 1 ages the counts.  State n, sum, steps, total, least."""
 
