@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clusters, drift, flows, forests, learners, streams, trees
+from . import clusters, drift, flows, forests, horizons, learners, streams, trees
 
-PARTS = (streams, drift, learners, clusters, trees, flows, forests)
+PARTS = (streams, drift, learners, clusters, trees, flows, forests, horizons)
 
 
 def queries() -> dict:
