@@ -31,12 +31,12 @@ PAIRS = ["silhouette", "c_index"]
 MEASURES = [*CELLS, *COUNTS, *PAIRS]
 
 
-def paned(points: DataFrame, order: str, every: int, clusters: list) -> DataFrame:
-    """pane, rn, x, label, own (the clusters that hold a point), d2 (to the nearest centre); written once."""
+def paned(points: DataFrame, order: str, every: int, clusters: list, **more: Column) -> DataFrame:
+    """pane, rn, x, label, own (the clusters that hold a point), d2 (to the nearest centre), and `more`, made from x; written once."""
     near = F.transform(literal(clusters), lambda c: F.struct(c["cluster"].alias("cluster"), squared(F.col("x"), c["centre"]).alias("d2"), c["radius"].alias("radius"), c["weight"].alias("weight")))
     hit = F.filter("near", lambda c: inclusion(F.sqrt(c["d2"]), c["radius"], c["weight"]) > INSIDE)
     rows = numbered(points.select(F.col(order).alias("at"), "x", F.col("label").cast("int").alias("label")), "at").withColumn("near", near)
-    rows = rows.select(F.floor(F.col("rn") / every).cast("int").alias("pane"), "rn", "x", "label", F.transform(hit, lambda c: c["cluster"]).alias("own"), F.array_min(F.transform("near", lambda c: c["d2"])).alias("d2"))
+    rows = rows.select(F.floor(F.col("rn") / every).cast("int").alias("pane"), "rn", "x", "label", F.transform(hit, lambda c: c["cluster"]).alias("own"), F.array_min(F.transform("near", lambda c: c["d2"])).alias("d2"), *(c.alias(n) for n, c in more.items()))
     return kept(rows, "panes")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import clustering as C
 from tidemark.operators import horizons as H
+from tidemark.operators import mapping
 
 from .clusters import FOUND, found, points
 from .streams import rounded
@@ -18,7 +20,15 @@ def horizon_measures(spark, d):
     return rounded(out, 5, "value")
 
 
-QUERIES = {"horizon_measures": horizon_measures}
+def cluster_mapping(spark, d):
+    """The eight outputs of the mapping measure at every sample; the truth is the sphere of each label's vectors."""
+    rows = points(spark, d)
+    truth = C.spheres_of(rows, "label").orderBy("cluster").collect()  # a row a label
+    out = mapping.cluster_mapping(rows, "id", found(spark, d), truth, EVERY, PANES)
+    return rounded(out, 6, *mapping.OUTPUTS)
+
+
+QUERIES = {"horizon_measures": horizon_measures, "cluster_mapping_by_horizon": cluster_mapping}
 
 #: The points of each sample's horizon; which clusters hold them; the table of clusters and classes with its margins.
 _WINDOW = f"""pts as (select id, any_value(label) as label, (row_number() over (order by id)-1)//{EVERY} as pane from tall group by id), samples as (select distinct pane as s from pts), win as (select s, id, label from samples join pts on pane > s-{PANES} and pane <= s),
