@@ -152,6 +152,10 @@ class Forest:
         self.right, self.wrong = [0.0] * models, [0.0] * models
         self.states, self.estimates, self.resets = [list(detector.init) if detector else [] for _ in range(models)], [0.0] * models, [0] * models
 
+    @property
+    def columns(self) -> list[str]:
+        return [*self.numeric, *self.nominal]
+
     def _plant(self) -> HoeffdingTree:
         return HoeffdingTree(self.classes, self.numeric, self.nominal, **self.options)
 
@@ -320,8 +324,8 @@ def _node(t: dict) -> Node:
     return Node(t["id"], np.array(t["counts"]), t["depth"], t["seen"], t["checked"], numbers, nominal, t["attribute"], t["cut"], t["values"], [_node(c) for c in t["children"]])
 
 
-def prequential(df: DataFrame, forest: Forest, order: str, y: str, batches: int, folder: str, number: Column | None = None) -> DataFrame:
-    """Test-then-train over micro-batches of a table: batch, idx, y, pred.
+def batched(df: DataFrame, model, order: str, y: str, batches: int, folder: str, number: Column | None = None) -> None:
+    """Test-then-learn of a model (`Forest`, or anything of its shape) over micro-batches of a table: predictions go to `folder`/rows/batch=k.
 
     `number` gives a row's batch (0 to batches - 1); without it these are equal stretches of the order.  The rows are
     written once by batch under `folder`, so that a batch reads no more than its own.
@@ -331,10 +335,15 @@ def prequential(df: DataFrame, forest: Forest, order: str, y: str, batches: int,
         low, high = df.agg(F.min(order), F.max(order)).first()
         width = -(-((high or 0) - (low or 0) + 1) // batches)
         number = F.floor((F.col(order) - (low or 0)) / width)
-    columns = list(dict.fromkeys([order, y, *forest.numeric, *forest.nominal]))
+    columns = list(dict.fromkeys([order, y, *model.columns]))
     cut = df.where(F.col(order).isNotNull()).select(*columns, number.cast("int").alias("_batch"))
     cut.write.partitionBy("_batch").parquet(f"{folder}/input")
     given = spark.read.schema(cut.schema).parquet(f"{folder}/input")
     for k in range(batches):
-        forest.test_then_learn(given.where(F.col("_batch") == k).select(columns), order, y, f"{folder}/rows/batch={k}")
-    return spark.read.schema(f"{PASSED}, batch int").parquet(f"{folder}/rows").where("part = 'row'").select("batch", "idx", "y", "pred")
+        model.test_then_learn(given.where(F.col("_batch") == k).select(columns), order, y, f"{folder}/rows/batch={k}")
+
+
+def prequential(df: DataFrame, forest: Forest, order: str, y: str, batches: int, folder: str, number: Column | None = None) -> DataFrame:
+    """`batched`, and what it predicted: batch, idx, y, pred."""
+    batched(df, forest, order, y, batches, folder, number)
+    return df.sparkSession.read.schema(f"{PASSED}, batch int").parquet(f"{folder}/rows").where("part = 'row'").select("batch", "idx", "y", "pred")

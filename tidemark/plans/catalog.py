@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clusters, drift, flows, forests, horizons, learners, streams, trees
+from . import clusters, drift, flows, forests, horizons, learners, rulesets, streams, trees
 
-PARTS = (streams, drift, learners, clusters, trees, flows, forests, horizons)
+PARTS = (streams, drift, learners, clusters, trees, flows, forests, horizons, rulesets)
 
 
 def queries() -> dict:

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.forest import PASSED, Forest
+from tidemark.operators import forest
 from tidemark.operators.ordered import numbered
 from tidemark.storage import names, put_text, removed, text_of
 
@@ -50,29 +50,29 @@ class Store:
             if name.startswith("model-") and name != f"model-{attempt}":
                 removed(self.spark, f"{self.folder}/{name}")
 
-    def rows(self) -> DataFrame:
-        """batch, run, idx, y, pred of all attempts that count."""
+    def rows(self, passed: str = forest.PASSED) -> DataFrame:
+        """batch, run, idx, y, pred of all attempts that count; `passed` is the schema of what the model's pass gives."""
         folders = [f"{self.folder}/rows/attempt={a}" for a in self.attempts()]
         if not folders:
-            return self.spark.createDataFrame([], "batch int, run int, idx long, y int, pred int")
-        found = self.spark.read.schema(f"{PASSED}, attempt string").option("basePath", f"{self.folder}/rows").parquet(*folders).where("part = 'row'")
+            return self.spark.createDataFrame([], f"batch int, run int, {passed}").select("batch", "run", "idx", "y", "pred")
+        found = self.spark.read.schema(f"{passed}, attempt string").option("basePath", f"{self.folder}/rows").parquet(*folders).where("part = 'row'")
         place = F.split("attempt", "-")
         return found.select(place[0].cast("int").alias("batch"), place[1].cast("int").alias("run"), "idx", "y", "pred")
 
 
-def learned(batch: DataFrame, number: int, forest: Forest, store: Store, order: str, y: str, rows: int | None = None) -> None:
-    """Learn what is not yet learned of a micro-batch, in runs of `rows` of its order (all at once without it)."""
+def learned(batch: DataFrame, number: int, model, store: Store, order: str, y: str, rows: int | None = None) -> None:
+    """Learn what is not yet learned of a micro-batch (a `Forest`, or a model of its shape), in runs of `rows` of its order (all at once without it)."""
     spark = batch.sparkSession
     done, last, text = store.latest()
     if number < done or number == done and rows is None:
         return
     if text:
-        forest.restored(text)
+        model.restored(text)
     between, runs = None, [0]
     if rows is not None:
         # rows that come again are numbered as before
         between = f"{store.folder}/_input-{uuid.uuid4().hex}"
-        columns = list(dict.fromkeys([order, y, *forest.numeric, *forest.nominal]))
+        columns = list(dict.fromkeys([order, y, *model.columns]))
         cut = numbered(batch.select(columns), order).withColumn("_run", F.floor(F.col("rn") / rows).cast("int")).drop("rn")
         cut.write.partitionBy("_run").parquet(between)
         given = spark.read.schema(cut.schema).parquet(between)
@@ -82,12 +82,12 @@ def learned(batch: DataFrame, number: int, forest: Forest, store: Store, order:
             continue
         attempt, folder = store.begin(number, run)
         part = batch if rows is None else given.where(F.col("_run") == run).drop("_run")
-        forest.test_then_learn(part, order, y, folder)
-        store.commit(attempt, forest.to_json())
+        model.test_then_learn(part, order, y, folder)
+        store.commit(attempt, model.to_json())
     if between:
         removed(spark, between)
 
 
-def learn(stream: DataFrame, forest: Forest, store: Store, order: str, y: str, checkpoint: str, rows: int | None = None):
+def learn(stream: DataFrame, model, store: Store, order: str, y: str, checkpoint: str, rows: int | None = None):
     """A streaming query that tests and then learns every micro-batch once; what is there runs through, and it ends."""
-    return micro_batches(stream, lambda batch, number: learned(batch, number, forest, store, order, y, rows), checkpoint)
+    return micro_batches(stream, lambda batch, number: learned(batch, number, model, store, order, y, rows), checkpoint)
