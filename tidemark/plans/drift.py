@@ -58,6 +58,32 @@ def _ph(x: str, fade: float) -> str:
     return _sql(x, init, [{"n": f"1+{fade}*n", "total": f"abs(x)+{fade}*total", "steps": "steps+1"}, {"moved": "moved + (abs(x) - total/n - 0.005)"}, {"low": "least(low, moved)"}], "steps > 30 and moved - low > 35", "false", "total/n")
 
 
+def _adwin(x: str, delta: float = 0.002, buckets: int = 5, clock: int = 32, width: int = 10, part: int = 5) -> str:
+    """The adaptive window by phases: a value comes, full levels are squeezed one by one, and at every `clock`-th value cuts are sought.
+
+    The window is a list of buckets, oldest first; a level's buckets lie side by side.
+    """
+    size = "list_sum(list_transform(b, lambda z: z.n))"
+    totals = "list_reduce(list_reverse(b), lambda a, c: {'n': a.n+c.n, 's': a.s+c.s, 'v': a.v+c.v+a.n*c.n*power(a.s/a.n-c.s/c.n, 2)/(a.n+c.n)})"
+    full = f"list_min(list_filter([z.n for z in b], lambda m: len(list_filter(b, lambda z: z.n = m)) > {buckets}))"
+    squeezed = "b[1:p-1] || [{'n': 2*w, 's': b[p].s+b[p+1].s, 'v': b[p].v+b[p+1].v+power(b[p].s-b[p+1].s, 2)/(2*w)}] || b[p+2:]"
+    log = f"ln(2*ln(t.n)/{delta})"
+    m = f"(1/(n0-{part}+1)+1/(t.n-n0-{part}+1))"
+    n0, s0 = "list_sum([z.n for z in b[1:i]])", "list_sum([z.s for z in b[1:i]])"
+    apart = f"abs({s0}/{n0} - (t.s-{s0})/(t.n-{n0})) > sqrt(2*{m.replace('n0', n0)}*t.v/t.n*{log}) + 2.0/3*{log}*{m.replace('n0', n0)}"
+    cut = f"len(list_filter(range(1, len(b)), lambda i: {n0} >= {part + 1} and t.n-{n0} >= {part + 1} and {apart})) > 0"
+    return f"""with recursive o as (select user_id, {x}::double as x, row_number() over (partition by user_id order by event_id) as rn from events),
+ st as (select distinct user_id, 0::bigint as rn, 'next' as phase, []::struct(n double, s double, v double)[] as b, false as chg, 0::bigint as changes from o
+ union all select user_id, rn, case phase when 'next' then 'squeeze' when 'squeeze' then case when w is not null then 'squeeze' when rn % {clock} = 0 and {size} > {width} then 'check' else 'next' end else case when cut and {size}-b[1].n > {width} then 'check' else 'next' end end,
+  case when phase = 'next' then b || [{{'n': 1.0::double, 's': x, 'v': 0.0::double}}] when phase = 'squeeze' then case when w is not null then {squeezed} else b end when cut then b[2:] else b end,
+  case when phase = 'next' then false when phase = 'check' then chg or cut else chg end, case when phase = 'check' and cut and not chg then changes+1 else changes end
+  from (select *, case when phase = 'check' then {cut} else false end as cut, case when w is not null then list_position([z.n for z in b], w) end as p
+   from (select *, case when phase = 'squeeze' then {full} end as w, case when phase = 'check' then {totals} end as t
+    from (select st.user_id, case when phase = 'next' then o.rn else st.rn end as rn, phase, b, chg, changes, o.x from st left join o on o.user_id = st.user_id and o.rn = st.rn+1 and phase = 'next' where phase <> 'next' or o.x is not null)))),
+ last_ as (select * from st where phase = 'next' and rn > 0 qualify row_number() over (partition by user_id order by rn desc) = 1)
+ select user_id, changes, 0::bigint as warnings, round((select t.s/t.n from (select {totals} as t))+1e-7::double, 4) as estimate from last_"""
+
+
 QUERIES = {
     "ddm_by_user": _by_user(D.ddm, True), "eddm_by_user": _by_user(lambda: D.eddm(least=5), True), "ewma_by_user": _by_user(D.ewma, True),
     "page_hinkley_by_user": _by_user(D.page_hinkley, False), "cusum_by_user": _by_user(D.cusum, False), "gma_by_user": _by_user(D.geometric, False),
@@ -71,5 +97,5 @@ SQL = {
     "eddm_by_user": _sql(ERROR, {"n": "1", "errors": "0", "last": "0", "mean": "0", "squares": "0", "top": "0"}, [{"n": "n+1"}, {"gap": "n-1-last", "errors": "errors + x", "before": "mean"}, {"mean": "case when x > 0 then mean + (gap-mean)/errors else mean end", "last": "case when x > 0 then n-1 else last end"}, {"squares": "case when x > 0 then squares + (gap-mean)*(gap-before) else squares end"}, {"high": "case when x > 0 then mean + 2*sqrt(squares/errors) end"}, {"up": "(x > 0 and high > top)::int"}, {"top": "case when up=1 and n > 30 then high else top end"}], "x > 0 and up = 0 and n > 30 and errors > 5 and high/top < 0.9", "x > 0 and up = 0 and n > 30 and errors > 5 and high/top < 0.95", "mean"),
     "ewma_by_user": _sql(ERROR, {"n": "1", "total": "0", "z": "0", "lft": "1"}, [{"total": "total + x", "lft": "lft*((1-0.2::double)*(1-0.2::double))", "z": "z + 0.2::double*(x-z)"}, {"p": "total/n", "n": "n+1"}, {"s": "sqrt(p*(1-p)*0.2::double*(1-lft)/(2-0.2::double))"}], f"n >= 30 and z > p + {_LIMIT}*s", f"n >= 30 and z > p + 0.5*{_LIMIT}*s", "p"),
     "page_hinkley_by_user": _mean_sum(VALUE, "0.9999::double*total + (x-mean-0.005)", "50"), "cusum_by_user": _mean_sum(VALUE, "greatest(0, total + x - mean - 0.005)", "50"), "gma_by_user": _mean_sum(VALUE, "0.99::double*total + (1-0.99::double)*(x-mean)", "1"),
-    "ph_test_by_user": _ph(VALUE, 1.0), "ph_fading_by_user": _ph(VALUE, 0.99),
+    "ph_test_by_user": _ph(VALUE, 1.0), "ph_fading_by_user": _ph(VALUE, 0.99), "adwin_by_user": _adwin(VALUE),
 }

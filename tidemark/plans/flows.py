@@ -17,8 +17,8 @@ from tidemark.operators import statistics as S
 from tidemark.operators.rules import Perceptron
 from tidemark.sources import arff
 from tidemark.sources import generators as G
-from tidemark.storage import shared_folder
-from tidemark.streaming import stateful
+from tidemark.storage import kept, removed, shared_folder
+from tidemark.streaming import stateful, typed
 
 from . import drift as drift_plans
 from .clusters import FOUND, TALL, _clusters, found, points
@@ -108,25 +108,40 @@ def curve_dump(spark, d):
     return back.select(F.col("evaluation instances").cast("long").alias("n"), *(F.col(m).try_cast("double").alias(m) for m in MEASURES))
 
 
-def stream_ddm_by_user(spark, d):
-    """The detector as a stream: micro-batches of the event files, state kept per user, results appended as Parquet."""
-    folder = _folder(spark, "ddm")
-    schema = read(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet").select("user_id", "event_id", (F.col("event_type") == "error").cast("double").alias("x"))
-    out = stateful.detect(rows, "user_id", "event_id", "x", D.ddm()).where("not late").select("user_id", "event_id", "change", "warning", "estimate")
-    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    got = D.summary(spark.read.parquet(f"{folder}/rows"), "user_id", "event_id")
-    return rounded(got.withColumn("estimate", F.col("estimate") + drift_plans.NUDGE), 4, "estimate")
+def _streamed(spark, d, name, made):
+    """Events as a stream of PARTS files, a file a micro-batch in the order of their ids, with typed state; the rows that it gives."""
+    folder = _folder(spark, name)
+    rows = read(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").cast("double").alias("x"), F.col("event_type").alias("y"), F.lit("view").alias("pred"))
+    last = rows.agg(F.max("event_id")).first()[0]
+    for k in range(PARTS):
+        rows.where((F.col("event_id") * PARTS >= k * (last + 1)) & (F.col("event_id") * PARTS < (k + 1) * (last + 1))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    with typed.rocksdb(spark):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        made(stream).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows"), folder
+
+
+PARTS = 3
+
+
+def _stream_detect(name, detector):
+    def query(spark, d):
+        out, folder = _streamed(spark, d, name, lambda s: typed.detect(s, "user_id", "event_id", "x", detector()))
+        got = D.summary(out.where("not late"), "user_id", "event_id")
+        got = kept(rounded(got.withColumn("estimate", F.col("estimate") + drift_plans.NUDGE), 4, "estimate"), f"{name}-result")
+        removed(spark, folder)
+        return got
+
+    return query
 
 
 def stream_accuracy(spark, d):
     """Accuracy over the last 20 rows of each user, as a stream; the prediction is the most usual class."""
-    folder = _folder(spark, "accuracy")
-    rows = spark.readStream.schema(read(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").select("user_id", "event_id", F.col("event_type").alias("y"), F.lit("view").alias("pred"))
-    out = stateful.windowed_accuracy(rows, "user_id", "event_id", "y", "pred", 20)
-    out.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(f"{folder}/rows").groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("accuracy", "event_id").alias("accuracy"), F.count(F.when(F.col("late"), 1)).alias("late"))
-    return rounded(got, 6, "accuracy")
+    out, folder = _streamed(spark, d, "accuracy", lambda s: typed.windowed_accuracy(s, "user_id", "event_id", "y", "pred", 20))
+    got = out.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("accuracy", "event_id").alias("accuracy"), F.count(F.when(F.col("late"), 1)).alias("late"))
+    got = kept(rounded(got, 6, "accuracy"), "accuracy-result")
+    removed(spark, folder)
+    return got
 
 
 def _keyed(spark, d):
@@ -174,7 +189,7 @@ def online_rules(spark, d):
 QUERIES = {
     "round_robin_places": round_robin_places, "paced_batches": paced_batches, "flagged_prequential": flagged_prequential, "hello_world": hello_world, "prob_round": prob_round,
     "max_inclusion": max_inclusion, "weighted_gaussian": weighted_gaussian, "spheres_joined": spheres_joined, "arff_dense": arff_dense, "arff_sparse": arff_sparse, "curve_dump": curve_dump,
-    "stream_ddm_by_user": stream_ddm_by_user, "stream_accuracy_by_user": stream_accuracy, "vfml_bins_by_user": vfml_bins_by_user, "limited_moments_by_user": limited_moments_by_user, "online_majority_by_user": online_majority, "online_bagging_by_user": online_bagging,
+    "stream_ddm_by_user": _stream_detect("ddm", D.ddm), "stream_adwin_by_user": _stream_detect("adwin", D.adwin), "stream_accuracy_by_user": stream_accuracy, "vfml_bins_by_user": vfml_bins_by_user, "limited_moments_by_user": limited_moments_by_user, "online_majority_by_user": online_majority, "online_bagging_by_user": online_bagging,
     "online_tree": _online(lambda: L.Tree(2, grace=50, tie=0.2)), "online_bayes": _online(lambda: L.NaiveBayes(2)), "online_adaptive_tree": _online(lambda: L.Adaptive(lambda: L.Tree(2, grace=50, tie=0.2), D.ddm())),
     "online_bagged_trees": _online(lambda: L.Bagging(lambda: L.Tree(2, grace=50, tie=0.2), 3, 2)), "online_boosted_bayes": _online(lambda: L.Boosting(lambda: L.NaiveBayes(2), 3, 2)), "online_rules": online_rules,
 }
@@ -301,7 +316,7 @@ SQL = {
     "arff_dense": _ITEMS.format(flag="l_returnflag", key="case when l_orderkey % 100 <> 0 then 1 end", bad="0"),
     "arff_sparse": _ITEMS.format(flag="case when l_orderkey % 500 <> 0 then l_returnflag else '?' end", key="*", bad="(l_orderkey % 500 = 0)::int"),
     "curve_dump": _CURVE + " select * from curve",
-    "stream_ddm_by_user": drift_plans.SQL["ddm_by_user"],
+    "stream_ddm_by_user": drift_plans.SQL["ddm_by_user"], "stream_adwin_by_user": drift_plans._adwin(drift_plans.ERROR),
     "stream_accuracy_by_user": "with h as (select user_id, event_id, avg((event_type='view')::int) over (partition by user_id order by event_id rows between 19 preceding and current row) as a from events) select user_id, count(*) as n, round(arg_max(a, event_id),6)+0.0 as accuracy, 0::bigint as late from h group by 1",
     "online_majority_by_user": "with e as (select user_id, event_id, list_position(['click','error','purchase','signup','view'], event_type)-1 as y from events), s as (select *, " + ", ".join(f"coalesce(sum((y={c})::int) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding),0) as s{c}" for c in range(5)) + " from e), p as (select *, case " + " ".join(f"when s{c}=greatest(s0,s1,s2,s3,s4) then {c}" for c in range(5)) + " end as pred from s) select user_id, count(*) as n, count(*) filter (pred=y) as hits from p group by 1",
     "vfml_bins_by_user": f"with {_POINTS}, m as (select user_id, max(x) as most from e group by 1) select pts.user_id, p as cut, count(*) filter (x = p or x < p and p > p0)::double as below, count(*) filter (not (x = p or x < p and p > p0))::double as above, count(*) filter ((x = p or x < p and p > p0) and y = 1)::double as errors from pts join e using (user_id) join m using (user_id) where p < most group by 1, 2",
