@@ -15,7 +15,7 @@ from tidemark.operators import observers as O
 from tidemark.operators import online as L
 from tidemark.operators import statistics as S
 from tidemark.operators.rules import Perceptron
-from tidemark.sources import arff
+from tidemark.sources import arff, arff_source
 from tidemark.sources import generators as G
 from tidemark.storage import kept, removed, shared_folder
 from tidemark.streaming import stateful, typed
@@ -88,6 +88,33 @@ def arff_dense(spark, d):
     return _TOTALS(arff.read(spark, folder, glob="*.txt"))
 
 
+def _written(spark, d, name):
+    folder = _folder(spark, name)
+    arff.write(_items(spark, d).withColumn("l_orderkey", F.when(F.col("l_orderkey") % 100 != 0, F.col("l_orderkey"))), f"{folder}/in")
+    arff_source.register(spark)
+    return folder
+
+
+def _source_totals(rows, folder, name):
+    out = kept(_TOTALS(rows.withColumn("bad_labels", F.col("_problem").isNotNull().cast("int"))), name)
+    removed(out.sparkSession, folder)
+    return out
+
+
+def arff_as_source(spark, d):
+    """The same files by Spark's reader, in ranges of a megabyte."""
+    folder = _written(spark, d, "source")
+    return _source_totals(spark.read.format("arff").option("range_bytes", 1 << 20).load(f"{folder}/in"), folder, "source-result")
+
+
+def arff_as_stream(spark, d):
+    """The same files as a stream, appended as Parquet."""
+    folder = _written(spark, d, "stream")
+    rows = spark.readStream.format("arff").load(f"{folder}/in")
+    rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _source_totals(spark.read.parquet(f"{folder}/rows"), folder, "stream-result")
+
+
 def arff_sparse(spark, d):
     """Sparse rows: zeros and first labels are left out; the label X is not in the header."""
     folder = _folder(spark, "sparse")
@@ -188,7 +215,7 @@ def online_rules(spark, d):
 
 QUERIES = {
     "round_robin_places": round_robin_places, "paced_batches": paced_batches, "flagged_prequential": flagged_prequential, "hello_world": hello_world, "prob_round": prob_round,
-    "max_inclusion": max_inclusion, "weighted_gaussian": weighted_gaussian, "spheres_joined": spheres_joined, "arff_dense": arff_dense, "arff_sparse": arff_sparse, "curve_dump": curve_dump,
+    "max_inclusion": max_inclusion, "weighted_gaussian": weighted_gaussian, "spheres_joined": spheres_joined, "arff_dense": arff_dense, "arff_sparse": arff_sparse, "arff_as_source": arff_as_source, "arff_as_stream": arff_as_stream, "curve_dump": curve_dump,
     "stream_ddm_by_user": _stream_detect("ddm", D.ddm), "stream_adwin_by_user": _stream_detect("adwin", D.adwin), "stream_accuracy_by_user": stream_accuracy, "vfml_bins_by_user": vfml_bins_by_user, "limited_moments_by_user": limited_moments_by_user, "online_majority_by_user": online_majority, "online_bagging_by_user": online_bagging,
     "online_tree": _online(lambda: L.Tree(2, grace=50, tie=0.2)), "online_bayes": _online(lambda: L.NaiveBayes(2)), "online_adaptive_tree": _online(lambda: L.Adaptive(lambda: L.Tree(2, grace=50, tie=0.2), D.ddm())),
     "online_bagged_trees": _online(lambda: L.Bagging(lambda: L.Tree(2, grace=50, tie=0.2), 3, 2)), "online_boosted_bayes": _online(lambda: L.Boosting(lambda: L.NaiveBayes(2), 3, 2)), "online_rules": online_rules,
@@ -332,3 +359,4 @@ SQL = {
     "adaptive_bagging_by_user": _ADAPTIVE,
     "gk_quantiles_by_user": _GK,
 }
+SQL |= {"arff_as_source": SQL["arff_dense"], "arff_as_stream": SQL["arff_dense"]}

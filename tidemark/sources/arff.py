@@ -1,8 +1,12 @@
 """ARFF files, dense and sparse, read and written with Spark's own text source.
 
-Header lines begin with @ and are few; they give the schema.  All other lines are rows: they are parsed
-in the JVM, so any file system that Spark reads will do.  A `?` is null; a label that the header does not
-list is null and counted in `bad_labels`; an index that a sparse row leaves out is 0 (numeric) or the first label.
+Header lines begin with @ and are few; they give the schema: numbers, nominal values, strings, and dates with their pattern.  All
+other lines are rows: they are parsed in the JVM, so any file system that Spark reads will do.  Fields are parted by commas outside
+quotes.  A `?`, an empty field, what is no number and no date are null; a label that the header does not list is null and
+counted in `bad_labels`; a row with a wrong number of fields, or an index that is none, is null throughout and counts with all
+its attributes there.  An index that a sparse row leaves out is 0, the first label, or null (strings, dates).
+
+`arff_source` is the same as a data source of Spark, with streams, ranges of files, the order of rows and strict modes.
 """
 
 from __future__ import annotations
@@ -19,13 +23,18 @@ from pyspark.sql import functions as F
 class Attribute:
     name: str
     labels: list[str] | None = None
+    kind: str = "numeric"
+    pattern: str = ""
 
     @property
     def metadata(self) -> dict:
-        return {"kind": "nominal", "labels": self.labels} if self.labels is not None else {"kind": "numeric"}
+        return {"kind": "nominal", "labels": self.labels} if self.labels is not None else {"kind": self.kind}
 
 
 _ITEM = r"'[^']*'|\"[^\"]*\"|[^,\s{}]+"
+#: A value in quotes, with escapes; a field after its comma; a pair of a sparse row after its comma.
+_QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
+_FIELD, _PAIR = rf",\s*({_QUOTED}|[^,]*?)\s*(?=,|$)", rf",\s*([0-9]+\s+(?:{_QUOTED}|[^,]*?)|[^,]*?)\s*(?=,|$)"
 _ATTRIBUTE = re.compile(r"@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)", re.IGNORECASE)
 
 
@@ -46,7 +55,12 @@ def header(spark: SparkSession, path: str, glob: str = "*.arff") -> tuple[str, l
         m = _ATTRIBUTE.match(text)
         if m:
             kind = m[2].strip()
-            found.append(Attribute(unquoted(m[1]), [unquoted(x) for x in re.findall(_ITEM, kind)] if kind.startswith("{") else None))
+            if kind.startswith("{"):
+                found.append(Attribute(unquoted(m[1]), [unquoted(x.strip()) for x in re.findall(_FIELD, "," + kind.strip("{} "))], "nominal"))
+            else:
+                word, _, rest = kind.partition(" ")
+                kinds = {"string": "string", "date": "date"}
+                found.append(Attribute(unquoted(m[1]), None, kinds.get(word.lower(), "numeric"), unquoted(rest.strip()) or "yyyy-MM-dd'T'HH:mm:ss"))
         elif text.lower().startswith("@relation"):
             relation = unquoted(text.split(None, 1)[1].strip()) if len(text.split(None, 1)) > 1 else ""
     return relation, found
@@ -65,22 +79,29 @@ def read(spark: SparkSession, path: str, class_index: int = -1, glob: str = "*.a
     _, found = header(spark, path, glob)
     text = F.trim("value")
     rows = _lines(spark, path, glob).where((text != "") & ~text.startswith("%") & ~F.lower(text).startswith("@")).select(text.alias("t"))
-    items = F.regexp_extract_all("t", F.lit(f"({_ITEM})"), F.lit(1))
-    rows = rows.select(F.col("t").startswith("{").alias("sparse"), items.alias("v"))
-    # a sparse row is a list of index, value pairs
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda k: F.struct(F.get("v", 2 * k).cast("int").alias("key"), F.get("v", 2 * k + 1).alias("value")))
-    rows = rows.withColumn("m", F.when(F.col("sparse") & (F.size("v") > 1), F.map_from_entries(pairs)))
+    sparse = F.col("t").startswith("{")
+    inner = F.trim(F.regexp_replace("t", r"^\{|\}$", ""))
+    all_of = lambda text, pattern: F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(pattern), F.lit(1))
+    rows = rows.select("t", sparse.alias("sparse"), F.when(~sparse, all_of(F.col("t"), _FIELD)).alias("v"), F.when(sparse, F.when(inner != "", all_of(inner, _PAIR)).otherwise(F.array())).alias("p"))
+    key = lambda p: F.regexp_extract(p, r"^([0-9]+)\s", 1).try_cast("int")
+    fine = F.when(~F.col("sparse"), F.size("v") == len(found)).otherwise(F.col("t").endswith("}") & F.forall("p", lambda p: F.coalesce(key(p) < len(found), F.lit(False))))
+    rows = rows.withColumn("fine", fine)
+    # the last of several pairs of an index counts
+    told = lambda k: F.element_at(F.filter("p", lambda p: key(p) == k), -1)
     columns, bad = [], F.lit(0)
     for k, a in enumerate(found):
-        default = F.lit("0.0") if a.labels is None else F.lit(a.labels[0] if a.labels else None)
-        raw = F.when(F.col("sparse"), F.coalesce(F.try_element_at("m", F.lit(k)), default)).otherwise(F.get("v", k))
-        raw = F.when(raw != "?", F.regexp_replace(raw, r"^(['\"])(.*)\1$", "$2"))
-        if a.labels is None:
-            columns.append(raw.try_cast("double").alias(a.name, metadata=a.metadata))
-        else:
+        default = F.lit("0.0") if a.kind == "numeric" else F.lit(a.labels[0]) if a.labels else F.lit(None)
+        pair = F.when(F.exists("p", lambda p: key(p) == k), F.trim(F.regexp_replace(told(k), r"^[0-9]+\s+", ""))).otherwise(default)
+        raw = F.when(F.col("fine"), F.when(F.col("sparse"), pair).otherwise(F.get("v", k)))
+        raw = F.when((raw != "?") & (raw != ""), F.when(raw.rlike(r"^(['\"]).*\1$"), F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), r"\\(.)", "$1")).otherwise(raw))
+        if a.labels is not None:
             known: Column = raw.isin(a.labels)
             bad = bad + F.coalesce((~known).cast("int"), F.lit(0))
             columns.append(F.when(known, raw).alias(a.name, metadata=a.metadata))
+        else:
+            value = raw if a.kind == "string" else F.try_to_timestamp(raw, F.lit(a.pattern)) if a.kind == "date" else raw.try_cast("double")
+            columns.append(value.alias(a.name, metadata=a.metadata))
+    bad = F.when(F.col("fine"), bad).otherwise(len(found))
     at = len(found) - 1 if class_index == -1 else class_index - 1
     if class_index != 0:
         columns.append(columns.pop(at))
