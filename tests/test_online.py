@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -236,3 +237,40 @@ def test_horizons_are_windows_of_their_own(spark):
     assert [r.horizon for r in out] == [0, 1, 2] and all(r.ssq < 0.1 * 100 and 0.5 < r.rand <= 1 and 0 < r.van_dongen <= 1 for r in out)
     alone = tasks.clustering_evaluation(spark.createDataFrame(rows[:100], "id long, x array<double>, label int"), "id", kernels=10, horizon=100, k=2).first()
     assert alone.ssq == pytest.approx(out[0].ssq)
+
+
+def test_missing_values_count_in_no_moments():
+    """A rule node and its perceptron learn what is there, and nothing for what is not."""
+    from tidemark.operators.online import RuleNode
+    from tidemark.operators.rules import Perceptron
+
+    node, rng = RuleNode(["a", "b"]), random.Random(3)
+    there = []
+    for i in range(100):
+        a, b = rng.random(), rng.random() if i % 3 else math.nan
+        there += [b] if i % 3 else []
+        node.learn(np.array([a, b]), 2 * a)
+    assert node.perceptron.s[0].tolist() == [100, len(there)]
+    assert node.perceptron.s[1][1] == pytest.approx(sum(there)) and node.perceptron.s[2][1] == pytest.approx(sum(v * v for v in there))
+    assert not node.deviates(np.array([0.5, math.nan])) and math.isfinite(node.predict(np.array([math.nan, math.nan])))
+    p = Perceptron(1)
+    p.learn(np.array([math.nan]), 3.0)
+    assert p.s.tolist() == [[0.0], [0.0], [0.0]] and p.predict(np.array([math.nan])) == 3.0
+
+
+def test_a_rule_learner_takes_a_weight_of_two_as_the_row_twice():
+    from tidemark.operators.online import Rules
+
+    rng = random.Random(4)
+    rows = [{"a": rng.random(), "b": rng.random()} for _ in range(600)]
+    one, two = Rules(["a", "b"], grace=50, delta=0.1, tie=0.3), Rules(["a", "b"], grace=50, delta=0.1, tie=0.3)
+    for x in rows:
+        y = 10.0 if x["a"] > 0.5 else 0.0
+        one.learn(x, y, 2.0)
+        two.learn(x, y)
+        two.learn(x, y)
+        one.learn(x, y, 0.0)
+    assert [r.literals for r, _ in one.rules] == [r.literals for r, _ in two.rules] and one.rules
+    assert one.votes(rows[0]) == two.votes(rows[0])
+    with pytest.raises(ValueError, match="no number of times"):
+        one.learn(rows[0], 1.0, 0.5)

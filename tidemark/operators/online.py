@@ -245,7 +245,7 @@ class RuleNode:
         return self.predictor == "perceptron" or self.predictor == "adaptive" and self.perceptron.faded_error < self.mean.error
 
     def predict(self, x: np.ndarray) -> float:
-        return self.perceptron.predict(np.nan_to_num(x)) if self._linear() else self.mean.predict()
+        return self.perceptron.predict(x) if self._linear() else self.mean.predict()
 
     @property
     def error(self) -> float:
@@ -276,7 +276,7 @@ class RuleNode:
         self.sums += (1, y, y * y)
         for v, summary in zip(x, self.summaries):
             summary.add(float(v), y)
-        self.perceptron.learn(np.nan_to_num(x), y)
+        self.perceptron.learn(x, y)
         self.mean.learn(y)
 
     def expansion(self, delta: float, tie: float):
@@ -339,8 +339,13 @@ class Rules:
         return [sum(p * w for p, w in known) / sum(w for _, w in known)]
 
     def learn(self, x: dict, y: float, weight: float = 1.0) -> None:
-        if not _there(y):
-            return
+        """A weight is how often the row is learned, as online bagging has it; it is a whole number."""
+        if weight != int(weight) or weight < 0:
+            raise ValueError(f"a weight of {weight} is no number of times")
+        for _ in range(int(weight) if _there(y) else 0):
+            self._learn(x, y)
+
+    def _learn(self, x: dict, y: float) -> None:
         row, gone = self._row(x), []
         for k in self._covering(row):
             if k < 0:

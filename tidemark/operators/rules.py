@@ -112,7 +112,10 @@ def target_mean(df: DataFrame, key: str, order: str, y: str) -> DataFrame:
 
 
 class Perceptron:
-    """Linear model on standardised inputs and target, by the delta rule with a decaying rate."""
+    """Linear model on standardised inputs and target, by the delta rule with a decaying rate.
+
+    A missing input (NaN) counts in no moments, and as its mean in the product.
+    """
 
     def __init__(self, n: int, rate: float = 0.025, decay: float = 0.001, fade: float = 0.99, seed: int = 1):
         self.rate, self.decay, self.fade, self.n = rate, decay, fade, 0
@@ -128,7 +131,7 @@ class Perceptron:
 
     def _z(self, x):
         mean, sd = self._stats(self.s)
-        return np.where(sd > 1e-7, (x - mean) / np.where(sd > 1e-7, sd, 1), 0.0)
+        return np.where((sd > 1e-7) & ~np.isnan(x), (x - mean) / np.where(sd > 1e-7, sd, 1), 0.0)
 
     def predict(self, x: np.ndarray) -> float:
         mean, sd = self._stats(self.t)
@@ -137,7 +140,8 @@ class Perceptron:
     def learn(self, x: np.ndarray, y: float) -> None:
         self.error = abs(self.predict(x) - y) + self.fade * self.error
         self.seen = 1 + self.fade * self.seen
-        self.s += np.stack([np.ones_like(x), x, x * x])
+        known = np.where(np.isnan(x), 0.0, x)
+        self.s += np.stack([(~np.isnan(x)).astype(float), known, known * known])
         self.t += (1, y, y * y)
         self.n += 1
         mean, sd = self._stats(self.t)

@@ -23,7 +23,7 @@ from tidemark.streaming import stateful, typed
 from . import drift as drift_plans
 from .clusters import FOUND, TALL, _clusters, found, points
 from .streams import MAJORITY, MEASURES, _CURVE, events, learning_curve, read, rounded
-from .trees import _ATT, _HW, _MD5, _size
+from .trees import _MD5, _size
 
 
 def _folder(spark, name):
@@ -172,9 +172,9 @@ def stream_accuracy(spark, d):
 
 
 def _keyed(spark, d):
-    """A hyperplane stream dealt to sixteen keys."""
-    rows = G.hyperplane(spark, _size(spark, d), attributes=4).withColumn("key", F.pmod("idx", F.lit(16)))
-    return rows.withColumn("y", (F.col("class") == "class2").cast("int"))
+    """Orders dealt to sixteen keys; the class follows price and month, but for one in twenty."""
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), (F.col("o_totalprice") / 500000).alias("att1"), (F.month("o_orderdate") / 12).alias("att2"), ((F.col("o_custkey") % 97) / 97).alias("att3"), (F.dayofmonth("o_orderdate") / 31).alias("att4"))
+    return rows.withColumns({"key": F.pmod("idx", F.lit(16)), "y": ((F.col("att1") + F.col("att2") > 1) != (F.col("idx") % 20 == 0)).cast("int")})
 
 
 X4 = [f"att{k}" for k in range(1, 5)]
@@ -285,7 +285,7 @@ _BAGGED = f"with e as (select user_id, row_number() over (partition by user_id o
 _SUMS = ", ".join(f"coalesce(sum(case when y={c} then {v} else 0 end) over w, 0)::double as {name}" for c in range(2) for v, name in [("1", f"n{c}"), *((f"a{j}", f"s{c}{j}") for j in range(4)), *((f"a{j}*a{j}", f"q{c}{j}") for j in range(4))])
 _DENSITY = lambda c, j: f"case when n{c} > 1 and q{c}{j}-s{c}{j}*s{c}{j}/n{c} > 0 then exp(-power(a{j}-s{c}{j}/n{c},2)/(2*(q{c}{j}-s{c}{j}*s{c}{j}/n{c})/(n{c}-1)))/sqrt(2*pi()*(q{c}{j}-s{c}{j}*s{c}{j}/n{c})/(n{c}-1)) else (a{j}=s{c}{j}/n{c})::int end"
 _VOTE = lambda c: f"case when n{c} > 0 then n{c}/(n0+n1)*" + "*".join(f"({_DENSITY(c, j)})" for j in range(4)) + " else 0 end"
-_BAYES = f"with {_IDX}, a as (select idx, {_ATT}, {_MD5(chr(39) + '1' + chr(39), 'idx::varchar', chr(39) + 'noise' + chr(39))} as u from i), b as (select *, ((({'+'.join(f'{w}*a{k}' for k, w in enumerate(_HW))}) >= 0.5*({'+'.join(_HW)})) <> (u < 0.05))::int as y, idx % 16 as key from a), s as (select *, {_SUMS} from b window w as (partition by key order by idx {_BEFORE})), v as (select key, y, {_VOTE(0)} as v0, {_VOTE(1)} as v1 from s) select key, count(*) as n, count(*) filter (y = (v1 > v0)::int) as hits from v group by 1"
+_BAYES = f"with a as (select o_orderkey as idx, o_totalprice/500000 as a0, month(o_orderdate)/12 as a1, (o_custkey%97)/97 as a2, day(o_orderdate)/31 as a3 from orders), b as (select *, ((a0+a1 > 1) <> (idx % 20 = 0))::int as y, idx % 16 as key from a), s as (select *, {_SUMS} from b window w as (partition by key order by idx {_BEFORE})), v as (select key, y, {_VOTE(0)} as v0, {_VOTE(1)} as v1 from s) select key, count(*) as n, count(*) filter (y = (v1 > v0)::int) as hits from v group by 1"
 _M, _K = range(5), range(5)
 
 

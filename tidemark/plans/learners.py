@@ -8,6 +8,7 @@ from tidemark.functions.scalars import hash_uniform, poisson1, poisson1_sql
 from tidemark.operators import drift as D
 from tidemark.operators import ensembles as N
 from tidemark.operators import rules as R
+from tidemark.operators import summaries as Y
 
 from .streams import CLASSES, events, read, rounded
 
@@ -56,9 +57,10 @@ def rule_coverage(spark, d):
     return rounded(rows.groupBy("rule", "covers").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("mean")), 2, "mean")
 
 
-def _literals(spark):
-    rows = [(0, "a", 1, 5.0), (0, "a", 1, 3.0), (0, "a", 2, 1.0), (0, "a", 2, 2.0), (1, "b", 1, 4.0), (1, "b", 2, 0.5)]
-    return spark.createDataFrame(rows, "rule int, attribute string, operator int, value double")
+def _literals(spark, d):
+    """Literals that the line items of a supplier give its rule: at most, and above, its quantities and discounts."""
+    rows = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("rule"), (1 + F.col("l_linenumber") % 2).cast("int").alias("operator"), F.explode(F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(c).alias("value")) for c in ("l_quantity", "l_discount")))).alias("p"))
+    return rows.select("rule", "operator", "p.attribute", "p.value")
 
 
 def anomaly_score(spark, d):
@@ -122,7 +124,7 @@ def _amrules(ordered: bool):
 
 QUERIES = {
     "poisson_weights": poisson_weights, "bagging_class_counts": bagging_class_counts, "vote_combine": vote_combine, "boosting_weights": boosting_weights, "boosting_by_user": boosting_by_user,
-    "adaptive_bagging_by_user": adaptive_bagging_by_user, "rule_coverage": rule_coverage, "rule_tighten": lambda s, d: R.tightened(_literals(s)), "anomaly_score": anomaly_score,
+    "adaptive_bagging_by_user": adaptive_bagging_by_user, "rule_coverage": rule_coverage, "rule_tighten": lambda s, d: R.tightened(_literals(s, d)), "anomaly_score": anomaly_score,
     "vote_inverse_error": vote_inverse_error, "vote_uniform": vote_uniform, "target_mean": target_mean, "normalized_error": normalized_error, "perceptron_by_user": perceptron_by_user,
     "amrules_ordered": _amrules(True), "amrules_unordered": _amrules(False),
 }
@@ -135,10 +137,22 @@ SQL = {
     "vote_combine": f"with e as (select user_id, event_id % 7 as model, list_position({CLASSES!r}, event_type)-1 as y from events), m as (select user_id, model, count(*)::double as n, " + ", ".join(f"count(*) filter (y={c}) as n{c}" for c in range(5)) + " from e group by 1,2) select user_id, " + ", ".join(f"round(sum(n{c}/n),6)+0.0 as v{c}" for c in range(5)) + " from m group by 1",
     "boosting_weights": "with h as (select user_id, count(*) filter (event_type<>'error')::double as r, count(*) filter (event_type='error')::double as w from events group by 1) select user_id, round(case when w > 0 and w/(r+w) <= 0.5 then ln((1-w/(r+w))/(w/(r+w))) else 0 end,6)+0.0 as weight from h",
     "rule_coverage": f"with c as (select case when {COVER[0]} then 0 when {COVER[1]} then 1 when {COVER[2]} then 2 else -1 end as rule, ({COVER[0]})::int + ({COVER[1]})::int + ({COVER[2]})::int as covers, l_extendedprice as x from lineitem) select rule, covers, count(*) as n, round(avg(x),2)+0.0 as mean from c group by 1,2",
-    "rule_tighten": "with l(rule, attribute, operator, value) as (values (0,'a',1,5.0),(0,'a',1,3.0),(0,'a',2,1.0),(0,'a',2,2.0),(1,'b',1,4.0),(1,'b',2,0.5)) select rule, attribute, operator, (case when operator=1 then min(value) else max(value) end)::double as value from l group by 1,2,3",
+    "rule_tighten": "with l as (select l_suppkey as rule, (1 + l_linenumber % 2)::int as operator, unnest([{'a': 'l_quantity', 'v': l_quantity}, {'a': 'l_discount', 'v': l_discount}]) as p from lineitem) select rule, p.a as attribute, operator, (case when operator=1 then min(p.v) else max(p.v) end)::double as value from l group by 1,2,3",
     "anomaly_score": "with s as (select *, " + ", ".join(f"1/(1+power(({c}-avg({c}) over p)/stddev_samp({c}) over p,2)) as p_{c}" for c in _AN) + " from lineitem window p as (partition by l_returnflag)), t as (select l_returnflag, " + "+".join(f"abs(ln(p_{c}))" for c in _AN) + " as a, " + "+".join(f"case when p_{c} < 0.3 then abs(ln(p_{c})) else 0 end" for c in _AN) + " as o from s), u as (select l_returnflag, case when a > 0 then o/a else 0 end as score from t) select l_returnflag, count(*) as n, count(*) filter (score >= 0.5) as odd, round(avg(score),6) as mean from u group by 1",
     "vote_inverse_error": f"with {VOTES} select idx, round(sum(pred/(error+1e-9))/sum(1/(error+1e-9)),4)+0.0 as vote, round(sum(error/(error+1e-9))/sum(1/(error+1e-9)),4)+0.0 as weighted_error from v group by 1",
     "vote_uniform": f"with {VOTES} select idx, round(avg(pred),4)+0.0 as vote from v group by 1",
     "target_mean": f"with {_TM} select user_id, round(avg(abs(value-pred)),4) as mae from t group by 1",
     "normalized_error": f"with {_TM}, s as (select user_id, value, pred, avg(value) over (partition by user_id) as m, stddev_samp(value) over (partition by user_id) as s from t) select user_id, round(avg(case when s > 1e-7 then abs((value-m)/s-(pred-m)/s) else abs(value-pred) end),4) as error from s group by 1",
 }
+OBSERVED = ["l_quantity", "l_discount", "l_tax"]
+
+
+def class_cut_points(spark, d):
+    """Ten quantiles of each class of each attribute as cuts, and the rows of every class on either side, from merged summaries."""
+    rows = read(spark, d, "lineitem").select("l_returnflag", *OBSERVED).repartition(6)
+    return Y.class_cuts(Y.summarised(rows, OBSERVED, "l_returnflag", 100, 3), 10)
+
+
+QUERIES["class_cut_points"] = class_cut_points
+_OBSERVED = " union all ".join(f"select '{a}' as attribute, l_returnflag as class, {a} as v from lineitem" for a in OBSERVED)
+SQL["class_cut_points"] = f"with t as ({_OBSERVED}), g as (select attribute, class, v, count(*) as m from t group by 1, 2, 3), c as (select attribute, class, v, sum(m) over (partition by attribute, class order by v) as up, sum(m) over (partition by attribute, class) as n from g), k as (select distinct attribute, cut from (select attribute, class, j, min(v) as cut from c, range(1, 11) r(j) where up >= n*j/11.0 - 1e-9 group by 1, 2, 3)) select k.attribute, k.cut, class, count(*) filter (v <= cut)::double as below, count(*) filter (v > cut)::double as above from k join t using (attribute) group by 1, 2, 3"

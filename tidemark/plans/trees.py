@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark import tasks
+from tidemark import flows, tasks
 from tidemark.functions import scalars as X
 from tidemark.operators import hoeffding as H
 from tidemark.operators import rules as R
@@ -129,13 +129,13 @@ def weighted_pick(spark, d):
 
 def partition_by_key(spark, d):
     """Rows of a key stay together: every user is in one of the partitions."""
-    dealt = events(spark, d).repartition(4, "user_id").select("user_id", F.spark_partition_id().alias("p"))
+    dealt = flows.dealt(events(spark, d), flows.KEY, 4, "user_id").select("user_id", F.spark_partition_id().alias("p"))
     return dealt.groupBy("user_id").agg(F.countDistinct("p").cast("int").alias("partitions"), F.count("*").alias("n"))
 
 
 def broadcast_copies(spark, d):
     """Every row to each of three copies of an operator."""
-    return events(spark, d).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2)))).groupBy("copy").agg(F.count("*").alias("n"))
+    return flows.dealt(events(spark, d), flows.ALL, 3).groupBy("copy").agg(F.count("*").alias("n"))
 
 
 def union_inputs(spark, d):
