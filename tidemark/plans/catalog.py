@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import clusters, drift, flows, forests, horizons, learners, rulesets, streams, trees
+from . import clusters, drift, flows, forests, horizons, learners, rulesets, spheres, streams, trees
 
-PARTS = (streams, drift, learners, clusters, trees, flows, forests, horizons, rulesets)
+PARTS = (streams, drift, learners, clusters, trees, flows, forests, horizons, rulesets, spheres)
 
 
 def queries() -> dict:

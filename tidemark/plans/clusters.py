@@ -154,15 +154,11 @@ def class_connections(spark, d):
     return rounded(M.connections(M.connectivity(points(spark, d))), 6, "con")
 
 
-def enclosing_ball(spark, d):
-    return M.balls(points(spark, d), "label")
-
-
 QUERIES = {
     "cf_by_label": cf_by_label, "cf_merge": cf_merge, "cf_radius": cf_radius, "cf_relevance_stamp": relevance, "kmeans_assign": kmeans_assign, "kmeans_iterate": kmeans_iterate, "gaussian_means": gaussian_means,
     "membership_matrix": membership_matrix, "ssq": ssq, "rand_van_dongen": pair_measures, "entropy_measures": entropy_measures, "f1_purity": f1_purity, "cluster_general": general, "silhouette": silhouette,
     "cindex": c_index, "bss": separation, "sphere_overlap": sphere_overlap, "asof_ground_truth": asof_ground_truth, "asof_irregular_truth": asof_irregular_truth, "clustream_kernels": clustream, "clustream_macro": clustream_macro,
-    "distributed_clustream": distributed_clustream, "cmm": cmm, "class_connections": class_connections, "enclosing_ball": enclosing_ball,
+    "distributed_clustream": distributed_clustream, "cmm": cmm, "class_connections": class_connections,
 }
 
 TALL = f"tall as (select vec_id as id, label, label%5 as grp, unnest(range({DIMS})) as i, unnest(embedding)::double as v from embeddings)"
