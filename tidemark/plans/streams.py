@@ -84,7 +84,7 @@ def curve_summary(spark, d):
 
 
 def regression_prequential(spark, d):
-    rows = E.running_mean(events(spark, d), "idx", "value")
+    rows = E.running_mean(in_blocks(events(spark, d), "idx"), "idx", "value")
     out = E.regression(rows, "idx", "value", "pred")
     names = ["mae", "rmse", "relative_mae", "relative_rmse"]
     return rounded(out.select("idx", *names), 5, *names)
