@@ -74,13 +74,13 @@ def test_every_row_has_a_stated_result(spark, tmp_path):
 
 def test_ranges_lose_and_repeat_nothing(spark, tmp_path):
     for f in range(3):
-        put(tmp_path, HEAD + "".join(f"{f * 1000 + i},x,'{'é' * (i % 40)}',?,{i}\n" for i in range(500)), f"f{f}.arff")
-    for size in (37, 1000, 10_000, 1 << 20):
+        put(tmp_path, HEAD + "".join(f"{f * 1000 + i},x,'{'é' * (i % 40)}',?,{i}\n" for i in range(150)), f"f{f}.arff")
+    for size in (97, 1000, 1 << 20):
         df = load(spark, tmp_path, range_bytes=size)
         rows = df.orderBy("_file", "_offset").collect()
-        assert [r.a for r in rows] == [f * 1000.0 + i for f in range(3) for i in range(500)] and all(len(r.s) == int(r.n) % 40 for r in rows)
+        assert [r.a for r in rows] == [f * 1000.0 + i for f in range(3) for i in range(150)] and all(len(r.s) == int(r.n) % 40 for r in rows)
         if size == 1000:
-            assert df.rdd.getNumPartitions() > 20
+            assert df.rdd.getNumPartitions() > 8
 
 
 def test_what_cannot_be_read_is_an_error(spark, tmp_path):
