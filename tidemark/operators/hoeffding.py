@@ -4,7 +4,8 @@ The tree is a small object on the driver, compiled to one Column that gives each
 batch one grouped aggregate updates the additive statistics of (leaf, attribute, class): moments for
 numeric attributes, counts for nominal values.  Only these (leaves x attributes x classes x values)
 reach the driver, where a leaf past its grace period may split.  Within a batch the tree is fixed and
-class counts change row by row, so test-then-train predictions are exact.
+class counts change row by row, so test-then-train predictions are exact.  A nominal attribute of very many
+values (more than `max_values` a leaf) is refused, as its counts would not be bounded.
 """
 
 from __future__ import annotations
@@ -61,10 +62,10 @@ class Node:
 
 
 class HoeffdingTree:
-    def __init__(self, classes: list[str], numeric: list[str], nominal: list[str] = (), grace: int = 200, delta: float = 1e-7, tie: float = 0.05, criterion=info_gain, candidates: int = 10, binary: bool = False, max_leaves: int = 1000):
+    def __init__(self, classes: list[str], numeric: list[str], nominal: list[str] = (), grace: int = 200, delta: float = 1e-7, tie: float = 0.05, criterion=info_gain, candidates: int = 10, binary: bool = False, max_leaves: int = 1000, max_values: int = 1000):
         self.classes, self.numeric, self.nominal = classes, list(numeric), list(nominal)
         self.grace, self.delta, self.tie, self.criterion = grace, delta, tie, criterion
-        self.candidates, self.binary, self.max_leaves = candidates, binary, max_leaves
+        self.candidates, self.binary, self.max_leaves, self.max_values = candidates, binary, max_leaves, max_values
         self.root, self.made = Node(0, np.zeros(len(classes))), 1
 
     def leaves(self) -> list[Node]:
@@ -141,7 +142,11 @@ class HoeffdingTree:
                     s[:3] += (r.n, r.s, r.q)
                     s[3], s[4] = min(s[3], r.low), max(s[4], r.high)
         for a in self.nominal:
-            for r in rows.where(F.col(a).isNotNull()).groupBy("leaf", F.col(a).cast("string").alias("value"), y).agg(F.count("*").alias("n")).collect():
+            bound = len(at) * self.max_values * len(self.classes)
+            cells = rows.where(F.col(a).isNotNull() & F.col(y).cast("string").isin(self.classes)).groupBy("leaf", F.col(a).cast("string").alias("value"), y).agg(F.count("*").alias("n")).limit(bound + 1).collect()
+            if len(cells) > bound:
+                raise ValueError(f"{a} has more than {self.max_values} values in a leaf")
+            for r in cells:
                 if r[y] in index:
                     at[r.leaf].nominal.setdefault(a, {}).setdefault(r.value, np.zeros(len(self.classes)))[index[r[y]]] += r.n
         for n in at.values():

@@ -122,10 +122,11 @@ def _entropy_of(cells: DataFrame, keys: list[str]) -> DataFrame:
 def info_gain(cells: DataFrame, keys: list[str], y: str) -> DataFrame:
     """Gain of each split; null (for minus infinity) unless two branches have over 1 % of the weight."""
     cells = cells.where("weight > 0")
-    after = _entropy_of(cells, [*keys, "branch"]).groupBy(*keys).agg(F.sum(F.col("weight") * F.col("bits")).alias("after"), F.max("weight").alias("most"), F.sort_array(F.collect_list("weight"), False).alias("branches"), F.sum("weight").alias("w"))
+    whole = F.sum("weight").over(W.partitionBy(*keys))
+    branches = _entropy_of(cells, [*keys, "branch"]).withColumn("w", whole)
+    after = branches.groupBy(*keys).agg(F.sum(F.col("weight") * F.col("bits")).alias("after"), F.count(F.when(F.col("weight") > 0.01 * F.col("w"), 1)).alias("large"), F.first("w").alias("w"))
     before = _entropy_of(cells.groupBy(*keys, y).agg(F.sum("weight").alias("weight")), keys).select(*keys, "bits")
-    enough = F.coalesce(F.get("branches", 1), F.lit(0.0)) > 0.01 * F.col("w")
-    return after.join(before, keys).select(*keys, F.when(enough, F.col("bits") - F.col("after") / F.col("w")).alias("merit"))
+    return after.join(before, keys).select(*keys, F.when(F.col("large") >= 2, F.col("bits") - F.col("after") / F.col("w")).alias("merit"))
 
 
 def gini(cells: DataFrame, keys: list[str]) -> DataFrame:

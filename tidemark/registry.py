@@ -7,7 +7,7 @@ from functools import partial
 from typing import Any
 
 from tidemark import flows, protocols, tasks
-from tidemark.operators import drift, evaluation, hoeffding, micro, observers, online, rules
+from tidemark.operators import drift, evaluation, forest, hoeffding, micro, observers, online, rules, rulesets
 from tidemark.sources import arff, generators
 
 
@@ -33,7 +33,7 @@ def _over(make: Callable) -> Callable:
 
 #: What can be named, by kind; `register` adds to it.
 KINDS: dict[str, dict[str, Callable]] = {
-    "detector": {"ddm": drift.ddm, "eddm": drift.eddm, "page_hinkley": drift.page_hinkley, "cusum": drift.cusum, "geometric": drift.geometric, "ewma": drift.ewma, "ph_test": drift.ph_test, "adwin": drift.adwin},
+    "detector": {"ddm": drift.ddm, "eddm": drift.eddm, "page_hinkley": drift.page_hinkley, "cusum": drift.cusum, "geometric": drift.geometric, "ewma": drift.ewma, "ph_test": drift.ph_test, "rising": drift.rising, "adwin": drift.adwin},
     "criterion": {"info_gain": lambda: hoeffding.info_gain, "gini": lambda: hoeffding.gini_gain},
     "stream": {"random_tree": generators.random_tree, "hyperplane": generators.hyperplane},
     "source": {"greetings": flows.Greetings, "table": flows.Table},
@@ -45,10 +45,15 @@ KINDS: dict[str, dict[str, Callable]] = {
         "adaptive_bagging": _over(lambda base, classes, models, detector: online.Bagging(lambda: online.Adaptive(base, detector()), models, classes)),
     },
     "regressor": {"rules": online.Rules},
+    "forest": {
+        "single": lambda classes, **o: forest.Forest(classes, **o), "bagging": lambda classes, **o: forest.Forest(classes, **({"kind": "bagging", "models": 10} | o)), "boosting": lambda classes, **o: forest.Forest(classes, **({"kind": "boosting", "models": 10} | o)),
+        "adaptive": lambda classes, detector=("rising", {}), **o: forest.Forest(classes, **({"kind": "adaptive", "models": 10, "detector": _made("detector", *detector, {})} | o)),
+    },
+    "rule_set": {"rules": rulesets.RuleSet},
     "evaluator": {"classification": lambda **o: Measured(evaluation.classification, **o), "window": lambda **o: Measured(evaluation.classification, **({"width": 1000} | o)), "regression": lambda **o: Measured(evaluation.regression, **o)},
     "observer": {"bins": observers.Bins, "quantiles": observers.Quantiles, "moments": observers.LimitedMoments, "nothing": observers.Nothing},
     "vote": {"inverse_error": lambda: rules.inverse_error_vote, "uniform": lambda: rules.uniform_vote},
-    "task": {"prequential": lambda **o: partial(tasks.prequential, **o), "clustering": lambda **o: partial(tasks.clustering_evaluation, **o), "hello_world": flows.hello_world},
+    "task": {"prequential": lambda **o: partial(tasks.prequential, **o), "clustering": lambda **o: partial(tasks.clustering_evaluation, **o), "clustering_horizons": lambda **o: partial(tasks.clustering_horizons, **o), "hello_world": flows.hello_world},
 }
 
 #: What a part of a kind must offer, where that is more than being made.
