@@ -55,3 +55,11 @@ def test_sandbox():
     for bad in ("{% for x in %}", "{% if x %}", "{{ f(1) }}", "{{ x | eval }}", "{% endfor %}", "{% import os %}", "{{ }}", "{% else %}"):
         with pytest.raises(T.TemplateError):
             T.compile_template(bad)
+
+
+def test_generation_blocks_do_not_nest():
+    inner = "{% generation %}a{% if x %}{% generation %}b{% endgeneration %}{% endif %}{% endgeneration %}"
+    with pytest.raises(T.TemplateError, match="within generation"):
+        T.compile_template(inner)
+    beside = "{% generation %}a{% endgeneration %}-{% generation %}b{% endgeneration %}"
+    assert T.compile_template(beside)() == ("a-b", [(0, 1), (2, 3)])

@@ -4,7 +4,8 @@ Statements: for, if / elif / else, set, generation; expressions: literals, names
 bracket, loop.index / index0 / first / last / length, filters from a fixed table, arithmetic with +
 and ~, comparisons, `in`, and / or / not.  There are no calls and no attribute access: a name or an
 item is looked up in mappings and lists only, so a template reaches nothing but its own data.
-What stands between `{% generation %}` and `{% endgeneration %}` is reported as spans of the output.
+What stands between `{% generation %}` and `{% endgeneration %}` is reported as spans of the output;
+such blocks do not nest, so no text is counted twice.
 """
 
 from __future__ import annotations
@@ -264,6 +265,8 @@ def _statement(inner: str, stack: list) -> None:
             raise TemplateError(f"cannot read {inner!r}")
         stack[-1][2].append(Set(m[1], Expression(m[2]).whole()))
     elif word == "generation":
+        if any(kind == "generation" for kind, *_ in stack):
+            raise TemplateError("generation within generation")
         stack[-1][2].append(Generation(body))
         stack.append(("generation", None, body))
     elif word.startswith("end") and stack[-1][0] == word[3:] and word != "end":
