@@ -101,3 +101,15 @@ def test_snapshots_bound_what_is_read(spark, rollup, monkeypatch):
     assert rollup.delete("d", spark.createDataFrame([(0,), (6,)], "doc_id long"))
     assert totals(rollup) == {("s", "en", "v"): (5, 2 + 3 + 4 + 5 + 6)} and rollup.state().snapshot == 5
     assert {r.doc_id for r in rollup.ledger().collect()} == {1, 2, 3, 4, 5}
+
+
+def test_the_query_leaves_its_totals_only(spark):
+    import os
+
+    from tidemark.llm import common
+    from tidemark.llm import rollup as R
+
+    folder = common.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert R.query(spark, "/root/testdata/sf0.001").count() > 0
+    assert [x for x in set(os.listdir(folder)) - before if x.startswith("rollup-") and not x.endswith("-result")] == []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, salted_join, shared_folder, short_batches, table
+from .common import Scratch, checkpointed, salted_join, short_batches, table
 from .secrets import _vocabulary
 
 GROUP = ["source", "lang", "version"]
@@ -266,5 +266,5 @@ def _lived(rollup: Rollup, rows: DataFrame) -> None:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    name = "byte_bpe_50k.tiktoken"
-    return whole(spark, table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}", public_tokenizers.path(name), name).totals()
+    name, run = "byte_bpe_50k.tiktoken", Scratch(spark, "rollup")
+    return run.result(whole(spark, table(spark, sf_dir, "documents"), f"{run.folder}/ledger", public_tokenizers.path(name), name).totals())
