@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -211,40 +212,84 @@ def general(points: DataFrame, clusters: list) -> DataFrame:
     return one.select(F.when(F.col("covered") > 0, F.col("true") / F.col("covered")).otherwise(0.0).alias("precision"), (F.col("true") / F.col("reals")).alias("recall"), (F.col("twice") / F.col("n")).alias("redundancy"), F.lit(len(clusters)).alias("clusters"), F.col("classes").cast("int").alias("classes"))
 
 
-#: Points in a block of the pairwise measures.
-BLOCK = 1024
+#: Points in a block of the pairwise measures: the least, and the most; and how many blocks there are in between.
+BLOCK, MOST, BLOCKS = 1024, 65_536, 16
+#: Points of a piece of a block: a matrix product is a piece against a piece.
+PIECE = 512
 
 
-def _block_pairs(held: DataFrame, once: bool) -> DataFrame:
-    """Every pair of blocks as a group: side, point and its columns.  `once` leaves the mirrored pairs out.
+def _block_pairs(held: DataFrame) -> DataFrame:
+    """A partition for every pair of blocks, without the mirrored ones: pair, side and the points' columns.
 
-    A point goes to each pair of its block, so points are copied as often as there are blocks.
+    A point goes to each pair of its block.  Blocks grow with the points up to `MOST`, so the number of pairs, and how
+    often a point is copied, stay as they are; a task holds two blocks.  Both sides of a pair of a block with itself are
+    the same points.
     """
-    blocks = max(1, math.ceil(held.count() / BLOCK))
-    own = held.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = spread.select(F.col("_own").alias("a"), F.col("_other").alias("b"), F.lit(0).alias("side"), *held.columns)
-    right = spread.select(F.col("_other").alias("a"), F.col("_own").alias("b"), F.lit(1).alias("side"), *held.columns)
-    both = left.unionByName(right)
-    return (both.where("a <= b") if once else both).repartition("a", "b").sortWithinPartitions("a", "b", "side")
+    n = held.count()
+    blocks = max(1, min(BLOCKS, math.ceil(n / BLOCK)), math.ceil(n / MOST))
+    own = held.withColumn("_own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    pair = (low * blocks - low * (low - 1) / 2 + high - low).cast("int")
+    side = F.when(F.col("_own") == F.col("_other"), -1).otherwise((F.col("_own") > F.col("_other")).cast("int"))
+    dealt = own.select(pair.alias("pair"), side.alias("side"), *held.columns)
+    return dealt.repartitionById(blocks * (blocks + 1) // 2, F.col("pair"))
+
+
+def _sides(batches):
+    """Of each pair of blocks: whether it is a block with itself, and the columns of the left and of the right side."""
+    batches = list(batches)
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    pairs = table["pair"].to_numpy()
+    for pair in np.unique(pairs):
+        rows = table.filter(pa.array(pairs == pair))
+        side = rows["side"].to_numpy()
+        both = [rows.filter(pa.array((side == s) | (side == -1))).drop_columns(["pair", "side"]) for s in (0, 1)]
+        if all(t.num_rows for t in both):
+            yield bool((side == -1).any()), *both
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Arrays of equal lengths as the rows of a matrix."""
+    return pa.compute.list_flatten(column).to_numpy().reshape(len(column), -1)
+
+
+def _members(column: pa.ChunkedArray, names: list) -> np.ndarray:
+    """1.0 where the sets of a column hold a name."""
+    out = np.zeros((len(column), len(names)))
+    rows = pa.compute.list_parent_indices(column).to_numpy()
+    held = pa.compute.list_flatten(column).to_numpy()
+    for k, c in enumerate(names):
+        out[rows[held == c], k] = 1.0
+    return out
+
+
+def _runs(side: pa.Table, names: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(clusters they are in, ids, points) of the points that are in the same clusters."""
+    sets, at = np.unique(_members(side["own"], names), axis=0, return_inverse=True)
+    ids, x = side["id"].to_numpy(), _matrix(side["x"])
+    return [(own, ids[at == k], x[at == k]) for k, own in enumerate(sets)]
 
 
-def _by_group(batches):
-    """The rows of each pair of blocks, as lists of columns, for the left and the right side."""
-    last, held = None, []
+def _same(ids: np.ndarray, ids2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of equal ids."""
+    by = np.argsort(ids, kind="stable")
+    low, high = np.searchsorted(ids[by], ids2, "left"), np.searchsorted(ids[by], ids2, "right")
+    n = high - low
+    return by[np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())], np.repeat(np.arange(len(ids2)), n)
 
-    def told():
-        return [[[r[k] for r in held if r[2] == side] for k in range(3, len(held[0]))] for side in (0, 1)]
 
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-            if row[:2] != last and held:
-                yield last, told()
-                held = []
-            last = row[:2]
-            held.append(row)
-    if held:
-        yield last, told()
+def _pieces(x: np.ndarray, y: np.ndarray):
+    """(rows, columns, squared distances) of each piece of x with each piece of y."""
+    middle = y.mean(0)  # about the middle, so that little is lost in the differences
+    x, y = x - middle, y - middle
+    left = np.c_[-2 * x, (x * x).sum(1), np.ones(len(x))]
+    right = np.c_[y, np.ones(len(y)), (y * y).sum(1)]
+    for j in range(0, len(y), PIECE):
+        for i in range(0, len(x), PIECE):
+            d2 = left[i : i + PIECE] @ right[j : j + PIECE].T
+            yield slice(i, i + PIECE), slice(j, j + PIECE), np.maximum(d2, 0.0, out=d2)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -259,20 +304,32 @@ def silhouette(points: DataFrame, clusters: list) -> DataFrame:
     names = [r["cluster"] for r in clusters]
 
     def sums(batches):
-        for _, ((ids, x, _, _), (ids2, y, labels, members)) in _by_group(batches):
-            if ids and ids2:
-                d = _distances(np.array(x), np.array(y))
-                other = np.array(ids)[:, None] != np.array(ids2)[None, :]
-                member = np.array([[c in m for c in names] for m in members], float) * (np.array(labels) != -1)[:, None]
-                total, n = (d * other) @ member, other @ member
-                i, k = np.nonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i], pa.int64()), pa.array(np.array(names)[k], pa.int32()), pa.array(total[i, k]), pa.array(n[i, k])], ["id", "cluster", "total", "n"])
-
-    mean = _block_pairs(held.select("id", "x", "label", "own"), False).mapInArrow(sums, "id long, cluster int, total double, n double")
-    mean = mean.groupBy("id", "cluster").agg((F.sum("total") / F.sum("n")).alias("d")).join(held.select("id", "own"), "id").withColumn("mine", F.array_contains("own", F.col("cluster")))
-    best = mean.groupBy("id").agg(F.min(F.when(F.col("mine"), F.struct("d", "cluster"))).alias("a"), F.sort_array(F.collect_list(F.struct("d", "cluster"))).alias("all"))
+        for same, left, right in _sides(batches):
+            ids, ids2 = left["id"].to_numpy(), right["id"].to_numpy()
+            owns = [_members(t["own"], names) for t in (left, right)]
+            members = [own * (t["label"].to_numpy() != -1)[:, None] for own, t in zip(owns, (left, right))]
+            totals = [np.zeros(own.shape) for own in owns]
+            for i, j, d in _pieces(_matrix(left["x"]), _matrix(right["x"])):
+                np.sqrt(d, out=d)
+                if same:
+                    d[_same(ids[i], ids2[j])] = 0.0
+                else:
+                    totals[1][j] += d.T @ members[0][i]
+                totals[0][i] += d @ members[1][j]
+            counts = [m.sum(0)[None, :] - (own if same else 0) for m, own in ((members[1], members[0]), (members[0], members[1]))]
+            for names_of, t, total, n in list(zip((ids, ids2), (left, right), totals, counts))[: 1 if same else 2]:
+                n = np.broadcast_to(n, total.shape)
+                listed = lambda v: pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(v).ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(names_of), t["own"].combine_chunks(), listed(total), listed(n)], ["id", "own", "total", "n"])
+
+    found = _block_pairs(held.select("id", "x", "label", "own")).mapInArrow(sums, "id long, own array<int>, total array<double>, n array<double>")
+    each = [F.sum(F.get(c, k)).alias(f"{c}{k}") for c in ("total", "n") for k in range(len(names))]
+    mean = found.groupBy("id").agg(F.first("own").alias("own"), *each)
+    told = F.array(*(F.when(F.col(f"n{k}") > 0, F.struct((F.col(f"total{k}") / F.col(f"n{k}")).alias("d"), F.lit(int(c)).alias("cluster"))) for k, c in enumerate(names)))
+    best = mean.select("own", F.array_sort(F.filter(told, lambda s: s.isNotNull())).alias("all"))
+    best = best.select("all", F.get(F.filter("all", lambda s: F.array_contains("own", s["cluster"])), 0).alias("a")).where("a is not null")
     rest = F.get(F.filter("all", lambda s: s["cluster"] != F.col("a.cluster")), 0)["d"]
-    s = best.where("a is not null").withColumn("b", rest).where("b is not null").select(((F.col("b") - F.col("a.d")) / F.greatest("b", F.col("a.d"))).alias("s"))
+    s = best.withColumn("b", rest).where("b is not null").select(((F.col("b") - F.col("a.d")) / F.greatest("b", F.col("a.d"))).alias("s"))
     return s.agg(((F.coalesce(F.avg("s"), F.lit(0.0)) + 1) / 2).alias("silhouette"))
 
 
@@ -288,17 +345,25 @@ def c_index(points: DataFrame, clusters: list) -> DataFrame:
     names = [r["cluster"] for r in clusters]
 
     def sums(batches):
-        for (a, b), ((ids, x, left), (ids2, y, right)) in _by_group(batches):
-            if ids and ids2:
-                d = _distances(np.array(x), np.array(y))
-                together = sum(np.outer([c in m for m in left], [c in m for m in right]).astype(float) for c in names)
-                if a == b:
-                    together *= np.array(ids)[:, None] < np.array(ids2)[None, :]
-                at = together > 0
-                if at.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in (together.sum(), (d * together).sum(), d[at].min(), d[at].max())], ["n", "total", "low", "high"])
-
-    d = _block_pairs(held, True).mapInArrow(sums, "n double, total double, low double, high double")
+        for same, left, right in _sides(batches):
+            n = total = 0.0
+            low, high = math.inf, -math.inf
+            # points of one set of clusters against those of another: all of these pairs count equally often, or none does
+            for own, ids, x in _runs(left, names):
+                for own2, ids2, y in _runs(right, names):
+                    often = float(own @ own2)
+                    for i, j, d in _pieces(x, y) if often else ():
+                        np.sqrt(d, out=d)
+                        itself = _same(ids[i], ids2[j]) if same else ([], [])
+                        d[itself] = 0.0
+                        n, total, high = n + often * (d.size - len(itself[0])), total + often * d.sum(), max(high, d.max())
+                        d[itself] = math.inf
+                        low = min(low, d.min())
+            n, total = (n / 2, total / 2) if same else (n, total)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in (n, total, low, high)], ["n", "total", "low", "high"])
+
+    d = _block_pairs(held).mapInArrow(sums, "n double, total double, low double, high double")
     low, high = F.min("low"), F.max("high")
     return d.agg(F.when(high > low, (F.sum("total") / F.sum("n") - low) / (high - low)).otherwise(0.0).alias("c_index"))
 

@@ -6,13 +6,17 @@ order.  Distributed runs fold each part on its own and merge the kernels, keepin
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .clustering import RADIUS_FACTOR, TINY, _block_pairs, _by_group, _distances, inside, lloyd, nearest
+from tidemark.storage import checkpointed
+
+from .clustering import RADIUS_FACTOR, TINY, _block_pairs, _matrix, _pieces, _same, _sides, inside, lloyd, nearest
 
 KERNEL = "part int, kernel int, n double, ls array<double>, ss array<double>, lst double, sst double"
 
@@ -179,6 +183,29 @@ def balls(points: DataFrame, label: str) -> DataFrame:
     return points.select(label, "x").groupBy(label).applyInPandas(run, schema)
 
 
+def _nearer(least: np.ndarray, d2: np.ndarray, labels: np.ndarray, classes: list, x: np.ndarray, y: np.ndarray) -> None:
+    """Puts the squared distances of a piece into the `k` least of each row and class; `labels`, of the columns, rise.
+
+    Products say which points are near; what is kept of them is the sum of the squared differences.
+    """
+    k = least.shape[2]
+    for c, (low, high) in enumerate(zip(np.searchsorted(labels, classes, "left"), np.searchsorted(labels, classes, "right"))):
+        if low == high:
+            continue
+        own = d2[:, low:high]
+        rows = np.flatnonzero(own.min(1) < least[:, c, -1])
+        if not len(rows):
+            continue
+        near = own[rows]
+        exact = np.full((len(rows), k), np.inf)
+        for j in range(min(k, high - low)):
+            at = near.argmin(1)[:, None]
+            told = np.square(x[rows] - y[low + at[:, 0]]).sum(1)
+            exact[:, j] = np.where(np.isinf(np.take_along_axis(near, at, 1)[:, 0]), np.inf, told)
+            np.put_along_axis(near, at, np.inf, 1)
+        least[rows, c] = np.sort(np.c_[least[rows, c], exact], axis=1)[:, :k]
+
+
 def connectivity(points: DataFrame, k: int = 2) -> DataFrame:
     """id, label, class, con: how well a point is tied to each class.
 
@@ -187,25 +214,33 @@ def connectivity(points: DataFrame, k: int = 2) -> DataFrame:
     """
     held = points.select("id", "x", "label")
     classes = sorted(r.label for r in held.where("label != -1").select("label").distinct().collect())  # a row a class
+    if not classes:
+        return held.select("id", "label", F.lit(0).alias("class"), F.lit(0.0).alias("con")).where("false")
 
     def nearest_of(batches):
-        for _, ((ids, x, _), (ids2, y, labels)) in _by_group(batches):
-            if not ids or not ids2:
-                continue
-            d = _distances(np.array(x), np.array(y))
-            d[np.array(ids)[:, None] == np.array(ids2)[None, :]] = np.inf
-            out: list[list] = [[], [], []]
-            for c in classes:
-                own = np.sort(d[:, np.array(labels) == c], axis=1)[:, :k]
-                for i, row in zip(ids, own):
-                    for column, v in zip(out, (i, c, row[np.isfinite(row)].tolist())):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int32(), pa.list_(pa.float64())))], ["id", "class", "ds"])
-
-    found = _block_pairs(held, False).mapInArrow(nearest_of, "id long, class int, ds array<double>")
-    least = F.slice(F.array_sort(F.flatten(F.collect_list("ds"))), 1, k)
-    mean = F.aggregate("ds", F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size("ds"), F.lit(0))
-    near = found.groupBy("id", "class").agg(least.alias("ds")).select("id", "class", mean.alias("d")).join(held.select("id", "label"), "id")
+        for same, left, right in _sides(batches):
+            # by class, so that the points of a class are a run of columns
+            left, right = (t.take(pa.array(np.argsort(t["label"].to_numpy(), kind="stable"))) for t in (left, right))
+            ids, labels, xs = zip(*((t["id"].to_numpy(), t["label"].to_numpy(), _matrix(t["x"])) for t in (left, right)))
+            least = [np.full((len(x), len(classes), k), np.inf) for x in xs]
+            for i, j, d2 in _pieces(*xs):
+                if same:
+                    d2[_same(ids[0][i], ids[1][j])] = np.inf
+                _nearer(least[0][i], d2, labels[1][j], classes, xs[0][i], xs[1][j])
+                if not same:
+                    _nearer(least[1][j], d2.T, labels[0][i], classes, xs[1][j], xs[0][i])
+            for names, of, ds in list(zip(ids, labels, least))[: 1 if same else 2]:
+                listed = pa.FixedSizeListArray.from_arrays(pa.array(ds.ravel()), len(classes) * k).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(of), listed], ["id", "label", "ds"])
+
+    kind = held.schema["label"].dataType.simpleString()
+    found = _block_pairs(held).mapInArrow(nearest_of, f"id long, label {kind}, ds array<double>").groupBy("id").agg(F.first("label").alias("label"), F.collect_list("ds").alias("all"))
+    # a column a class, then a row a class: the k least of what the pairs of blocks found
+    own = lambda at: F.flatten(F.transform("all", lambda ds: F.slice(ds, at, k)))
+    least = [F.filter(F.slice(F.array_sort(own(c * k + 1)), 1, k), lambda v: v < math.inf) for c in range(len(classes))]
+    mean = lambda ds: F.aggregate(ds, F.lit(0.0), lambda s, v: s + F.sqrt(v)) / F.nullif(F.size(ds), F.lit(0))
+    each = F.explode(F.array(*(F.struct(F.lit(int(c)).alias("class"), mean(ds).alias("d")) for c, ds in zip(classes, least))))
+    near = checkpointed(found.select("id", "label", each.alias("c")).select("id", "label", "c.class", "c.d"))  # read more than once
     usual = near.where(F.col("label") == F.col("class")).groupBy("class").agg(F.avg("d").alias("usual"))
     con = F.when(F.col("usual").isNull(), (F.col("label") == F.col("class")).cast("double")).when(F.col("d") > F.col("usual"), F.col("usual") / F.col("d")).otherwise(1.0)
     return near.join(usual, "class").select("id", "label", "class", con.alias("con"))
