@@ -7,6 +7,7 @@ order.  Distributed runs fold each part on its own and merge the kernels, keepin
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from tidemark.storage import checkpointed
 
 from .clustering import RADIUS_FACTOR, TINY, _block_pairs, _matrix, _pieces, _same, _sides, inside, lloyd, nearest
 
+NORMAL = NormalDist()
 KERNEL = "part int, kernel int, n double, ls array<double>, ss array<double>, lst double, sst double"
 
 
@@ -35,6 +37,12 @@ class CluStream:
         t = np.array([float(s) for s, _ in self.buffer])
         self.n, self.ls, self.ss, self.lst, self.sst = np.ones(len(x)), x.copy(), x * x, t, t * t
         self.buffer = []
+        self.centres = self.ls / self.n[:, None]
+        # squared gaps between centres (infinite to itself), the time that `_stamps` gives, and the radius where it is known
+        self.gaps = ((self.centres[:, None] - self.centres[None]) ** 2).sum(2)
+        np.fill_diagonal(self.gaps, np.inf)
+        self.stamps = self._stamps()
+        self.radii: list[float | None] = [None] * len(x)
 
     def add(self, t: int, x: np.ndarray) -> None:
         if self.n is None:
@@ -42,41 +50,50 @@ class CluStream:
             if len(self.buffer) == self.kernels:
                 self._start()
             return
-        centres = self.ls / self.n[:, None]
-        d = np.sqrt(((centres - x) ** 2).sum(1))
+        d = ((self.centres - x) ** 2).sum(1)
         k = int(d.argmin())
         if self.n[k] > 1:
-            radius = self._radius(k)
+            radius = self.radii[k] = self._radius(k) if self.radii[k] is None else self.radii[k]
         else:
-            to = np.sqrt(((centres - centres[k]) ** 2).sum(1))
-            to[k] = np.inf
-            radius = to.min()
-        if d[k] <= radius:
+            radius = math.sqrt(self.gaps[k].min())
+        if math.sqrt(d[k]) <= radius:
             self._insert(k, t, x)
             return
-        old = np.flatnonzero(self._stamps() < t - self.horizon)
-        if len(old):
-            self._replace(int(old[0]), t, x)
+        old = int((self.stamps < t - self.horizon).argmax())
+        if self.stamps[old] < t - self.horizon:
+            self._replace(old, t, x)
             return
-        gaps = ((centres[:, None] - centres[None]) ** 2).sum(2)
-        gaps[np.tril_indices(len(gaps))] = np.inf
-        a, b = np.unravel_index(int(gaps.argmin()), gaps.shape)
+        # the first of the closest pairs: gaps are the same both ways, so its first row is the lower place
+        a, b = divmod(int(self.gaps.argmin()), len(self.gaps))
         for s in (self.n, self.ls, self.ss, self.lst, self.sst):
             s[a] += s[b]
-        self._replace(int(b), t, x)
+        self._changed(a)
+        self._replace(b, t, x)
+
+    def _changed(self, k: int) -> None:
+        """What follows from the features of one kernel."""
+        self.centres[k] = self.ls[k] / self.n[k]
+        gaps = ((self.centres - self.centres[k]) ** 2).sum(1)
+        gaps[k] = np.inf
+        self.gaps[k] = self.gaps[:, k] = gaps
+        self.stamps[k] = self._stamp(k)
+        self.radii[k] = None
 
     def _radius(self, k: int) -> float:
         v = self.ss[k] / self.n[k] - (self.ls[k] / self.n[k]) ** 2
         return float(np.sqrt(np.maximum(np.where((v <= 0) & (v > -5e-5), TINY, v), 0)).mean() * RADIUS_FACTOR)
 
-    def _stamps(self) -> np.ndarray:
-        from statistics import NormalDist
+    def _stamp(self, k: int) -> float:
+        """The mean time of a kernel, or about its `recent`-th youngest point's."""
+        n = float(self.n[k])
+        mean = float(self.lst[k]) / n
+        if n < 2 * self.recent:
+            return mean
+        sd = math.sqrt(max(float(self.sst[k]) / n - mean * mean, 0.0))
+        return mean + sd * NORMAL.inv_cdf(min(max(self.recent / (2 * n), 1e-9), 1 - 1e-9))
 
-        mean = self.lst / self.n
-        sd = np.sqrt(np.maximum(self.sst / self.n - mean * mean, 0))
-        p = np.clip(self.recent / (2 * self.n), 1e-9, 1 - 1e-9)
-        q = np.array([NormalDist().inv_cdf(v) for v in p])
-        return np.where(self.n < 2 * self.recent, mean, mean + sd * q)
+    def _stamps(self) -> np.ndarray:
+        return np.array([self._stamp(k) for k in range(len(self.n))])
 
     def _insert(self, k, t, x):
         self.n[k] += 1
@@ -84,9 +101,11 @@ class CluStream:
         self.ss[k] += x * x
         self.lst[k] += t
         self.sst[k] += float(t) * t
+        self._changed(k)
 
     def _replace(self, k, t, x):
         self.n[k], self.ls[k], self.ss[k], self.lst[k], self.sst[k] = 1.0, x, x * x, t, float(t) * t
+        self._changed(k)
 
     def result(self):
         if self.n is None:
@@ -103,8 +122,8 @@ def _folded(points: DataFrame, order: str, parts: int, kernels: int, horizon: in
     def run(batches):
         made: dict[int, CluStream] = {}
         for batch in batches:
-            for part, t, x in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                made.setdefault(part, CluStream(kernels, horizon)).add(t, np.array(x))
+            for part, t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _matrix(pa.chunked_array([batch.column(2)]))):
+                made.setdefault(part, CluStream(kernels, horizon)).add(t, x)
         rows = [(p, k, *s) for p, m in made.items() for k, s in enumerate(m.result())]
         kinds = (pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64())
         columns = list(zip(*rows)) if rows else [[]] * 7
@@ -119,7 +138,8 @@ def clustream(points: DataFrame, order: str, kernels: int = 100, horizon: int =
 
 
 def _macro(kernels: DataFrame, k: int, passes: int = 10) -> DataFrame:
-    rows = kernels.select(F.monotonically_increasing_id().alias("id"), F.col("n").alias("weight"), F.transform("ls", lambda v: v / F.col("n")).alias("x"))
+    # a few rows, read in each pass: folded once, as the fold is the work
+    rows = checkpointed(kernels.select(F.monotonically_increasing_id().alias("id"), F.col("n").alias("weight"), F.transform("ls", lambda v: v / F.col("n")).alias("x")))
     seeds = [r.x for r in rows.orderBy(F.col("weight").desc(), F.col("x")[0]).limit(k).collect()]
     if not seeds:
         return rows.select(F.lit(0).alias("cluster"), "weight", F.lit(0).cast("long").alias("kernels"))
