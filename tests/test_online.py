@@ -274,3 +274,27 @@ def test_a_rule_learner_takes_a_weight_of_two_as_the_row_twice():
     assert one.votes(rows[0]) == two.votes(rows[0])
     with pytest.raises(ValueError, match="no number of times"):
         one.learn(rows[0], 1.0, 0.5)
+
+
+def test_a_full_tree_does_not_walk_its_leaves(monkeypatch):
+    tree, r = L.Tree(2, grace=20, tie=0.9, max_leaves=4), np.random.default_rng(1)
+    walks = []
+    leaves = type(tree.tree).leaves
+    monkeypatch.setattr(type(tree.tree), "leaves", lambda self: walks.append(1) or leaves(self))
+    for a, b in r.random((3000, 2)).tolist():
+        tree.learn({"a": a, "b": b}, int(a + b > 1))
+    assert not walks and len(leaves(tree.tree)) == 4
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_rules_that_cover_a_row_by_bits(ordered):
+    model, r = L.Rules(["a", "b"], ordered=ordered), np.random.default_rng(2)
+    for k in range(40):
+        rule = R.Rule([("ab"[i], o, round(float(r.random()), 1)) for i in (0, 1) for o in (R.AT_MOST, R.ABOVE) if r.random() < 0.5])
+        model.rules.append((rule, model._node()))
+    values = [math.nan, *(k / 20 for k in range(21))]
+    for a in values:
+        for b in values:
+            want = [k for k, (rule, _) in enumerate(model.rules) if all(({"a": a, "b": b}[n] <= v) if o == R.AT_MOST else ({"a": a, "b": b}[n] > v) for n, o, v in rule.literals)]
+            assert model._covering([a, b]) == (want[:1] if ordered else want or [-1])
+    assert model._tests is not None

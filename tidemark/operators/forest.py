@@ -308,6 +308,7 @@ class Forest:
         self.trees = [self._plant() for _ in told["trees"]]
         for tree, t in zip(self.trees, told["trees"]):
             tree.made, tree.root = t["made"], _node(t["root"])
+            tree.splits = tree.made - len(tree.leaves())
         return self
 
 

@@ -66,7 +66,7 @@ class HoeffdingTree:
         self.classes, self.numeric, self.nominal = classes, list(numeric), list(nominal)
         self.grace, self.delta, self.tie, self.criterion = grace, delta, tie, criterion
         self.candidates, self.binary, self.max_leaves, self.max_values = candidates, binary, max_leaves, max_values
-        self.root, self.made = Node(0, np.zeros(len(classes))), 1
+        self.root, self.made, self.splits = Node(0, np.zeros(len(classes))), 1, 0
 
     def leaves(self) -> list[Node]:
         out, stack = [], [self.root]
@@ -153,9 +153,13 @@ class HoeffdingTree:
             self.check(n)
         return self
 
+    def due(self, n: Node) -> bool:
+        """Whether a leaf's grace period is over, and a split may be made there."""
+        return n.seen - n.checked >= self.grace and self.made - self.splits < self.max_leaves and (n.counts > 0).sum() > 1
+
     def check(self, n: Node) -> None:
         """Try to split a leaf whose grace period is over."""
-        if n.seen - n.checked >= self.grace and (n.counts > 0).sum() > 1 and len(self.leaves()) < self.max_leaves:
+        if self.due(n):
             n.checked = n.seen
             self._split(n)
 
@@ -201,6 +205,7 @@ class HoeffdingTree:
         for w in post:
             n.children.append(Node(self.made, np.array(w, float), n.depth + 1, float(w.sum()), float(w.sum())))
             self.made += 1
+        self.splits += 1
         n.numeric, n.nominal = {}, {}
 
 

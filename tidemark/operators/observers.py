@@ -117,25 +117,25 @@ class LimitedMoments:
 
     def __init__(self, limit: int = 50):
         self.limit, self.points, self.sums = limit, [], []
-        self.total = np.zeros(3)
+        self.total = [0.0, 0.0, 0.0]
 
     def add(self, x: float, y: float) -> None:
         if x is None or x != x:
             return
-        row = np.array([1.0, y, y * y])
-        self.total += row
         k = bisect.bisect_left(self.points, x)
         if (k == len(self.points) or self.points[k] != x) and len(self.points) < self.limit:
             self.points.insert(k, x)
-            self.sums.insert(k, np.zeros(3))
-        if k < len(self.points):
-            self.sums[k] += row
+            self.sums.insert(k, [0.0, 0.0, 0.0])
+        for s in (self.total, self.sums[k]) if k < len(self.points) else (self.total,):
+            s[0] += 1.0
+            s[1] += y
+            s[2] += y * y
 
     def cuts(self) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        out, below = [], np.zeros(3)
+        out, below, total = [], np.zeros(3), np.array(self.total)
         for x, s in zip(self.points, self.sums):
             below = below + s
-            out.append((x, below, self.total - below))
+            out.append((x, below, total - below))
         return out
 
 

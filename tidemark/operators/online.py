@@ -9,6 +9,7 @@ follows the heaviest branch.  Models that must see a whole unkeyed stream are mi
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable
 
@@ -119,10 +120,22 @@ class Tree:
             if isinstance(v, str):
                 n.nominal.setdefault(a, {}).setdefault(v, np.zeros(classes))[y] += weight
             else:
-                s = n.numeric.setdefault(a, np.tile([0.0, 0.0, 0.0, np.inf, -np.inf], (classes, 1)))[y]
-                s[:3] += (weight, weight * v, weight * v * v)
-                s[3], s[4] = min(s[3], v), max(s[4], v)
-        self.tree.check(n)
+                held = n.numeric.get(a)
+                if held is None:
+                    held = n.numeric[a] = [[0.0, 0.0, 0.0, math.inf, -math.inf] for _ in range(classes)]
+                s = held[y]
+                s[0] += weight
+                s[1] += weight * v
+                s[2] += weight * v * v
+                if v < s[3]:
+                    s[3] = v
+                if v > s[4]:
+                    s[4] = v
+        if self.tree.due(n):
+            # lists for a row's few numbers, arrays for the check
+            n.numeric = {a: np.array(held) for a, held in n.numeric.items()}
+            self.tree.check(n)
+            n.numeric = {a: held.tolist() for a, held in n.numeric.items()}
 
 
 class Adaptive:
@@ -234,7 +247,7 @@ class RuleNode:
 
     def __init__(self, attributes: list[str], mean: Mean | None = None, predictor: str = "adaptive", points: int = 50):
         self.attributes, self.predictor, self.n = attributes, predictor, 0
-        self.sums = np.zeros(3)
+        self.sums = [0.0, 0.0, 0.0]
         self.perceptron, self.mean = Perceptron(len(attributes)), mean or Mean()
         self.summaries = [LimitedMoments(points) for _ in attributes]
         self.test = ph_test(fade=0.99)
@@ -244,26 +257,27 @@ class RuleNode:
         """The perceptron where its error is the lower."""
         return self.predictor == "perceptron" or self.predictor == "adaptive" and self.perceptron.faded_error < self.mean.error
 
-    def predict(self, x: np.ndarray) -> float:
+    def predict(self, x: list[float]) -> float:
         return self.perceptron.predict(x) if self._linear() else self.mean.predict()
 
     @property
     def error(self) -> float:
         return min(self.perceptron.faded_error, self.mean.error)
 
-    def deviates(self, x: np.ndarray, univariate: float = 0.1, multivariate: float = 0.99, least: int = 30) -> bool:
+    def deviates(self, x: list[float], univariate: float = 0.1, multivariate: float = 0.99, least: int = 30) -> bool:
         """Whether a row is an anomaly: its improbable attributes make up nearly all of its log improbability."""
         if self.perceptron.n < least:
             return False
-        n, s, q = self.perceptron.s[:, :]
-        mean = s / np.maximum(n, 1)
-        sd = np.sqrt(np.maximum(q - s * mean, 0) / np.maximum(n - 1, 1))
-        ok = (sd > 0) & ~np.isnan(x)
-        p = 1 / (1 + ((x[ok] - mean[ok]) / sd[ok]) ** 2)
-        logs = np.abs(np.log(p))
-        return bool(logs.sum() > 0 and logs[p < univariate].sum() / logs.sum() >= multivariate)
-
-    def changed(self, x: np.ndarray, y: float) -> bool:
+        total = odd = 0.0
+        for v, (mean, sd) in zip(x, self.perceptron.stats):
+            if sd > 0 and v == v:
+                p = 1 / (1 + ((v - mean) / sd) ** 2)
+                log = abs(math.log(p))
+                total += log
+                odd += log if p < univariate else 0.0
+        return total > 0 and odd / total >= multivariate
+
+    def changed(self, x: list[float], y: float) -> bool:
         """One step of the change test on the row's normalised error."""
         n, s, q = self.sums
         sd = math.sqrt(max(q - s * s / n, 0) / (n - 1)) if n > 1 else 0.0
@@ -271,11 +285,13 @@ class RuleNode:
         self.state, change, _, _ = self.test.step(self.state, abs(y - self.predict(x)) / scale)
         return change
 
-    def learn(self, x: np.ndarray, y: float) -> None:
+    def learn(self, x: list[float], y: float) -> None:
         self.n += 1
-        self.sums += (1, y, y * y)
+        self.sums[0] += 1
+        self.sums[1] += y
+        self.sums[2] += y * y
         for v, summary in zip(x, self.summaries):
-            summary.add(float(v), y)
+            summary.add(v, y)
         self.perceptron.learn(x, y)
         self.mean.learn(y)
 
@@ -317,17 +333,42 @@ class Rules:
         self.rules: list[tuple[Rule, RuleNode]] = []
         self.default = self._node()
         self.dropped = 0
+        self._tests: list[tuple] | None = None  # made anew when rules have changed
 
     def _node(self, mean: Mean | None = None) -> RuleNode:
         return RuleNode(self.attributes, mean, self.predictor)
 
-    def _row(self, x: dict) -> np.ndarray:
-        return np.array([math.nan if not _there(x.get(a)) else float(x[a]) for a in self.attributes])
-
-    def _covering(self, row: np.ndarray) -> list[int]:
-        at = dict(zip(self.attributes, row))
-        hits = (k for k, (rule, _) in enumerate(self.rules) if all((at[a] <= v) if o == AT_MOST else (at[a] > v) for a, o, v in rule.literals))
-        return [next(hits, -1)] if self.ordered else list(hits) or [-1]
+    def _row(self, x: dict) -> list[float]:
+        return [math.nan if not _there(x.get(a)) else float(x[a]) for a in self.attributes]
+
+    def _covering(self, row: list[float]) -> list[int]:
+        if self._tests is None:
+            self._tests = self._indexed()
+        hits = (1 << len(self.rules)) - 1
+        for at, operator, cuts, masks, free in self._tests:
+            v = row[at]
+            hits &= masks[bisect.bisect_left(cuts, v)] if v == v else free
+        if not hits:
+            return [-1]
+        first = (hits & -hits).bit_length() - 1
+        return [first] if self.ordered else [k for k in range(first, len(self.rules)) if hits >> k & 1]
+
+    def _indexed(self) -> list[tuple]:
+        """Of each attribute and operator: the cuts in order, and the rules, as bits, that a value between two of them passes."""
+        out = []
+        for at, a in enumerate(self.attributes):
+            for operator in (AT_MOST, ABOVE):
+                tests = sorted((v, k) for k, (rule, _) in enumerate(self.rules) for name, o, v in rule.literals if name == a and (o == AT_MOST) == (operator == AT_MOST))
+                if tests:
+                    failed, masks = 0, []
+                    for _, k in tests if operator == AT_MOST else reversed(tests):
+                        masks.append(failed)
+                        failed |= 1 << k
+                    masks.append(failed)
+                    every = (1 << len(self.rules)) - 1
+                    masks = [every & ~m for m in (masks if operator == AT_MOST else reversed(masks))]
+                    out.append((at, operator, [v for v, _ in tests], masks, every & ~failed))
+        return out
 
     def votes(self, x: dict) -> list[float]:
         """The prediction: weighted by inverse error where several rules cover the row."""
@@ -366,8 +407,11 @@ class Rules:
                     a, operator, cut, own, _ = found
                     if rule.add(a, operator, cut):
                         self.rules[k] = rule, self._node(Mean(n=own[0], mean=own[1] / own[0]))
-        self.rules = [r for k, r in enumerate(self.rules) if k not in gone]
-        self.dropped += len(gone)
+                        self._tests = None
+        if gone:
+            self.rules = [r for k, r in enumerate(self.rules) if k not in gone]
+            self.dropped += len(gone)
+            self._tests = None
 
     def _new_rule(self) -> None:
         found = self.default.expansion(self.delta, self.tie)
@@ -375,6 +419,13 @@ class Rules:
             a, operator, cut, own, other = found
             self.rules.append((Rule([(a, operator, cut)]), self._node(Mean(n=own[0], mean=own[1] / own[0]))))
             self.default = self._node(Mean(n=other[0], mean=other[1] / other[0]))
+            self._tests = None
+
+
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Dealt by key to many partitions: a learner's key is much work in few bytes, by which partitions would be merged."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism), key)
 
 
 def prequential_by(df: DataFrame, key: str, order: str, x: list[str], y: str, make: Callable[[], object], classes: int = 0) -> DataFrame:
@@ -383,7 +434,7 @@ def prequential_by(df: DataFrame, key: str, order: str, x: list[str], y: str, ma
     Rows without a target are predicted and not learned.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    dealt = df.select(key, order, y, *x).repartition(key).sortWithinPartitions(key, order)
+    dealt = by_key(df.select(key, order, y, *x), key).sortWithinPartitions(key, order)
 
     def run(batches):
         last, learner = object(), None

@@ -119,41 +119,62 @@ class Perceptron:
 
     def __init__(self, n: int, rate: float = 0.025, decay: float = 0.001, fade: float = 0.99, seed: int = 1):
         self.rate, self.decay, self.fade, self.n = rate, decay, fade, 0
-        self.w = 2 * np.random.default_rng(seed).random(n + 1) - 1
-        self.s = np.zeros((3, n))
-        self.t = np.zeros(3)
+        self._w = (2 * np.random.default_rng(seed).random(n + 1) - 1).tolist()
+        # rows, sums and squares of each input and of the target; means and deviations that follow from them
+        self._sums, self._stats = [[0, 0.0, 0.0] for _ in range(n)], [(0.0, 0.0)] * n
+        self._target, self._scale = [0, 0.0, 0.0], (0.0, 0.0)
         self.error = self.seen = 0.0
 
-    def _stats(self, s):
-        mean = s[1] / max(s[0], 1) if np.ndim(s) == 1 else s[1] / np.maximum(s[0], 1)
-        var = (s[2] - s[1] * mean) / np.maximum(s[0] - 1, 1)
-        return mean, np.sqrt(np.maximum(var, 0))
-
-    def _z(self, x):
-        mean, sd = self._stats(self.s)
-        return np.where((sd > 1e-7) & ~np.isnan(x), (x - mean) / np.where(sd > 1e-7, sd, 1), 0.0)
+    @property
+    def w(self) -> np.ndarray:
+        return np.array(self._w)
 
-    def predict(self, x: np.ndarray) -> float:
-        mean, sd = self._stats(self.t)
-        return float((self.w[0] + self.w[1:] @ self._z(x)) * sd + mean)
+    @property
+    def s(self) -> np.ndarray:
+        """Rows, sums and squares of the inputs."""
+        return np.array(self._sums, float).T
 
-    def learn(self, x: np.ndarray, y: float) -> None:
+    @property
+    def stats(self) -> list[tuple[float, float]]:
+        """Mean and standard deviation of each input."""
+        return self._stats
+
+    @staticmethod
+    def _added(s: list, v: float) -> tuple[float, float]:
+        """The mean and the deviation after one more value."""
+        s[0] += 1
+        s[1] += v
+        s[2] += v * v
+        mean = s[1] / s[0]
+        return mean, math.sqrt(max((s[2] - s[1] * mean) / max(s[0] - 1, 1), 0.0))
+
+    def _z(self, x) -> list[float]:
+        return [(v - mean) / sd if sd > 1e-7 and v == v else 0.0 for v, (mean, sd) in zip(x, self._stats)]
+
+    def _output(self, z: list[float]) -> float:
+        out = 0.0
+        for w, v in zip(self._w[1:], z):
+            out += w * v
+        return self._w[0] + out
+
+    def predict(self, x) -> float:
+        mean, sd = self._scale
+        return self._output(self._z(x)) * sd + mean
+
+    def learn(self, x, y: float) -> None:
         self.error = abs(self.predict(x) - y) + self.fade * self.error
         self.seen = 1 + self.fade * self.seen
-        known = np.where(np.isnan(x), 0.0, x)
-        self.s += np.stack([(~np.isnan(x)).astype(float), known, known * known])
-        self.t += (1, y, y * y)
+        self._stats = [self._added(s, v) if v == v else old for v, s, old in zip(x, self._sums, self._stats)]
+        self._scale = mean, sd = self._added(self._target, y)
         self.n += 1
-        mean, sd = self._stats(self.t)
         if sd <= 1e-7:
             return
         z = self._z(x)
-        step = self.rate / (1 + self.n * self.decay) * ((y - mean) / sd - (self.w[0] + self.w[1:] @ z))
-        self.w[1:] += step * z
-        self.w[0] += step
-        size = np.abs(self.w).sum()
-        if size > len(self.w) - 1:
-            self.w /= size
+        step = self.rate / (1 + self.n * self.decay) * ((y - mean) / sd - self._output(z))
+        self._w = [self._w[0] + step, *(w + step * v for w, v in zip(self._w[1:], z))]
+        size = sum(map(abs, self._w))
+        if size > len(self._w) - 1:
+            self._w = [w / size for w in self._w]
 
     @property
     def faded_error(self) -> float:
@@ -168,7 +189,7 @@ def perceptron(df: DataFrame, key: str, order: str, x: list[str], y: str) -> Dat
     def run(batches):
         last, model = object(), None
         for batch in batches:
-            inputs = np.stack([batch.column(3 + k).to_numpy() for k in range(len(x))], 1)
+            inputs = zip(*(batch.column(3 + k).to_pylist() for k in range(len(x))))
             out: list[list] = [[], []]
             for k, target, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), inputs):
                 if model is None or k != last:
