@@ -77,6 +77,9 @@ def micro_batches(stream: DataFrame, learn: Callable[[DataFrame, int], None], ch
 
 
 def dump_curve(curve: DataFrame, path: str, names: dict[str, str] | None = None) -> None:
-    """Append a learning curve as CSV with a header; absent values and NaN are written as `?`."""
+    """Append a learning curve as CSV with a header; absent values and NaN are written as `?`.
+
+    Only the curve's own rows meet in one task, not those it is made of.
+    """
     shown = [F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("string")), F.lit("?")).alias((names or {}).get(c, c)) for c in curve.columns]
-    curve.select(*shown).coalesce(1).write.mode("append").option("header", True).csv(path)
+    curve.select(*shown).repartition(1).write.mode("append").option("header", True).csv(path)
