@@ -32,9 +32,9 @@ class Attribute:
 
 
 _ITEM = r"'[^']*'|\"[^\"]*\"|[^,\s{}]+"
-#: A value in quotes, with escapes; a field after its comma; a pair of a sparse row after its comma.
+#: A value in quotes, with escapes; a field after its comma; a pair of a sparse row after its comma, as index (empty: it is none) and value.
 _QUOTED = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
-_FIELD, _PAIR = rf",\s*({_QUOTED}|[^,]*?)\s*(?=,|$)", rf",\s*([0-9]+\s+(?:{_QUOTED}|[^,]*?)|[^,]*?)\s*(?=,|$)"
+_FIELD, _PAIR = rf",\s*({_QUOTED}|[^,]*?)\s*(?=,|$)", rf",\s*(?:([0-9]+)\s+({_QUOTED}|[^,]*?)|[^,]*?)\s*(?=,|$)"
 _ATTRIBUTE = re.compile(r"@attribute\s+('[^']*'|\"[^\"]*\"|\S+)\s+(.*)", re.IGNORECASE)
 
 
@@ -43,14 +43,22 @@ def unquoted(s: str) -> str:
 
 
 def header(spark: SparkSession, path: str, glob: str = "*.arff") -> tuple[str, list[Attribute]]:
-    """(relation, attributes) of the first file by path."""
-    lines = _lines(spark, path, glob).where(F.lower(F.trim("value")).startswith("@"))
-    least = lines.agg(F.min("file")).first()[0]
-    if least is None:
+    """(relation, attributes) of the first file by path that has header lines.
+
+    That is nearly always the first file, and then only this one is read.
+    """
+    lines = _lines(spark, path, glob).where(F.trim("value").startswith("@"))
+    told = lambda *names: lines.where(F.col("file").isin(*names)).select("value", F.monotonically_increasing_id().alias("n")).orderBy("n").collect()
+    first = min(lines.inputFiles(), default=None)
+    # Spark names a local file with one slash or three
+    rows = told(first, first.replace(":///", ":/", 1)) if first else []
+    if not rows and (least := lines.agg(F.min("file")).first()[0]) is not None:
+        rows = told(least)
+    if not rows:
         raise ValueError(f"no ARFF header in {path}")
     relation, found = "", []
     # a line per attribute, in the order of the file
-    for r in lines.where(F.col("file") == least).select("value", F.monotonically_increasing_id().alias("n")).orderBy("n").collect():
+    for r in rows:
         text = r.value.strip()
         m = _ATTRIBUTE.match(text)
         if m:
@@ -68,7 +76,7 @@ def header(spark: SparkSession, path: str, glob: str = "*.arff") -> tuple[str, l
 
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
     reader = spark.read.option("pathGlobFilter", glob) if glob and not path.endswith(".arff") else spark.read
-    return reader.text(path).select("value", F.input_file_name().alias("file"))
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def read(spark: SparkSession, path: str, class_index: int = -1, glob: str = "*.arff") -> DataFrame:
@@ -78,22 +86,33 @@ def read(spark: SparkSession, path: str, class_index: int = -1, glob: str = "*.a
     """
     _, found = header(spark, path, glob)
     text = F.trim("value")
-    rows = _lines(spark, path, glob).where((text != "") & ~text.startswith("%") & ~F.lower(text).startswith("@")).select(text.alias("t"))
+    rows = _lines(spark, path, glob).where((text != "") & ~text.startswith("%") & ~text.startswith("@")).select(text.alias("t"))
     sparse = F.col("t").startswith("{")
     inner = F.trim(F.regexp_replace("t", r"^\{|\}$", ""))
-    all_of = lambda text, pattern: F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(pattern), F.lit(1))
-    rows = rows.select("t", sparse.alias("sparse"), F.when(~sparse, all_of(F.col("t"), _FIELD)).alias("v"), F.when(sparse, F.when(inner != "", all_of(inner, _PAIR)).otherwise(F.array())).alias("p"))
-    key = lambda p: F.regexp_extract(p, r"^([0-9]+)\s", 1).try_cast("int")
-    fine = F.when(~F.col("sparse"), F.size("v") == len(found)).otherwise(F.col("t").endswith("}") & F.forall("p", lambda p: F.coalesce(key(p) < len(found), F.lit(False))))
-    rows = rows.withColumn("fine", fine)
-    # the last of several pairs of an index counts
-    told = lambda k: F.element_at(F.filter("p", lambda p: key(p) == k), -1)
-    columns, bad = [], F.lit(0)
+    all_of = lambda text, pattern, part: F.regexp_extract_all(F.concat(F.lit(","), text), F.lit(pattern), F.lit(part))
+    # each row is taken apart once: a select of its own for what is used more than once, as Spark joins no such selects
+    rows = rows.select("t", sparse.alias("sparse"), F.when(~sparse, all_of(F.col("t"), _FIELD, 1)).alias("v"), F.when(sparse, inner).alias("inner"))
+    of_pairs = lambda part: F.when(F.col("inner") != "", all_of(F.col("inner"), _PAIR, part)).when(F.col("inner") == "", F.array().cast("array<string>"))
+    # backwards, as the last of several pairs of an index counts
+    rows = rows.select("t", "sparse", "v", F.reverse(F.transform(of_pairs(1), lambda k: k.try_cast("int"))).alias("keys"), F.reverse(of_pairs(2)).alias("told"))
+    fine = F.when(~F.col("sparse"), F.size("v") == len(found)).otherwise(F.col("t").endswith("}") & F.forall("keys", lambda k: F.coalesce(k < len(found), F.lit(False))))
+    rows = rows.select("sparse", "v", "keys", "told", fine.alias("fine"))
+    raws = []
     for k, a in enumerate(found):
         default = F.lit("0.0") if a.kind == "numeric" else F.lit(a.labels[0]) if a.labels else F.lit(None)
-        pair = F.when(F.exists("p", lambda p: key(p) == k), F.trim(F.regexp_replace(told(k), r"^[0-9]+\s+", ""))).otherwise(default)
-        raw = F.when(F.col("fine"), F.when(F.col("sparse"), pair).otherwise(F.get("v", k)))
-        raw = F.when((raw != "?") & (raw != ""), F.when(raw.rlike(r"^(['\"]).*\1$"), F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), r"\\(.)", "$1")).otherwise(raw))
+        at = F.array_position("keys", F.lit(k))
+        pair = F.when(at > 0, F.trim(F.get("told", (at - 1).cast("int")))).otherwise(default)
+        raws.append(F.when(F.col("fine"), F.when(F.col("sparse"), pair).otherwise(F.get("v", k))).alias(f"_{k}"))
+    rows = rows.select("fine", *raws)
+
+    def bare(raw: Column) -> Column:
+        quoted = (raw.startswith("'") | raw.startswith('"')) & raw.rlike(r"^(['\"]).*\1$")
+        return F.when((raw != "?") & (raw != ""), F.when(quoted, F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), r"\\(.)", "$1")).otherwise(raw))
+
+    rows = rows.select("fine", *(bare(F.col(f"_{k}")).alias(f"_{k}") for k in range(len(found))))
+    columns, bad = [], F.lit(0)
+    for k, a in enumerate(found):
+        raw = F.col(f"_{k}")
         if a.labels is not None:
             known: Column = raw.isin(a.labels)
             bad = bad + F.coalesce((~known).cast("int"), F.lit(0))
