@@ -105,3 +105,45 @@ def test_the_sql_of_the_adaptive_window_is_the_window():
         steps = list(drift.adwin().run([x for k, _, x in data if k == u]))
         assert got[u][0] == sum(c for c, _, _ in steps) and abs(got[u][1] - steps[-1][2]) < 1e-4
     assert sum(c for c, _ in got.values()) > 2
+
+
+def test_many_keys_are_folded_in_one_call():
+    """A call of Python is a group's, not a key's: keys keep apart, each with its state, also where pandas made floats of them."""
+    import numpy as np
+    import pandas as pd
+
+    class State(dict):
+        getValue = dict.get
+        updateValue = dict.__setitem__
+
+    one = typed.Detecting("k", "bigint", "i", drift.ddm())
+    one.state = State()
+    rng = np.random.default_rng(4)
+    data = pd.DataFrame({"k": rng.integers(0, 40, 30_000).astype(float), "i": rng.permutation(30_000), "x": (rng.random(30_000) < 0.3).astype(float)})
+    data.loc[data.k == 7, "k"] = np.nan
+    parts = [data[data.i < 9000], data[data.i >= 9000]]
+    got = pd.concat([f for p in parts for f in one.handleInputRows((0,), iter([p[:5000], p[5000:]]), None)])
+    assert len(got) == 30_000 and not got.late.any() and set(one.state) == {(k if k != 7 else None,) for k in range(40)}
+    for k in (3, None):
+        rows = data[data.k.isna() if k is None else data.k == k].sort_values("i")
+        mine = got[got.k.isna() if k is None else got.k == k]
+        assert mine.i.tolist() == rows.i.tolist()
+        assert list(zip(mine.change, mine.warning, mine.estimate)) == list(drift.ddm().run(rows.x.tolist()))
+    late = pd.concat(one.handleInputRows((0,), iter([pd.DataFrame({"k": [3, 99], "i": [5, 5], "x": [1.0, 1.0]})]), None))
+    assert late.late.tolist() == [True, False]
+
+
+def test_a_part_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from tidemark import storage
+    from tidemark.plans import drift as batch
+    from tidemark.plans import flows
+
+    rng = random.Random(9)
+    data = [(i, rng.randrange(60), rng.choice(["error", "view", "click"])) for i in range(3000)]
+    spark.createDataFrame(data, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(flows, "FILE", 300)
+    files = []
+    monkeypatch.setattr(flows, "removed", lambda s, folder: files.append(len([n for n in storage.names(s, f"{folder}/in") if n.startswith("part-")])))
+    got = sorted(map(tuple, flows.QUERIES["stream_ddm_by_user"](spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, batch.QUERIES["ddm_by_user"](spark, str(tmp_path)).collect())) and len(got) == 60
+    assert files[0] > flows.PARTS

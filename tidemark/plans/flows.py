@@ -136,19 +136,25 @@ def curve_dump(spark, d):
 
 
 def _streamed(spark, d, name, made):
-    """Events as a stream of PARTS files, a file a micro-batch in the order of their ids, with typed state; the rows that it gives."""
+    """Events as a stream of PARTS micro-batches in the order of their ids, with typed state; the rows that it gives.
+
+    A part is written by as many tasks as its rows need, dealt by user: a user's rows of a part lie in one file, and parts follow
+    one another, so that its rows come in order whatever files make up a micro-batch.
+    """
     folder = _folder(spark, name)
     rows = read(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "error").cast("double").alias("x"), F.col("event_type").alias("y"), F.lit("view").alias("pred"))
-    last = rows.agg(F.max("event_id")).first()[0]
-    for k in range(PARTS):
-        rows.where((F.col("event_id") * PARTS >= k * (last + 1)) & (F.col("event_id") * PARTS < (k + 1) * (last + 1))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    last, n = rows.agg(F.max("event_id"), F.count("*")).first()
+    cuts, files = [-(-k * (last + 1) // PARTS) for k in range(PARTS + 1)], 1 + n // (PARTS * FILE)
+    for low, high in zip(cuts, cuts[1:]):
+        rows.where((F.col("event_id") >= low) & (F.col("event_id") < high)).repartition(files, "user_id").write.mode("append").parquet(f"{folder}/in")
     with typed.rocksdb(spark):
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
         made(stream).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/rows"), folder
 
 
-PARTS = 3
+#: Micro-batches of a stream, and rows aimed at in a file.
+PARTS, FILE = 3, 500_000
 
 
 def _stream_detect(name, detector):

@@ -1,11 +1,11 @@
 """Per-key detectors and accuracies as streams with typed state, by Spark's arbitrary stateful processing.
 
-A key's state is a value (what a detector keeps, where its order stands) and, for a detector with a window, a list of the
-window's buckets; both have columns, so they can be read by the state data source.  Keys that stay idle are dropped by
-timers.  The state store must be RocksDB: run queries within `rocksdb(spark)`, or set it for the cluster.
+Keys are dealt to SLOTS groups, as each call of Python for a group costs as much as hundreds of rows.  A group's state is a map by key, to where the
+key's order stands, its timer, what a detector keeps and the buckets of its window; it has columns, so it can be read by the state
+data source.  Where keys that stay idle are dropped, a timer is a group's, so each key is a group by itself.  The state store must be RocksDB: run queries within `rocksdb(spark)`, or set it for the cluster.
 
-A micro-batch should be bounded where the stream is read (`maxFilesPerTrigger`, `maxBytesPerTrigger`, `maxOffsetsPerTrigger`): of a key
-its rows of one micro-batch are held, as two numbers each, to be put in order.  A row that comes after a later one has
+A micro-batch should be bounded where the stream is read (`maxFilesPerTrigger`, `maxBytesPerTrigger`, `maxOffsetsPerTrigger`): of a group
+its rows of one micro-batch are held, as three values each, to be put in order.  A row that comes after a later one has
 been folded in is not folded out of order: it is returned with `late` set and null results.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidemark.operators.drift import Detector, _Kept
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Groups of keys, and rows of a group that are returned at a time.
+SLOTS, CHUNK = 1024, 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,43 +66,55 @@ def deep(numbers: list[float], buckets: list[tuple[int, float, float]], like: li
 
 
 class _Ordered(StatefulProcessor):
-    """Rows of a key in order, with what is late told apart, and a timer for idle keys."""
+    """Rows of a group of keys, each key's in order, with what is late told apart, and a timer for an idle key."""
 
-    def __init__(self, key: str, order: str, columns: list[str], idle: int | None, event_time: bool):
-        self.key, self.order, self.columns, self.idle, self.event_time = key, order, columns, idle, event_time
+    def __init__(self, key: str, kind: str, order: str, columns: list[str], idle: int | None, event_time: bool):
+        self.key, self.kind, self.order, self.columns, self.idle, self.event_time = key, kind, order, columns, idle, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "at long, timer long")
-        self.open(handle)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [[f[c].to_numpy() for c in (self.order, *self.columns)] for f in rows]
-        order, *values = (np.concatenate([h[k] for h in held]) for k in range(1 + len(self.columns)))
-        by = np.argsort(order, kind="stable")
-        place = self.place.get() if self.place.exists() else None
-        last, timer = (place[0], place[1]) if place else (None, None)
-        out, fold = [], self.folding()
-        for at, *row in zip(order[by].tolist(), *(v[by].tolist() for v in values)):
-            if last is not None and at <= last:
-                out.append((key[0], at, *[None] * len(self.results), True))
-                continue
-            last = at
-            out.append((key[0], at, *fold(*row), False))
-        self.keep()
-        if self.idle is not None:
-            # event time stands still within a micro-batch: the latest row's own time says how long it may rest
-            now = max(timerValues.getCurrentWatermarkInMs(), int(last)) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            timer = now + self.idle
-            self.handle.registerTimer(timer)
-        self.place.update((last, timer))
+        self.state = handle.getMapState("state", f"key {self.kind}", f"at long, timer long, {self.schema}")
+
+    def told(self, key):
+        """A key as it was before pandas turned whole numbers beside null into floats."""
+        if key != key:
+            return None
+        return int(key) if isinstance(key, float) and self.kind in ("tinyint", "smallint", "int", "bigint") else key
+
+    def handleInputRows(self, group, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = [[f[c].to_numpy() for c in (self.key, self.order, *self.columns)] for f in rows]
+        keys, order, *values = (h[0] if len(h) == 1 else np.concatenate(h) for h in zip(*held))
+        codes, names = pd.factorize(keys, use_na_sentinel=False)
+        by = np.lexsort((order, codes))
+        ends = np.cumsum(np.bincount(codes, minlength=len(names)))
+        out = []
+        for key, low, high in zip(map(self.told, names.tolist()), [0, *ends[:-1].tolist()], ends.tolist()):
+            # one call reads a key's state, and one writes it
+            last, timer, *kept = self.state.getValue((key,)) or (None, None)
+            fold = self.folding(*kept)
+            for k in range(low, high, CHUNK):
+                own = by[k : min(k + CHUNK, high)]
+                for at, *row in zip(order[own].tolist(), *(v[own].tolist() for v in values)):
+                    if last is not None and at <= last:
+                        out.append((key, at, *[None] * len(self.results), True))
+                        continue
+                    last = at
+                    out.append((key, at, *fold(*row), False))
+                if len(out) >= CHUNK:
+                    yield pd.DataFrame(out, columns=[self.key, self.order, *self.results, "late"])
+                    out = []
+            if self.idle is not None:
+                # event time stands still within a micro-batch: the latest row's own time says how long it may rest
+                now = max(timerValues.getCurrentWatermarkInMs(), int(last)) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                timer = now + self.idle
+                self.handle.registerTimer(timer)
+            self.state.updateValue((key,), (last, timer, *self.kept()))
         yield pd.DataFrame(out, columns=[self.key, self.order, *self.results, "late"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.place.clear()
-        self.drop()
+        self.state.clear()
         yield pd.DataFrame([], columns=[self.key, self.order, *self.results, "late"])
 
     def close(self) -> None:
@@ -108,64 +122,41 @@ class _Ordered(StatefulProcessor):
 
 
 class Detecting(_Ordered):
-    results = ["change", "warning", "estimate"]
+    results, schema = ["change", "warning", "estimate"], "numbers array<double>, change boolean, buckets array<struct<level int, sum double, spread double>>"
 
-    def __init__(self, key: str, order: str, detector: Detector, idle: int | None = None, event_time: bool = False):
-        super().__init__(key, order, ["x"], idle, event_time)
+    def __init__(self, key: str, kind: str, order: str, detector: Detector, idle: int | None = None, event_time: bool = False):
+        super().__init__(key, kind, order, ["x"], idle, event_time)
         self.detector = detector
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.numbers = handle.getValueState("numbers", "numbers array<double>, change boolean")
-        self.buckets = handle.getListState("buckets", "level int, sum double, spread double") if flat_has_buckets(self.detector) else None
-
-    def folding(self):
-        self.change = False
-        if self.numbers.exists():
-            numbers, self.change = self.numbers.get()
-            self.state = deep(list(numbers), [tuple(b) for b in self.buckets.get()] if self.buckets and self.buckets.exists() else [], self.detector.init)
-        else:
-            self.state = list(self.detector.init)
+    def folding(self, numbers=None, change=False, buckets=()):
+        self.held = list(self.detector.init) if numbers is None else deep(list(numbers), [tuple(b) for b in buckets], self.detector.init)
+        self.change = change
 
         def fold(x):
             if self.change and not isinstance(self.detector, _Kept):
-                self.state = list(self.detector.init)
-            self.state, change, warning, estimate = self.detector.step(self.state, x)
+                self.held = list(self.detector.init)
+            self.held, change, warning, estimate = self.detector.step(self.held, x)
             self.change = bool(change)
-            return bool(change), bool(warning), float(estimate)
+            return self.change, bool(warning), float(estimate)
 
         return fold
 
-    def keep(self) -> None:
-        numbers, buckets = flat(self.state)
-        self.numbers.update((numbers, self.change))
-        if self.buckets:
-            self.buckets.put(buckets) if buckets else self.buckets.clear()
-
-    def drop(self) -> None:
-        self.numbers.clear()
-        if self.buckets:
-            self.buckets.clear()
-
-
-def flat_has_buckets(detector: Detector) -> bool:
-    return any(isinstance(part, list) for part in detector.init)
+    def kept(self) -> tuple:
+        numbers, buckets = flat(self.held)
+        return numbers, self.change, buckets
 
 
 class Accuracy(_Ordered):
     """The last `width` hits in a ring, with their sum, so that a row costs the same whatever the width."""
 
-    results = ["accuracy"]
+    results, schema = ["accuracy"], "hits array<int>, next int, total int"
 
-    def __init__(self, key: str, order: str, width: int, idle: int | None = None, event_time: bool = False):
-        super().__init__(key, order, ["hit"], idle, event_time)
+    def __init__(self, key: str, kind: str, order: str, width: int, idle: int | None = None, event_time: bool = False):
+        super().__init__(key, kind, order, ["hit"], idle, event_time)
         self.width = width
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", "hits array<int>, at int, total int")
-
-    def folding(self):
-        hits, self.at, self.total = self.ring.get() if self.ring.exists() else ([], 0, 0)
-        self.hits = list(hits)
+    def folding(self, hits=(), at=0, total=0):
+        self.hits, self.at, self.total = list(hits), at, total
 
         def fold(hit):
             hit = int(hit)
@@ -180,16 +171,14 @@ class Accuracy(_Ordered):
 
         return fold
 
-    def keep(self) -> None:
-        self.ring.update((self.hits, self.at, self.total))
-
-    def drop(self) -> None:
-        self.ring.clear()
+    def kept(self) -> tuple:
+        return self.hits, self.at, self.total
 
 
 def _run(rows: DataFrame, key: str, processor: _Ordered, schema: str, idle: int | None, event_time: str | None) -> DataFrame:
     mode = "None" if idle is None else "EventTime" if event_time else "ProcessingTime"
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", mode)
+    group = F.pmod(F.xxhash64(key), F.lit(SLOTS)) if idle is None else F.col(key)
+    return rows.withColumn("_group", group).groupBy("_group").transformWithStateInPandas(processor, schema, "append", mode)
 
 
 def detect(stream: DataFrame, key: str, order: str, x: str, detector: Detector, idle: int | None = None, event_time: str | None = None) -> DataFrame:
@@ -201,7 +190,7 @@ def detect(stream: DataFrame, key: str, order: str, x: str, detector: Detector,
     kind = stream.schema[key].dataType.simpleString()
     more = [event_time] if event_time and event_time != order else []
     rows = stream.select(key, F.col(order).cast("long").alias(order), F.col(x).cast("double").alias("x"), *more).where("x is not null")
-    return _run(rows, key, Detecting(key, order, detector, idle, bool(event_time)), f"{key} {kind}, {order} long, change boolean, warning boolean, estimate double, late boolean", idle, event_time)
+    return _run(rows, key, Detecting(key, kind, order, detector, idle, bool(event_time)), f"{key} {kind}, {order} long, change boolean, warning boolean, estimate double, late boolean", idle, event_time)
 
 
 def windowed_accuracy(stream: DataFrame, key: str, order: str, y: str, pred: str, width: int = 1000, idle: int | None = None, event_time: str | None = None) -> DataFrame:
@@ -209,4 +198,4 @@ def windowed_accuracy(stream: DataFrame, key: str, order: str, y: str, pred: str
     kind = stream.schema[key].dataType.simpleString()
     more = [event_time] if event_time and event_time != order else []
     rows = stream.select(key, F.col(order).cast("long").alias(order), F.col(y).eqNullSafe(F.col(pred)).cast("int").alias("hit"), *more)
-    return _run(rows, key, Accuracy(key, order, width, idle, bool(event_time)), f"{key} {kind}, {order} long, accuracy double, late boolean", idle, event_time)
+    return _run(rows, key, Accuracy(key, kind, order, width, idle, bool(event_time)), f"{key} {kind}, {order} long, accuracy double, late boolean", idle, event_time)
