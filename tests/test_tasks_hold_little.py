@@ -33,3 +33,19 @@ def test_an_arff_row_is_taken_apart_once(spark, tmp_path):
     assert got == [(2.5, "v", None, 0.0, 0), (0.0, "u", "x, y 3", 7.0, 0), (0.0, "u", None, 0.0, 0), (0.0, None, None, 0.0, 1), wrong, wrong, wrong, (None, "u", "it's", 0.0, 0), wrong]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("regexp_extract") <= 3  # fields, indexes and values
+
+
+def test_the_row_before_is_found_without_a_sort_beside_the_windows(spark):
+    """The last rows of blocks come from a hash aggregate; null values, null orders and gaps as before."""
+    from tidemark.operators.ordered import previous
+
+    data = [(i, None if i % 7 == 3 else i % 5) for i in range(100)]
+    rows = spark.createDataFrame(data, "i long, y int").repartition(3)
+    df = previous(rows, "i", "y", 9, block=10)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+    got = {r.i: r.previous for r in df.collect()}
+    assert got == {i: 9 if i == 0 or data[i - 1][1] is None else data[i - 1][1] for i, _ in data}
+    nulls = previous(rows.unionByName(spark.createDataFrame([(None, 4)], "i long, y int")), "i", "y", 9, block=10)
+    got = {r.i: r.previous for r in nulls.collect()}
+    assert got[None] == 9 and got[0] == 4 and len(got) == 101

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Most rows aimed at in a block, the least, and the most blocks: one row a block meets in one task.
+#: Most rows aimed at in a block, the least, and the most blocks: one row a block meets in one task, and is broadcast, as a join by sorting
+#: holds a partition once more, and all rows where few columns compress to little.
 BLOCK, LEAST, BLOCKS = 50_000, 2_000, 10_000
 #: Widths up to which a sliding sum adds its frame up anew; wider ones are differences of running sums.
 NARROW = 64
@@ -59,7 +60,7 @@ def numbered(df: DataFrame, order: str, block: int | None = None) -> DataFrame:
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # one row a block
     sizes = sizes.select("_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     own = F.row_number().over(W.partitionBy("_block").orderBy(order))
-    return cut.withColumn("_own", own).join(sizes, "_block").withColumn("rn", F.col("_base") + F.col("_own") - 1).drop("_own", "_base", *gone)
+    return cut.withColumn("_own", own).join(F.broadcast(sizes), "_block").withColumn("rn", F.col("_base") + F.col("_own") - 1).drop("_own", "_base", *gone)
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], before: bool = False, block: int | None = None) -> DataFrame:
@@ -70,18 +71,20 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], before: bool = F
     earlier = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select("_block", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_base_{k}") for k in sums))
     own = W.partitionBy("_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1 if before else W.currentRow)
-    out = cut.withColumns({f"_{k}": F.coalesce(F.sum(f"_{k}").over(own), F.lit(0)) for k in sums}).join(totals, "_block")
+    out = cut.withColumns({f"_{k}": F.coalesce(F.sum(f"_{k}").over(own), F.lit(0)) for k in sums}).join(F.broadcast(totals), "_block")
     return out.withColumns({k: F.col(f"_{k}") + F.col(f"_base_{k}") for k in sums}).drop(*gone, *(f"_{k}" for k in sums), *(f"_base_{k}" for k in sums))
 
 
 def previous(df: DataFrame, order: str, column: str, default, block: int | None = None) -> DataFrame:
     """Adds `previous`: the column's value in the row before, over all blocks."""
     cut, gone = _cut(df, order, block)
-    last = cut.groupBy("_block").agg(F.max_by(F.struct(column), F.struct(order)).alias("_last"))
+    # plain values, so that Spark hashes blocks; with structs it would sort all rows, in as few tasks as their size after compression asks for
+    last = F.when(F.first("_block") == -1, F.last(column)).otherwise(F.max_by(column, order))
+    last = cut.groupBy("_block").agg(last.alias("_last"))
     last = last.select("_block", F.lag("_last").over(W.orderBy("_block")).alias("_carry"))
     by = W.partitionBy("_block").orderBy(order)
-    out = cut.withColumns({"_own": F.lag(column).over(by), "_first": F.row_number().over(by) == 1}).join(last, "_block")
-    return out.withColumn("previous", F.coalesce(F.when(F.col("_first"), F.col(f"_carry.{column}")).otherwise(F.col("_own")), F.lit(default))).drop("_own", "_first", "_carry", *gone)
+    out = cut.withColumns({"_own": F.lag(column).over(by), "_first": F.row_number().over(by) == 1}).join(F.broadcast(last), "_block")
+    return out.withColumn("previous", F.coalesce(F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_own")), F.lit(default))).drop("_own", "_first", "_carry", *gone)
 
 
 def sliding(df: DataFrame, order: str, width: int, sums: dict[str, Column], block: int | None = None) -> DataFrame:
